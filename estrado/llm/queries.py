@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .binary import op2
 from .mixing import op9
+from .packing import op8
 from .simhash import op6
 from .topk import OP10_SQL, op10
 
 QUERIES = {
+    "op2_binary": op2,
     "op6_simhash": op6,
+    "op8_packing": op8,
     "op9_mixing": op9,
     "op10_topk": op10,
 }
