@@ -6,10 +6,12 @@ from .binary import op2
 from .mixing import op9
 from .packing import op8
 from .simhash import op6
+from .suffixes import op3
 from .topk import OP10_SQL, op10
 
 QUERIES = {
     "op2_binary": op2,
+    "op3_suffixes": op3,
     "op6_simhash": op6,
     "op8_packing": op8,
     "op9_mixing": op9,
