@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .binary import op2
+from .fingerprints import op4
 from .mixing import op9
 from .packing import op8
 from .simhash import op6
@@ -12,6 +13,7 @@ from .topk import OP10_SQL, op10
 QUERIES = {
     "op2_binary": op2,
     "op3_suffixes": op3,
+    "op4_fingerprints": op4,
     "op6_simhash": op6,
     "op8_packing": op8,
     "op9_mixing": op9,
