@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .binary import op2
 from .fingerprints import op4
+from .html import op1
+from .langid import op5
 from .mixing import op9
 from .packing import op8
 from .simhash import op6
@@ -11,9 +13,11 @@ from .suffixes import op3
 from .topk import OP10_SQL, op10
 
 QUERIES = {
+    "op1_html": op1,
     "op2_binary": op2,
     "op3_suffixes": op3,
     "op4_fingerprints": op4,
+    "op5_langid": op5,
     "op6_simhash": op6,
     "op8_packing": op8,
     "op9_mixing": op9,
