@@ -8,6 +8,7 @@ from .html import op1
 from .langid import op5
 from .mixing import op9
 from .packing import op8
+from .quality import op7
 from .simhash import op6
 from .suffixes import op3
 from .topk import OP10_SQL, op10
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_fingerprints": op4,
     "op5_langid": op5,
     "op6_simhash": op6,
+    "op7_quality": op7,
     "op8_packing": op8,
     "op9_mixing": op9,
     "op10_topk": op10,

@@ -27,10 +27,10 @@ Names are equal by chance for two different strings with probability 2**-64 a pa
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -203,26 +203,29 @@ def _round(seg: Segment, known: dict[int, list[bytes]], buckets: int):
     return None, None, np.cumsum(cover[:-1]) > 0
 
 
-SEGMENT = "segment long, doc_ids array<long>, rows array<long>, sizes array<long>, data binary"
+SEGMENT = "segment long, doc_ids array<long>, rows array<long>, sizes array<long>, extra array<string>, data binary"
 
 
 def _segments(limit: int):
-    schema = pa.schema([("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())])
+    """Packs rows (doc_id, text, other columns as JSON) into segments."""
+    lists = [(c, pa.list_(pa.int64())) for c in ("doc_ids", "rows", "sizes")]
+    schema = pa.schema([("segment", pa.int64()), *lists, ("extra", pa.list_(pa.string())), ("data", pa.binary())])
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
-        ids, texts, size, row = [], [], 0, 0
+        ids, texts, more, size, row = [], [], [], 0, 0
 
         def out():
-            return pa.RecordBatch.from_pylist([{"segment": number, "doc_ids": ids, "rows": list(range(row - len(ids), row)), "sizes": [len(t) for t in texts], "data": b"".join(texts)}], schema=schema)
+            return pa.RecordBatch.from_pylist([{"segment": number, "doc_ids": ids, "rows": list(range(row - len(ids), row)), "sizes": [len(t) for t in texts], "extra": more, "data": b"".join(texts)}], schema=schema)
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, t, x in zip(*(c.to_pylist() for c in b.columns)):
                 t = (t or "").encode("utf-8", "surrogatepass")
                 if ids and size + len(t) > limit:
                     yield out()
-                    ids, texts, size, number = [], [], 0, number + 1
+                    ids, texts, more, size, number = [], [], [], 0, number + 1
                 ids.append(i)
+                more.append(x)
                 texts.append(t)
                 size += len(t)
                 row += 1
@@ -316,11 +319,11 @@ def _sort(first: bool):
     return run
 
 
-DIGEST = "segment long, doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept binary"
+DIGEST = "segment long, doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept binary, extra string"
 
 
 def _finish(seed: int, threshold: int):
-    schema = pa.schema([(c, pa.int64()) for c in ("segment", "doc_id", "row", "n_bytes", "n_removed", "n_spans")] + [("kept", pa.binary())])
+    schema = pa.schema([(c, pa.int64()) for c in ("segment", "doc_id", "row", "n_bytes", "n_removed", "n_spans")] + [("kept", pa.binary()), ("extra", pa.string())])
 
     def run(batches):
         for b in batches:
@@ -328,18 +331,28 @@ def _finish(seed: int, threshold: int):
                 seg = _open(row, seed, threshold)
                 gone = _round(seg, _answers(row), 0)[2]
                 out, a = [], 0
-                for i, k, z in zip(row["doc_ids"], row["rows"], seg.ends.tolist()):
+                for i, k, x, z in zip(row["doc_ids"], row["rows"], row["extra"], seg.ends.tolist()):
                     g, t = gone[a:z], seg.text[a:z]
                     spans = int(np.count_nonzero(g[1:] & ~g[:-1]) + (len(g) > 0 and bool(g[0])))
-                    out.append({"segment": row["segment"], "doc_id": i, "row": k, "n_bytes": z - a, "n_removed": int(np.count_nonzero(g)), "n_spans": spans, "kept": t[~g].tobytes()})
+                    out.append({"segment": row["segment"], "doc_id": i, "row": k, "n_bytes": z - a, "n_removed": int(np.count_nonzero(g)), "n_spans": spans, "kept": t[~g].tobytes(), "extra": x})
                     a = z
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, seed: int = SEED) -> DataFrame:
-    """(segment, row, doc_id, n_bytes, n_removed, n_spans, kept binary) of every row of docs(doc_id, text).
+def text_of(kept: str):
+    """The kept bytes as text; what is left of a character whose other bytes were removed goes with them."""
+
+    @F.pandas_udf("string")
+    def decode(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    return decode(kept)
+
+
+def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, seed: int = SEED, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(segment, row, doc_id, n_bytes, n_removed, n_spans, kept binary) of every row of docs(doc_id, text), and the columns in extra.
 
     Null and empty texts have no bytes. Rows that share a doc_id are judged alike against smaller ids and never
     against each other. A null doc_id counts as the largest of all. An empty table gives no rows. Texts of any length are
@@ -347,7 +360,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, seed: int = SEED
     """
     spark: SparkSession = docs.sparkSession
     top = (1 << 63) - 1
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(top)).alias("doc_id"), "text")
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(top)).alias("doc_id"), "text", (F.to_json(F.struct(*extra)) if extra else F.lit(None).cast("string")).alias("extra"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = int(max(4, -(-total // BUCKET_BYTES)))
     name, path = f"segments_{uuid.uuid4().hex}", scratch(spark, "segments")
@@ -361,7 +374,11 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, seed: int = SEED
         answer = bits.groupBy("segment").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias(f"r{turn}"))
         answer = written(answer, f"answers_{turn}").repartition(buckets, "segment")
         with_answers = with_answers.join(answer.hint("shuffle_hash"), "segment", "left").withColumn(f"r{turn}", F.coalesce(f"r{turn}", F.expr("array()")))
-    return with_answers.mapInArrow(_finish(seed, threshold), DIGEST).withColumn("doc_id", F.when(F.col("doc_id") != top, F.col("doc_id")))
+    out = with_answers.mapInArrow(_finish(seed, threshold), DIGEST).withColumn("doc_id", F.when(F.col("doc_id") != top, F.col("doc_id")))
+    if extra:
+        kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
+        out = out.withColumn("extra", F.from_json("extra", kinds))
+    return out.select("segment", "row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept", *[F.col("extra")[c].alias(c) for c in extra])
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
