@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .jobs import fichas, sequences, store, streams, text, turns, vectors
+
+GROUPS = (fichas, turns, vectors, text, store, sequences, streams)
+QUERIES = {name: f for g in GROUPS for name, f in g.QUERIES.items()}
+ORACLE = {name: sql for g in GROUPS for name, sql in g.ORACLE.items()}

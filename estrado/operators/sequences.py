@@ -1,0 +1,269 @@
+"""Steps that depend on what they kept before: packers, debouncing, alignment, edit scores.
+
+No window expresses these, as each row's outcome depends on earlier outcomes. A session is folded in one task
+through applyInPandas: sessions bound what a task holds, and rows of one session alone are ordered.
+"""
+
+from __future__ import annotations
+
+from difflib import SequenceMatcher
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def chunks(seg: DataFrame, most: int = 1200, overlap: int = 1, by_speaker: bool = True) -> DataFrame:
+    """(pleno_id, idx, text, start, end, speaker): segments packed to at most most characters.
+
+    A chunk ends where its speaker does, or where the next segment would not fit; then the last overlap segments are taken along. A segment
+    longer than most is a chunk of its own. Blank segments are left out.
+    """
+
+    def fold(p: pd.DataFrame) -> pd.DataFrame:
+        out, cur, size, fresh = [], [], 0, False
+
+        def flush():
+            out.append((p.pleno_id.iloc[0], len(out), " ".join(s[0] for s in cur), cur[0][1], cur[-1][2], cur[0][3]))
+
+        for text, start, end, who in p.sort_values(["start", "seg_id"])[["text", "start", "end", "speaker"]].itertuples(index=False):
+            text = (text or "").strip()
+            if not text:
+                continue
+            turned = by_speaker and cur and who != cur[0][3]
+            if cur and (turned or size + len(text) + 1 > most):
+                flush()
+                cur = [] if turned or not overlap else cur[-overlap:]
+                size = sum(len(s[0]) + 1 for s in cur)
+            cur.append((text, start, end, who))
+            size += len(text) + 1
+        if cur:
+            flush()
+        return pd.DataFrame(out, columns=["pleno_id", "idx", "text", "start", "end", "speaker"])
+
+    kind = seg.schema["pleno_id"].dataType.simpleString()
+    return seg.select("pleno_id", "seg_id", "text", "start", "end", "speaker").groupBy("pleno_id").applyInPandas(fold, f"pleno_id {kind}, idx int, text string, start double, end double, speaker string")
+
+
+def windows_of(seg: DataFrame, least: int = 700) -> DataFrame:
+    """(pleno_id, idx, start, n, chars): rows gathered until they hold least characters; the rest is the last window."""
+
+    def fold(p: pd.DataFrame) -> pd.DataFrame:
+        out, first, n, size = [], None, 0, 0
+        for start, chars in p.sort_values(["start", "seg_id"])[["start", "chars"]].itertuples(index=False):
+            first = start if n == 0 else first
+            n, size = n + 1, size + int(chars)
+            if size >= least:
+                out.append((p.pleno_id.iloc[0], len(out), first, n, size))
+                n = size = 0
+        if n:
+            out.append((p.pleno_id.iloc[0], len(out), first, n, size))
+        return pd.DataFrame(out, columns=["pleno_id", "idx", "start", "n", "chars"])
+
+    kind = seg.schema["pleno_id"].dataType.simpleString()
+    return seg.select("pleno_id", "seg_id", "start", F.length("text").alias("chars")).groupBy("pleno_id").applyInPandas(fold, f"pleno_id {kind}, idx int, start double, n int, chars long")
+
+
+def packed_sentences(sentences: list[str], most: int, carry: bool = True) -> list[str]:
+    """Sentences packed to at most most characters; the last one is taken along unless it would not fit; a giant is cut."""
+    out, cur = [], []
+    for s in (x for y in sentences for x in ([y] if len(y) <= most else [y[i : i + most] for i in range(0, len(y), most)])):
+        if cur and sum(map(len, cur)) + len(cur) + len(s) > most:
+            out.append(" ".join(cur))
+            cur = cur[-1:] if carry and len(cur[-1]) + 1 + len(s) <= most else []
+        cur.append(s)
+    return [*out, " ".join(cur)] if cur else out
+
+
+def pack_sentences(df: DataFrame, key: str, sentences: str, most: int = 1200) -> DataFrame:
+    """(key, n, longest, chars) of the packs of an array of sentences."""
+
+    @F.pandas_udf("struct<n:int,longest:int,chars:long>")
+    def pack(col: pd.Series) -> pd.DataFrame:
+        rows = []
+        for s in col:
+            p = packed_sentences([x for x in (s if s is not None else []) if x], most)
+            rows.append((len(p), max(map(len, p), default=0), sum(map(len, p))))
+        return pd.DataFrame(rows, columns=["n", "longest", "chars"])
+
+    return df.select(key, pack(sentences).alias("p")).select(key, "p.n", "p.longest", "p.chars")
+
+
+def debounced(ev: DataFrame, gap: float = 2.0) -> DataFrame:
+    """ev(pleno_id, seg_id, start) without those less than gap after the last one kept."""
+
+    def fold(p: pd.DataFrame) -> pd.DataFrame:
+        p, keep, last = p.sort_values(["start", "seg_id"]), [], -np.inf
+        for t in p.start:
+            keep.append(t - last >= gap)
+            last = t if keep[-1] else last
+        return p[keep]
+
+    return ev.groupBy("pleno_id").applyInPandas(fold, ev.schema)
+
+
+def handovers(seg: DataFrame, calls: str, cooldown: int = 1) -> DataFrame:
+    """(pleno_id, seg_id, turno): a segment that matches calls hands over: the next ones are a new turn; -1 is the chair that calls.
+
+    After a handover the next cooldown segments cannot hand over again.
+    """
+
+    def fold(p: pd.DataFrame) -> pd.DataFrame:
+        p, turn, wait, out = p.sort_values(["start", "seg_id"]), 0, 0, []
+        for call in p.call:
+            if call and not wait:
+                out.append(-1)
+                turn, wait = turn + 1, cooldown
+            else:
+                out.append(turn)
+                wait = max(0, wait - 1)
+        return p.assign(turno=out)[["pleno_id", "seg_id", "turno"]]
+
+    kind = seg.schema["pleno_id"].dataType.simpleString()
+    s = seg.select("pleno_id", "seg_id", "start", F.rlike("speaker", F.lit(calls)).alias("call"))
+    return s.groupBy("pleno_id").applyInPandas(fold, f"pleno_id {kind}, seg_id long, turno int")
+
+
+def similarity(a: str, b: str) -> float:
+    """Mean over the words of a of the best ratio with a word of b; words of two letters and connectors don't count."""
+    skip = {"de", "del", "la", "las", "los", "y", "e", "i"}
+    x, y = ([w for w in s.lower().split() if w not in skip] for s in (a or "", b or ""))
+    return float(np.mean([max(SequenceMatcher(None, u, v).ratio() for v in y) for u in x])) if x and y else 0.0
+
+
+def align(score: np.ndarray, gap: float, least: float) -> list[tuple[int, int]]:
+    """Pairs of the best global alignment; pairs scored under least are forbidden. Row by row, a row's running maximum in one pass."""
+    n, m = score.shape
+    s = np.where(score >= least, score, -9.0)
+    dp = np.zeros((n + 1, m + 1))
+    dp[0] = gap * np.arange(m + 1)
+    for i in range(1, n + 1):
+        best = np.concatenate([[gap * i], np.maximum(dp[i - 1, :-1] + s[i - 1], dp[i - 1, 1:] + gap)])
+        # dp[j] = max over k <= j of best[k] + gap * (j - k)
+        dp[i] = np.maximum.accumulate(best - gap * np.arange(m + 1)) + gap * np.arange(m + 1)
+    out, i, j = [], n, m
+    while i and j:
+        if np.isclose(dp[i, j], dp[i - 1, j - 1] + s[i - 1, j - 1]):
+            if score[i - 1, j - 1] >= least:
+                out.append((i - 1, j - 1))
+            i, j = i - 1, j - 1
+        elif np.isclose(dp[i, j], dp[i - 1, j] + gap):
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def align_sessions(a: DataFrame, b: DataFrame, gap: float = -0.3, least: float = 0.5) -> DataFrame:
+    """(pleno_id, a_pos, b_pos, sim): the names of a and b(pleno_id, pos, name), in order, session by session."""
+
+    def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        x, y = x.sort_values("pos"), y.sort_values("pos")
+        if not len(x) or not len(y):
+            return pd.DataFrame(columns=["pleno_id", "a_pos", "b_pos", "sim"])
+        known = {(u, v): similarity(u, v) for u in set(x["name"]) for v in set(y["name"])}
+        s = np.array([[known[u, v] for v in y["name"]] for u in x["name"]])
+        return pd.DataFrame([(x.pleno_id.iloc[0], x.pos.iloc[i], y.pos.iloc[j], s[i, j]) for i, j in align(s, gap, least)], columns=["pleno_id", "a_pos", "b_pos", "sim"])
+
+    kind = a.schema["pleno_id"].dataType.simpleString()
+    return a.groupBy("pleno_id").cogroup(b.groupBy("pleno_id")).applyInPandas(both, f"pleno_id {kind}, a_pos long, b_pos long, sim double")
+
+
+def word_edits(ref: list[str], hyp: list[str]) -> int:
+    """Word edit distance, a row at a time."""
+    code = {w: i for i, w in enumerate(dict.fromkeys([*ref, *hyp]))}
+    h = np.array([code[w] for w in hyp], np.int64)
+    at = np.arange(len(h) + 1)
+    row = at.copy()
+    for i, w in enumerate(ref, 1):
+        best = np.concatenate([[i], np.minimum(row[:-1] + (h != code[w]), row[1:] + 1)])
+        row = np.minimum.accumulate(best - at) + at
+    return int(row[-1])
+
+
+def word_errors(df: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
+    """(key, words, edits) of two texts; the rate of many rows is the sum of edits over the sum of words."""
+
+    @F.pandas_udf("struct<words:long,edits:long>")
+    def edits(r: pd.Series, h: pd.Series) -> pd.DataFrame:
+        rows = [((a or "").lower().split(), (b or "").lower().split()) for a, b in zip(r, h)]
+        return pd.DataFrame({"words": [len(a) for a, _ in rows], "edits": [word_edits(a, b) for a, b in rows]})
+
+    return df.select(key, edits(ref, hyp).alias("e")).select(key, "e.words", "e.edits")
+
+
+def fuzzy_link(names: DataFrame, roster: DataFrame, least: float = 0.62) -> DataFrame:
+    """(name, canon, sim): of each name the most alike of roster(canon, n) in similarity(), ties to the larger n; below least the name itself.
+
+    A roster is a chamber's members: it is met in blocks, and a block is scored in the task that holds the names.
+    """
+    from .vectors import against
+
+    pairs = against(names.select("name").distinct(), roster.select("canon", "n"), block=64)
+
+    @F.pandas_udf("double")
+    def sim(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    best = pairs.withColumn("sim", sim("name", "canon")).groupBy("name").agg(F.max(F.struct("sim", "n", "canon")).alias("m"))
+    return best.select("name", F.when(F.col("m.sim") >= least, F.col("m.canon")).otherwise(F.col("name")).alias("canon"), F.round("m.sim", 6).alias("sim"))
+
+
+def exemplar_caps(vec: DataFrame, most: int = 8) -> DataFrame:
+    """(persona, vecs): while a person has more than most exemplars the two most alike are summed and brought to length one."""
+
+    def cap(p: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(p.sort_values("id").vec.tolist()).astype(float)
+        while len(v) > most:
+            s = v @ v.T
+            s[np.tril_indices(len(v))] = -np.inf
+            i, j = np.unravel_index(np.argmax(s), s.shape)
+            both = v[i] + v[j]
+            v = np.concatenate([np.delete(v, [i, j], axis=0), [both / (np.linalg.norm(both) or 1.0)]])
+        return pd.DataFrame({"persona": [p.persona.iloc[0]], "n": [len(v)], "vecs": [v.tolist()]})
+
+    kind = vec.schema["persona"].dataType.simpleString()
+    return vec.select("persona", "id", "vec").groupBy("persona").applyInPandas(cap, f"persona {kind}, n int, vecs array<array<double>>")
+
+
+def corrected(df: DataFrame, key: str, text: str, aliases: dict[str, str]) -> DataFrame:
+    """(key, text, cambios): words replaced by an exact alias of their letters and digits, a first capital kept."""
+
+    @F.pandas_udf("struct<text:string,cambios:int>")
+    def fix(col: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in col:
+            n, out = 0, []
+            for w in (t or "").split(" "):
+                good = aliases.get("".join(c for c in w.lower() if c.isalnum()))
+                if good:
+                    n += 1
+                    tail = w[len(w.rstrip(".,;:!?")) :]
+                    good = good[:1].upper() + good[1:] if w[:1].isupper() else good
+                    w = good + tail
+                out.append(w)
+            rows.append((" ".join(out), n))
+        return pd.DataFrame(rows, columns=["text", "cambios"])
+
+    return df.select(key, fix(text).alias("f")).select(key, "f.text", "f.cambios")
+
+
+def same_voice(pairs: DataFrame, nodes: DataFrame, rounds: int = 12) -> DataFrame:
+    """(node, root) by the smallest label: each round takes the least label next to a node, then that label's own label.
+
+    Each round halves what is left of a chain; a round's table is checkpointed. pairs(a, b) are links, nodes(node) all nodes.
+    """
+    both = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct()
+    labels = nodes.select("node", F.col("node").alias("root"))
+    for _ in range(rounds):
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("m"))
+        nxt = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", "root", F.least("root", F.coalesce("m", "root")).alias("new"))
+        jump = nxt.select(F.col("node").alias("j"), F.col("new").alias("far"))
+        nxt = nxt.join(jump, F.col("new") == F.col("j"), "left").select("node", "root", F.least("new", F.coalesce("far", "new")).alias("new"))
+        nxt = nxt.checkpoint()
+        done = nxt.filter("new <> root").isEmpty()
+        labels = nxt.select("node", F.col("new").alias("root"))
+        if done:
+            break
+    return labels
