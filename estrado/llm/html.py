@@ -41,7 +41,7 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, number, dropped
+        self.stack: list[tuple[str, int, int]] = []  # tag, number, dropped: 1 as lines of its own, 2 within a line
         self.count = 0
         self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
         self.kind: dict[int, str] = {}
@@ -51,7 +51,7 @@ class _Lines(HTMLParser):
     def _break(self) -> None:
         t = " ".join("".join(self.text).split())
         if t:
-            self.lines.append((t, max(1, self.tags), self.link, tuple(n for _, n, _ in self.stack), bool(self.stack) and self.stack[-1][2]))
+            self.lines.append((t, max(1, self.tags), self.link, tuple(n for _, n, _ in self.stack), bool(self.stack) and self.stack[-1][2] > 0))
         self.text, self.tags, self.link = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -71,14 +71,14 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         a = {k: v or "" for k, v in attrs}
-        out = bool(self.stack) and self.stack[-1][2]
-        out = out or tag in DROPPED or a.get("role", "").lower() in DROPPED_ROLES or "hidden" in a or a.get("aria-hidden") == "true"
+        above = self.stack[-1][2] if self.stack else 0
+        out = above > 0 or tag in DROPPED or a.get("role", "").lower() in DROPPED_ROLES or "hidden" in a or a.get("aria-hidden") == "true"
         out = out or (tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack))
         if not out and tag not in ("html", "body", "article", "main"):
             out = bool(DROPPED_NAMES.search(f"{a.get('class', '')} {a.get('id', '')}")) or "display:none" in a.get("style", "").replace(" ", "").lower()
         self.count += 1
         self.kind[self.count] = tag
-        self.stack.append((tag, self.count, out))
+        self.stack.append((tag, self.count, above or (0 if not out else 1 if tag in BLOCK else 2)))
         self.links += tag == "a"
 
     def _close(self, i: int) -> None:
@@ -107,6 +107,8 @@ class _Lines(HTMLParser):
             self._break()
 
     def handle_data(self, data):
+        if self.stack and self.stack[-1][2] == 2:
+            return
         self.text.append(data)
         if self.links:
             self.link += len(data)

@@ -151,10 +151,10 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 3) -> Ensemble:
         z = z + 0.3 * step
         rules += grown
     unique = list(dict.fromkeys(tuple(sorted(r)) for r in rules))
-    cols = np.stack([_holds(r, x) for r in unique], axis=1).astype(np.float64)
     # rules that hold for the same rows are one
-    _, first = np.unique(np.packbits(cols.astype(bool), axis=0), axis=1, return_index=True)
-    unique, cols = [unique[i] for i in sorted(first)], cols[:, sorted(first)]
+    distinct = {np.packbits(_holds(r, x)).tobytes(): r for r in reversed(unique)}
+    unique = list(distinct.values())[::-1]
+    cols = np.array([_holds(r, x) for r in unique], np.float64).reshape(len(unique), len(x)).T
     clip = [(float(np.quantile(x[:, f], 0.025)), float(np.quantile(x[:, f], 0.975))) for f in range(x.shape[1])]
     line = np.stack([np.clip(x[:, f], *clip[f]) for f in range(x.shape[1])], axis=1)
     sd = line.std(axis=0)

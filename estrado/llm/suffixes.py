@@ -105,8 +105,6 @@ class Segment:
         key, lo, hi, first, last = [], [], [], [], []
         for a, b in self._chunks():
             short, long_ = _names(self.text[a:b], seed, threshold)
-            if not len(long_):
-                continue
             least = _slide_min(short, threshold - seed + 1)
             at = np.arange(a, a + len(least))
             doc = np.searchsorted(self.ends, at, side="right")
@@ -134,8 +132,8 @@ class Segment:
         self.doc = np.searchsorted(self.ends, self.lo, side="right")
 
     def _chunks(self):
-        """Stretches of about CHUNK bytes with room for the strings that start in them."""
-        for a in range(0, len(self.text), CHUNK):
+        """Stretches of about CHUNK bytes with room for the strings that start in them; a rest too short for one has no position."""
+        for a in range(0, len(self.text) - self.threshold + 1, CHUNK):
             yield a, min(len(self.text), a + CHUNK + self.threshold - 1)
 
     def run_names(self, at: np.ndarray) -> np.ndarray:
