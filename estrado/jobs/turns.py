@@ -109,7 +109,7 @@ i AS (SELECT *, sum(nw) OVER (PARTITION BY pleno_id ORDER BY start, seg_id ROWS
 SELECT pleno_id, CAST(turno AS BIGINT) turno, count(*) FILTER (ov) * 1.0 / count(*) > 0.30 solape FROM i GROUP BY 1, 2""")
 def cross_talk(spark, sf):
     """Turns of which more than 30 % of the segments begin before an earlier one has ended."""
-    before = op.SESSION.rowsBetween(Window.unboundedPreceding, -1)
+    before = op.session().rowsBetween(Window.unboundedPreceding, -1)
     seg = segments(spark, sf).withColumn("ov", F.max("end").over(before) > F.col("start"))
     return op.islands(seg).groupBy("pleno_id", "turno").agg((F.count_if("ov") / F.count(F.lit(1)) > 0.30).alias("solape"))
 
@@ -123,7 +123,7 @@ def degenerate_override(spark, sf):
 
 @query(f"WITH {SEG} SELECT pleno_id, seg_id, pleno_id || '-' || lpad(CAST(row_number() {W} - 1 AS VARCHAR), 4, '0') id FROM seg")
 def ordinal_ids(spark, sf):
-    n = F.row_number().over(op.SESSION) - 1
+    n = F.row_number().over(op.session()) - 1
     return segments(spark, sf).select("pleno_id", "seg_id", F.concat_ws("-", F.col("pleno_id").cast("string"), F.lpad(n.cast("string"), 4, "0")).alias("id"))
 
 
@@ -136,7 +136,7 @@ def session_duration(spark, sf):
 c AS (SELECT *, count(*) FILTER (NOT ov) OVER (PARTITION BY pleno_id, speaker) limpios FROM o) SELECT pleno_id, seg_id, ov FROM c WHERE "end" - start >= 2.5 AND (NOT ov OR limpios = 0)""")
 def clean_spans(spark, sf):
     """The spans of a voice free of others, or all of them where none is; 2.5 s at least."""
-    before = op.SESSION.rowsBetween(Window.unboundedPreceding, -1)
+    before = op.session().rowsBetween(Window.unboundedPreceding, -1)
     seg = segments(spark, sf).withColumn("ov", F.coalesce(F.max("end").over(before) > F.col("start"), F.lit(False)))
     clean = F.count_if(~F.col("ov")).over(Window.partitionBy("pleno_id", "speaker"))
     return seg.withColumn("limpios", clean).filter((F.col("end") - F.col("start") >= 2.5) & (~F.col("ov") | (F.col("limpios") == 0))).select("pleno_id", "seg_id", "ov")

@@ -9,17 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SESSION = Window.partitionBy("pleno_id").orderBy("start", "seg_id")
-UPTO = SESSION.rowsBetween(Window.unboundedPreceding, 0)
+
+def session():
+    """A session's rows in order."""
+    return Window.partitionBy("pleno_id").orderBy("start", "seg_id")
+
+
+def upto():
+    return session().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def islands(seg: DataFrame, *labels: str) -> DataFrame:
     """seg with turno: the number, from 0, of the run of equal labels that a row stands in."""
     changed = F.lit(False)
     for c in labels or ("speaker",):
-        changed = changed | ~F.col(c).eqNullSafe(F.lag(c).over(SESSION))
-    first = F.row_number().over(SESSION) == 1
-    return seg.withColumn("_new", (changed & ~first).cast("int")).withColumn("turno", F.sum("_new").over(UPTO)).drop("_new")
+        changed = changed | ~F.col(c).eqNullSafe(F.lag(c).over(session()))
+    first = F.row_number().over(session()) == 1
+    return seg.withColumn("_new", (changed & ~first).cast("int")).withColumn("turno", F.sum("_new").over(upto())).drop("_new")
 
 
 def turns(seg: DataFrame, *labels: str) -> DataFrame:
@@ -34,7 +40,7 @@ def turns(seg: DataFrame, *labels: str) -> DataFrame:
 
 def carried(seg: DataFrame, value: Column, name: str) -> DataFrame:
     """seg with the last non-null value up to each row; "" before the first."""
-    return seg.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(UPTO), F.lit("")))
+    return seg.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(upto()), F.lit("")))
 
 
 def as_of(seg: DataFrame, points: DataFrame) -> DataFrame:
