@@ -159,14 +159,16 @@ def align_sessions(a: DataFrame, b: DataFrame, gap: float = -0.3, least: float =
     """(pleno_id, a_pos, b_pos, sim): the names of a and b(pleno_id, pos, name), in order, session by session."""
 
     def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        x, y = x.sort_values("pos"), y.sort_values("pos")
         if not len(x) or not len(y):
             return pd.DataFrame(columns=["pleno_id", "a_pos", "b_pos", "sim"])
+        x, y = x.sort_values("pos"), y.sort_values("pos")
         known = {(u, v): similarity(u, v) for u in set(x["name"]) for v in set(y["name"])}
         s = np.array([[known[u, v] for v in y["name"]] for u in x["name"]])
         return pd.DataFrame([(x.pleno_id.iloc[0], x.pos.iloc[i], y.pos.iloc[j], s[i, j]) for i, j in align(s, gap, least)], columns=["pleno_id", "a_pos", "b_pos", "sim"])
 
     kind = a.schema["pleno_id"].dataType.simpleString()
+    # own names for the second side: both may come from one table
+    b = b.select(*[F.col(c).alias(c) for c in ("pleno_id", "pos", "name")])
     return a.groupBy("pleno_id").cogroup(b.groupBy("pleno_id")).applyInPandas(both, f"pleno_id {kind}, a_pos long, b_pos long, sim double")
 
 
