@@ -10,7 +10,7 @@ from .mixing import op9
 from .packing import op8
 from .quality import op7
 from .simhash import op6
-from .suffixes import op3
+from .suffixes import OP3_SQL, op3
 from .topk import OP10_SQL, op10
 
 QUERIES = {
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_mixing": op9,
     "op10_topk": op10,
 }
-ORACLE: dict[str, str] = {"op10_topk": OP10_SQL}
+ORACLE: dict[str, str] = {"op3_suffixes": OP3_SQL, "op10_topk": OP10_SQL}
