@@ -29,7 +29,7 @@ BLOCK = frozenset(
 DROPPED = frozenset("head script style noscript template nav aside footer form iframe object svg math select textarea button dialog menu canvas audio video".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog toolbar".split())
 DROPPED_NAMES = re.compile(
-    r"(^|[-_ ])(ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|menu\w*|nav|navbar|navigation|breadcrumbs?|sidebar|side|aside|footer|foot|masthead|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widgets?|pagination|pager|toolbar|skip|copyright|hidden)([-_ ]|$)",
+    r"(^|[-_ ])(ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|menu\w*|nav|navbar|navigation|breadcrumbs?|sidebar|aside|footer|foot|masthead|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widgets?|pagination|pager|toolbar|skip|copyright|hidden)([-_ ]|$)",
     re.I,
 )
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
@@ -39,8 +39,9 @@ SIGMA, RADIUS = 1.0, 2
 class _Lines(HTMLParser):
     """Lines of a page: text, tags, link characters, open regions, and whether they are dropped."""
 
-    def __init__(self):
+    def __init__(self, by_name: bool = True):
         super().__init__(convert_charrefs=True)
+        self.by_name = by_name
         self.stack: list[tuple[str, int, int]] = []  # tag, number, dropped: 1 as lines of its own, 2 within a line
         self.count = 0
         self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
@@ -74,7 +75,7 @@ class _Lines(HTMLParser):
         above = self.stack[-1][2] if self.stack else 0
         out = above > 0 or tag in DROPPED or a.get("role", "").lower() in DROPPED_ROLES or "hidden" in a or a.get("aria-hidden") == "true"
         out = out or (tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack))
-        if not out and tag not in ("html", "body", "article", "main"):
+        if not out and self.by_name and tag not in ("html", "body", "article", "main"):
             out = bool(DROPPED_NAMES.search(f"{a.get('class', '')} {a.get('id', '')}")) or "display:none" in a.get("style", "").replace(" ", "").lower()
         self.count += 1
         self.kind[self.count] = tag
@@ -141,10 +142,14 @@ def extract(html: str | None) -> str:
     """The main text of a page: its blocks in order, one to a line. Null, empty and broken pages give what there is, or ""."""
     if not html:
         return ""
-    p = _Lines()
-    p.feed(html)
-    p.close()
-    lines = [x for x in p.lines if not x[4]]
+    # where names of classes would drop all there is, as on a page wrapped in one such element, tags alone decide
+    for by_name in (True, False):
+        p = _Lines(by_name)
+        p.feed(html)
+        p.close()
+        lines = [x for x in p.lines if not x[4]]
+        if lines:
+            break
     if not lines:
         return ""
     # dropped lines keep their place in the smoothing, with a ratio of zero

@@ -51,6 +51,11 @@ def test_op1_without_an_article():
     assert html.extract(page).split("\n")[0] == "Title" and html.extract(page).count("\n") == 5
 
 
+def test_op1_wrapped_in_a_name():
+    page = "<body class=page><div class='has-sidebar widget'><nav>Menu here</nav><p>The only text there is, and it is long enough.</p></div></body>"
+    assert html.extract(page) == "The only text there is, and it is long enough."
+
+
 @pytest.mark.parametrize("bad", [None, "", "   ", "<", "<p", "plain text", "<!-- x", "<article>", "<p>a<b>c", "&#x;&amp;&nosuch;", "<script>x"])
 def test_op1_on_scraps(bad):
     assert isinstance(html.extract(bad), str)
