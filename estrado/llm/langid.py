@@ -13,7 +13,6 @@ not as a text, and the marginals are exact.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -34,11 +33,39 @@ UNKNOWN = "und"
 _CLEAN = re.compile(r"[\W\d_]+")
 
 
-def _features(word: str) -> list[int]:
-    w = f"^{word}$"
-    f = [f"p{w[:2]}", f"q{w[:3]}", f"r{w[:4]}", f"s{w[-2:]}", f"t{w[-3:]}", f"u{w[-4:]}", f"w{word}"]
-    f += [f"2{w[i : i + 2]}" for i in range(len(w) - 1)] + [f"3{w[i : i + 3]}" for i in range(len(w) - 2)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in set(f)]
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all features of words without empties, and the word that each is of: 2- and 3-grams with the word's ends, affixes, the word."""
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    c = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    of, end = np.repeat(np.arange(len(words)), size), np.cumsum(size)
+    left = np.repeat(end, size) - np.arange(len(c))  # characters from here to the word's end
+
+    def mix(a, b, kind):
+        h = (a * np.uint64(0x9E3779B97F4A7C15) + b + np.uint64(kind)) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(31))
+
+    grams = [c]
+    for n in (2, 3, 4):
+        grams.append(mix(grams[-1][:-1], c[n - 1 :], n))
+    out, owner = [], []
+    for n in (2, 3):
+        ok = np.flatnonzero(left[: len(grams[n - 1])] >= n)
+        out.append(grams[n - 1][ok])
+        owner.append(of[ok])
+    start = end - size
+    for n in (2, 3, 4):  # affixes, shorter ones where the word is
+        at = np.minimum(n, size)
+        for k in np.unique(at).tolist():
+            w = np.flatnonzero(at == k)
+            out += [mix(grams[k - 1][start[w]], grams[k - 1][start[w]], 10 + n), mix(grams[k - 1][end[w] - k], grams[k - 1][end[w] - k], 20 + n)]
+            owner += [w, w]
+    # the word by its weighted sum of mixed characters
+    place = np.arange(len(c)) - np.repeat(start, size)
+    whole = np.add.reduceat(mix(c, place.astype(np.uint64), 30), start) if len(words) else np.zeros(0, np.uint64)
+    out.append(mix(whole, whole, 31))
+    owner.append(np.arange(len(words)))
+    flat = np.concatenate(out)
+    return ((flat >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(owner)
 
 
 def clean(word: str) -> str:
@@ -49,12 +76,16 @@ def clean(word: str) -> str:
 class Field:
     """Weights of the field, and its emissions of words, kept for words seen before up to a bound."""
 
-    KEPT = 600_000
+    KEPT = 250_000
 
     def __init__(self, languages: list[str], lexicon: dict[str, list[float]], weights: np.ndarray, transitions: np.ndarray):
         self.languages, self.lexicon, self.weights, self.transitions = languages, lexicon, weights, transitions
-        self.seen: dict[str, int] = {}
-        self.rows = np.zeros((1 << 12, len(languages)), np.float64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.raw: dict[str, int] = {}
+        self.word: dict[str, int] = {"": 0}
+        self.rows = np.ones((1 << 12, len(self.languages)), np.float64)
 
     def __getstate__(self):
         return (self.languages, self.lexicon, self.weights, self.transitions)
@@ -62,41 +93,31 @@ class Field:
     def __setstate__(self, s):
         self.__init__(*s)
 
-    def emission(self, word: str) -> np.ndarray:
-        f = _features(word)
-        e = self.weights[f].sum(axis=0) / len(f) ** 0.5
-        lex = self.lexicon.get(word)
-        return e if lex is None else e + self.weights[BUCKETS] * np.array(lex)
+    def emissions(self, words: list[str]) -> np.ndarray:
+        f, of = _features(words)
+        n, L = len(words), len(self.languages)
+        e = np.stack([np.bincount(of, self.weights[f, l], n) for l in range(L)], axis=1) / np.sqrt(np.maximum(np.bincount(of, minlength=n), 1))[:, None]
+        known = [i for i, w in enumerate(words) if w in self.lexicon]
+        if known:
+            e[known] += self.weights[BUCKETS] * np.array([self.lexicon[words[i]] for i in known])
+        return np.exp(e - e.max(axis=1, keepdims=True))
 
     def codes(self, raw: list[str]) -> np.ndarray:
         """Rows of the emission table for distinct raw words; 0 for those without letters."""
-        if len(self.seen) > self.KEPT:
-            self.seen = {}
-        seen, out = self.seen, np.zeros(len(raw), np.int64)
-        for i, r in enumerate(raw):
-            c = seen.get(r)
-            if c is None:
-                w = clean(r)
-                if not w:
-                    c = 0
-                elif w != r and w in seen:
-                    c = seen[w]
-                else:
-                    c = len(seen) + 1
-                    while c >= len(self.rows):
-                        self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                    e = self.emission(w)
-                    self.rows[c] = np.exp(e - e.max())
-                    seen[w] = c
-                    if r == w:
-                        out[i] = c
-                        continue
-                    # a raw form has no row of its own; its number must stay unused
-                seen[r] = c
-                if c and r != w:
-                    seen.setdefault(w, c)
-            out[i] = c
-        return out
+        if len(self.raw) > self.KEPT:
+            self.clear()
+        known, word = self.raw, self.word
+        new = {r: clean(r) for r in raw if r not in known}
+        fresh = [w for w in dict.fromkeys(new.values()) if w not in word]
+        if fresh:
+            n = len(word)
+            while n + len(fresh) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.ones_like(self.rows)])
+            for a in range(0, len(fresh), 1 << 16):
+                self.rows[n + a : n + min(len(fresh), a + (1 << 16))] = self.emissions(fresh[a : a + (1 << 16)])
+            word.update(zip(fresh, range(n, n + len(fresh))))
+        known.update((r, word[w]) for r, w in new.items())
+        return np.fromiter((known[r] for r in raw), np.int64, len(raw))
 
 
 def marginals(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
@@ -169,7 +190,10 @@ def train(samples: list[tuple[str, str]], seed: int = 5) -> Field:
         if sum(c.values()) > 1:
             p = np.array([(c[i] + 0.1) / share[i] for i in range(L)])
             lexicon[x] = (p / p.sum()).tolist()
-    feats = {x: np.array(_features(x)) for x in count}
+    vocabulary = list(count)
+    flat, of = _features(vocabulary)
+    order = np.argsort(of, kind="stable")
+    feats = dict(zip(vocabulary, np.split(flat[order], np.searchsorted(of[order], np.arange(1, len(vocabulary))))))
     lex = {x: np.array(lexicon.get(x, [0.0] * L)) for x in count}
     gw, gt = np.full_like(weights, 1e-3), np.full_like(trans, 1e-1)
     for epoch in range(EPOCHS):
@@ -242,9 +266,9 @@ def predict(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
         names = np.array([*f.languages, UNKNOWN], object)
         for b in batches:
             col = b.column(at)
-            for a, k in slices(col):
+            for a, k in slices(col, 4 << 20):
                 part = b.slice(a, k)
-                words = pc.split_pattern_regex(pc.fill_null(part.column(at).cast(pa.large_string()), ""), r"\s+")
+                words = pc.ascii_split_whitespace(pc.fill_null(part.column(at).cast(pa.large_string()), ""))
                 flat = words.flatten().dictionary_encode()
                 code = f.codes(flat.dictionary.to_pylist())[flat.indices.to_numpy(zero_copy_only=False)]
                 row = np.repeat(np.arange(k), pc.list_value_length(words).to_numpy(zero_copy_only=False))
@@ -260,6 +284,9 @@ def predict(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
                 best = np.where(n > 0, best, len(f.languages))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best].tolist(), pa.string()), pa.array(np.minimum(score, 1.0))], names=[*part.schema.names, "lang_pred", "score"])
 
+        # workers live on for other stages: what was kept for this task goes with it
+        f.clear()
+
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "lang_pred string", "score double"])
     return docs.select(*[f"`{f.name}`" for f in keep]).mapInArrow(run, schema)
 
