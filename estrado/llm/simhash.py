@@ -16,10 +16,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, with_defaults, written
+from .common import partitions, table, with_defaults, written
 from .components import components
 
 DISTANCE = 3
@@ -45,16 +45,16 @@ def fingerprint(text: str | None, n: int = 3) -> int:
     return int(np.packbits(bits * 2 > len(h), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp) of every row; null and empty texts have fingerprint 0."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, fp) of every row of docs(doc_id, text), h being a hash of the text; null and empty texts have fingerprint 0."""
 
     def run(batches):
         for b in batches:
-            fp = [fingerprint(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["key", "fp"])
+            fp = [fingerprint(x) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], names=["doc_id", "h", "fp"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h long, fp long")
 
 
 def _forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -104,7 +104,8 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     bit = F.explode(F.expr("sequence(0, 63)")).alias("bit")
     half = F.when(F.col("bit") < 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp")).bitwiseAND(F.lit(0xFFFFFFFF))
     rest = half.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, bit % 32)")))
-    keyed = fps.select("fp", bit).select("fp", (F.expr("shiftleft(cast(bit as bigint), 32)").bitwiseOR(rest)).alias("k"))
+    # dealt anew before each becomes 64 rows: as fingerprints alone they fill few partitions
+    keyed = fps.repartition(partitions(fps), "fp").select("fp", bit).select("fp", (F.expr("shiftleft(cast(bit as bigint), 32)").bitwiseOR(rest)).alias("k"))
     # the keys with company: a count combined before the shuffle, then the few rows that it keeps
     shared = written(keyed.join(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "k"), "shared")
     found = []
@@ -127,7 +128,7 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of docs(doc_id, text).
+    """(doc_id, h, fp, component_id) of every row of docs(doc_id, text).
 
     component_id is the smallest doc_id reachable over links of at most distance bits.
     Null and empty texts have fingerprint 0 and link like others; rows that repeat a doc_id are kept,
@@ -140,22 +141,22 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     by_fp = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = by_fp.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = by_fp.join(least, "root").select("fp", "component_id")
-    return fp.join(linked, "fp").select("doc_id", "fp", "component_id")
+    return fp.join(linked, "fp").select("doc_id", "h", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """docs without near-duplicates: of each component the row of its smallest doc_id stays, in all its columns.
 
-    Of rows that share that doc_id one stays, the one whose text's hash is least.
+    Of rows that share that doc_id the one whose text's hash is least stays, of equal rows any. A component without a doc_id keeps one of its
+    rows as well. The texts are shuffled once: the join and the numbering of equal rows are on the same keys.
     """
-    kept = near_duplicates(with_defaults(docs, "doc_id", "text"), distance).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy(F.col("doc_id").alias("_id")).agg(F.min("fp").alias("_fp"))
-    own = docs.join(kept.select("_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    repeated = own.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("_h"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    repeated = repeated.withColumnRenamed("doc_id", "_id")
-    out = own.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left").filter(F.col("_id").isNull() | (F.xxhash64("text") == F.col("_h")))
-    single, several = out.filter(F.col("_id").isNull()), out.filter(F.col("_id").isNotNull())
-    return single.select(*docs.columns).union(several.dropDuplicates(["doc_id"]).select(*docs.columns))
+    rows = near_duplicates(with_defaults(docs, "doc_id", "text"), distance)
+    # null doc_ids come after all others
+    first = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("m"))
+    kept = first.select(F.coalesce("m.doc_id", F.lit(0)).alias("_id"), F.col("m.none").alias("_none"), F.col("m.h").alias("_h")).distinct()
+    own = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull(), "_h": F.xxhash64("text")})
+    once = F.row_number().over(Window.partitionBy("_id", "_none", "_h").orderBy("_h"))
+    return own.join(kept, ["_id", "_none", "_h"]).withColumn("_k", once).filter("_k = 1").select(*docs.columns)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
