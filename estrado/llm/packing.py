@@ -7,7 +7,7 @@ pieces of a length take their places in one step. The plan is a list of runs: th
 whose ranks lie in [lo, hi) take the places of sequences first, first + 1, ..., per of them each, from offset base on.
 Pieces then take their places by their rank within their length.
 
-Ranks are dealt in parts: a piece falls into one of several parts of its length by a hash, counts of the
+Ranks are dealt in parts: a piece falls by a hash into one of the parts of its length, of which there is one for each PART pieces; counts of the
 parts (small) are summed up, and only within a part are pieces numbered one by one. So a length that a third of all pieces share is no
 single task.
 """
@@ -25,7 +25,8 @@ from .common import table, with_defaults, written
 from .tokens import default_path, slices, words
 
 CAPACITY = 4096
-PART = 20_000
+#: Pieces of a length that are numbered together, about.
+PART = 1_000
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -97,20 +98,19 @@ def place(items: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
     order = [c for c in ("doc_id", "piece") if c in items.columns]
     hist = {r[0]: r[1] for r in items.groupBy(length).count().collect()}  # at most capacity rows
     runs = plan(hist, capacity)
-    parts = max(1, sum(hist.values()) // PART)
-    dealt = items.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)))
-    before = dealt.groupBy(length, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = before.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy(length).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = Window.partitionBy(length, "_part").orderBy(*order)
-    ranked = dealt.withColumn("_own", F.row_number().over(own) - 1).join(before.drop("_n"), [length, "_part"]).withColumn("_rank", F.col("_own") + F.col("_base"))
     # a row for each length: bounded by the capacity
     by_length: dict[int, list] = {}
     for r in runs:
         by_length.setdefault(r[0], []).append(r[1:])
-    schema = f"{length} long, _runs array<struct<lo:bigint,hi:bigint,first:bigint,per:bigint,base:bigint>>"
-    table_ = spark.createDataFrame([(k, v) for k, v in by_length.items()], schema)
+    parts = spark.createDataFrame([(k, max(1, n // PART)) for k, n in hist.items()], f"{length} long, _parts long")
+    places = spark.createDataFrame(list(by_length.items()), f"{length} long, _runs array<struct<lo:bigint,hi:bigint,first:bigint,per:bigint,base:bigint>>")
+    dealt = items.join(F.broadcast(parts), length).withColumn("_part", F.pmod(F.xxhash64(*order), F.col("_parts"))).drop("_parts")
+    before = dealt.groupBy(length, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = before.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy(length).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = Window.partitionBy(length, "_part").orderBy(*order)
+    ranked = dealt.withColumn("_own", F.row_number().over(own) - 1).join(before.drop("_n"), [length, "_part"]).withColumn("_rank", F.col("_own") + F.col("_base"))
     run = F.filter("_runs", lambda r: (r["lo"] <= F.col("_rank")) & (F.col("_rank") < r["hi"]))[0]
-    out = ranked.join(F.broadcast(table_), length).withColumn("_run", run).withColumn("_i", F.col("_rank") - F.col("_run.lo"))
+    out = ranked.join(F.broadcast(places), length).withColumn("_run", run).withColumn("_i", F.col("_rank") - F.col("_run.lo"))
     return out.select(
         *items.columns,
         (F.col("_run.first") + F.floor(F.col("_i") / F.col("_run.per"))).cast("long").alias("sequence_id"),
