@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch, table, with_defaults
+from .common import partitions, scratch, small_batches, table, with_defaults
 from .tokens import default_path, slices, words
 
 MAGIC = b"EPL1"
@@ -126,6 +126,7 @@ def _encode(path: str, bit: bool):
                     yield shard()
         if held:
             yield shard()
+        w.clear()  # the worker lives on for other stages
 
     return run
 
@@ -136,7 +137,7 @@ def write(docs: DataFrame, to: str, tokenizer: str, bit: bool = False) -> None:
     Rows that repeat a doc_id are documents of their own. A row whose doc_id is null is left out: the
     format has no place for it. An empty table writes no shard. Documents of any length stay whole.
     """
-    d = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    d = small_batches(docs).filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     d = d.repartitionByRange(partitions(docs), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     d.mapInArrow(_encode(tokenizer, bit), SHARDS).write.parquet(to)
 

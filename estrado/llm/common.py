@@ -16,6 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch that goes to a Python worker at once, so that long texts do not add up in either process.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, its session's Arrow batches bounded by bytes and rows; a tighter bound of the session's own stays."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)):
+        now = conf.get(key, None)
+        if now is None or not str(now).isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the one that driver and executors share.
 

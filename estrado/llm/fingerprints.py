@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, table, with_defaults, written
+from .common import partitions, small_batches, table, with_defaults, written
 from .components import components
 
 SAMPLES = 256
@@ -190,7 +190,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Rows are dealt into ranges of doc_id, with one bound for each partition; the last row that a range needs, the first
     of the range below, is sent to both. Text is shuffled once.
     """
-    n = partitions(docs)
+    n = partitions(small_batches(docs))
     low = -(1 << 63)
     d = docs.select("doc_id", "text").withColumn("o", F.coalesce(F.col("doc_id").cast("long"), F.lit(low))).withColumn("h", F.xxhash64("text"))
     ids = docs.select(F.col("doc_id").cast("double").alias("x")).filter("x is not null")

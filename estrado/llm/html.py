@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, with_defaults
+from .common import small_batches, table, with_defaults
 
 #: Fixed lists of element and attribute names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -191,7 +191,7 @@ def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=[*b.schema.names[:-1], "text", "n_chars"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "text string", "n_chars long"])
-    return pages.select(*[f"`{f.name}`" for f in keep], F.col(html)).mapInArrow(run, schema)
+    return small_batches(pages).select(*[f"`{f.name}`" for f in keep], F.col(html)).mapInArrow(run, schema)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, with_defaults
+from .common import small_batches, table, with_defaults
 from .tokens import slices
 
 PER_LANGUAGE = 300
@@ -288,7 +288,7 @@ def predict(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
         f.clear()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "lang_pred string", "score double"])
-    return docs.select(*[f"`{f.name}`" for f in keep]).mapInArrow(run, schema)
+    return small_batches(docs).select(*[f"`{f.name}`" for f in keep]).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):

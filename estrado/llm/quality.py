@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, with_defaults, written
+from .common import small_batches, table, with_defaults, written
 
 #: Labelled rows that are fitted at most; rows are taken in the order of a hash.
 TRAIN_ROWS = 20_000
@@ -62,7 +62,7 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
             cols = np.array(rows, np.float64).reshape(len(rows), len(STATS))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(cols[:, i])) for i in range(len(STATS))]], names=["doc_id", *STATS])
 
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"`{s}` double" for s in STATS))
+    return small_batches(docs).select("doc_id", text).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"`{s}` double" for s in STATS))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, at most, threshold) all hold

@@ -37,12 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table, with_defaults, written
+from .common import scratch, small_batches, table, with_defaults, written
 
 THRESHOLD = 50
 SEED = 20
-SEGMENT_BYTES = 4 << 20
-BUCKET_BYTES = 24 << 20
+SEGMENT_BYTES = 2 << 20
+BUCKET_BYTES = 12 << 20
 CHUNK = 1 << 18
 U = np.uint64
 _M = [U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93)]
@@ -356,7 +356,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, seed: int = SEED
     against each other. A null doc_id counts as the largest of all. An empty table gives no rows. Texts of any length are
     taken whole. (segment, row) tells rows apart.
     """
-    spark: SparkSession = docs.sparkSession
+    spark: SparkSession = small_batches(docs).sparkSession
     top = (1 << 63) - 1
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(top)).alias("doc_id"), "text", (F.to_json(F.struct(*extra)) if extra else F.lit(None).cast("string")).alias("extra"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

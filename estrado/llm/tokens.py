@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END = 1
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 #: Letters and marks whose lower case and composed form are those of any Unicode library: fixed alphabets, nothing that combines.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž]+|[!-&(-/:-@\[-`{-~]+")
 _LOADED: dict[str, Words] = {}
@@ -96,7 +96,7 @@ def words(path: str) -> Words:
     return _LOADED[path]
 
 
-def slices(texts: pa.Array, limit: int = 8 << 20):
+def slices(texts: pa.Array, limit: int = 6 << 20):
     """Runs (start, length) of a column of texts of about limit bytes each, so that memory is bounded."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
