@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.vector import dot
 from ..operators import sequences as op
 from ..sources.tables import segments, table
 
@@ -99,13 +96,9 @@ def voice_exemplars(spark, sf):
 
 @query
 def voice_components(spark, sf):
-    """Voices joined by likeness: pairs within a label whose cosine is large, then components."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='estrado-')}")
-    e = table(spark, sf, "embeddings").select("vec_id", "label", F.pmod("vec_id", F.lit(64)).alias("s"), "embedding")
-    b = e.select(F.col("vec_id").alias("b"), "label", "s", F.col("embedding").alias("w"))
-    pairs = e.join(b, ["label", "s"]).filter("vec_id < b").filter(dot("embedding", "w") > 0.15).select(F.col("vec_id").alias("a"), "b")
-    return op.same_voice(pairs, e.select(F.col("vec_id").alias("node")))
+    """Voices joined by likeness: all pairs within a label whose cosine is large, then components. A vector is a voice's print, its label the session."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("session"), F.col("embedding").alias("vec"))
+    return op.same_voice(op.voice_links(e, 0.15), e.select(F.col("id").alias("node")))
 
 
 @query

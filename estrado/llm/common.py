@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import scratch, written  # noqa: F401
+
 #: A word, as every operator on words reads it: whatever stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,26 +29,6 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share.
-
-    The session names it in spark.checkpoint.dir; only where that is unset
-    (local tests) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='estrado-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends here and an executor's loss costs nothing before it."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import partitions, small_batches, table, with_defaults, written
-from .components import components
 
 SAMPLES = 256
 PERIOD = 1024

@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import partitions, small_batches, table, with_defaults, written
-from .components import components
 
 DISTANCE = 3
 HOT = 256

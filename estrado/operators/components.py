@@ -1,15 +1,36 @@
-"""Connected components of an edge table."""
+"""Connected components of an edge table, and the written tables on which rounds end."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import tempfile
+import uuid
 
-from .common import written
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MAX_ROUNDS = 60
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share.
+
+    The session names it in spark.checkpoint.dir; only where that is unset
+    (local tests) a temporary folder is made and set.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"file://{tempfile.mkdtemp(prefix='estrado-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends here and an executor's loss costs nothing before it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges(a, b): root is the smallest node reachable.
 

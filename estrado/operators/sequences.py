@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import components
+
 
 def chunks(seg: DataFrame, most: int = 1200, overlap: int = 1, by_speaker: bool = True) -> DataFrame:
     """(pleno_id, idx, text, start, end, speaker): segments packed to at most most characters.
@@ -251,21 +253,45 @@ def corrected(df: DataFrame, key: str, text: str, aliases: dict[str, str]) -> Da
     return df.select(key, fix(text).alias("f")).select(key, "f.text", "f.cambios")
 
 
-def same_voice(pairs: DataFrame, nodes: DataFrame, rounds: int = 12) -> DataFrame:
-    """(node, root) by the smallest label: each round takes the least label next to a node, then that label's own label.
+#: Voices of a block: a task holds two blocks at once.
+VOICES = 512
+
+
+def _spanning(ids: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+    """Links that span the components of a symmetric matrix of links."""
+    fresh, out = np.ones(len(ids), bool), []
+    for i in range(len(ids)):
+        todo = [i] if fresh[i] else []
+        fresh[i] = False
+        while todo:
+            at = todo.pop()
+            new = np.flatnonzero(near[at] & fresh)
+            fresh[new] = False
+            todo += new.tolist()
+            out += [(int(ids[at]), int(ids[j])) for j in new]
+    return out
+
+
+def voice_links(voices: DataFrame, least: float, block: int = VOICES) -> DataFrame:
+    """Links (a, b) that connect all voices(session, id, vec) of a session whose product with another is over least.
 
-    Each round halves what is left of a chain; a round's table is checkpointed. pairs(a, b) are links, nodes(node) all nodes.
+    Every pair of a session meets: a session is dealt into blocks and each two of them are one group, of which those links
+    are returned that span its components, so no list of pairs is ever made and none that matters is lost.
     """
-    both = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct()
-    labels = nodes.select("node", F.col("node").alias("root"))
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        nxt = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", "root", F.least("root", F.coalesce("m", "root")).alias("new"))
-        jump = nxt.select(F.col("node").alias("j"), F.col("new").alias("far"))
-        nxt = nxt.join(jump, F.col("new") == F.col("j"), "left").select("node", "root", F.least("new", F.coalesce("far", "new")).alias("new"))
-        nxt = nxt.checkpoint()
-        done = nxt.filter("new <> root").isEmpty()
-        labels = nxt.select("node", F.col("new").alias("root"))
-        if done:
-            break
-    return labels
+    v = voices.select("session", "id", "vec").filter("session is not null and id is not null and vec is not null")
+    size = v.groupBy("session").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
+    v = v.join(size, "session").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    v = v.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    v = v.select("session", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "vec")
+
+    def link(p: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(p.vec.tolist()).astype(float)
+        near = m @ m.T > least
+        return pd.DataFrame(_spanning(p.id.to_numpy(), near), columns=["a", "b"])
+
+    return v.groupBy("session", "i", "j").applyInPandas(link, "a long, b long")
+
+
+def same_voice(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root): root is the smallest node reachable over the links pairs(a, b); nodes(node) are all nodes."""
+    return nodes.join(components(pairs), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
