@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estrado.llm import langid, mixing, packing, simhash, suffixes
+from estrado.llm import langid, mixing, packing, shingles, suffixes
 from estrado.llm.common import written
 from estrado.llm.tokens import default_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document is rejected if no language holds this mean posterior, or if it has no letters.
 LANGUAGE_SCORE = 0.4
+#: Two documents are near-duplicates if they have this share of shingles of so many words in common.
+SHINGLE_WORDS = 5
+SIMILARITY = 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.keep_one(docs.select(*COLUMNS))
+    """One document of each group stays whose texts are linked by four fifths or more of their shingles of five words."""
+    return shingles.keep_one(docs.select(*COLUMNS), SHINGLE_WORDS, SIMILARITY)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

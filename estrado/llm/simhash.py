@@ -27,17 +27,27 @@ HOT = 256
 SEED = 42
 
 
-def fingerprint(text: str | None, n: int = 3) -> int:
-    """The signed 64-bit SimHash of a text's word shingles; no words: 0."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(w: list[bytes], n: int) -> np.ndarray:
+    """Hashes (uint64) of each n words in a row, in order; fewer than n words are one shingle."""
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     b = b" ".join(w)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     k = min(n, len(w))
     starts = np.concatenate([[0], ends[: len(w) - k] + 1]).tolist()
     xx = xxhash.xxh64_intdigest
-    h = np.fromiter((xx(b[s:e], SEED) for s, e in zip(starts, ends[k - 1 :].tolist())), np.uint64, len(starts))
+    return np.fromiter((xx(b[s:e], SEED) for s, e in zip(starts, ends[k - 1 :].tolist())), np.uint64, len(starts))
+
+
+def fingerprint(text: str | None, n: int = 3) -> int:
+    """The signed 64-bit SimHash of a text's word shingles; no words: 0."""
+    h = shingle_hashes(words(text), n)
+    if not len(h):
+        return 0
     bits = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         part = np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -136,8 +146,13 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     An empty table gives no rows.
     """
     fp = written(fingerprints(docs), "fingerprints")
+    return labelled(fp, links(fp.select("fp").distinct(), distance))
+
+
+def labelled(fp: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, h, fp, component_id) of every row of fp(doc_id, h, fp), fingerprints being linked by edges(a, b)."""
     classes = fp.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(classes.select("fp"), distance))
+    roots = components(edges)
     by_fp = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = by_fp.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = by_fp.join(least, "root").select("fp", "component_id")
@@ -150,7 +165,11 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     Of rows that share that doc_id the one whose text's hash is least stays, of equal rows any. A component without a doc_id keeps one of its
     rows as well. The texts are shuffled once: the join and the numbering of equal rows are on the same keys.
     """
-    rows = near_duplicates(with_defaults(docs, "doc_id", "text"), distance)
+    return first_rows(docs, near_duplicates(with_defaults(docs, "doc_id", "text"), distance))
+
+
+def first_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of each component of rows(doc_id, h, fp, component_id) the row of docs that stays."""
     # null doc_ids come after all others
     first = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("m"))
     kept = first.select(F.coalesce("m.doc_id", F.lit(0)).alias("_id"), F.col("m.none").alias("_none"), F.col("m.h").alias("_h")).distinct()
