@@ -58,9 +58,9 @@ def handover_turns(spark, sf):
 @query
 def align_nw(spark, sf):
     """What was heard against what was written: every fifth name is missing and some are misspelt."""
-    t = segments(spark, sf).filter("pleno_id % 3 = 0")
+    t = segments(spark, sf)
     n = F.row_number().over(Window.partitionBy("pleno_id").orderBy("start", "seg_id")).cast("long")
-    a = t.select("pleno_id", n.alias("pos"), F.col("speaker").alias("name")).filter("pos <= 60")
+    a = t.select("pleno_id", n.alias("pos"), F.col("speaker").alias("name"))
     b = a.filter("pos % 5 <> 0").withColumn("name", F.when(F.col("pos") % 7 == 0, F.concat("name", F.lit("s"))).otherwise(F.col("name")))
     return op.align_sessions(a, b)
 

@@ -164,8 +164,8 @@ def align_sessions(a: DataFrame, b: DataFrame, gap: float = -0.3, least: float =
         if not len(x) or not len(y):
             return pd.DataFrame(columns=["pleno_id", "a_pos", "b_pos", "sim"])
         x, y = x.sort_values("pos"), y.sort_values("pos")
-        known = {(u, v): similarity(u, v) for u in set(x["name"]) for v in set(y["name"])}
-        s = np.array([[known[u, v] for v in y["name"]] for u in x["name"]])
+        (i, u), (j, v) = pd.factorize(x["name"].fillna("")), pd.factorize(y["name"].fillna(""))
+        s = np.array([[similarity(n, m) for m in v] for n in u])[np.ix_(i, j)]
         return pd.DataFrame([(x.pleno_id.iloc[0], x.pos.iloc[i], y.pos.iloc[j], s[i, j]) for i, j in align(s, gap, least)], columns=["pleno_id", "a_pos", "b_pos", "sim"])
 
     kind = a.schema["pleno_id"].dataType.simpleString()
