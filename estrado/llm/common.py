@@ -38,6 +38,17 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df has it, so that an operator's columns never clash."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def with_defaults(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that other columns of any name never clash with an operator's own."""
     return df.select(*[F.col(f"`{n}`") for n in names])
