@@ -1,18 +1,25 @@
 """HTML extraction: text-to-tag ratios.
 
 The standard library's streaming parser gives events; a line is what stands between two block
-tags. Each line has a ratio, its characters over its tags; the ratios of a page are smoothed by a
-Gaussian and split into two clusters at a threshold (one-dimensional two-means), and the
-lines of the upper cluster mark the content region: the element (an article or main element, where there
-is one) that holds most of the marked text. Everything in that region counts as article, short
-lines and headings too, but for menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments, which the parser's events tell by tag, role, class or id.
+tags. Each line has a ratio, its characters outside links over its tags; the ratios of a page are smoothed by a
+Gaussian and split into two clusters at a threshold (one-dimensional two-means). The lines of the upper cluster are marked, and
+they decide:
+
+- the region: the innermost element that holds nine tenths of the marked text, narrowed to an article or main element
+  with half of it;
+- where the region is the whole page, its first and last line: from the first marked line, a heading before it included, to the last;
+- which lines of the region are menus: runs of unmarked lines that are mostly links;
+- whether an element that its name or kind would drop is the page's wrapper instead.
+
+Tags bound the lines: what stands in menus, headers, footers, sidebars, forms, scripts and styles is no line of the article, nor what a class or id
+calls an advert, a notice, a sidebar or reader comments. All other lines of the region are kept, short ones and headings too.
 """
 
 from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,36 +33,63 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead title tr ul".split()
 )
-DROPPED = frozenset("head script style noscript template nav aside footer form iframe object svg math select textarea button dialog menu canvas audio video".split())
+DROPPED = frozenset("head script style noscript template nav aside footer iframe object svg math select textarea button dialog menu canvas audio video".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog toolbar".split())
-DROPPED_NAMES = re.compile(
-    r"(^|[-_ ])(ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|menu\w*|nav|navbar|navigation|breadcrumbs?|sidebar|aside|footer|foot|masthead|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widgets?|pagination|pager|toolbar|skip|copyright|hidden)([-_ ]|$)",
-    re.I,
+#: Parts of a class or id, between hyphens and underscores, that name what is no article; a part of KEPT_PARTS in the same class revokes it.
+DROPPED_PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner menu menus nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead comment comments commentlist disqus replies respond cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup login share sharing social related recommended pagination pager toolbar".split()
 )
+KEPT_PARTS = frozenset("has no with without post entry article content body text main page layout".split())
+IN_HEAD = frozenset("title meta link style script base noscript template".split())
+REGIONS = ("article", "main")
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
 SIGMA, RADIUS = 1.0, 2
+MENU = 3
+
+
+def _named(a: dict[str, str]) -> bool:
+    for name in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
+        parts = set(re.split(r"[-_]+", name))
+        if parts & DROPPED_PARTS and not parts & KEPT_PARTS:
+            return True
+    return False
+
+
+class _Line(NamedTuple):
+    text: str
+    tags: int
+    link: int
+    path: tuple[int, ...]
+    dropped: bool
+    doubtful: tuple[int, ...]
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: text, tags, link characters, open regions, and whether they are dropped."""
+    """Lines of a page: text, tags, link characters, the elements around it, whether tags drop it, and the elements around it that a name drops."""
 
-    def __init__(self, by_name: bool = True):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.by_name = by_name
-        self.stack: list[tuple[str, int, int]] = []  # tag, number, dropped: 1 as lines of its own, 2 within a line
+        self.stack: list[tuple[str, int, int, bool]] = []  # tag, number, dropped (1 as lines of its own, 2 within a line), dropped by its name
         self.count = 0
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
-        self.kind: dict[int, str] = {}
+        self.lines: list[_Line] = []
+        self.kind: dict[int, str] = {0: ""}
+        self.wraps: set[int] = set()  # elements around the page's heading, main element or first article
+        self.articles = 0
+        self.head = False
         self.text: list[str] = []
         self.tags = self.link = self.links = 0
 
     def _break(self) -> None:
         t = " ".join("".join(self.text).split())
         if t:
-            self.lines.append((t, max(1, self.tags), self.link, tuple(n for _, n, _ in self.stack), bool(self.stack) and self.stack[-1][2] > 0))
+            path = tuple(n for _, n, _, _ in self.stack)
+            self.lines.append(_Line(t, max(1, self.tags), self.link, path, bool(self.stack) and self.stack[-1][2] > 0, tuple(n for _, n, _, d in self.stack if d)))
         self.text, self.tags, self.link = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
+        if self.head and tag not in IN_HEAD:  # the end tag of head may be left out
+            self._break()
+            self._close(next(i for i, x in enumerate(self.stack) if x[0] == "head"))
         if tag in BLOCK:
             self._break()
             # end tags that may be left out
@@ -73,18 +107,25 @@ class _Lines(HTMLParser):
             return
         a = {k: v or "" for k, v in attrs}
         above = self.stack[-1][2] if self.stack else 0
+        inside = tag in ("header", "article") and any(t in REGIONS for t, *_ in self.stack)
         out = above > 0 or tag in DROPPED or a.get("role", "").lower() in DROPPED_ROLES or "hidden" in a or a.get("aria-hidden") == "true"
-        out = out or (tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack))
-        if not out and self.by_name and tag not in ("html", "body", "article", "main"):
-            out = bool(DROPPED_NAMES.search(f"{a.get('class', '')} {a.get('id', '')}")) or "display:none" in a.get("style", "").replace(" ", "").lower()
+        out = out or (tag == "header" and not inside) or "display:none" in a.get("style", "").replace(" ", "").lower()
+        doubt = not out and (tag == "form" or (tag not in ("html", "body", "main") and (tag != "article" or inside) and _named(a)))
+        if doubt and tag not in BLOCK:
+            out, doubt = True, False
         self.count += 1
         self.kind[self.count] = tag
-        self.stack.append((tag, self.count, above or (0 if not out else 1 if tag in BLOCK else 2)))
+        self.stack.append((tag, self.count, above or (0 if not out else 1 if tag in BLOCK else 2), doubt))
+        if tag in ("h1", "main") or (tag == "article" and not self.articles):
+            self.wraps.update(n for _, n, _, _ in self.stack[:-1])
+        self.articles += tag == "article"
+        self.head = self.head or tag == "head"
         self.links += tag == "a"
 
     def _close(self, i: int) -> None:
-        for t, _, _ in self.stack[i:]:
+        for t, *_ in self.stack[i:]:
             self.links -= t == "a"
+            self.head = self.head and t != "head"
         del self.stack[i:]
 
     def handle_startendtag(self, tag, attrs):
@@ -138,47 +179,73 @@ def _threshold(x: np.ndarray) -> float:
     return (a + b) / 2
 
 
+def _marked(lines: list[_Line], live: np.ndarray) -> np.ndarray:
+    """Lines of the upper cluster. Lines that are not live keep their place in the smoothing, with a ratio of zero."""
+    ratio = np.array([max(0, len(x.text) - x.link) / x.tags if on else 0.0 for x, on in zip(lines, live)])
+    smooth = _smooth(ratio)
+    marked = (smooth > _threshold(smooth)) & live
+    return marked if marked.any() else live
+
+
+def _weights(lines: list[_Line], marked: np.ndarray) -> dict[int, int]:
+    """Marked characters by element; 0 is the page."""
+    weight = {0: 0}
+    for x, m in zip(lines, marked):
+        if m:
+            weight[0] += len(x.text)
+            for n in x.path:
+                weight[n] = weight.get(n, 0) + len(x.text)
+    return weight
+
+
 def extract(html: str | None) -> str:
     """The main text of a page: its blocks in order, one to a line. Null, empty and broken pages give what there is, or ""."""
     if not html:
         return ""
-    # where names of classes would drop all there is, as on a page wrapped in one such element, tags alone decide
-    for by_name in (True, False):
-        p = _Lines(by_name)
-        p.feed(html)
-        p.close()
-        lines = [x for x in p.lines if not x[4]]
-        if lines:
-            break
-    if not lines:
+    p = _Lines()
+    p.feed(html)
+    p.close()
+    lines, kind = p.lines, p.kind
+    live = np.array([not x.dropped for x in lines], bool)
+    if not live.any():
         return ""
-    # dropped lines keep their place in the smoothing, with a ratio of zero
-    ratio = np.array([0.0 if out else max(0, len(t) - link) / tags for t, tags, link, _, out in p.lines])
-    smooth = _smooth(ratio)
-    marked = (smooth > _threshold(smooth)) & np.array([not x[4] for x in p.lines])
-    if not marked.any():
-        marked = np.array([not x[4] for x in p.lines])
-    weight: dict[int, int] = {}
-    for (t, _, _, path, _), m in zip(p.lines, marked):
-        if m:
-            for n in path:
-                weight[n] = weight.get(n, 0) + len(t)
-    whole = sum(len(x[0]) for x, m in zip(p.lines, marked) if m)
-    named = [n for n in weight if p.kind[n] in ("article", "main") and 2 * weight[n] >= whole]
+    # a name or a form drops an element, unless it wraps the page or holds nearly all that is marked
+    weight = _weights(lines, _marked(lines, live))
+    doubtful = {n for x in lines for n in x.doubtful} - p.wraps
+    if doubtful:
+        clean = live & np.array([not doubtful & set(x.doubtful) for x in lines])
+        rest = sum(len(x.text) for x, on in zip(lines, clean) if on)
+        if 4 * rest < weight[0] and not any(on and any(kind[n] in REGIONS for n in x.path) for x, on in zip(lines, clean)):
+            doubtful = {n for n in doubtful if 2 * weight.get(n, 0) < weight[0]}
+            clean = live & np.array([not doubtful & set(x.doubtful) for x in lines])
+        live = clean
+    if not live.any():
+        return ""
+    marked = _marked(lines, live)
+    weight = _weights(lines, marked)
+    named = [n for n in weight if kind[n] in REGIONS and 2 * weight[n] >= weight[0]]
     if named:
-        root = max(named, key=lambda n: (p.kind[n] == "article", weight[n], -n))
+        root = max(named, key=lambda n: (kind[n] == "article", weight[n], -n))
     else:
         # the innermost element that holds nearly all of the marked text
-        root = max((n for n in weight if 10 * weight[n] >= 9 * whole and p.kind[n] not in ("p", "b", "span", "li")), default=0)
-    inside = [i for i, x in enumerate(p.lines) if not x[4] and (root in x[3] or not root)]
-    if not named:
-        # without an article the region ends with its first and last marked lines, a heading before them included
+        root = max((n for n in weight if 10 * weight[n] >= 9 * weight[0] and kind[n] not in ("p", "b", "span", "li")), default=0)
+    inside = [i for i, x in enumerate(lines) if live[i] and (root in x.path or not root)]
+    if kind[root] in ("", "html", "body"):
+        # the page itself ends with its first and last marked lines, a heading before them included
         hit = [i for i in inside if marked[i]]
-        a, z = hit[0], hit[-1]
-        while a - 1 in inside and any(p.kind[n][:1] == "h" and p.kind[n][1:].isdigit() for n in p.lines[a - 1][3]):
+        a, z = inside.index(hit[0]), inside.index(hit[-1])
+        while a and any(kind[n][:1] == "h" and kind[n][1:].isdigit() for n in lines[inside[a - 1]].path):
             a -= 1
-        inside = [i for i in inside if a <= i <= z]
-    return "\n".join(p.lines[i][0] for i in inside)
+        inside = inside[a : z + 1]
+    # runs of MENU lines or more that are links for the most part
+    keep, run = [], []
+    for i in [*inside, -1]:
+        if i >= 0 and not marked[i] and 2 * lines[i].link > len(lines[i].text):
+            run.append(i)
+            continue
+        keep += run if len(run) < MENU else []
+        keep, run = [*keep, i], []
+    return "\n".join(lines[i].text for i in keep[:-1])
 
 
 def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:

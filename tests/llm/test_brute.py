@@ -45,6 +45,41 @@ def test_op1_on_a_page_with_everything():
     assert html.extract(PAGE) == "Head & line\nFirst paragraph with some words in it, as long as one would wish.\nSecond <one>, unclosed, also of a fair length for a paragraph.\nShort."
 
 
+LONG = [f"{'long sentence of a real text number %d ' % i * 6}".strip() for i in range(5)]
+PARAS = "".join(f"<p>{x}</p>" for x in LONG)
+MENU = "".join(f"<li><a href={i}>Another page {i}</a></li>" for i in range(6))
+# pages by hand, with the text that a reader would mark
+BY_HAND = {
+    "wrapped in a sidebar layout": (f"<body><div class='layout has-sidebar'><div class=sidebar><p>Aside</p></div><h1>Title</h1>{PARAS}</div>", ["Title", *LONG]),
+    "no end of head": (f"<html><head><title>T</title><body><h1>Title</h1>{PARAS}", ["Title", *LONG]),
+    "no head's end and no body": (f"<html><head><title>T</title><article><h1>Title</h1>{PARAS}</article>", ["Title", *LONG]),
+    "menu within the article": (f"<article><h1>Title</h1>{PARAS}<ul>{MENU}</ul><p>End.</p></article>", ["Title", *LONG, "End."]),
+    "one link in the article stays": (f"<article><h1>Title</h1>{PARAS}<p><a href=x>Source of this</a></p></article>", ["Title", *LONG, "Source of this"]),
+    "several articles": (f"<main>{''.join(f'<article><h2>Part</h2><p>{x}</p></article>' for x in LONG)}</main>", [y for x in LONG for y in ("Part", x)]),
+    "page in a form": (f"<body><form action=x><h1>Title</h1>{PARAS}<div class=cookie-notice>{'We use cookies, as all do. ' * 4}</div></form>", ["Title", *LONG]),
+    "long comments below a short article": (f"<article><h1>Title</h1><p>{LONG[0]}</p></article><div id=comments><article class=comment>{PARAS}</article></div>", ["Title", LONG[0]]),
+    "comments within the article": (f"<article><h1>Title</h1>{PARAS}<section class='comments-area'><article class=comment><p>{LONG[0]}</p></article></section></article>", ["Title", *LONG]),
+    "page without any container": (f"<body><p>Home</p><p>News</p><h2>Title</h2>{PARAS}<p>Imprint</p>", ["Title", *LONG]),
+    "article classed as related": (f"<div class=related-content><article><h1>Title</h1>{PARAS}</article></div><aside>x</aside>", ["Title", *LONG]),
+    "one advert of text": (f"<div class=ad>{LONG[0]}</div><div><h1>Title</h1>{PARAS}</div>", ["Title", *LONG]),
+}
+
+
+@pytest.mark.parametrize("name", BY_HAND)
+def test_op1_on_pages_by_hand(name):
+    page, want = BY_HAND[name]
+    assert html.extract(page).split("\n") == want
+
+
+def test_op1_the_clusters_decide(monkeypatch):
+    """With every line marked, pages come out otherwise: what is kept hangs on the threshold."""
+    names = ["page without any container", "menu within the article"]
+    right = {n: html.extract(BY_HAND[n][0]) for n in names}
+    monkeypatch.setattr(html, "_threshold", lambda x: -1.0)
+    for n in names:
+        assert html.extract(BY_HAND[n][0]) != right[n]
+
+
 def test_op1_without_an_article():
     body = "".join(f"<p>{'long sentence of a real text number %d ' % i * 6}</p>" for i in range(5))
     page = f"<body><div id=menu><a href=1>One</a> <a href=2>Two</a></div><div><h2>Title</h2>{body}</div><div class=footer>x</div></body>"
