@@ -184,7 +184,9 @@ def train(stat: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     """Fits on at most rows labelled rows, those of the least hash of doc_id, none of them held out."""
     l = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", label)
     l = l.orderBy(F.xxhash64("doc_id"), "doc_id", label).limit(rows)
-    got = stat.join(F.broadcast(l), "doc_id").select(*STATS, label).collect()
+    # a doc_id may repeat on both sides, so the joined rows are bounded as well
+    joined = stat.join(F.broadcast(l), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", label, *STATS).limit(rows)
+    got = joined.select(*STATS, label).collect()
     m = np.array([tuple(r) for r in got], np.float64).reshape(len(got), len(STATS) + 1)
     m = m[np.lexsort(m.T)]
     return fit(m[:, :-1], m[:, -1])
