@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import partitions, small_batches, table, with_defaults, written
+from .common import own_names, partitions, small_batches, table, with_defaults, written
 
 DISTANCE = 3
 HOT = 256
@@ -115,7 +115,8 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     half = F.when(F.col("bit") < 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp")).bitwiseAND(F.lit(0xFFFFFFFF))
     rest = half.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, bit % 32)")))
     # dealt anew before each becomes 64 rows: as fingerprints alone they fill few partitions
-    keyed = fps.repartition(partitions(fps), "fp").select("fp", bit).select("fp", (F.expr("shiftleft(cast(bit as bigint), 32)").bitwiseOR(rest)).alias("k"))
+    # (by an expression of its own: a deal by fp would fall together with the one that made them distinct)
+    keyed = fps.repartition(partitions(fps), F.xxhash64("fp")).select("fp", bit).select("fp", (F.expr("shiftleft(cast(bit as bigint), 32)").bitwiseOR(rest)).alias("k"))
     # the keys with company: a count combined before the shuffle, then the few rows that it keeps
     shared = written(keyed.join(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "k"), "shared")
     found = []
@@ -169,13 +170,14 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def first_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of each component of rows(doc_id, h, fp, component_id) the row of docs that stays."""
+    """Of each component of rows(doc_id, h, fp, component_id) the row of docs that stays. Columns of docs may have any names."""
     # null doc_ids come after all others
     first = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("m"))
-    kept = first.select(F.coalesce("m.doc_id", F.lit(0)).alias("_id"), F.col("m.none").alias("_none"), F.col("m.h").alias("_h")).distinct()
-    own = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull(), "_h": F.xxhash64("text")})
-    once = F.row_number().over(Window.partitionBy("_id", "_none", "_h").orderBy("_h"))
-    return own.join(kept, ["_id", "_none", "_h"]).withColumn("_k", once).filter("_k = 1").select(*docs.columns)
+    i, none, h, k = own_names(docs, "keep_id", "keep_none", "keep_h", "keep_k")
+    kept = first.select(F.coalesce("m.doc_id", F.lit(0)).alias(i), F.col("m.none").alias(none), F.col("m.h").alias(h)).distinct()
+    own = docs.withColumns({i: F.coalesce("doc_id", F.lit(0)), none: F.col("doc_id").isNull(), h: F.xxhash64("text")})
+    once = F.row_number().over(Window.partitionBy(i, none, h).orderBy(h))
+    return own.join(kept, [i, none, h]).withColumn(k, once).filter(F.col(k) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
