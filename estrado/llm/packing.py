@@ -7,7 +7,7 @@ pieces of a length take their places in one step. The plan is a list of runs: th
 whose ranks lie in [lo, hi) take the places of sequences first, first + 1, ..., per of them each, from offset base on.
 Pieces then take their places by their rank within their length.
 
-Ranks are dealt in parts: a piece falls by a hash into one of the parts of its length, of which there is one for each PART pieces; counts of the
+Ranks are dealt in parts: a piece falls by a hash of its row's number into one of the parts of its length, of which there is one for each PART pieces; counts of the
 parts (small) are summed up, and only within a part are pieces numbered one by one. So a length that a third of all pieces share is no
 single task.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, with_defaults, written
+from .common import own_names, small_batches, table, with_defaults, written
 from .tokens import default_path, slices, words
 
 CAPACITY = 4096
@@ -94,28 +94,32 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 
 
 def place(items: DataFrame, capacity: int = CAPACITY, length: str = "length") -> DataFrame:
-    """items with sequence_id and offset; lengths lie in 1..capacity. Any columns pass through."""
+    """items with sequence_id and offset; lengths lie in 1..capacity. Any other columns pass through under any name.
+
+    items are written with a number for each row, so that rows that are equal fall into different parts.
+    """
     spark = items.sparkSession
-    order = [c for c in ("doc_id", "piece") if c in items.columns]
-    hist = {r[0]: r[1] for r in items.groupBy(length).count().collect()}  # at most capacity rows
+    row, n_parts, part, count, base, own, rank, runs_, run_, i = own_names(items, "row", "parts", "part", "count", "base", "own", "rank", "runs", "run", "i")
+    items_ = written(items.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    hist = {r[0]: r[1] for r in items_.groupBy(length).agg(F.count(F.lit(1))).collect()}  # at most capacity rows
     runs = plan(hist, capacity)
     # a row for each length: bounded by the capacity
     by_length: dict[int, list] = {}
     for r in runs:
         by_length.setdefault(r[0], []).append(r[1:])
-    parts = spark.createDataFrame([(k, max(1, n // PART)) for k, n in hist.items()], f"{length} long, _parts long")
-    places = spark.createDataFrame(list(by_length.items()), f"{length} long, _runs array<struct<lo:bigint,hi:bigint,first:bigint,per:bigint,base:bigint>>")
-    dealt = items.join(F.broadcast(parts), length).withColumn("_part", F.pmod(F.xxhash64(*order), F.col("_parts"))).drop("_parts")
-    before = dealt.groupBy(length, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = before.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy(length).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = Window.partitionBy(length, "_part").orderBy(*order)
-    ranked = dealt.withColumn("_own", F.row_number().over(own) - 1).join(before.drop("_n"), [length, "_part"]).withColumn("_rank", F.col("_own") + F.col("_base"))
-    run = F.filter("_runs", lambda r: (r["lo"] <= F.col("_rank")) & (F.col("_rank") < r["hi"]))[0]
-    out = ranked.join(F.broadcast(places), length).withColumn("_run", run).withColumn("_i", F.col("_rank") - F.col("_run.lo"))
+    parts = spark.createDataFrame([(k, max(1, n // PART)) for k, n in hist.items()], f"`{length}` long, {n_parts} long")
+    places = spark.createDataFrame(list(by_length.items()), f"`{length}` long, {runs_} array<struct<lo:bigint,hi:bigint,first:bigint,per:bigint,base:bigint>>")
+    dealt = items_.join(F.broadcast(parts), length).withColumn(part, F.pmod(F.xxhash64(row), F.col(n_parts))).drop(n_parts)
+    before = dealt.groupBy(length, part).agg(F.count(F.lit(1)).alias(count))
+    before = before.withColumn(base, F.coalesce(F.sum(count).over(Window.partitionBy(length).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    number = F.row_number().over(Window.partitionBy(length, part).orderBy(row)) - 1
+    ranked = dealt.withColumn(own, number).join(before.drop(count), [length, part]).withColumn(rank, F.col(own) + F.col(base))
+    run = F.filter(runs_, lambda r: (r["lo"] <= F.col(rank)) & (F.col(rank) < r["hi"]))[0]
+    out = ranked.join(F.broadcast(places), length).withColumn(run_, run).withColumn(i, F.col(rank) - F.col(f"{run_}.lo"))
     return out.select(
-        *items.columns,
-        (F.col("_run.first") + F.floor(F.col("_i") / F.col("_run.per"))).cast("long").alias("sequence_id"),
-        (F.col("_run.base") + (F.col("_i") % F.col("_run.per")) * F.col(length)).cast("long").alias("offset"),
+        *[F.col(f"`{c}`") for c in items.columns],
+        (F.col(f"{run_}.first") + F.floor(F.col(i) / F.col(f"{run_}.per"))).cast("long").alias("sequence_id"),
+        (F.col(f"{run_}.base") + (F.col(i) % F.col(f"{run_}.per")) * F.col(length)).cast("long").alias("offset"),
     )
 
 
@@ -125,7 +129,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     Null text counts as empty and is one piece, its end id. A document that repeats (doc_id and all) is
     packed as often as it stands there; a null doc_id is packed like any other. An empty table gives no rows.
     """
-    return place(written(pieces(docs, tokenizer, capacity), "pieces"), capacity)
+    return place(pieces(docs, tokenizer, capacity), capacity)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
