@@ -3,7 +3,7 @@
 Each word is labelled with a language; features are its affixes, character n-grams and its
 entry in a lexicon, and transitions between the languages of neighbouring words are learned with them, so that in
 code-switched text each stretch finds its own. The field is trained on a bounded sample: of each language about
-PER_LANGUAGE labelled documents, a stretch of at most STRETCH words of each, joined to sequences that switch.
+PER_LANGUAGE labelled documents, a stretch of at most STRETCH words within STRETCH_CHARS characters of each, joined to sequences that switch.
 
 Forward-backward runs over whole texts. A text's words are cut into segments; the transfer
 matrices of all segments of a batch are computed together, then chained, so the loop is as long as a segment,
@@ -26,6 +26,8 @@ from .tokens import slices
 
 PER_LANGUAGE = 300
 STRETCH = 160
+STRETCH_CHARS = 6000
+LANGUAGES = 1000
 BUCKETS = 1 << 15
 SEGMENT = 256
 EPOCHS = 6
@@ -120,8 +122,8 @@ class Field:
         return np.fromiter((known[r] for r in raw), np.int64, len(raw))
 
 
-def marginals(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Posterior of each label at each word. emit: (words, labels) of all texts, one after the other, positive."""
+def marginals(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, forward: bool = False):
+    """Posterior of each label at each word; with forward also its posterior given the words up to it. emit: (words, labels) of all texts, one after the other, positive."""
     L = emit.shape[1]
     T = np.exp(transitions - transitions.max())
     n_seg = -(-lengths // SEGMENT)
@@ -135,7 +137,7 @@ def marginals(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) ->
     S, norm = len(by), lambda x: x / x.sum(axis=-1, keepdims=True)
     # transfer of each segment: row i is the outcome of entering with label i
     M = np.broadcast_to(np.eye(L), (S, L, L)).copy()
-    for t in range(int(n[0]) if S else 0):
+    for t in range(int(n[0]) if S and n_seg.max() > 1 else 0):  # texts of one segment enter and leave freely
         m = live[t]
         x = (M[:m] @ T) * emit[at[:m] + t][:, None, :]
         M[:m] = x / x.sum(axis=(1, 2), keepdims=True)
@@ -156,12 +158,13 @@ def marginals(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) ->
         # the first word of a text has no transition into it
         a[:m] = norm((a[:m] @ T) * emit[at[:m] + t])
         alpha[at[:m] + t] = a[:m]
+    ahead = alpha.copy() if forward else None
     for t in range((int(n[0]) if S else 0) - 1, -1, -1):
         m = live[t]
         i = at[:m] + t
         alpha[i] *= b[:m]
         b[:m] = norm((b[:m] * emit[i]) @ T.T)
-    return norm(alpha)
+    return (norm(alpha), ahead) if forward else norm(alpha)
 
 
 def train(samples: list[tuple[str, str]], seed: int = 5) -> Field:
@@ -214,40 +217,49 @@ def train(samples: list[tuple[str, str]], seed: int = 5) -> Field:
             n = np.array([len(f) for f in at])
             flat, row = np.concatenate(at), np.repeat(np.arange(len(at)), n)
             scale = 1 / np.sqrt(n)
-            e = np.zeros((len(at), L))
-            np.add.at(e, row, weights[flat])
+            e = np.add.reduceat(weights[flat], np.cumsum(n) - n, axis=0)
             lx = np.array([lex[x] for x, _ in batch])
             e = e * scale[:, None] + weights[BUCKETS] * lx
             em = np.exp(e - e.max(axis=1, keepdims=True))
-            post = marginals(em, np.array(size), trans)
+            post, ahead = marginals(em, np.array(size), trans, True)
             truth = np.array([l for _, l in batch])
             g = -post
             g[np.arange(len(g)), truth] += 1
             inner = np.ones(len(batch) - 1, bool)
             inner[np.cumsum(size)[:-1] - 1] = False
             i = np.flatnonzero(inner)
-            pair = post[i][:, :, None] * np.exp(trans - trans.max())[None] * (em[i + 1] * 1.0)[:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
+            # posterior of each pair of neighbours: forward, transition, and the second word's posterior over what led to it
+            step = ahead[i][:, :, None] * np.exp(trans - trans.max())[None]
+            pair = step / step.sum(axis=1, keepdims=True) * post[i + 1][:, None, :]
             dt = -pair.sum(axis=0)
             np.add.at(dt, (truth[i], truth[i + 1]), 1)
-            dw = np.zeros_like(weights)
-            np.add.at(dw, flat, (g * scale[:, None])[row])
-            dw[BUCKETS] = (g * lx).sum(axis=0)
-            gw += dw**2
+            # only the features that the batch has change
+            order = np.argsort(flat, kind="stable")
+            used, begin = np.unique(flat[order], return_index=True)
+            used = np.append(used, BUCKETS)
+            dw = np.concatenate([np.add.reduceat((g * scale[:, None])[row[order]], begin, axis=0), (g * lx).sum(axis=0)[None]])
+            gw[used] += dw**2
             gt += dt**2
-            weights += 0.3 * dw / np.sqrt(gw)
+            weights[used] += 0.3 * dw / np.sqrt(gw[used])
             trans += 0.3 * dt / np.sqrt(gt)
     return Field(languages, lexicon, weights, trans)
 
 
 def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """About per_language (text, lang) rows of each language of labelled(doc_id, text, lang), chosen by a hash."""
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
+    """About per_language (text, lang) rows of each language of labelled(doc_id, text, lang), chosen by a hash.
+
+    Of a longer text STRETCH_CHARS characters from a place that the hash draws are taken, so what is gathered has a bound. Learned are the
+    LANGUAGES languages with most rows, ties by name.
+    """
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return []
     rate = F.create_map(*[x for l, n in counts.items() for x in (F.lit(l), F.lit(per_language / n))])[F.col("lang")]
-    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    rows = labelled.filter(u < rate).select("text", "lang").limit(2 * per_language * len(counts)).collect()
+    h = F.xxhash64("doc_id", "text")
+    u = F.pmod(h, F.lit(1 << 20)) / float(1 << 20)
+    room = F.greatest(F.length("text") - STRETCH_CHARS + 1, F.lit(1))
+    text = F.substr("text", (F.pmod(F.xxhash64(h), room) + 1).cast("int"), F.lit(STRETCH_CHARS))
+    rows = labelled.filter(u < rate).select(text.alias("text"), "lang").limit(2 * per_language * len(counts)).collect()
     return sorted((r[0], r[1]) for r in rows)
 
 
