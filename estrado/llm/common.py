@@ -29,6 +29,12 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its scheme, as the session's default file system completes it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
