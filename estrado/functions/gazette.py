@@ -9,8 +9,8 @@ from .text import squeeze
 
 # How a gazette marks its parts.
 SPEAKER = r"(?:El señor|La señora)\s+([A-ZÁÉÍÓÚÑÜ][A-ZÁÉÍÓÚÑÜ'.\- ]+?)\s*(?:\(([^)]+)\))?\s*:"
-NAMED_FIRST = r"se[ñn]ora?\s+([A-ZÁÉÍÓÚÑ][A-Za-zÁÉÍÓÚÑáéíóúñ'.\- ]+?)\s*,?\s*del Grupo Parlamentario ([A-Za-záéíóúñ ]+)"
-GROUP_FIRST = r"del Grupo Parlamentario ([A-Za-záéíóúñ ]+?)\s*\(\s*se[ñn]ora?\s+([A-ZÁÉÍÓÚÑ][A-Za-zÁÉÍÓÚÑáéíóúñ'.\- ]+?)\s*\)"
+NAMED_FIRST = r"se[ñn]or(?:a)?\s+([A-ZÁÉÍÓÚÑ][A-Za-zÁÉÍÓÚÑáéíóúñ'.\- ]+?)\s*,?\s*del Grupo Parlamentario ([A-Za-záéíóúñ ]+)"
+GROUP_FIRST = r"del Grupo Parlamentario ([A-Za-záéíóúñ ]+?)\s*\(\s*se[ñn]or(?:a)?\s+([A-ZÁÉÍÓÚÑ][A-Za-zÁÉÍÓÚÑáéíóúñ'.\- ]+?)\s*\)"
 PAGE_HEADER = r"(?s)DIARIO DE SESIONES.*?P[áa]g\.\s*\d+"
 HELD_ON = r"(?i)celebrada el [^,]*?(\d{1,2} de \p{L}+ de \d{4})"
 FOOTER = r"(?im)^.*(documento firmado electr|autenticidad de este|\bcsv\b|sede\.\w+\.\w+).*$"
@@ -46,6 +46,20 @@ def group_mentions(c: Column) -> Column:
     return F.concat(pair(NAMED_FIRST, 1, 2), pair(GROUP_FIRST, 2, 1))
 
 
+#: Where the block of the agenda in a gazette's head begins and ends.
+ORDER_OF_DAY = r"(?is)orden del d[ií]a[\s:.]*(.{15,400})"
+ORDER_ENDS = ("sumario", "se abre la sesión", "se reanuda", "comienza la sesión")
+
+
+def session_topic(c: Column) -> Column:
+    """The block after 'orden del día' without dotted leaders, up to the first word that ends it, 300 characters at most; "" where there is none."""
+    t = squeeze(F.regexp_replace(squeeze(F.regexp_extract(c, ORDER_OF_DAY, 1)), r"\.{3,}\s*\d*", " "))
+    for stop in ORDER_ENDS:
+        at = F.position(F.lit(stop), F.lower(t)) - 1
+        t = F.when(at > 15, F.substr(t, F.lit(1), at)).otherwise(t)
+    return F.left(F.regexp_replace(squeeze(t), r"^[ .:;-]+|[ .:;-]+$", ""), F.lit(300))
+
+
 def held_on(c: Column) -> Column:
     return F.regexp_extract(c, HELD_ON, 1)
 

@@ -5,6 +5,8 @@ Fixed word lists that results depend on stand together below, in their natural o
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,8 +35,9 @@ PARTISAN = [
     r"quien (miente|tiene razon|es mejor|es peor|es el mejor|es el peor|es mas)",
     r"\b(que opinas|que piensas|en tu opinion|tu opinion|que te parece|crees que es)\b",
 ]
+# (escaño never meets a text without marks; it stays as the fixed value it is)
 POLITICAL = (
-    "polit gobierno congreso senado pleno diput minist president partido grupo ley leyes decreto presupuest enmienda mocion investidura parlament vot "
+    "polit gobierno congreso senado pleno diput minist president partido grupo ley leyes decreto presupuest enmienda mocion investidura parlament vot escaño "
     "oposicion coalicion constitucion reforma referendum amnistia legislatura sesion sanidad vivienda educacion inmigracion migra refugiad aborto pension impuesto "
     "fiscal autonomi estado nacion estatuto comparecencia interpelacion proposicion debate empleo paro salario energia clima ambiente igualdad genero violencia "
     "terrorismo seguridad independencia catalun euskadi otan ucrania europe okupa corrupcion economia deficit deuda subvencion"
@@ -46,15 +49,15 @@ OLDEST = r"\b(primer[oa]?|mas antigu[oa]|mas viej[oa]|inicial)\b"
 #: Results of a vote, number after the label; and number before it, where a total may follow remote votes.
 VOTES_AFTER = r"(?i)(?:votos\s+emitidos[,:]?\s*(\d+)[;,.\s]+)?(?:votos\s+)?a\s+favor[,:]?\s*(\d+)[;,.\s]+(?:votos\s+)?en\s+contra[,:]?\s*(\d+)(?:[;,.\s]+abstenci\p{L}*[,:]?\s*(\d+))?"
 VOTES_BEFORE = r"(?i)(\d+)\s+votos?\s+a\s+favor(?:\s+más\s+\d+\s+votos?\s+telem\p{L}*,?\s*(\d+))?[;,\s]+(\d+)\s+(?:votos?\s+)?en\s+contra(?:\s+más\s+\d+\s+votos?\s+telem\p{L}*,?\s*(\d+))?(?:[;,\sy]+(\d+)\s+abstenci\p{L}*)?"
-#: Letters with marks and the letters under them, for European text.
-MARKED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
-BARE = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
+#: Letters of the Latin blocks that Unicode composes of one letter and marks, and that letter: a rule, no list.
+_COMPOSED = {chr(i): d[0] for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(d := unicodedata.normalize("NFD", chr(i))) > 1 and all(unicodedata.category(m) == "Mn" for m in d[1:])}
+MARKED, BARE = "".join(_COMPOSED), "".join(_COMPOSED.values())
 
 # Expressions ----------------------------------------------------------------
 
 
 def bare(c: Column) -> Column:
-    """Without marks: composed letters by table, and combining marks dropped."""
+    """Without marks: any composed Latin letter as the letter under it, and combining marks dropped. Letters that are not composed, as ł or ø, stay."""
     return F.translate(F.regexp_replace(c, r"\p{Mn}", ""), MARKED, BARE)
 
 
@@ -98,13 +101,13 @@ def speaker_name(c: Column) -> Column:
 
 
 def phonetic_key(c: Column) -> Column:
-    """How a Spanish word sounds, roughly: b and v alike, h mute, c and z as s or k, ll as y, doubles single."""
+    """How a Spanish text sounds, roughly: b and v alike, h mute, c and z as s or k, ll as y, doubles single. A c or g that ends the text counts as before e."""
     s = bare(F.lower(c))
     for a, b in (("ll", "y"), ("qu", "k"), ("gu", "g")):
         s = F.replace(s, F.lit(a), F.lit(b))
-    s = F.regexp_replace(s, "c(?=[ei])", "s")
-    s = F.regexp_replace(s, "g(?=[ei])", "j")
-    s = F.regexp_replace(s, "[^a-z]|h", "")
+    s = F.regexp_replace(s, "c(?=[ei]|\\z)", "s")
+    s = F.regexp_replace(s, "g(?=[ei]|\\z)", "j")
+    s = F.regexp_replace(s, r"[^\p{L}]|h", "")
     return F.regexp_replace(F.translate(s, "vzcy", "bski"), r"(.)\1+", "$1")
 
 
@@ -172,21 +175,24 @@ def temporal(question: Column) -> Column:
 
 
 def votes(c: Column) -> Column:
-    """array<struct(pos, emitidos, a_favor, en_contra, abstenciones)> of all results in a text, in their order."""
-    number = lambda x: F.nullif(x, F.lit("")).cast("int")
+    """array<struct(pos, emitidos, a_favor, en_contra, abstenciones)> of all results in a text, in their order.
 
-    def found(p: str, n: int, make):
-        groups = [F.regexp_extract_all(c, F.lit(p), F.lit(i)) for i in range(n + 1)]
-        zipped = F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)])
-        return F.transform(zipped, lambda x: make([x[f"g{i}"] for i in range(n + 1)]))
+    A text is scanned once for each format, and only if it speaks of a favor; the numbers are read from the matches.
+    """
+    number = lambda x, p, i: F.nullif(F.regexp_extract(x, p, i), F.lit("")).cast("int")
 
     def row(whole, total, yes, no, none):
         return F.struct(F.position(whole, c).alias("pos"), total.alias("emitidos"), yes.alias("a_favor"), no.alias("en_contra"), none.alias("abstenciones"))
 
-    after = found(VOTES_AFTER, 4, lambda g: row(g[0], number(g[1]), number(g[2]), number(g[3]), number(g[4])))
-    null = F.lit(None).cast("int")
-    before = found(VOTES_BEFORE, 5, lambda g: row(g[0], null, F.coalesce(number(g[2]), number(g[1])), F.coalesce(number(g[4]), number(g[3])), number(g[5])))
-    return F.array_sort(F.concat(after, before))
+    def after(x):
+        return row(x, *[number(x, VOTES_AFTER, i) for i in (1, 2, 3, 4)])
+
+    def before(x):
+        n = [number(x, VOTES_BEFORE, i) for i in range(1, 6)]
+        return row(x, F.lit(None).cast("int"), F.coalesce(n[1], n[0]), F.coalesce(n[3], n[2]), n[4])
+
+    both = F.concat(F.transform(F.regexp_extract_all(c, F.lit(VOTES_AFTER), F.lit(0)), after), F.transform(F.regexp_extract_all(c, F.lit(VOTES_BEFORE), F.lit(0)), before))
+    return F.when(F.rlike(c, F.lit("(?i)favor")), F.array_sort(both)).when(c.isNotNull(), F.array().cast("array<struct<pos:int,emitidos:int,a_favor:int,en_contra:int,abstenciones:int>>"))
 
 
 def escape(c: Column) -> Column:

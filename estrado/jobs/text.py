@@ -56,7 +56,7 @@ def detect_party(spark, sf):
 
 
 @query(r"""WITH w AS (SELECT doc_id, lower(text[1:4000]) t FROM documents), s AS (SELECT doc_id, replace(replace(replace(strip_accents(t), 'll', 'y'), 'qu', 'k'), 'gu', 'g') s FROM w),
-a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(s, 'c([ei])', 's\1', 'g'), 'g([ei])', 'j\1', 'g'), '[^a-z]|h', '', 'g') s FROM s)
+a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, 'c([ei])', 's\1', 'g'), 'g([ei])', 'j\1', 'g'), 'c$', 's'), 'g$', 'j'), '[^\p{L}]|h', '', 'g') s FROM s)
 SELECT doc_id, list_reduce(list_transform(string_split(translate(s, 'vzcy', 'bski'), ''), lambda c: c), lambda x, y: CASE WHEN right(x, 1) = y THEN x ELSE x || y END, '') fon FROM a""".replace("text[1:4000]", "text"))
 def phonetic_key(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.phonetic_key(F.col("text")).alias("fon"))
