@@ -47,7 +47,7 @@ def group_mentions(c: Column) -> Column:
 
 
 #: Where the block of the agenda in a gazette's head begins and ends.
-ORDER_OF_DAY = r"(?is)orden del d[ií]a[\s:.]*(.{15,400})"
+ORDER_OF_DAY = r"(?isu)orden del d[ií]a[\s:.]*(.{15,400})"
 ORDER_ENDS = ("sumario", "se abre la sesión", "se reanuda", "comienza la sesión")
 
 

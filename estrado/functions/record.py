@@ -30,7 +30,7 @@ FIRST_NAMES = ("don ", "doña ", "doňa ")
 GROUP_NAMED = r"grupo (parlamentario [a-záéíóúñ ]+|mixto)"
 #: What makes a chair's "sobre ..." the topic, and the topic's words.
 ABOUT_WORDS = ["interpelaci", "proposici", "moci", "comparecen", "debate", "toma en consider"]
-ABOUT = r"(?i)\bsobre\b\s+(.{10,150}?)(?:\.|\(n[úu]m|, que formula|\bque formula\b|$)"
+ABOUT = r"(?iu)\bsobre\b\s+(.{10,150}?)(?:\.|\(n[úu]m|, que formula|\bque formula\b|$)"
 #: All of the words, any of the alternatives within one -> topic, first match first.
 TOPICS = [
     ([["pregunta"], ["formula"]], "Preguntas al Gobierno"), ([["interpelaci"]], "Interpelaciones urgentes"), ([["moci"]], "Mociones"), ([["proposici"], ["ley"]], "Proposiciones de ley"),
@@ -41,7 +41,7 @@ TOPICS = [
 STRONG_CUES = ["orden del dia", "convalidacion", "real decreto", "mocion", "interpelacion", "proposicion", "toma en consideracion", "comparecencia del gobierno", "debate de totalidad"]
 INTRODUCTIONS = ["presentacion de la iniciativa", "defensa de la iniciativa", "para presentar", "para defender"]
 POINT = (
-    r"(?i)\bpunto\s+(?:n[uú]mero\s+|n[º°]\.?\s*)?(\d{1,2}|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|diez|once|doce|"
+    r"(?iu)\bpunto\s+(?:n[uú]mero\s+|n[º°]\.?\s*)?(\d{1,2}|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|diez|once|doce|"
     r"primero|segundo|tercero|cuarto|quinto|sexto|s[eé]ptimo|octavo|noveno|d[eé]cimo)\b"
 )
 STOP_WORDS = "de la que el en y a los del se las por un para con no una su al es lo como mas o pero sus le ya este esta esto muy ha han hay".split()
@@ -183,6 +183,38 @@ def asked_topic(c: Column) -> Column:
     return F.nullif(F.regexp_replace(rest, r"^[ ¿?¡!.\t\n]+|[ ¿?¡!.\t\n]+$", ""), F.lit(""))
 
 
+def agenda_sentences(c: Column) -> Column:
+    """A chair's text at the ends of sentences and clauses."""
+    return F.split(text_of(c), r"(?<=[.;:])\s+")
+
+
+def names_a_point(sentence: Column, following: Column) -> Column:
+    """Whether a sentence describes a point of the agenda: it names the kind, or the next one brings in who presents it."""
+    low = simple(sentence)
+    long_ = (F.length(sentence) >= 25) & ~F.contains(low, F.lit("tiene la palabra"))
+    return long_ & (has_any(low, STRONG_CUES) | F.coalesce(has_any(simple(following), INTRODUCTIONS), F.lit(False)))
+
+
+def point_title(c: Column, room: int = 90) -> Column:
+    """The first sentence of 18 characters or more after a point was called, cut at a word's end; the whole, if none is as long."""
+    parts = F.filter(F.transform(F.split(c, r"[.?]\s"), lambda p: squeeze_ends(p)), lambda p: F.length(p) >= 18)
+    t = F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(1)), c), r"^[ ,.;:—-]+|[ ,.;:—-]+$", "")
+    t = F.when(t == "", "(punto)").otherwise(t)
+    cut = F.left(t, F.lit(room))
+    return F.when(F.length(t) > room, F.concat(F.regexp_replace(cut, r" [^ ]*$", ""), F.lit("…"))).otherwise(t)
+
+
+def squeeze_ends(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def sections(c: Column, least: int = 120, most: int = 1400) -> Column:
+    """array<struct(k, text)> of a text's parts after each heading '## ': images and line ends go, parts of more than least characters stay, cut at most."""
+    parts = F.split(text_of(c), "\n## ")
+    body = F.transform(parts, lambda p, i: F.struct(i.alias("k"), F.left(squeeze(F.regexp_replace(p, r"!\[[^\]]*\]\([^)]*\)", " ")), F.lit(most)).alias("text"), (F.length(squeeze(F.regexp_replace(p, r"!\[[^\]]*\]\([^)]*\)", " "))) > least).alias("ok")))
+    return F.filter(body, lambda x: (x["k"] > 0) & x["ok"])
+
+
 def hand(points: dict[str, Column], sure: dict[str, Column]) -> Column:
     """Height of the higher hand over the shoulders in heads: the wrist where it is seen (0.25), else the elbow (0.50).
 

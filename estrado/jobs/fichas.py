@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import fichas as op
-from ..sources.tables import IV, interventions, table
+from ..sources.tables import IV, interventions, speeches, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -40,28 +40,34 @@ def ficha_recent_sessions(spark, sf):
     return op.recent_sessions(interventions(spark, sf), "speaker")
 
 
-@query(f"""WITH {IV} SELECT party, count(*) n, count(DISTINCT pleno_id) n_plenos, min(fecha_iso) desde, max(fecha_iso) hasta, CAST(coalesce(sum(n_words), 0) AS BIGINT) palabras,
-count(DISTINCT speaker) oradores FROM iv WHERE {NO_CHAIR} GROUP BY 1""")
+@query(f"""WITH {IV}, f AS (SELECT con_mesa, iv.* FROM iv, (SELECT unnest([false, true]) con_mesa) WHERE con_mesa OR {NO_CHAIR}),
+s AS (SELECT con_mesa, party, string_agg(speaker, '|' ORDER BY k) oradores_top FROM (SELECT con_mesa, party, speaker, row_number() OVER (PARTITION BY con_mesa, party ORDER BY count(*) DESC, speaker) k FROM f GROUP BY 1, 2, 3) WHERE k <= 10 GROUP BY 1, 2),
+t AS (SELECT con_mesa, party, string_agg(topic, '|' ORDER BY k) temas FROM (SELECT con_mesa, party, topic, row_number() OVER (PARTITION BY con_mesa, party ORDER BY count(*) DESC, topic) k FROM f WHERE coalesce(topic, '') <> '' GROUP BY 1, 2, 3) WHERE k <= 10 GROUP BY 1, 2)
+SELECT f.con_mesa, f.party, count(*) n, count(DISTINCT pleno_id) n_plenos, count(DISTINCT speaker) oradores, min(fecha_iso) desde, max(fecha_iso) hasta, CAST(coalesce(sum(n_words), 0) AS BIGINT) palabras, any_value(oradores_top) oradores_top, any_value(temas) temas
+FROM f LEFT JOIN s ON s.con_mesa = f.con_mesa AND s.party = f.party LEFT JOIN t ON t.con_mesa = f.con_mesa AND t.party = f.party GROUP BY 1, 2""")
 def ficha_party(spark, sf):
-    iv = interventions(spark, sf).filter(op.substantive())
-    return op.head(iv, "party").join(iv.groupBy("party").agg(F.countDistinct("speaker").alias("oradores")), "party")
-
-
-@query(f"""WITH {IV}, w AS (SELECT pleno_id, speaker, sum(n_words) w FROM iv GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY pleno_id ORDER BY w DESC, speaker) k FROM w),
-t AS (SELECT pleno_id, string_agg(speaker, '|' ORDER BY k) oradores FROM r WHERE k <= 10 GROUP BY 1)
-SELECT iv.pleno_id, any_value(fecha_iso) fecha_iso, count(*) n, count(DISTINCT party) FILTER (party <> '') n_partidos, count(DISTINCT topic) n_temas, any_value(t.oradores) oradores
-FROM iv JOIN t ON iv.pleno_id = t.pleno_id GROUP BY 1""")
+    """Parties with and without the chair: counts, dates, words, ten speakers and ten topics."""
+    out = None
+    for chair in (False, True):
+        iv = interventions(spark, sf)
+        f = op.party(iv if chair else iv.filter(op.substantive())).withColumn("con_mesa", F.lit(chair))
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
+@query(f"""WITH {IV}, w AS (SELECT pleno_id, speaker, sum(n_words) w, count(*) n FROM iv WHERE {NO_CHAIR} GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY pleno_id ORDER BY w DESC, speaker) k FROM w), t AS (SELECT pleno_id, string_agg(speaker || ':' || n || ':' || CAST(w AS BIGINT), '|' ORDER BY k) oradores FROM r WHERE k <= 10 GROUP BY 1),
+p AS (SELECT pleno_id, string_agg(party || ':' || n, '|' ORDER BY n DESC, party) reparto FROM (SELECT pleno_id, party, count(*) n FROM iv WHERE party <> '' GROUP BY 1, 2) GROUP BY 1),
+d AS (SELECT pleno_id, string_agg(DISTINCT topic, '|' ORDER BY topic) temas FROM iv WHERE topic <> '' GROUP BY 1), h AS (SELECT o_orderkey pleno_id, strftime(o_orderdate, '%Y-%m-%d') fecha, CAST(year(o_orderdate) AS INTEGER) legislatura, o_orderpriority tema_sesion, o_orderkey % 3 v FROM orders)
+SELECT h.pleno_id, fecha, legislatura, tema_sesion, (SELECT count(*) FROM iv WHERE iv.pleno_id = h.pleno_id) intervenciones, reparto, oradores, temas, CASE WHEN v = 0 THEN 0 ELSE v END n_votaciones, CASE v WHEN 0 THEN '' WHEN 1 THEN '1-2-0' ELSE '1-2-0|3-4-1' END votaciones
+FROM h LEFT JOIN t USING (pleno_id) LEFT JOIN p USING (pleno_id) LEFT JOIN d USING (pleno_id)""")
 def ficha_session(spark, sf):
-    iv = interventions(spark, sf)
-    w = iv.groupBy("pleno_id", "speaker").agg(F.sum("n_words").alias("w"))
-    k = F.row_number().over(Window.partitionBy("pleno_id").orderBy(F.desc("w"), "speaker"))
-    top = w.withColumn("k", k).filter("k <= 10").groupBy("pleno_id").agg(F.sort_array(F.collect_list(F.struct("k", "speaker"))).alias("t"))
-    top = top.select("pleno_id", F.array_join(F.transform("t", lambda x: x["speaker"]), "|").alias("oradores"))
-    facts = iv.groupBy("pleno_id").agg(
-        F.any_value("fecha_iso").alias("fecha_iso"), F.count(F.lit(1)).alias("n"), F.countDistinct(F.nullif("party", F.lit(""))).alias("n_partidos"), F.countDistinct("topic").alias("n_temas")
-    )
-    return facts.join(top, "pleno_id")
+    """Sessions: header, interventions, split by party, ten speakers by words, topics and the counted votes. A vote's counts come from the header's JSON."""
+    votes = F.when(F.col("o_orderkey") % 3 == 0, "[]").when(F.col("o_orderkey") % 3 == 1, '[{"a_favor":1,"en_contra":2,"abstenciones":0}]').otherwise('[{"a_favor":1,"en_contra":2,"abstenciones":0},{"a_favor":3,"en_contra":4,"abstenciones":1}]')
+    o = table(spark, sf, "orders")
+    head = o.select(F.col("o_orderkey").alias("pleno_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("fecha"), F.year("o_orderdate").alias("legislatura"), F.col("o_orderpriority").alias("tema_sesion"), votes.alias("votaciones_json"))
+    speech = speeches(spark, sf).join(o.select(F.col("o_orderkey").alias("pleno_id"), F.col("o_orderpriority").alias("topic")), "pleno_id")
+    return op.session(head, speech)
 
 
 @query(f"""WITH {IV}, c AS (SELECT legislatura, topic, count(*) n FROM iv WHERE coalesce(topic, '') <> '' GROUP BY 1, 2),
@@ -95,16 +101,24 @@ def party_histogram(spark, sf):
     return interventions(spark, sf).groupBy(shown).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {IV}, m AS (SELECT legislatura, speaker, count(DISTINCT party) p FROM iv WHERE party <> '' GROUP BY 1, 2)
-SELECT iv.legislatura, count(*) n, count(*) FILTER (role = 'presidencia') presidencia, round(100.0 * count(*) FILTER (party = '') / count(*), 2) pct_sin_partido,
-any_value(x.varios) varios FROM iv JOIN (SELECT legislatura, count(*) FILTER (p > 1) varios FROM m GROUP BY 1) x ON iv.legislatura = x.legislatura GROUP BY 1""")
+@query(f"""WITH {IV}, m AS (SELECT legislatura, speaker, count(DISTINCT party) p FROM iv WHERE party <> '' AND role = 'diputado' GROUP BY 1, 2), v AS (SELECT CAST(year(o_orderdate) AS INTEGER) legislatura, round(100.0 * count(*) FILTER (o_orderkey % 3 > 0) / count(*), 2) pct_con_votos FROM orders GROUP BY 1)
+SELECT iv.legislatura, count(*) n, count(*) FILTER (role = 'presidencia') presidencia, count(*) FILTER (role = 'diputado') diputados, round(100.0 * count(*) FILTER (party = '' AND role = 'diputado') / greatest(count(*) FILTER (role = 'diputado'), 1), 2) pct_sin_partido,
+round(100.0 * count(*) FILTER (coalesce(topic, '') <> '') / count(*), 2) pct_con_tema, any_value(x.varios) varios, any_value(pct_con_votos) pct_con_votos FROM iv LEFT JOIN (SELECT legislatura, count(*) FILTER (p > 1) varios FROM m GROUP BY 1) x ON iv.legislatura = x.legislatura LEFT JOIN v ON iv.legislatura = v.legislatura GROUP BY 1""")
 def corpus_quality(spark, sf):
-    iv = interventions(spark, sf)
-    several = iv.filter("party <> ''").groupBy("legislatura", "speaker").agg(F.countDistinct("party").alias("p")).groupBy("legislatura").agg(F.count_if(F.col("p") > 1).alias("varios"))
-    facts = iv.groupBy("legislatura").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") == "presidencia").alias("presidencia"), F.round(100 * F.count_if(F.col("party") == "") / F.count(F.lit(1)), 2).alias("pct_sin_partido")
-    )
-    return facts.join(several, "legislatura")
+    """By term: roles, deputies' rows without a party, rows with a topic, deputies with several parties, and the share of sessions with votes."""
+    voted = table(spark, sf, "orders").select(F.year("o_orderdate").alias("legislatura"), (F.col("o_orderkey") % 3 > 0).alias("voted"))
+    return op.quality(interventions(spark, sf), voted)
+
+
+@query(f"""WITH {IV}, c AS (SELECT legislatura, speaker, party, count(*) n FROM iv WHERE role = 'diputado' GROUP BY 1, 2, 3), s AS (SELECT legislatura, speaker, CAST(sum(n) AS BIGINT) n, coalesce(nullif(string_agg(party, '/' ORDER BY party) FILTER (party <> ''), ''), '—') partidos FROM c GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY legislatura ORDER BY n DESC, speaker) AS INTEGER) rank FROM s) SELECT legislatura, rank, speaker, n, partidos FROM r WHERE rank <= 10""")
+def corpus_top(spark, sf):
+    """The ten deputies of each term who speak most, with all their parties."""
+    iv = interventions(spark, sf).filter("role = 'diputado'")
+    s = iv.groupBy("legislatura", "speaker").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set(F.nullif("party", F.lit("")))), "/").alias("partidos"))
+    rank = F.row_number().over(Window.partitionBy("legislatura").orderBy(F.desc("n"), "speaker"))
+    s = s.withColumn("rank", rank).filter("rank <= 10")
+    return s.select("legislatura", "rank", "speaker", "n", F.when(F.col("partidos") == "", "—").otherwise(F.col("partidos")).alias("partidos"))
 
 
 @query(f"""WITH {IV} SELECT legislatura, max(struct_pack(fecha_iso := fecha_iso, pleno_id := pleno_id)).pleno_id ultimo, min(struct_pack(fecha_iso := fecha_iso, pleno_id := pleno_id)).pleno_id primero

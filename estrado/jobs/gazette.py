@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gazette as gz
 from ..functions import text as tx
+from ..operators import parties
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -32,29 +33,27 @@ def gazette_speeches(spark, sf):
     return g.select("conv_id", F.posexplode(gz.speeches(F.regexp_replace(text, gz.PAGE_HEADER, " "))).alias("idx", "s")).select("conv_id", "idx", "s.*")
 
 
-@query(r"""WITH s AS (SELECT s_suppkey % 4 leg, upper(n_name[1]) || lower(translate(n_name[2:], '_#0123456789', '  ABCDEFGHIJ')) AS n, CASE s_suppkey % 3 WHEN 0 THEN 'PSOE' WHEN 1 THEN 'PP' ELSE 'Grupo Mixto' END g FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-c AS (SELECT leg, trim(regexp_replace(lower(n), '\s+', ' ', 'g')) orador, g, count(*) n FROM s GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY leg, orador ORDER BY n DESC, g) k FROM c) SELECT leg, orador, g partido, n FROM r WHERE k = 1""")
+@query(r"""WITH s AS (SELECT s_suppkey % 4 leg, upper(translate(n_name, '_#0123456789', '  ABCDEFGHIJ')) AS n, CASE s_suppkey % 4 WHEN 0 THEN 'PSOE' WHEN 1 THEN 'PP' WHEN 2 THEN 'Mixto' END g FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+c AS (SELECT leg, array_to_string(list_filter(string_split(trim(regexp_replace(n, '\s+', ' ', 'g')), ' '), lambda t: t <> 'I'), ' ') orador, g, count(*) n FROM s WHERE g IS NOT NULL GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY leg, orador ORDER BY n DESC, g) k FROM c) SELECT leg, orador, g partido, n FROM r WHERE k = 1""")
 def party_map(spark, sf):
-    """Each speaker's group by term, as most of the mentions in summaries have it."""
+    """Each speaker's group by term, as most of the mentions in summaries have it; groups that are not known don't count."""
     s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
-    group = F.when(F.col("s_suppkey") % 3 == 0, "Socialista").when(F.col("s_suppkey") % 3 == 1, "Popular en el Congreso").otherwise("Mixto")
+    m = F.col("s_suppkey") % 4
+    group = F.when(m == 0, "Socialista").when(m == 1, "Popular en el Congreso").when(m == 2, "Mixto").otherwise("de la Concordia")
     j = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey)  # 25 nations
     name = F.concat(F.upper(F.left("n_name", F.lit(1))), F.lower(F.translate(F.substr("n_name", F.lit(2), F.lit(100)), "_#0123456789", "  ABCDEFGHIJ")))
     first = F.concat(F.lit("del señor "), name, F.lit(", del Grupo Parlamentario "), group, F.lit("."))
     second = F.concat(F.lit("del Grupo Parlamentario "), group, F.lit(" (señora "), name, F.lit(")."))
-    t = j.select((F.col("s_suppkey") % 4).alias("leg"), F.when(F.col("s_suppkey") % 2 == 0, first).otherwise(second).alias("t"))
-    m = t.select("leg", F.explode(gz.group_mentions(F.col("t"))).alias("m")).select("leg", tx.norm_key(F.col("m.name")).alias("orador"), tx.canonical_party(F.concat(F.lit("grupo parlamentario "), "m.grupo")).alias("partido"))
-    c = m.groupBy("leg", "orador", "partido").agg(F.count(F.lit(1)).alias("n"))
-    k = F.row_number().over(Window.partitionBy("leg", "orador").orderBy(F.desc("n"), "partido"))
-    return c.withColumn("k", k).filter("k = 1").select("leg", "orador", "partido", "n")
+    t = j.select((F.col("s_suppkey") % 4).alias("leg"), F.when(F.floor(F.col("s_suppkey") / 4) % 2 == 0, first).otherwise(second).alias("text"))
+    return parties.party_map(t).select("leg", F.col("name").alias("orador"), F.col("sigla").alias("partido"), "n")
 
 
-@query("""WITH p AS (SELECT p_size k, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) i, 'Aprobación de ' || p_name t FROM part) SELECT k, CAST(i - 1 AS INTEGER) punto, t titulo FROM p WHERE i <= 20""")
+@query("""WITH p AS (SELECT p_size k, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) i, 'Aprobación de ' || p_name t FROM part) SELECT k, CAST(i - 1 AS INTEGER) punto, t titulo FROM p WHERE i <= 40""")
 def agenda_points(spark, sf):
-    """Points read from a summons with a footer and a signature."""
+    """Points read from a summons with a footer and a signature: the first forty, which is what the reader takes."""
     p = table(spark, sf, "part")
     i = F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey"))
-    p = p.withColumn("i", i).filter("i <= 20").select("p_size", "i", F.concat("i", F.lit(".- Aprobación de   "), "p_name", F.lit("\n")).alias("l"))
+    p = p.withColumn("i", i).select("p_size", "i", F.concat("i", F.lit(".- Aprobación de   "), "p_name", F.lit("\n")).alias("l"))
     g = p.groupBy(F.col("p_size").alias("k")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "l"))), lambda x: x["l"]), "").alias("l"))
     t = F.concat(F.lit("CONVOCATORIA\nOrden del día\n"), "l", F.lit("Documento firmado electrónicamente CSV: x\nFdo.: la secretaria\n9. no es un punto"))
     return g.select("k", F.posexplode(gz.agenda(t)).alias("punto", "titulo"))
@@ -66,3 +65,10 @@ def session_dates(spark, sf):
     long = tx.long_date(F.date_format("o_orderdate", "yyyy-MM-dd"))
     head = F.concat(F.lit("Sesión plenaria núm. 2\ncelebrada el martes "), long, F.lit(", en el salón"))
     return table(spark, sf, "orders").select("o_orderkey", tx.iso_date(gz.held_on(head)).alias("fecha"))
+
+
+@query("""SELECT o_orderkey, 'Debate de ' || o_orderpriority || ' y de cliente ' || o_custkey tema FROM orders""")
+def session_topics(spark, sf):
+    """The agenda's block in a gazette's head, without dotted leaders and what follows it."""
+    head = F.concat(F.lit("ORDEN DEL DÍA:\n  Debate de "), "o_orderpriority", F.lit(" ......... 12 y de\ncliente "), F.col("o_custkey").cast("string"), F.lit(" ..... 7\nSUMARIO\nSe abre la sesión"))
+    return table(spark, sf, "orders").select("o_orderkey", gz.session_topic(head).alias("tema"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import record as rec
 from ..functions import text as tx
 from ..operators import fichas, sequences, turns
 from ..operators import vectors as vec
@@ -33,12 +34,12 @@ def to_transcript(spark, sf):
     return k.select("pleno_id", "idx", (n - 1).alias("i"), n.alias("hasta"), F.concat("speaker", F.lit(" ("), "party", F.lit(")")).alias("etiqueta"))
 
 
-@query("""WITH e AS (SELECT vec_id id, label, CAST(embedding AS DOUBLE[]) v FROM embeddings), s AS (SELECT q.id qid, e.id, list_sum(list_transform(range(1, 65), lambda i: q.v[i] * e.v[i])) sim FROM e q, e WHERE q.id % 50 = 0 AND e.label NOT IN (0, 7)),
+@query("""WITH e AS (SELECT vec_id id, label, CAST(embedding AS DOUBLE[]) v FROM embeddings), s AS (SELECT q.id qid, e.id, list_sum(list_transform(range(1, 65), lambda i: q.v[i] * e.v[i])) sim FROM e q, e WHERE q.id % 20 = 0 AND e.label NOT IN (0, 7)),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) k FROM s) SELECT qid, id, round(1 - (1 - sim), 3) score, CAST(k AS INTEGER) k FROM r WHERE k <= 8""")
 def search_identified(spark, sf):
     """Unidentified voices and the chair are left out before the best are taken, so no search has to fetch more than it shows."""
     c = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
-    q = c.filter("id % 50 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    q = c.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
     r = vec.knn(q, c.select("id", "vec", "label"), 8, ~F.col("label").isin(0, 7))
     return r.select("qid", "id", F.round("sim", 3).alias("score"), F.col("rank").alias("k"))
 
@@ -52,16 +53,15 @@ def registry_names(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", F.array_join(F.filter(words, lambda t: t != "I"), " ").alias("nombre"))
 
 
-@query("""SELECT c_custkey, CASE WHEN g IN ('MACHINERY', 'Gobierno') THEN 'Gobierno' WHEN n = '' THEN 'Orador sin identificar' WHEN n = 'Presidencia' THEN 'Presidencia' WHEN g = '' THEN n ELSE n || ' (' || g || ')' END etiqueta,
-CASE WHEN g = 'MACHINERY' THEN 'ministro' WHEN n = 'Presidencia' THEN 'presidencia' WHEN g = '' THEN 'otros' ELSE 'diputado' END rol FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'Presidencia' ELSE c_name END n, CASE c_custkey % 7 WHEN 0 THEN '' ELSE c_mktsegment END g FROM customer)""")
+@query("""WITH s AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'Presidencia' WHEN 2 THEN '(miembro del Gobierno)' WHEN 3 THEN '(sin identificar)' WHEN 4 THEN 'Portavoz del Gobierno ' || c_custkey ELSE ' ' || c_name END n, CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'Gobierno' ELSE c_mktsegment END g FROM customer)
+SELECT c_custkey, CASE WHEN n = '(miembro del Gobierno)' THEN 'Gobierno' WHEN n IN ('', '(sin identificar)') THEN 'Orador sin identificar' WHEN n = 'Presidencia' THEN n WHEN g = '' THEN trim(n) ELSE trim(n) || ' (' || g || ')' END etiqueta,
+CASE WHEN n = 'Presidencia' THEN 'presidencia' WHEN g = 'Gobierno' OR contains(lower(n), 'gobierno') THEN 'gobierno' ELSE 'diputado' END rol FROM s""")
 def speaker_labels(spark, sf):
-    """What a speaker is called in the minutes, and the role that follows from name and group."""
-    n = F.when(F.col("c_custkey") % 5 == 0, "").when(F.col("c_custkey") % 5 == 1, "Presidencia").otherwise(F.col("c_name"))
-    g = F.when(F.col("c_custkey") % 7 == 0, "").otherwise(F.col("c_mktsegment"))
-    c = table(spark, sf, "customer").select("c_custkey", n.alias("n"), g.alias("g"))
-    label = F.when(F.col("g").isin("MACHINERY", "Gobierno"), "Gobierno").when(F.col("n") == "", "Orador sin identificar").when(F.col("n") == "Presidencia", "Presidencia").when(F.col("g") == "", F.col("n")).otherwise(F.concat("n", F.lit(" ("), "g", F.lit(")")))
-    role = F.when(F.col("g") == "MACHINERY", "ministro").when(F.col("n") == "Presidencia", "presidencia").when(F.col("g") == "", "otros").otherwise("diputado")
-    return c.select("c_custkey", label.alias("etiqueta"), role.alias("rol"))
+    """What a speaker is called in the minutes, and the role that follows from name and party."""
+    k, m = F.col("c_custkey").cast("string"), F.col("c_custkey") % 6
+    n = F.when(m == 0, "").when(m == 1, "Presidencia").when(m == 2, "(miembro del Gobierno)").when(m == 3, "(sin identificar)").when(m == 4, F.concat(F.lit("Portavoz del Gobierno "), k)).otherwise(F.concat(F.lit(" "), "c_name"))
+    g = F.when(F.col("c_custkey") % 7 == 0, "").when(F.col("c_custkey") % 7 == 1, "Gobierno").otherwise(F.col("c_mktsegment"))
+    return table(spark, sf, "customer").select("c_custkey", rec.speaker_label(n, g).alias("etiqueta"), rec.role_of(n, g).alias("rol"))
 
 
 @query(f"""WITH {SEG}, m AS (SELECT * FROM (VALUES ('view', 'Ana'), ('click', 'Luis'), ('error', 'Presidencia')) t(speaker, nombre)) SELECT pleno_id, seg_id, coalesce(nombre, seg.speaker) nombre, coalesce(nombre = 'Presidencia', false) mesa FROM seg LEFT JOIN m ON seg.speaker = m.speaker""")
@@ -127,14 +127,6 @@ def fragment_union(spark, sf):
     return u.groupBy("tipo").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("titulo").alias("titulos"), F.min("id").alias("primero"))
 
 
-@query("""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) l FROM documents), c AS (SELECT doc_id, left(trim(l), 50) k, min(length(l)) n FROM s WHERE regexp_matches(lower(l), '^(the|le|el|der|la|die) ') GROUP BY 1, 2) SELECT doc_id, count(*) puntos, CAST(max(least(n, 800)) AS BIGINT) largo FROM c GROUP BY 1""")
-def agenda_cues(spark, sf):
-    """Lines that open a point of the agenda by a cue, one for each beginning of 50 characters, cut at 800."""
-    s = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l")).filter(F.rlike(F.lower("l"), F.lit("^(the|le|el|der|la|die) ")))
-    c = s.groupBy("doc_id", F.left(F.trim("l"), F.lit(50)).alias("k")).agg(F.min(F.length("l")).alias("n"))
-    return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("puntos"), F.max(F.least("n", F.lit(800))).cast("long").alias("largo"))
-
-
 @query(f"""WITH {SEG} SELECT pleno_id, seg_id, CASE WHEN contains(t, 'votacion') AND contains(t, 'a favor') AND contains(t, 'en contra') THEN 'recuento' WHEN contains(t, 'votacion') THEN 'votacion' END evento
 FROM (SELECT *, CASE seg_id % 4 WHEN 0 THEN 'votacion: votos a favor, en contra ' WHEN 1 THEN 'pasamos a la votacion ' ELSE '' END || speaker t FROM seg) WHERE seg_id % 4 < 3""")
 def vote_calls(spark, sf):

@@ -81,7 +81,7 @@ def rebuild_counts(spark, sf):
     return table(spark, sf, "documents").groupBy(kind.alias("tipo")).agg(F.count(F.lit(1)).alias("n"))
 
 
-SUBS = """s AS (SELECT c_custkey pos, 'u' || c_nationkey || '@x.es' email, CASE WHEN c_custkey % 11 = 0 THEN 'todos los plenos' ELSE lower(c_mktsegment) END tema, md5(c_name) token FROM customer WHERE c_custkey < 120)"""
+SUBS = """s AS (SELECT c_custkey pos, 'u' || c_nationkey || '@x.es' email, CASE WHEN c_custkey % 11 = 0 THEN 'todos los plenos' ELSE lower(c_mktsegment) END tema, md5(c_name) token FROM customer)"""
 FOUND = """f AS (SELECT o_orderkey % 40 pleno_id, lower(c_mktsegment) tema, o_orderkey chunk, round(o_totalprice, 2) sim FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000)"""
 SEND = """tk AS (SELECT email, min(struct_pack(p := pos, t := token)).t token FROM s GROUP BY 1), b AS (SELECT *, row_number() OVER (PARTITION BY pleno_id, tema ORDER BY sim DESC, chunk) k FROM f),
 wi AS (SELECT DISTINCT email FROM s WHERE tema = 'todos los plenos'), na AS (SELECT DISTINCT email, tema FROM s WHERE tema <> 'todos los plenos' AND email NOT IN (SELECT email FROM wi)),
@@ -91,7 +91,7 @@ m AS (SELECT pleno_id, email, b.tema, chunk FROM na JOIN b ON na.tema = b.tema W
 def _send(spark, sf):
     c = table(spark, sf, "customer")
     tema = F.when(F.col("c_custkey") % 11 == 0, alerts.EVERYTHING).otherwise(F.lower("c_mktsegment"))
-    subs = c.filter("c_custkey < 120").select(F.col("c_custkey").alias("pos"), F.concat(F.lit("u"), "c_nationkey", F.lit("@x.es")).alias("email"), tema.alias("tema"), F.md5("c_name").alias("token"))
+    subs = c.select(F.col("c_custkey").alias("pos"), F.concat(F.lit("u"), "c_nationkey", F.lit("@x.es")).alias("email"), tema.alias("tema"), F.md5("c_name").alias("token"))
     o = table(spark, sf, "orders").filter("o_totalprice > 300000")
     found = o.join(c, o.o_custkey == c.c_custkey).select((F.col("o_orderkey") % 40).alias("pleno_id"), F.lower("c_mktsegment").alias("tema"), F.col("o_orderkey").alias("chunk"), F.round("o_totalprice", 2).alias("sim"))
     return alerts.matches(subs, found)
@@ -113,7 +113,7 @@ def alert_antidup(spark, sf):
 @query(f"""WITH {SUBS}, l AS (SELECT *, row_number() OVER (PARTITION BY email, tema ORDER BY pos DESC) k, min(pos) OVER (PARTITION BY email, tema) p FROM s) SELECT email, tema, token, p % 2 = 0 confirmado FROM l WHERE k = 1""")
 def subscription_upsert(spark, sf):
     """Subscribing again replaces the token; whether it was confirmed stays."""
-    c = table(spark, sf, "customer").filter("c_custkey < 120")
+    c = table(spark, sf, "customer")
     tema = F.when(F.col("c_custkey") % 11 == 0, alerts.EVERYTHING).otherwise(F.lower("c_mktsegment"))
     s = c.select(F.col("c_custkey").alias("pos"), F.concat(F.lit("u"), "c_nationkey", F.lit("@x.es")).alias("email"), tema.alias("tema"), F.md5("c_name").alias("token"))
     old = up.latest(s, ["email", "tema"], F.col("pos")).select("email", "tema", "token", (F.col("pos") % 2 == 0).alias("confirmado"))

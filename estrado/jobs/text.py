@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import record as rec
 from ..functions import text as tx
+from ..operators import sections
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -89,15 +91,16 @@ def clocks(spark, sf):
     return table(spark, sf, "events").select("event_id", tx.clock(s).alias("reloj"), tx.clock(s, pad=False).alias("acta"))
 
 
-@query("""WITH s AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) n, CAST(floor(value * 1000) AS BIGINT) ms, event_type FROM events)
-SELECT event_id, n || '\n' || printf('%02d:%02d:%02d,%03d', ms // 3600000, (ms // 60000) % 60, (ms // 1000) % 60, ms % 1000) || '\n' || event_type linea FROM s""".replace("\\n", "' || chr(10) || '").replace("|| '' ||", "||"))
+@query("""WITH s AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) n, round(value * 60, 3) a, round(value * 60, 3) + 2.5 b, event_type FROM events), t AS (SELECT *, printf('%02d:%02d:%02d,%03d', CAST(floor(a) AS BIGINT) // 3600, (CAST(floor(a) AS BIGINT) % 3600) // 60, CAST(floor(a) AS BIGINT) % 60, CAST(round((a - floor(a)) * 1000) AS INTEGER)) x,
+printf('%02d:%02d:%02d,%03d', CAST(floor(b) AS BIGINT) // 3600, (CAST(floor(b) AS BIGINT) % 3600) // 60, CAST(floor(b) AS BIGINT) % 60, CAST(round((b - floor(b)) * 1000) AS INTEGER)) y FROM s)
+SELECT event_id, n || chr(10) || x || ' --> ' || y || chr(10) || event_type || chr(10) linea FROM t""")
 def srt_lines(spark, sf):
+    """Captions of a session: number, from --> to, text, an empty line."""
     from pyspark.sql import Window
 
-    ms = F.floor(F.col("value") * 1000)
+    start = F.round(F.col("value") * 60, 3)
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    t = F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
-    return table(spark, sf, "events").select("event_id", F.concat_ws("\n", n.cast("string"), t, F.col("event_type")).alias("linea"))
+    return table(spark, sf, "events").select("event_id", rec.caption(n, start, start + 2.5, F.col("event_type")).alias("linea"))
 
 
 VOTE_TEXT = """CASE l_linenumber % 3 WHEN 0 THEN 'Votos emitidos, ' || 3 * q || '; a favor, ' || q || '; en contra, ' || 2 * q || '; abstenciones, 0. Fin'
@@ -151,12 +154,12 @@ def guardrail(spark, sf):
 
 
 @query(f"""WITH {ASKED} SELECT conv_id, turn, CASE WHEN regexp_matches(k, '{tx.NEWEST}') THEN 'reciente' WHEN regexp_matches(k, '{tx.OLDEST}') THEN 'antiguo' END orden,
-CAST(nullif(regexp_extract(k, '{tx.NUMBER}', 1), '') AS INTEGER) num, CAST(nullif(regexp_extract(k, '{tx.TERM}', 1), '') AS INTEGER) leg, {SQL_PARTY} partido, nullif(upper(regexp_extract(q, '(?i)DSCD-\\d+-PL-\\d+')), '') pleno FROM k""")
+CAST(nullif(regexp_extract(k, '{tx.NUMBER}', 1), '') AS INTEGER) num, CAST(nullif(regexp_extract(k, '{tx.TERM}', 1), '') AS INTEGER) leg, {SQL_PARTY} partido, nullif(upper(regexp_extract(q, '(?i)DSCD-\\d+-PL-\\d+')), '') pleno, nullif(trim(CASE WHEN contains(q, ':') THEN substr(q, strpos(q, ':') + 1) ELSE q END, ' ¿?¡!.' || chr(9) || chr(10)), '') tema FROM k""")
 def router(spark, sf):
     q = _questions(spark, sf)
     t = tx.temporal(F.col("q"))
     pleno = F.nullif(F.upper(F.regexp_extract("q", r"(?i)DSCD-\d+-PL-\d+", 0)), F.lit(""))
-    return q.select("conv_id", "turn", t["orden"].alias("orden"), t["num"].alias("num"), t["leg"].alias("leg"), tx.detect_party(F.col("q")).alias("partido"), pleno.alias("pleno"))
+    return q.select("conv_id", "turn", t["orden"].alias("orden"), t["num"].alias("num"), t["leg"].alias("leg"), tx.detect_party(F.col("q")).alias("partido"), pleno.alias("pleno"), rec.asked_topic(F.col("q")).alias("tema"))
 
 
 @query("""WITH a AS (SELECT conv_id, turn, 'Según [' || (turn % 5 + 1) || '] y [' || (conv_id % 9) || ', 3]' a FROM conversations), n AS (SELECT *, list_transform(regexp_extract_all(a, '\\[(\\d+)', 1), lambda x: CAST(x AS INTEGER)) n FROM a)
@@ -168,21 +171,20 @@ def citations_valid(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.size(n).cast("long").alias("citas"), (F.size(F.array_except(n, F.sequence(F.lit(1), F.lit(4)))) == 0).alias("validas"))
 
 
-@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) k FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE json_extract_string(props, '$.k') END partido, CASE WHEN event_id % 4 IN (2, 3) THEN NULL ELSE 'Ana ' || event_id END candidato, NULL::VARCHAR pleno, CASE WHEN event_id % 4 = 3 THEN NULL ELSE 'tema' END tema FROM events""")
 def json_extract(spark, sf):
-    """The first JSON object in noisy text; empty values are null, and so is what does not parse."""
-    noisy = F.concat(F.lit("Claro: ```json\n"), "props", F.lit("\n``` listo"))
-    j = F.from_json(F.regexp_extract(noisy, r"(?s)\{.*\}", 0), "k string")
-    return table(spark, sf, "events").select("event_id", F.nullif(j["k"], F.lit("")).alias("k"))
+    """The four keys of the first JSON object in noisy text; empty values are null, and all are where it does not parse."""
+    who = F.when(F.col("event_id") % 4 == 2, "").otherwise(F.concat(F.lit("Ana "), F.col("event_id").cast("string")))
+    j = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("partido"), who.alias("candidato"), F.lit("").alias("pleno"), F.lit("tema").alias("tema")))
+    noisy = F.concat(F.lit("Claro: ```json\n"), F.when(F.col("event_id") % 4 == 3, F.concat(F.lit("{sin comillas: "), j)).otherwise(j), F.lit("\n``` listo"))
+    keys = ("partido", "candidato", "pleno", "tema")
+    e = table(spark, sf, "events").select("event_id", F.from_json(F.regexp_extract(noisy, r"(?s)\{.*\}", 0), ", ".join(f"{k} string" for k in keys)).alias("j"))
+    return e.select("event_id", *[F.nullif(F.col(f"j.{k}"), F.lit("")).alias(k) for k in keys])
 
 
-STOP = ["that", "with", "this", "from", "para", "como", "dans", "avec", "pour", "eine"]
-
-
-@query(f"""WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(strip_accents(text)), '[a-z]+'), lambda w: length(w) > 3 AND NOT list_contains({STOP}, w))) w FROM benchmark) SELECT item_id, len(w) n, list_sort(w) palabras FROM t""")
+@query(f"""WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-záéíóúñ]+'), lambda w: length(w) > 3 AND NOT list_contains({rec.STOP_WORDS}, w))) w FROM benchmark) SELECT item_id, len(w) n, list_sort(w) palabras FROM t""")
 def content_tokens(spark, sf):
-    words = F.regexp_extract_all(F.lower(tx.bare(F.col("text"))), F.lit("[a-z]+"), F.lit(0))
-    w = F.sort_array(F.array_except(F.filter(words, lambda x: F.length(x) > 3), F.array(*[F.lit(s) for s in STOP])))
+    w = F.sort_array(rec.content_words(F.col("text")))
     return table(spark, sf, "benchmark").select("item_id", F.size(w).cast("long").alias("n"), w.alias("palabras"))
 
 
@@ -232,8 +234,40 @@ def follow_up(spark, sf):
     return c.select("conv_id", "turn", F.when((tx.word_count(F.col("text")) < 7) & F.col("p").isNotNull(), F.concat("p", F.lit(" "), "text")).otherwise(F.col("text")).alias("consulta"))
 
 
-@query("""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) s FROM documents) SELECT doc_id, count(*) secciones, sum(length(s)) FILTER (length(s) > 120) largo FROM s GROUP BY 1""")
+@query(r"""WITH t AS (SELECT doc_id, replace(text, chr(10), chr(10) || '## ') || chr(10) || '## Fin ![x](y.png) ' || text t FROM documents), s AS (SELECT doc_id, unnest(range(1, len(string_split(t, chr(10) || '## ')))) k, string_split(t, chr(10) || '## ') p FROM t),
+b AS (SELECT doc_id, k, trim(regexp_replace(regexp_replace(p[k + 1], '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\s+', ' ', 'g')) b FROM s) SELECT doc_id, CAST(k AS INTEGER) seccion, left(b, 1400) texto, true generado FROM b WHERE length(b) > 120""")
 def section_scan(spark, sf):
-    """Sections of a text, and the length of those that are long enough to keep."""
-    s = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("s"))
-    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("secciones"), F.sum(F.when(F.length("s") > 120, F.length("s"))).alias("largo"))
+    """Sections of a written manual, without images, of more than 120 characters, cut at 1400 and marked as generated. Every line of a document is a section here."""
+    t = F.concat(F.replace("text", F.lit("\n"), F.lit("\n## ")), F.lit("\n## Fin ![x](y.png) "), "text")
+    s = table(spark, sf, "documents").select("doc_id", F.explode(rec.sections(t)).alias("s"))
+    return s.select("doc_id", F.col("s.k").alias("seccion"), F.col("s.text").alias("texto"), F.lit(True).alias("generado"))
+
+
+@query(r"""WITH p AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) t FROM pages) SELECT page_id, url, t texto, length(t) n FROM p WHERE length(t) >= 60""")
+def page_scan(spark, sf):
+    """A manual's pages with 60 characters of text or more, spaces squeezed."""
+    p = table(spark, sf, "pages").select("page_id", "url", tx.squeeze(F.regexp_replace("html", "<[^>]*>", " ")).alias("texto"))
+    return p.withColumn("n", F.length("texto").cast("long")).filter("n >= 60")
+
+
+@query("""SELECT page_id, url FROM pages WHERE regexp_matches(lower(url), '(pleno|tion|ment)')""")
+def title_filter(spark, sf):
+    """Titles that a keyword of a list is in."""
+    return table(spark, sf, "pages").filter(tx.any_of(F.lower("url"), ["pleno", "tion", "ment"])).select("page_id", "url")
+
+
+@query(r"""WITH t AS (SELECT page_id, list_distinct(regexp_extract_all(s, '\b\d+(?:[.,]\d+)?\b') || list_transform(regexp_extract_all(s, '\b[A-Z][A-Za-z]{2,}\b'), lambda w: lower(w))) e FROM (SELECT page_id, regexp_replace(url, '[^\x00-\x7f]', '', 'g') || ' 3,5 Madrid' s FROM pages)) SELECT page_id, list_sort(e) entidades FROM t""")
+def entities(spark, sf):
+    """Numbers and capitalised words."""
+    u = F.concat(F.regexp_replace("url", r"[^\x00-\x7f]", ""), F.lit(" 3,5 Madrid"))
+    return table(spark, sf, "pages").select("page_id", F.sort_array(rec.entities(u)).alias("entidades"))
+
+
+@query("""WITH r AS (SELECT min_by(url, page_id) url, min(page_id) page_id, h FROM (SELECT page_id, url, sha1(url) h, 100 + page_id * 37 % 300 w, 80 + page_id * 53 % 200 hh, length(html) * 8 b FROM pages) WHERE w >= 200 AND hh >= 120 AND b >= 8192 GROUP BY h)
+SELECT page_id, url, h huella FROM r WHERE page_id % 10 <> 0""")
+def image_filter(spark, sf):
+    """Pictures of a manual large enough to be described, each content once, without those described already."""
+    p = table(spark, sf, "pages")
+    images = p.select("page_id", "url", F.sha1("url").alias("huella"), (100 + F.col("page_id") * 37 % 300).alias("width"), (80 + F.col("page_id") * 53 % 200).alias("height"), (F.length("html") * 8).alias("bytes"))
+    known = p.filter("page_id % 10 = 0").select(F.sha1("url").alias("huella"))
+    return sections.new_images(images, known, "page_id").select("page_id", "url", "huella")

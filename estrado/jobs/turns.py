@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import record as rec
 from ..operators import turns as op
 from ..sources.tables import SEG, segments, table
 
@@ -38,20 +39,52 @@ def lead_slices(spark, sf):
     return t.withColumn("hasta", F.lead("desde").over(Window.partitionBy("pleno_id").orderBy("turno")))
 
 
-#: What a chair's words announce, first match first: fixed values.
-ANNOUNCED = [("interpel", "Interpelaciones"), ("moci", "Mociones"), ("the", "Debate"), ("de", "Preguntas")]
+def _any(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
 
 
-@query("""WITH c AS (SELECT conv_id pleno_id, turn, role, lower(text) low FROM conversations),
-v AS (SELECT *, CASE WHEN role = 'user' THEN CASE WHEN contains(low, 'interpel') THEN 'Interpelaciones' WHEN contains(low, 'moci') THEN 'Mociones' WHEN contains(low, 'the') THEN 'Debate' WHEN contains(low, 'de') THEN 'Preguntas' END END t FROM c)
-SELECT pleno_id, turn, coalesce(last_value(t IGNORE NULLS) OVER (PARTITION BY pleno_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '') topic FROM v""")
+#: A chair's words by the turn's number, around words of the turn itself.
+SAID = ["Interpelación urgente sobre ", "El diputado formula una pregunta: ", "Una interpelación de ", "Moción: ", "Proposición no de ley, ", "Comparecencia de ", "Convalidación de ", "Debate de investidura ", "Presupuestos ", ""]
+SPOKEN = f"""c AS (SELECT conv_id pleno_id, turn, role, {SAID}[1 + (conv_id + turn) % 10] || regexp_replace(split_part(text, ' ', 1), '[^a-z]', '', 'g') || ' de la vivienda. Gracias' t FROM conversations), d AS (SELECT *, lower(t) low FROM c)"""
+
+
+@query(f"""WITH {SPOKEN}, v AS (SELECT *, CASE WHEN role = 'user' THEN CASE WHEN starts_with(t, 'Interpelación urgente sobre ') THEN trim(regexp_replace(regexp_extract(t, 'sobre (.*)[.] Gracias', 1), '\\s+', ' ', 'g'), ' .,;')
+{" ".join("WHEN " + " AND ".join(_any(w) for w in words) + f" THEN '{topic}'" for words, topic in rec.TOPICS)} END END x FROM d)
+SELECT pleno_id, turn, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY pleno_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '') topic FROM v""".replace("\\\\", "\\"))
 def topic_carry_forward(spark, sf):
-    """The chair's announcement sets a topic, which holds for all rows until the next one."""
-    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("pleno_id"), "turn", F.col("turn").alias("start"), F.col("turn").alias("seg_id"), "role", F.lower("text").alias("low"))
-    rule = F.when(F.lit(False), "")
-    for needle, name in ANNOUNCED:
-        rule = rule.when(F.contains("low", F.lit(needle)), name)
-    return op.carried(c, F.when(F.col("role") == "user", rule), "topic").select("pleno_id", "turn", "topic")
+    """The chair's announcement sets a topic by the ordered rules, which holds for all rows until the next one."""
+    w = F.regexp_replace(F.split_part("text", F.lit(" "), F.lit(1)), "[^a-z]", "")
+    t = F.concat(F.element_at(F.array(*[F.lit(x) for x in SAID]), ((F.col("conv_id") + F.col("turn")) % 10 + 1).cast("int")), w, F.lit(" de la vivienda. Gracias"))
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("pleno_id"), "turn", F.col("turn").alias("start"), F.col("turn").alias("seg_id"), "role", t.alias("t"))
+    return op.carried(c, F.when(F.col("role") == "user", rec.announced_topic(F.col("t"))), "topic").select("pleno_id", "turn", "topic")
+
+
+@query("""WITH s AS (SELECT conv_id, turn, regexp_split_to_array(CASE turn % 3 WHEN 0 THEN 'Pasamos al real decreto de ' || conv_id % 4 || ' medidas urgentes. ' WHEN 1 THEN 'Reducción de la jornada a ' || turn || ' horas semanales; Para presentar la iniciativa. ' ELSE 'Tiene la palabra el señor diputado. ' END || 'Gracias', '\\s') q FROM conversations WHERE role = 'user'),
+p AS (SELECT DISTINCT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Pasamos al real decreto de ' || conv_id % 4 || ' medidas urgentes.' WHEN 1 THEN 'Reducción de la jornada a ' || turn || ' horas semanales;' END s FROM s), f AS (SELECT conv_id, s, min(turn) t FROM p WHERE s IS NOT NULL GROUP BY 1, 2),
+k AS (SELECT conv_id, s, t FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, left(s, 50) ORDER BY t) k FROM f) WHERE k = 1) SELECT conv_id, left(string_agg(s, ' ' ORDER BY t), 800) orden FROM k GROUP BY 1""".replace("\\\\", "\\"))
+def agenda_blind(spark, sf):
+    """The agenda out of the chair's sentences: those that name a kind of point or are followed by who presents it, each beginning once, 800 characters."""
+    m = F.col("turn") % 3
+    t = F.when(m == 0, F.concat(F.lit("Pasamos al real decreto de "), (F.col("conv_id") % 4).cast("string"), F.lit(" medidas urgentes. "))).when(m == 1, F.concat(F.lit("Reducción de la jornada a "), F.col("turn").cast("string"), F.lit(" horas semanales; Para presentar la iniciativa. ")))
+    c = table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", F.concat(t.otherwise("Tiene la palabra el señor diputado. "), F.lit("Gracias")).alias("text"))
+    return op.blind_agenda(c, "conv_id", "turn", "text").select("conv_id", F.col("agenda").alias("orden"))
+
+
+@query("""WITH n AS (SELECT conv_id, turn, lead(text) OVER w a, lead(text, 2) OVER w b FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, coalesce(a, '') || ' ' || coalesce(b, '') siguientes FROM n""")
+def title_context(spark, sf):
+    """What the two segments after one say, for the title of a point called in it."""
+    return op.followed(table(spark, sf, "conversations"), "conv_id", "turn", "text", 2).select("conv_id", "turn", F.col("after").alias("siguientes"))
+
+
+@query(f"""WITH p AS (SELECT user_id asiento, event_type fase, count(*) n, avg(CASE WHEN value >= 60 THEN 1.0 ELSE 0.0 END) frac FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY asiento ORDER BY CASE WHEN n >= 2 AND frac >= 0.34 THEN frac ELSE 0 END DESC, CASE fase WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END) k FROM p), d AS (SELECT asiento, CASE WHEN n >= 2 AND frac >= 0.34 THEN fase END voto, frac FROM r WHERE k = 1)
+SELECT coalesce(voto, 'ninguno') voto, count(*) n, count(*) FILTER (voto IS NOT NULL AND frac >= 0.60) seguros, coalesce(list_sort(list(asiento) FILTER (voto IS NOT NULL AND frac < 0.60)), []) revisar FROM d GROUP BY 1""")
+def vote_counts(spark, sf):
+    """Votes by phase, how many of them sure, and the seats to look at again; of equal shares the earlier phase."""
+    e = table(spark, sf, "events").filter(F.col("event_type").isin("view", "click", "purchase"))
+    d = op.seat_votes(e.select(F.col("user_id").alias("asiento"), F.col("event_type").alias("fase"), F.col("value").alias("rel")), ["view", "click", "purchase"], REL, FRAC, MIN_DETS)
+    unsure = F.when(F.col("voto").isNotNull() & (F.col("frac") < SURE), F.col("asiento"))
+    return d.groupBy(F.coalesce("voto", F.lit("ninguno")).alias("voto")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("voto").isNotNull() & (F.col("frac") >= SURE)).alias("seguros"), F.sort_array(F.collect_list(unsure)).alias("revisar"))
 
 
 @query(f"""WITH {SEG}, m AS (SELECT pleno_id, speaker, min(struct_pack(a := start, b := seg_id)) f FROM seg GROUP BY 1, 2) SELECT pleno_id, speaker, 'Voz ' || row_number() OVER (PARTITION BY pleno_id ORDER BY f) voz FROM m""")
@@ -230,35 +263,33 @@ def nearest_seat(spark, sf):
     return e.select("event_id", F.when(F.col("s.dist") <= 42, F.col("s.asiento")).alias("asiento"), F.round("s.dist", 6).alias("dist"))
 
 
-@query(f"""WITH {SEG}, a AS (SELECT pleno_id, min(start) FILTER (speaker = 'click') favor FROM seg GROUP BY 1),
-b AS (SELECT seg.pleno_id, any_value(favor) favor, min(start) FILTER (speaker = 'error' AND start > favor) contra FROM seg JOIN a ON seg.pleno_id = a.pleno_id GROUP BY 1)
-SELECT seg.pleno_id, any_value(favor) favor, any_value(contra) contra, min(start) FILTER (speaker = 'purchase' AND start > contra) abstencion FROM seg JOIN b ON seg.pleno_id = b.pleno_id GROUP BY 1""")
+@query(f"""WITH {SEG}, a AS (SELECT pleno_id, min(start) FILTER (speaker = 'click') favor FROM seg GROUP BY 1), b AS (SELECT seg.pleno_id, any_value(favor) favor, min(start) FILTER (speaker = 'error' AND start >= favor) contra FROM seg JOIN a ON seg.pleno_id = a.pleno_id GROUP BY 1),
+c AS (SELECT seg.pleno_id, any_value(favor) favor, any_value(contra) contra, min(start) FILTER (speaker = 'purchase' AND start >= contra) x FROM seg JOIN b ON seg.pleno_id = b.pleno_id WHERE contra > favor GROUP BY 1), d AS (SELECT *, CASE WHEN x > contra THEN x ELSE contra + contra - favor END abst FROM c),
+e AS (SELECT seg.pleno_id, any_value(favor) favor, any_value(contra) contra, any_value(abst) abst, min(start) FILTER (speaker = 'signup' AND start >= abst) y FROM seg JOIN d ON seg.pleno_id = d.pleno_id GROUP BY 1)
+SELECT pleno_id, round(favor, 1) favor, round(contra, 1) contra, round(abst, 1) abstencion, round(CASE WHEN y > abst THEN y ELSE abst + greatest(1.5, contra - favor) END, 1) fin FROM e""")
 def vote_phases(spark, sf):
-    """The first call of each phase after the call of the phase before it."""
-    whole = Window.partitionBy("pleno_id")
-    s = segments(spark, sf)
-    s = s.withColumn("favor", F.min(F.when(F.col("speaker") == "click", F.col("start"))).over(whole))
-    s = s.withColumn("contra", F.min(F.when((F.col("speaker") == "error") & (F.col("start") > F.col("favor")), F.col("start"))).over(whole))
-    last = F.min(F.when((F.col("speaker") == "purchase") & (F.col("start") > F.col("contra")), F.col("start")))
-    return s.groupBy("pleno_id").agg(F.first("favor").alias("favor"), F.first("contra").alias("contra"), last.alias("abstencion"))
+    """Calls of a vote in their order: for, against after it, abstentions after that or as long again; the end by its own word or as long again."""
+    s = segments(spark, sf).select("pleno_id", "start", F.replace(F.replace(F.replace(F.replace("speaker", F.lit("click"), F.lit("a favor")), F.lit("error"), F.lit("en contra")), F.lit("purchase"), F.lit("abstenciones")), F.lit("signup"), F.lit("se aprueba")).alias("word"))
+    return op.vote_phases(s, "pleno_id")
 
 
-@query("""WITH p AS (SELECT event_type fase, date_trunc('hour', ts) t, count(*) n FROM events WHERE value >= 60 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY fase ORDER BY n DESC, t) k FROM p)
-SELECT fase, strftime(t, '%Y-%m-%d %H') hora, n FROM r WHERE k = 1""")
+@query("""WITH p AS (SELECT event_type fase, date_trunc('hour', ts) t, count(*) FILTER (value >= 60) n, count(*) manos FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY fase ORDER BY n DESC, t) k FROM p)
+SELECT fase, strftime(t, '%Y-%m-%d %H') hora, n, manos, k = 1 pico FROM r""")
 def peak_frame(spark, sf):
-    p = table(spark, sf, "events").filter("value >= 60").groupBy(F.col("event_type").alias("fase"), F.date_trunc("hour", "ts").alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    k = F.row_number().over(Window.partitionBy("fase").orderBy(F.desc("n"), "t"))
-    return p.withColumn("k", k).filter("k = 1").select("fase", F.date_format("t", "yyyy-MM-dd HH").alias("hora"), "n")
+    """Hands up by phase and frame (here an hour), and each phase's first frame with most of them."""
+    e = table(spark, sf, "events").select(F.col("event_type").alias("fase"), F.date_trunc("hour", "ts").alias("t"), F.col("value").alias("rel"))
+    return op.frame_profile(e, REL).select("fase", F.date_format("t", "yyyy-MM-dd HH").alias("hora"), "n", "manos", "pico")
 
 
-@query("""WITH h AS (SELECT l_orderkey, l_linenumber, l_extendedprice ys, l_extendedprice - l_quantity * 100 yh, l_extendedprice * (1 - l_discount) yc FROM lineitem)
-SELECT l_orderkey, l_linenumber, CASE WHEN abs(ys - yc) >= 4 THEN round((ys - yh) / (ys - yc), 6) END rel FROM h""")
+@query("""WITH h AS (SELECT l_orderkey, l_linenumber, l_extendedprice ys, l_extendedprice * (1 - l_discount) yh, l_extendedprice - l_quantity * 100 yw, l_extendedprice - l_quantity * 50 ye, l_linenumber % 5 / 10.0 cw, l_linenumber % 7 / 10.0 ce FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN ys - yh >= 4 THEN round((ys - CASE WHEN cw > 0.25 THEN yw WHEN ce > 0.50 THEN ye END) / (ys - yh), 6) END rel FROM h""")
 def hand_height(spark, sf):
-    """Height of a hand over the shoulder in heads; null where shoulder and head are less than 4 apart."""
-    ys = F.col("l_extendedprice")
-    yh, yc = ys - F.col("l_quantity") * 100, ys * (1 - F.col("l_discount"))
-    rel = F.when(F.abs(ys - yc) >= 4, F.round((ys - yh) / (ys - yc), 6))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", rel.alias("rel"))
+    """Height of a hand over the shoulders in heads, by the wrist or, where that is doubtful, the elbow; null where neither is seen or shoulder and head are less than 4 apart."""
+    y, q, k = F.col("l_extendedprice").cast("double"), F.col("l_quantity").cast("double"), F.col("l_linenumber")
+    zero, one = F.lit(0.0), F.lit(1.0)
+    points = {"head0": y * (1 - F.col("l_discount").cast("double")), "shoulder0": y, "shoulder1": y, "wrist0": y - q * 100, "elbow0": y - q * 50, "wrist1": y, "elbow1": y, **{f"head{i}": y for i in range(1, 5)}}
+    sure = {"head0": one, "shoulder0": one, "shoulder1": zero, "wrist0": k % 5 / 10.0, "elbow0": k % 7 / 10.0, "wrist1": zero, "elbow1": zero, **{f"head{i}": zero for i in range(1, 5)}}
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(rec.hand(points, sure), 6).alias("rel"))
 
 
 @query(f"""WITH {SEG} SELECT pleno_id, seg_id FROM seg WHERE start >= 1704448800 AND start < 1704535200""")

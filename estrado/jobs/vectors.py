@@ -41,11 +41,11 @@ def centroids(c):
     return mean_vector(c, ["label"], "vec").select("label", unit(F.col("centroid")).alias("cv"))
 
 
-@query(f"""WITH {E}, s AS (SELECT q.id qid, e.id, round({DOT.format("q.v", "e.v")}, 6) sim FROM e q, e WHERE q.id % 100 = 0 AND e.label IN (1, 3, 5)),
+@query(f"""WITH {E}, s AS (SELECT q.id qid, e.id, round({DOT.format("q.v", "e.v")}, 6) sim FROM e q, e WHERE q.id % 20 = 0 AND e.label IN (1, 3, 5)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS INTEGER) rank FROM s) SELECT * FROM r WHERE rank <= 8""")
 def knn_filtered(spark, sf):
     c = chunks(spark, sf)
-    s = op.against(c.filter(F.col("label").isin(1, 3, 5)).select("id", "vec"), asked(c, 100)).select("qid", "id", F.round(dot("qvec", "vec"), 6).alias("sim"))
+    s = op.against(c.filter(F.col("label").isin(1, 3, 5)).select("id", "vec"), asked(c, 20)).select("qid", "id", F.round(dot("qvec", "vec"), 6).alias("sim"))
     return op.ranked(s, ["qid"], 8, "id")
 
 
@@ -140,12 +140,12 @@ def max_sim_coverage(spark, sf):
     return best.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("cubiertos"), F.round(F.avg(ok.cast("double")), 6).alias("cobertura"), F.round(F.avg("sim"), 6).alias("media"))
 
 
-@query(f"""WITH {E}, s AS (SELECT q.id qid, e.id, {DOT.format("q.v", "e.v")} sim FROM e q, e WHERE q.id % 50 = 0 AND e.id % 50 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) k FROM s)
+@query(f"""WITH {E}, s AS (SELECT q.id qid, e.id, {DOT.format("q.v", "e.v")} sim FROM e q, e WHERE q.id % 20 = 0 AND e.id <> q.id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) k FROM s)
 SELECT qid, string_agg('c' || id, ' ' ORDER BY k) premisa FROM r WHERE k <= 4 GROUP BY 1""")
 def premise_topk(spark, sf):
     """The four nearest sources of each claim as one premise, nearest first."""
     c = chunks(spark, sf)
-    r = op.knn(asked(c, 50), c.filter("id % 50 <> 0").select("id", "vec"), 4)
+    r = op.ranked(op.against(c.select("id", "vec"), asked(c, 20)).filter("id <> qid").select("qid", "id", dot("qvec", "vec").alias("sim")), ["qid"], 4, "id")
     p = F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: F.concat(F.lit("c"), x["id"]))
     return r.groupBy("qid").agg(F.array_join(p, " ").alias("premisa"))
 
@@ -185,23 +185,28 @@ def voice_clarity(spark, sf):
 
 
 @query(f"""WITH {E}, s AS (SELECT q.id qid, q.label ql, e.label el, e.id, {DOT.format("q.v", "e.v")} sim FROM e q, e WHERE q.id % 20 = 0 AND e.id <> q.id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) k FROM s),
-b AS (SELECT qid, any_value(ql) ql, bool_or(ql = el) FILTER (k <= 6) hit FROM r GROUP BY 1) SELECT ql label, count(*) n, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) hit6 FROM b GROUP BY 1""")
+o AS (SELECT *, id % 10 <> 3 AND id % 4 < 3 AND ql = el ok, qid % 40 = 0 paginas, abs(id % 50 - qid % 50) <= 10 pag FROM r WHERE k <= 6), b AS (SELECT qid, any_value(ql) ql, bool_or(ok) hit, bool_or(ok AND pag) page, any_value(paginas) paginas FROM o GROUP BY 1)
+SELECT ql label, count(*) n, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) hit6, count(*) FILTER (paginas) con_pagina, count(*) FILTER (paginas AND page) pagina6 FROM b GROUP BY 1""")
 def hit_at_k(spark, sf):
-    """Share of questions of which one of the six best answers is of the expected label."""
+    """Share of questions of which one of the six best answers is of the expected manual and kind; of those that name pages, how many hit one. Generated answers don't count."""
     c = chunks(spark, sf)
     q = c.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("label").alias("ql"), F.col("vec").alias("qvec"))
     s = op.against(c, q).filter("id <> qid").select("qid", "ql", "label", "id", dot("qvec", "vec").alias("sim"))
-    b = op.ranked(s, ["qid"], 6, "id").groupBy("qid").agg(F.first("ql").alias("ql"), F.bool_or(F.col("ql") == F.col("label")).alias("hit"))
-    return b.groupBy(F.col("ql").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit6"))
+    official, kind = F.col("id") % 10 != 3, F.col("id") % 4 < 3
+    ok = official & kind & (F.col("ql") == F.col("label"))
+    page = F.abs(F.col("id") % 50 - F.col("qid") % 50) <= 10
+    b = op.ranked(s, ["qid"], 6, "id").groupBy("qid").agg(F.first("ql").alias("ql"), F.bool_or(ok).alias("hit"), F.bool_or(ok & page).alias("page"))
+    paged = F.col("qid") % 40 == 0
+    return b.groupBy(F.col("ql").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit6"), F.count_if(paged).alias("con_pagina"), F.count_if(paged & F.col("page")).alias("pagina6"))
 
 
-REL = f"""s AS (SELECT q.id qid, e.id, e.label, {DOT.format("q.v", "e.v")} sim FROM e q, e WHERE q.id % 50 = 0 AND e.id <> q.id)"""
+REL = f"""s AS (SELECT q.id qid, e.id, e.label, {DOT.format("q.v", "e.v")} sim FROM e q, e WHERE q.id % 20 = 0 AND e.id <> q.id)"""
 
 
 @query(f"""WITH {E}, {REL}, m AS (SELECT *, max(sim) OVER (PARTITION BY qid) b FROM s) SELECT qid, id, round(sim, 6) sim FROM m WHERE sim >= 0.32 AND sim >= b - 0.12""")
 def relative_threshold(spark, sf):
     c = chunks(spark, sf)
-    s = op.against(c.select("id", "vec"), asked(c, 50)).filter("id <> qid").select("qid", "id", dot("qvec", "vec").alias("sim")).filter("sim >= 0.32")
+    s = op.against(c.select("id", "vec"), asked(c, 20)).filter("id <> qid").select("qid", "id", dot("qvec", "vec").alias("sim")).filter("sim >= 0.32")
     best = s.groupBy("qid").agg(F.max("sim").alias("b"))
     return s.join(best, "qid").filter(F.col("sim") >= F.col("b") - 0.12).select("qid", "id", F.round("sim", 6).alias("sim"))
 
@@ -212,7 +217,7 @@ SELECT qid, id, pos FROM r WHERE pos <= 8""")
 def soft_scope(spark, sf):
     """Five places for answers in scope, three for those out of it; the scope empty, the others alone."""
     c = chunks(spark, sf)
-    s = op.against(c, asked(c, 50)).filter("id <> qid").select("qid", "id", F.when(F.col("label") == F.col("qid") % 10, 0).otherwise(1).alias("o"), dot("qvec", "vec").alias("sim"))
+    s = op.against(c, asked(c, 20)).filter("id <> qid").select("qid", "id", F.when(F.col("label") == F.col("qid") % 10, 0).otherwise(1).alias("o"), dot("qvec", "vec").alias("sim"))
     k = F.row_number().over(Window.partitionBy("qid", "o").orderBy(F.desc("sim"), "id"))
     u = s.withColumn("k", k).filter(F.col("k") <= F.when(F.col("o") == 0, 5).otherwise(3))
     return u.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("o", "k"))).filter("pos <= 8").select("qid", "id", "pos")
@@ -225,7 +230,7 @@ def priority_concat(spark, sf):
     """Slots by kind, the first of equal metadata, six in all."""
     c = chunks(spark, sf)
     kind = F.when(F.col("label") < 6, "pdf").when(F.col("label") < 9, "video").otherwise("generado")
-    s = op.against(c, asked(c, 50)).filter("id <> qid").select("qid", "id", kind.alias("tipo"), dot("qvec", "vec").alias("sim"))
+    s = op.against(c, asked(c, 20)).filter("id <> qid").select("qid", "id", kind.alias("tipo"), dot("qvec", "vec").alias("sim"))
     s = op.ranked(s, ["qid", "tipo"], 12, "id", name="k")
     slot = F.when((F.col("tipo") == "pdf") & (F.col("k") <= 4), 0).when((F.col("tipo") == "video") & (F.col("k") <= 2), 1).when(F.col("tipo") == "pdf", 2).when(F.col("tipo") == "video", 3).otherwise(4)
     s = s.withColumn("slot", slot)
@@ -245,12 +250,12 @@ def focus_compress(spark, sf):
 
 
 @query(f"""WITH {E}, x AS (SELECT id qid, v FROM e WHERE id % 10 = 0), s AS (SELECT y.id, max({DOT.format("x.v", "y.v")}) sim FROM e y, x WHERE y.id % 10 <> 0 GROUP BY 1), t AS (SELECT * FROM s WHERE sim < 0.75 ORDER BY sim, id LIMIT 12)
-SELECT id, round(sim, 6) sim FROM t""")
+SELECT id, round(sim, 6) sim, CAST(row_number() OVER (ORDER BY id % 7, id) AS INTEGER) pos FROM t""")
 def new_fragments(spark, sf):
-    """The twelve fragments of a new version that are least like any old one."""
+    """The twelve fragments of a new version that are least like any old one, put back into the order of their pages (id modulo 7)."""
     c = chunks(spark, sf)
     best = op.max_similarity(c.filter("id % 10 <> 0").select("id", "vec"), asked(c, 10))
-    return best.filter("sim < 0.75").orderBy("sim", "id").limit(12).select("id", F.round("sim", 6).alias("sim"))
+    return best.filter("sim < 0.75").orderBy("sim", "id").limit(12).select("id", F.round("sim", 6).alias("sim"), F.row_number().over(Window.orderBy(F.col("id") % 7, "id")).alias("pos"))  # twelve rows
 
 
 @query(f"""WITH {E}, g AS (SELECT id % 40 voz, label, id, v FROM e), n AS (SELECT voz, count(*) n FROM g GROUP BY 1), t AS (SELECT g.* FROM g JOIN n ON g.voz = n.voz AND n <= 12), b AS (SELECT g.* FROM g JOIN n ON g.voz = n.voz AND n > 12),

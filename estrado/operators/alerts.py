@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EVERYTHING = "todos los plenos"
+#: Most topics that the catalogue may have.
+TOPICS = 5_000
 
 
 def matches(subs: DataFrame, found: DataFrame, per_topic: int = 3) -> DataFrame:
@@ -20,6 +22,9 @@ def matches(subs: DataFrame, found: DataFrame, per_topic: int = 3) -> DataFrame:
     wild = subs.filter(F.col("tema") == EVERYTHING).select("email").distinct()
     named = subs.filter(F.col("tema") != EVERYTHING).select("email", "tema").distinct().join(wild, "email", "left_anti")
     one = named.join(best, "tema").select("pleno_id", "email", "tema", "chunk")
-    topics = found.select("tema").distinct()  # a closed catalogue
-    each = wild.crossJoin(F.broadcast(topics)).join(best.filter("k = 1"), "tema").select("pleno_id", "email", "tema", "chunk")
+    topics = sorted(r[0] for r in found.select("tema").filter("tema is not null").distinct().limit(TOPICS + 1).collect())
+    if len(topics) > TOPICS:
+        raise ValueError(f"topics are a closed catalogue of at most {TOPICS}")
+    all_ = F.explode(F.array(*[F.lit(t) for t in topics]).cast("array<string>")).alias("tema")
+    each = wild.select("email", all_).join(best.filter("k = 1"), "tema").select("pleno_id", "email", "tema", "chunk")
     return one.union(each).join(token, "email")

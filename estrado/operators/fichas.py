@@ -42,12 +42,69 @@ def recent_sessions(iv: DataFrame, by: str, k: int = 8) -> DataFrame:
 
 
 def evolution(iv: DataFrame, period: str = "legislatura", topic: str = "topic", k: int = 3) -> DataFrame:
-    """By period: counts, distinct sessions, first and last date, and the k most frequent topics as one list."""
-    total = iv.groupBy(period).agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("pleno_id").alias("n_plenos"), F.min("fecha_iso").alias("desde"), F.max("fecha_iso").alias("hasta")
+    """By period: counts, distinct sessions, first and last date, and the k most frequent topics as one list.
+
+    Rows are counted once by (period, session, topic); totals, distinct sessions and topics all come from that.
+    """
+    by = iv.groupBy(period, "pleno_id", topic).agg(F.count(F.lit(1)).alias("n"), F.min("fecha_iso").alias("desde"), F.max("fecha_iso").alias("hasta"))
+    sessions = by.groupBy(period, "pleno_id").agg(F.sum("n").alias("n"), F.min("desde").alias("desde"), F.max("hasta").alias("hasta"))
+    total = sessions.groupBy(period).agg(F.sum("n").alias("n"), F.count("pleno_id").alias("n_plenos"), F.min("desde").alias("desde"), F.max("hasta").alias("hasta"))
+    topics = by.filter(F.coalesce(F.col(topic), F.lit("")) != "").groupBy(period, topic).agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(period).orderBy(F.desc("n"), topic))
+    return total.join(_listed(topics.withColumn("rank", rank).filter(F.col("rank") <= k), period, F.col(topic), "temas"), period, "left")
+
+
+def _listed(top: DataFrame, by: str, value: Column, name: str) -> DataFrame:
+    """The ranked rows of each key, at most some tens, as one text."""
+    t = top.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("rank", value.alias("v")))).alias("t"))
+    return t.select(by, F.array_join(F.transform("t", lambda x: x["v"]), "|").alias(name))
+
+
+def party(iv: DataFrame, k: int = 10) -> DataFrame:
+    """By party: counts, sessions, speakers, dates, words, and its k commonest speakers and topics."""
+    total = head(iv, "party").join(iv.groupBy("party").agg(F.countDistinct("speaker").alias("oradores")), "party")
+    for facet, name in (("speaker", "oradores_top"), ("topic", "temas")):
+        total = total.join(_listed(top_facets(iv, "party", facet, k), "party", F.col(facet), name), "party", "left")
+    return total
+
+
+VOTES = "array<struct<a_favor:int,en_contra:int,abstenciones:int>>"
+
+
+def session(heads: DataFrame, iv: DataFrame, k: int = 10) -> DataFrame:
+    """Every session of heads(pleno_id, fecha, legislatura, tema_sesion, votaciones_json) with what was said in it.
+
+    The rows of a session are first counted by speaker and by (party, topic); all else comes from those counts. A session without rows, or
+    whose votes do not parse, has empty lists.
+    """
+    words = iv.filter(substantive()).groupBy("pleno_id", "speaker").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w"))
+    rank = F.row_number().over(Window.partitionBy("pleno_id").orderBy(F.desc("w"), "speaker"))
+    top = _listed(words.withColumn("rank", rank).filter(F.col("rank") <= k), "pleno_id", F.concat_ws(":", "speaker", "n", "w"), "oradores")
+    pairs = iv.groupBy("pleno_id", "party", "topic").agg(F.count(F.lit(1)).alias("n"))
+    by_party = pairs.groupBy("pleno_id", "party").agg(F.sum("n").alias("n"), F.collect_set(F.nullif("topic", F.lit(""))).alias("temas"))
+    row = F.when(F.coalesce("party", F.lit("")) != "", F.struct((-F.col("n")).alias("o"), "party", "n"))
+    facts = by_party.groupBy("pleno_id").agg(F.sum("n").alias("intervenciones"), F.array_sort(F.collect_list(row)).alias("p"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("temas")))).alias("t"))
+    split = F.when(F.size("p") > 0, F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["party"], x["n"].cast("string"))), "|"))
+    topics = F.when(F.size("t") > 0, F.array_join("t", "|"))
+    votes = F.coalesce(F.from_json("votaciones_json", VOTES), F.array().cast(VOTES))
+    said = F.array_join(F.transform(votes, lambda v: F.concat_ws("-", *[v[c].cast("string") for c in ("a_favor", "en_contra", "abstenciones")])), "|")
+    out = heads.join(facts, "pleno_id", "left").join(top, "pleno_id", "left")
+    return out.select("pleno_id", "fecha", "legislatura", "tema_sesion", F.coalesce("intervenciones", F.lit(0)).alias("intervenciones"), split.alias("reparto"), "oradores", topics.alias("temas"), F.size(votes).alias("n_votaciones"), said.alias("votaciones"))
+
+
+def quality(iv: DataFrame, voted: DataFrame) -> DataFrame:
+    """By term: counts of roles, shares without party and with topic, deputies of several parties; of voted(legislatura, voted), a row for each session, the share."""
+    deputy = F.col("role") == "diputado"
+    by = iv.groupBy("legislatura", "speaker").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") == "presidencia").alias("chair"), F.count_if(deputy).alias("deputies"), F.count_if(deputy & (F.col("party") == "")).alias("bare"), F.count_if(F.coalesce("topic", F.lit("")) != "").alias("topic"),
+        F.countDistinct(F.when(deputy, F.nullif("party", F.lit("")))).alias("parties"),
+    )
+    pct = lambda part, of: F.round(100 * F.sum(part) / F.greatest(F.sum(of), F.lit(1)), 2)
+    facts = by.groupBy("legislatura").agg(
+        F.sum("n").alias("n"), F.sum("chair").alias("presidencia"), F.sum("deputies").alias("diputados"), pct("bare", "deputies").alias("pct_sin_partido"), pct("topic", "n").alias("pct_con_tema"), F.count_if(F.col("parties") > 1).alias("varios")
     )
-    top = top_facets(iv, period, topic, k).groupBy(period).agg(F.sort_array(F.collect_list(F.struct("rank", topic))).alias("t"))
-    return total.join(top, period, "left").withColumn("temas", F.array_join(F.transform("t", lambda x: x[topic]), "|")).drop("t")
+    v = voted.groupBy("legislatura").agg(F.round(100 * F.count_if(F.col("voted")) / F.count(F.lit(1)), 2).alias("pct_con_votos"))
+    return facts.join(v, "legislatura", "left")
 
 
 def prune_stats(iv: DataFrame, thresholds: list[int]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gazette as gz
 from ..functions import record as rec
+from .components import written
 
 #: Shorter names are looked up as they are, and without spaces, only.
 LEAST = 6
@@ -48,7 +49,8 @@ def registry_hits(names: DataFrame, registry: DataFrame) -> DataFrame:
 
     registry is (leg, key). Where no key is one edit away, a beginning at a word's end decides. Several keys alike without spaces: the smallest.
     """
-    q, r = names.select("leg", "name").distinct(), registry.select("leg", "key").distinct()
+    # each is read several times
+    q, r = written(names.select("leg", "name").distinct(), "names"), written(registry.select("leg", "key").distinct(), "registry")
     same = q.join(r.withColumn("name", F.col("key")), ["leg", "name"]).select("leg", "name", "key", F.lit(1).alias("via"))
     t = r.groupBy("leg", tight("key").alias("t")).agg(F.min("key").alias("key"))
     spaced = q.withColumn("t", tight("name")).join(t, ["leg", "t"]).select("leg", "name", "key", F.lit(2).alias("via"))
@@ -63,7 +65,7 @@ def registry_hits(names: DataFrame, registry: DataFrame) -> DataFrame:
     only = F.when(F.col("near") == 1, F.col("k1")).when((F.col("near") == 0) & (F.col("all") == 1), F.col("k0"))
     fuzzy = n.select("leg", "name", only.alias("key"), F.lit(3).alias("via")).filter("key is not null")
     first = F.row_number().over(Window.partitionBy("leg", "name").orderBy("via"))
-    return same.union(spaced).union(fuzzy).withColumn("r", first).filter("r = 1").drop("r", "via")
+    return written(same.union(spaced).union(fuzzy).withColumn("r", first).filter("r = 1").drop("r", "via"), "hits")
 
 
 def resolve(names: DataFrame, overrides: DataFrame, summaries: DataFrame, registry: DataFrame) -> DataFrame:
@@ -73,7 +75,8 @@ def resolve(names: DataFrame, overrides: DataFrame, summaries: DataFrame, regist
     registry(leg, key, sigla, canon) by registry_hits; else "". canon is the registry's own form, null where it has none. Each table
     has one row for a key.
     """
-    q = names.select("leg", "name").distinct()
+    q = written(names.select("leg", "name").distinct(), "asked")
+    summaries = written(summaries, "summaries")
     hit = registry_hits(q, registry).join(registry.select("leg", "key", F.col("sigla").alias("registered"), "canon"), ["leg", "key"]).drop("key")
     own = overrides.filter("leg is not null").select("leg", "name", F.col("sigla").alias("own"))
     any_ = overrides.filter("leg is null").select("name", F.col("sigla").alias("always"))
@@ -102,6 +105,7 @@ def attach(speeches: DataFrame, overrides: DataFrame, summaries: DataFrame, regi
     titled = rec.in_government(F.col("_s"))
     name = F.when(F.col("_b") == "gobierno", F.when(titled, F.col("_p")).otherwise(F.col("_s"))).when(F.col("_b") == "diputado", F.col("_s"))
     d = d.withColumns({"_name": name, "_office": F.when(titled, F.col("_s")).otherwise(F.col("_p")), "_key": F.nullif(rec.registry_name(name), F.lit(""))})
+    d = written(d, "speeches")
     known = resolve(d.filter("_key is not null").select("leg", F.col("_key").alias("name")), overrides, summaries, registry)
     d = d.join(known.select("leg", F.col("name").alias("_key"), "sigla", "canon"), ["leg", "_key"], "left")
     first = rec.is_first_name(F.col("_p"))

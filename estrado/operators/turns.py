@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import record as rec
+
 
 def session():
     """A session's rows in order."""
@@ -95,3 +97,74 @@ def mode_of(x: DataFrame, by: list[str], value: str, position: str) -> DataFrame
     n = x.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("first"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "first"))
     return n.withColumn("k", rank).filter("k = 1").select(*by, value, "n")
+
+
+def followed(rows: DataFrame, session_: str, order: str, text: str, n: int) -> DataFrame:
+    """rows with after: the texts of the next n rows of the session, joined by spaces; missing ones are empty."""
+    w = Window.partitionBy(session_).orderBy(order)
+    return rows.withColumn("after", F.concat_ws(" ", *[F.coalesce(F.lead(text, i).over(w), F.lit("")) for i in range(1, n + 1)]))
+
+
+def blind_agenda(rows: DataFrame, session_: str, order: str, text: str, most: int = 800) -> DataFrame:
+    """(session, agenda) of the chair's rows: sentences that describe a point, in order, one for each beginning of 50 characters, most characters in all.
+
+    Only sentences that begin before the limit are gathered, so a session's list is as short as its agenda.
+    """
+    s = rows.select(session_, order, rec.agenda_sentences(F.col(text)).alias("s"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("s")), lambda i: F.struct(i.alias("i"), F.element_at("s", i).alias("s"), F.try_element_at("s", i + 1).alias("after")))
+    s = s.select(session_, order, F.explode(pairs).alias("p")).filter(rec.names_a_point(F.col("p.s"), F.col("p.after")))
+    s = s.select(session_, order, F.col("p.i").alias("i"), rec.squeeze(F.col("p.s")).alias("s"), F.left(rec.simple(F.col("p.s")), F.lit(50)).alias("key"))
+    s = s.withColumn("k", F.row_number().over(Window.partitionBy(session_, "key").orderBy(order, "i"))).filter("k = 1")
+    before = F.coalesce(F.sum(F.length("s") + 1).over(Window.partitionBy(session_).orderBy(order, "i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = s.withColumn("at", before).filter(F.col("at") < most)
+    g = s.groupBy(session_).agg(F.sort_array(F.collect_list(F.struct("at", "s"))).alias("l"))
+    return g.select(session_, F.left(F.array_join(F.transform("l", lambda x: x["s"]), " "), F.lit(most)).alias("agenda"))
+
+
+def called_points(seg: DataFrame, gap: float = 2.0) -> DataFrame:
+    """(pleno_id, seg_id, start, title) of the segments that call a point of the agenda, without those less than gap after the last one kept.
+
+    The title comes from what follows the call and from the two next segments. Calls of a session are some tens, which one fold passes over.
+    """
+    s = followed(seg.select("pleno_id", "seg_id", "start", rec.text_of(F.col("text")).alias("text")).withColumn("o", F.struct("start", "seg_id")), "pleno_id", "o", "text", 2)
+    s = s.filter(F.rlike("text", F.lit(rec.POINT)))
+    tail = F.regexp_replace("text", r"(?s)^.*?" + rec.POINT, "")
+    title = rec.point_title(F.concat(tail, F.lit(" "), "after"))
+    g = s.groupBy("pleno_id").agg(F.sort_array(F.collect_list(F.struct("start", "seg_id", title.alias("title")))).alias("calls"))
+    empty = F.array().cast(g.schema["calls"].dataType)
+    kept = F.aggregate("calls", empty, lambda a, x: F.when((F.size(a) > 0) & (x["start"] - F.element_at(a, -1)["start"] < gap), a).otherwise(F.concat(a, F.array(x))))
+    return g.select("pleno_id", F.explode(kept).alias("c")).select("pleno_id", "c.seg_id", "c.start", "c.title")
+
+
+def seat_votes(hands: DataFrame, phases: list[str], rel: float, frac: float, least: int) -> DataFrame:
+    """(asiento, voto, frac) of hands(asiento, fase, rel): the phase in whose frames the hand is up most, if often enough; of equal ones the earlier, else none."""
+    p = hands.groupBy("asiento", "fase").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("rel") >= rel).cast("double")).alias("frac"))
+    good = (F.col("n") >= least) & (F.col("frac") >= frac)
+    order = F.array_position(F.array(*[F.lit(x) for x in phases]), F.col("fase"))
+    first = F.row_number().over(Window.partitionBy("asiento").orderBy(F.when(good, F.col("frac")).otherwise(0.0).desc(), order))
+    return p.withColumn("k", first).filter("k = 1").select("asiento", F.when(good, F.col("fase")).alias("voto"), "frac")
+
+
+def vote_phases(words: DataFrame, region: str) -> DataFrame:
+    """(region, favor, contra, abstencion, fin) of words(region, word, start): when each phase of a vote begins, and its end.
+
+    For is the first word with 'favor', against the first with 'contra' from there on, and later than it, or there is no vote. Abstentions are called by 'absten',
+    or begin as long after against as against did after for; 'aprob' or 'aprueb' after that is the end, or the same length again, 1.5 at least.
+    """
+    whole = Window.partitionBy(region)
+    said = lambda key, after: F.min(F.when(F.contains("word", F.lit(key)) & (F.col("start") >= after), F.col("start"))).over(whole)
+    s = words.withColumn("favor", F.min(F.when(F.contains("word", F.lit("favor")), F.col("start"))).over(whole))
+    s = s.withColumn("contra", said("contra", F.col("favor"))).filter("contra > favor")
+    length = F.col("contra") - F.col("favor")
+    s = s.withColumn("x", said("absten", F.col("contra"))).withColumn("abst", F.when(F.col("x") > F.col("contra"), F.col("x")).otherwise(F.col("contra") + length))
+    end = F.min(F.when((F.contains("word", F.lit("aprob")) | F.contains("word", F.lit("aprueb"))) & (F.col("start") > F.col("abst")), F.col("start")))
+    g = s.groupBy(region).agg(*[F.first(c).alias(c) for c in ("favor", "contra", "abst")], end.alias("y"))
+    last = F.coalesce("y", F.col("abst") + F.greatest(F.lit(1.5), length))
+    return g.select(region, F.round("favor", 1).alias("favor"), F.round("contra", 1).alias("contra"), F.round("abst", 1).alias("abstencion"), F.round(last, 1).alias("fin"))
+
+
+def frame_profile(hands: DataFrame, rel: float) -> DataFrame:
+    """(fase, t, n, manos, pico) of hands(fase, t, rel): raised and all hands of each frame, pico for the first frame with most raised ones."""
+    p = hands.groupBy("fase", "t").agg(F.count_if(F.col("rel") >= rel).alias("n"), F.count(F.lit(1)).alias("manos"))
+    best = p.groupBy("fase").agg(F.max(F.struct("n", (-F.unix_micros(F.col("t").cast("timestamp"))).alias("t"))).alias("b"))
+    return p.join(best, "fase").withColumn("pico", (F.col("n") == F.col("b.n")) & (-F.unix_micros(F.col("t").cast("timestamp")) == F.col("b.t"))).drop("b")

@@ -27,6 +27,17 @@ def interventions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def speeches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interventions by their own columns alone, where nothing of the session is asked for."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("pleno_id"),
+        F.concat(F.lit("sp"), F.col("l_suppkey")).alias("speaker"),
+        F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag")).alias("party"),
+        F.when(F.col("l_linestatus") == "O", "presidencia").otherwise("diputado").alias("role"),
+        F.col("l_quantity").cast("long").alias("n_words"),
+    )
+
+
 IV = """iv AS (
   SELECT l_orderkey AS pleno_id, l_linenumber AS idx, 'sp' || l_suppkey AS speaker,
          CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END AS party,
