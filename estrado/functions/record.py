@@ -45,6 +45,13 @@ POINT = (
     r"primero|segundo|tercero|cuarto|quinto|sexto|s[eé]ptimo|octavo|noveno|d[eé]cimo)\b"
 )
 STOP_WORDS = "de la que el en y a los del se las por un para con no una su al es lo como mas o pero sus le ya este esta esto muy ha han hay".split()
+#: Words that say nothing of a topic, those of the chamber included.
+TOPIC_STOP_WORDS = (
+    "a al algo algunas algunos ante antes asi como con contra cual cuando de del desde donde durante e el ella ellas ellos en entre era eran es esa esas ese eso esos esta estas este "
+    "esto estos fue fueron ha haber habia han hasta hay la las le les lo los mas me mi mis mucho muy nada ni no nos nuestra nuestro o os otra otro para pero poco por porque pues que "
+    "quien se senor senora senoria senorias sea ser si sin sobre solo son su sus tambien tan tanto te tiene todo todos tu tus un una uno unos usted ustedes y ya gracias presidente "
+    "presidenta diputado diputada grupo parlamentario palabra usia"
+).split()
 PARTY_HINTS = ["psoe", "socialista", "popular", "vox", "sumar", "junts", "bildu", "republican", "pnv", "eaj", "podemos", "compromis", "canaria", "bng", "mixto"]
 CONNECTORS = ["de", "del", "la", "las", "los", "el", "i", "y", "e", "da", "do", "san"]
 HONORIFICS = ["senor", "senora", "ministro", "ministra", "vicepresidente", "vicepresidenta", "secretario", "secretaria", "don", "dona"]
@@ -228,3 +235,20 @@ def hand(points: dict[str, Column], sure: dict[str, Column]) -> Column:
     hands = F.array_compact(F.array(*[F.coalesce(seen(f"wrist{i}", 0.25), seen(f"elbow{i}", 0.50)) for i in range(2)]))
     room = shoulder - head
     return F.when(room >= 4, F.array_max(F.transform(hands, lambda y: (shoulder - y) / room)))
+
+
+def picked_person(names: Column) -> Column:
+    """The longest of the people found in a text, the first in order of equals; null if there is none."""
+    order = F.array_sort(F.transform(F.filter(names, lambda n: F.length(n) > 1), lambda n: F.struct((-F.length(n)).alias("l"), n.alias("n"))))
+    return F.try_element_at(order, F.lit(1))["n"]
+
+
+def picked_party(names: Column) -> Column:
+    """The government if an organisation is it, else the first that is a group or hints at a party; else ""."""
+    key = lambda n: F.lower(bare(n))
+    group = F.filter(names, lambda n: has_any(key(n), ["grupo", "parlament", *PARTY_HINTS]))
+    return F.when(F.exists(names, lambda n: F.contains(key(n), F.lit("gobierno"))), "Gobierno").otherwise(F.coalesce(F.try_element_at(group, F.lit(1)), F.lit("")))
+
+
+def is_real_group(names: Column) -> Column:
+    return F.exists(names, lambda n: has_any(F.lower(bare(n)), ["grupo", "parlament", "gobierno", *PARTY_HINTS]))

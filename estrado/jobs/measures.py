@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import record as rec
 from ..functions import text as tx
-from ..operators import fichas, sequences, turns
+from ..operators import fichas, lexicon, sequences
 from ..operators import vectors as vec
 from ..sources.tables import IV, SEG, interventions, segments, table
+from .parties import people
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -146,31 +147,44 @@ def welcome_message(spark, sf):
 
 @query()
 def literal_overlap(spark, sf):
-    """Words that two versions have in common, in order, as a share: a text against itself without every fifth word."""
+    """Share of a version's words that stand in matching blocks with the official text: a text without every fifth word against itself."""
     d = table(spark, sf, "benchmark")
     d = d.withColumn("v", F.array_join(F.filter(F.split("text", " "), lambda x, i: i % 5 != 4), " "))
-    e = sequences.word_errors(d, "item_id", "text", "v")
-    return e.select("item_id", F.round(1 - F.col("edits") / F.greatest(F.col("words"), F.lit(1)), 6).alias("comun"))
+    return sequences.literal_share(d, "item_id", "text", "v").select("item_id", F.col("share").alias("comun"))
 
 
 @query()
 def announced_names(spark, sf):
-    """The name announced after 'tiene la palabra', linked to the roster."""
-    c = table(spark, sf, "customer").filter("c_nationkey = 5")
-    said = F.format_string("Gracias. Tiene la palabra el señor %s por su grupo", F.replace("c_name", F.lit("#"), F.lit("")))
-    n = c.select(said.alias("t")).select(F.regexp_extract("t", r"palabra (?:el|la) señora? (\S+)", 1).alias("name"))
-    roster = table(spark, sf, "customer").filter("c_nationkey = 5").select(F.col("c_name").alias("canon"), F.col("c_custkey").alias("n"))
-    return sequences.fuzzy_link(n.filter("name <> ''"), roster)
+    """Who is given the floor: the roster's name most like the words after 'palabra', names being written in many ways."""
+    p = people(spark, sf)
+    said = F.concat(F.lit("Gracias, señor presidente. Tiene la palabra el señor "), F.col("escrito"), F.lit(" por su grupo"))
+    roster = p.filter("id % 2 = 0").groupBy(F.col("nombre").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return lexicon.announced(p.select("id", said.alias("t")), "id", "t", roster)
+
+
+@query("""WITH c AS (SELECT c_custkey, [c_name, c_mktsegment, 'X', 'Ana ' || c_custkey] pers, CASE c_custkey % 4 WHEN 0 THEN ['Estado', 'Grupo Popular'] WHEN 1 THEN ['Cámara', 'Gobierno de España'] WHEN 2 THEN ['Estado'] ELSE ['Estado', 'Coalición Canaria', 'VOX'] END orgs FROM customer)
+SELECT c_custkey, (SELECT min_by(p, (-length(p), p)) FROM (SELECT unnest(pers) p) WHERE length(p) > 1) persona, CASE c_custkey % 4 WHEN 0 THEN 'Grupo Popular' WHEN 1 THEN 'Gobierno' WHEN 2 THEN '' ELSE 'Coalición Canaria' END partido, c_custkey % 4 <> 2 grupo FROM c""")
+def ner_picks(spark, sf):
+    """The person and the party of what a name finder found in a text."""
+    k = F.col("c_custkey").cast("string")
+    pers = F.array("c_name", "c_mktsegment", F.lit("X"), F.concat(F.lit("Ana "), k))
+    m = F.col("c_custkey") % 4
+    orgs = lambda *names: F.array(*[F.lit(n) for n in names])
+    found = F.when(m == 0, orgs("Estado", "Grupo Popular")).when(m == 1, orgs("Cámara", "Gobierno de España")).when(m == 2, orgs("Estado")).otherwise(orgs("Estado", "Coalición Canaria", "VOX"))
+    return table(spark, sf, "customer").select("c_custkey", rec.picked_person(pers).alias("persona"), rec.picked_party(found).alias("partido"), rec.is_real_group(found).alias("grupo"))
 
 
 @query()
 def speaker_accuracy(spark, sf):
-    """Names of a blind transcript against the record's, aligned by session: coverage, accuracy, and their mean."""
-    t = turns.islands(segments(spark, sf)).groupBy("pleno_id", "turno").agg(F.first("speaker").alias("name"))
-    b = t.select("pleno_id", F.col("turno").cast("long").alias("pos"), "name")
-    a = b.withColumn("name", F.when(F.col("pos") % 6 == 0, F.lit("otro")).otherwise(F.col("name")))
-    al = sequences.align_sessions(a, b).groupBy("pleno_id").agg(F.count(F.lit(1)).alias("pares"), F.count_if(F.col("sim") >= 0.8).alias("bien"))
-    n = b.groupBy("pleno_id").agg(F.count(F.lit(1)).alias("n"))
-    g = n.join(al, "pleno_id", "left").fillna(0)
-    cov, acc = F.col("pares") / F.col("n"), F.when(F.col("pares") > 0, F.col("bien") / F.col("pares")).otherwise(0.0)
-    return g.select("pleno_id", F.round(cov, 6).alias("cobertura"), F.round(acc, 6).alias("acierto"), F.round((cov + acc) / 2, 6).alias("global"))
+    """A blind record against the official one, session by session: coverage, names, fidelity and topic, and their mean. Every sixth intervention is missing, every fourth has another name."""
+    e = table(spark, sf, "embeddings")
+    b = e.select(F.floor(F.col("vec_id") / 50).alias("pleno_id"), (F.col("vec_id") % 50).alias("pos"), F.concat(F.lit("Orador "), F.col("label").cast("string")).alias("name"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    a = b.filter("pos % 6 <> 5").withColumn("name", F.when(F.col("pos") % 4 == 3, F.lit("otro")).otherwise(F.col("name")))
+    return sequences.compared(a, b)
+
+
+@query(f"""WITH {SEG}, r AS (SELECT pleno_id, speaker || ':' || CAST(floor(start) AS BIGINT) || ':' || (seg_id % 5 = 0) x FROM seg) SELECT pleno_id, md5(string_agg(x, '|' ORDER BY x)) firma FROM r GROUP BY 1""")
+def voice_signature(spark, sf):
+    """The key under which a session's voiceprints are kept: speakers, whole seconds and overlaps. A session's segments are what one row gathers."""
+    s = segments(spark, sf).select("pleno_id", F.concat_ws(":", "speaker", F.floor("start").cast("string"), (F.col("seg_id") % 5 == 0).cast("string")).alias("x"))
+    return s.groupBy("pleno_id").agg(F.md5(F.array_join(F.sort_array(F.collect_list("x")), "|")).alias("firma"))

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import record as rec
 from ..functions import text as tx
+from ..functions.vector import dot
+from ..operators import lexicon, turns
 from ..operators import sequences as op
+from ..operators.components import written
 from ..sources.tables import segments, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+#: Most sources that topic_words gathers sizes of.
+SOURCES = 50_000
 
 
 def query(f):
@@ -18,6 +24,16 @@ def query(f):
     return f
 
 
+def said_by(sql: str):
+    """A query that SQL can express, for what its input was made of is known."""
+
+    def add(f):
+        QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
+        return f
+
+    return add
+
+
 def spoken(spark, sf):
     """Segments with text, from conversations: a turn a second."""
     c = table(spark, sf, "conversations")
@@ -65,17 +81,42 @@ def align_nw(spark, sf):
     return op.align_sessions(a, b)
 
 
-@query
-def wer_by_document(spark, sf):
-    """Near copies read as transcripts of one another: a text against itself without every ninth word."""
+WORDS = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text)), '([0-9])[.]([0-9][0-9][0-9])\\b', '\\1\\2', 'g'), '[^0-9a-zñ\\s]', ' ', 'g'), '\\s+', ' ', 'g'))".replace("\\\\", "\\")
+
+
+def _heard(spark, sf, step: int):
+    """Benchmark passages, and the same without every step-th word."""
     d = table(spark, sf, "benchmark")
-    w = F.split("text", " ")
-    hyp = F.array_join(F.filter(w, lambda x, i: i % 9 != 8), " ")
-    return op.word_errors(d.withColumn("hyp", hyp), "item_id", "text", "hyp")
+    w = rec.spoken_words(F.col("text"))
+    return d.withColumn("hyp", F.array_join(F.filter(w, lambda x, i: i % step != step - 1), " "))
+
+
+@said_by(f"WITH w AS (SELECT item_id, {WORDS} t FROM benchmark) SELECT item_id, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END words, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END // 9 edits FROM w")
+def wer_by_document(spark, sf):
+    """A text against itself without every ninth word, by the words that error rates count: leaving out n words takes n edits, no fewer."""
+    return op.word_errors(_heard(spark, sf, 9), "item_id", "text", "hyp").select("item_id", "words", "edits")
+
+
+@said_by(f"WITH w AS (SELECT {WORDS} t FROM benchmark), n AS (SELECT CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END n FROM w) SELECT count(*) pares, CAST(sum(n) AS BIGINT) palabras, CAST(sum(n // 9) AS BIGINT) errores, round(sum(n // 9) * 1.0 / sum(n), 6) wer FROM n")
+def wer_micro(spark, sf):
+    """All errors over all words."""
+    e = op.word_errors(_heard(spark, sf, 9), "item_id", "text", "hyp")
+    return e.agg(F.count(F.lit(1)).alias("pares"), F.sum("words").alias("palabras"), F.sum("edits").alias("errores"), F.round(F.sum("edits") / F.sum("words"), 6).alias("wer"))
 
 
 @query
+def wer_substitutions(spark, sf):
+    """The thirty commonest replaced words, without numbers: every seventh word is heard with its beginning twice."""
+    w = rec.spoken_words(F.col("text"))
+    heard = F.transform(w, lambda x, i: F.when(i % 7 == 6, F.concat(F.left(x, F.lit(2)), x)).otherwise(x))
+    e = op.word_errors(table(spark, sf, "benchmark").withColumn("hyp", F.array_join(heard, " ")), "item_id", "text", "hyp")
+    s = e.select(F.explode("subs").alias("s")).select("s.ref", "s.hyp").filter(~F.rlike("ref", F.lit(r"^\\d+$")) & ~F.rlike("hyp", F.lit(r"^\\d+$")))
+    return s.groupBy("hyp", "ref").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "hyp", "ref").limit(30)
+
+
+@said_by("WITH s AS (SELECT DISTINCT replace(s_name, 'r', '') || ' de la' name, s_name canon FROM supplier) SELECT name, canon, round(2.0 * (length(canon) - len(regexp_extract_all(canon, 'r'))) / (2 * length(canon) - len(regexp_extract_all(canon, 'r'))), 6) sim FROM s")
 def fuzzy_names(spark, sf):
+    """Suppliers' names without their r: each is found again, as no other name shares its number."""
     s = table(spark, sf, "supplier")
     names = s.select(F.concat(F.replace("s_name", F.lit("r"), F.lit("")), F.lit(" de la")).alias("name"))
     return op.fuzzy_link(names, s.select(F.col("s_name").alias("canon"), F.col("s_nationkey").alias("n")))
@@ -83,14 +124,40 @@ def fuzzy_names(spark, sf):
 
 @query
 def glossary_fix(spark, sf):
-    return op.corrected(table(spark, sf, "documents"), "doc_id", "text", {"the": "el", "und": "y", "des": "de los"})
+    """What was said, repaired by sound: the terms are the commonest long words and pairs of the benchmark's passages, one alias is exact."""
+    w = rec.spoken_words(F.col("text"))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.try_element_at(w, i), F.try_element_at(w, i + 1)))
+    t = table(spark, sf, "benchmark").select(F.explode(F.concat(w, pairs)).alias("term")).filter(F.length("term").between(9, 16))
+    terms = t.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(60)
+    aliases = spark.createDataFrame([("the", "el"), ("undder", "y de")], "key string, canon string")
+    c = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    return lexicon.repaired(c, "id", "text", terms, aliases).select("id", "text", F.size("cambios").alias("cambios"))
+
+
+@query
+def voice_exemplar_buckets(spark, sf):
+    """A voice's spans of speech gathered to exemplars of twelve minutes."""
+    s = segments(spark, sf).select(F.concat_ws("-", "pleno_id", "speaker").alias("persona"), (F.col("start") / 60).alias("start"), (F.col("end") / 60).alias("end"))
+    return op.exemplar_buckets(s)
+
+
+@query
+def voice_store(spark, sf):
+    """Voiceprints that grow from session to session: two sessions of twenty voices each, the cap at eight exemplars."""
+    e = table(spark, sf, "embeddings").select(F.concat(F.lit("Ana "), (F.col("vec_id") % 20).cast("string")).alias("persona"), (F.floor(F.col("vec_id") / 20) % 2).alias("sesion"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    e = e.withColumn("k", F.row_number().over(Window.partitionBy("persona", "sesion").orderBy("vec_id"))).filter("k <= 8")  # a session gives a voice eight exemplars at most
+    new = e.groupBy("persona", "sesion").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "vec"))), lambda x: x["vec"]).alias("vecs")).withColumn("party", F.when(F.col("sesion") == 0, "PP").otherwise(""))
+    store = spark.createDataFrame([], "persona string, n int, party string, vecs array<array<double>>")
+    for session in (0, 1):
+        store = op.enrolled(store, new.filter(F.col("sesion") == session).select("persona", "party", "vecs"))
+    return store.select("persona", "n", "party", F.size("vecs").alias("huellas"), F.round(F.aggregate(F.flatten("vecs"), F.lit(0.0), lambda a, x: a + x), 5).alias("suma"))
 
 
 @query
 def voice_exemplars(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("label").alias("persona"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    # a person's exemplars of one session: the cap is for each of both
-    e = e.withColumn("persona", F.col("persona") * 100 + F.pmod(F.col("id"), F.lit(7)))
+    # a person's exemplars of one session, of a hundred voices each: the cap is for each of both
+    e = e.withColumn("persona", F.concat_ws("-", "persona", F.floor(F.col("id") / 100).cast("string")))
     return op.exemplar_caps(e).select("persona", "n", F.transform("vecs", lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x), 6)).alias("norms"))
 
 
@@ -114,17 +181,45 @@ def topics_kmeans(spark, sf):
     return n.withColumn("k", k).filter("k = 1").select(F.col("prediction").alias("tema"), "label", "n")
 
 
+@query
+def chapters(spark, sf):
+    """Chapters of a recording: cuts where neighbours are unlike, none less than three windows after the last one kept or the beginning."""
+    e = table(spark, sf, "embeddings").select((F.floor(F.col("vec_id") / 50)).alias("pleno_id"), F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    w, all_ = Window.partitionBy("pleno_id").orderBy("id"), Window.partitionBy("pleno_id")
+    s = e.withColumn("pos", F.row_number().over(w) - 1).withColumn("sim", dot("vec", F.lag("vec").over(w))).drop("vec")
+    cut = s.withColumn("m", F.avg("sim").over(all_) - 0.9 * F.stddev_pop("sim").over(all_)).filter("pos = 0 or sim < m")
+    return op.debounced(cut.select("pleno_id", F.col("id").alias("seg_id"), F.col("pos").cast("double").alias("start")), gap=3.0).select("pleno_id", "seg_id", F.col("start").cast("int").alias("ventana"))
+
+
+@query
+def agenda_called(spark, sf):
+    """Points that the chair calls ('punto número tres'), with a title from what follows."""
+    n = F.element_at(F.array(*[F.lit(x) for x in ("uno", "dos", "tercero", "4", "décimo")]), (F.col("seg_id") % 5 + 1).cast("int"))
+    t = F.when(F.col("seg_id") % 4 == 0, F.concat(F.lit("Pasamos al punto número "), n, F.lit(". "), "text")).otherwise(F.col("text"))
+    return turns.called_points(spoken(spark, sf).withColumn("text", t).select("pleno_id", "seg_id", "start", "text"))
+
+
 @query
 def topic_words(spark, sf):
-    """Class-based tf-idf of one- and two-word terms in at least two documents, ten for each source."""
-    d = table(spark, sf, "documents").select("source", "doc_id", F.filter(F.split(tx.norm_key(F.col("text")), " "), lambda w: F.length(w) > 3).alias("w"))
+    """Class-based tf-idf of one- and two-word terms in at least two documents, without stop words, ten for each source.
+
+    A document's terms are sorted, so that the first of equal ones counts the document; counts by (source, term) are combined before the only shuffle
+    of terms, and a term's sources travel together as one row.
+    """
+    keep = lambda w: (F.length(w) > 3) & ~w.isin(*rec.TOPIC_STOP_WORDS)
+    d = table(spark, sf, "documents").select("source", F.filter(F.split(tx.norm_key(F.col("text")), " "), keep).alias("w"))
     two = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.try_element_at("w", i), F.try_element_at("w", i + 1)))
-    t = d.select("source", "doc_id", F.explode(F.concat("w", two)).alias("t"))
-    tf = t.groupBy("source", "doc_id", "t").agg(F.count(F.lit(1)).alias("n")).groupBy("source", "t").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
-    total = tf.groupBy("t").agg(F.sum("tf").alias("f"), F.sum("df").alias("df2")).filter("df2 >= 2")
+    d = d.select("source", F.array_sort(F.concat("w", two)).alias("t"))
+    terms = F.arrays_zip(F.col("t").alias("t"), F.concat(F.array(F.lit(None).cast("string")), F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0)))).alias("before"))
+    e = d.select("source", F.explode(terms).alias("x")).filter("x.t is not null").select("source", F.col("x.t").alias("t"), (~F.col("x.t").eqNullSafe(F.col("x.before"))).cast("int").alias("doc"))
+    tf = written(e.groupBy("source", "t").agg(F.count(F.lit(1)).alias("tf"), F.sum("doc").alias("df")), "terms")
     size = tf.groupBy("source").agg(F.sum("tf").alias("size"))
-    mean = size.agg(F.avg("size").alias("mean"))
-    s = tf.join(total, "t").join(F.broadcast(size.crossJoin(F.broadcast(mean))), "source")  # one row for each source
-    s = s.withColumn("peso", F.round(F.col("tf") / F.col("size") * F.log(1 + F.col("mean") / F.col("f")), 8))
+    sizes = {r[0]: r[1] for r in size.limit(SOURCES + 1).collect()}  # one row for each source
+    if len(sizes) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
+    mean = F.lit(float(sum(sizes.values())) / max(len(sizes), 1))
+    all_ = tf.groupBy("t").agg(F.sum("tf").alias("f"), F.sum("df").alias("df"), F.collect_list(F.struct("source", "tf")).alias("s")).filter("df >= 2")
+    s = all_.select("t", "f", F.explode("s").alias("s")).select("t", "f", "s.*").join(F.broadcast(size.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")))
+    s = s.withColumn("peso", F.round(F.col("tf") / F.col("size") * F.log(1 + mean / F.col("f")), 8))
     k = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("peso"), "t"))
     return s.withColumn("rank", k).filter("rank <= 10").select("source", "t", "peso", "rank")

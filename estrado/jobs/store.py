@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import alerts, resolve
+from ..operators import alerts, ingest, resolve
 from ..operators import upserts as up
+from ..operators.components import written
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -235,3 +236,34 @@ def government_roster(spark, sf):
     k = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("n"), "p"))
     top = n.withColumn("k", k).filter("k = 1").select("s", F.col("p").alias("partido"), "n")
     return top.join(a.groupBy("s").agg(F.countDistinct("c").alias("cargos")), "s")
+
+
+@query("""WITH c AS (SELECT conv_id pleno_id, count(*) n, sum(length(text)) chars FROM conversations GROUP BY 1)
+SELECT pleno_id, CASE WHEN pleno_id % 3 = 0 THEN '2024-02-02' ELSE '2024-01-01' END fecha, true filas, true vectores, n trozos, CASE WHEN pleno_id % 2 = 0 THEN 1 ELSE 2 END pasada FROM c""")
+def two_phase_ingest(spark, sf):
+    """An ingest that is cut off in its second phase and resumed: each session's vectors are made once, and a header that comes again leaves the flags."""
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("pleno_id"), F.col("turn").alias("idx"), "text")
+    ids = c.select("pleno_id").distinct()
+    all_, cut = F.lit(True), F.col("pleno_id") % 2 == 0
+    state = spark.createDataFrame([], "pleno_id long, fecha string, filas boolean, vectores boolean")
+    rows = spark.createDataFrame([], "pleno_id long, idx long, text string")
+    chunks = spark.createDataFrame([], "pleno_id long, idx long, pasada int")
+    made = lambda n: c.select("pleno_id", F.col("idx").cast("long").alias("idx"), F.lit(n).alias("pasada"))
+    state = ingest.register(state, ids.withColumn("fecha", F.lit("2024-01-01")))
+    state, rows = ingest.run(state, rows, c.withColumn("idx", F.col("idx").cast("long")), "filas", all_)
+    state, chunks = ingest.run(state, chunks, made(1), "vectores", cut)
+    state, chunks = written(state, "state"), written(chunks, "chunks")
+    state = ingest.register(state, ids.filter("pleno_id % 3 = 0").withColumn("fecha", F.lit("2024-02-02")))
+    state, chunks = ingest.run(state, chunks, made(2), "vectores", all_)
+    n = chunks.groupBy("pleno_id").agg(F.count(F.lit(1)).alias("trozos"), F.max("pasada").alias("pasada"))
+    return state.join(n, "pleno_id", "left")
+
+
+@query("""WITH m AS (SELECT n_nationkey id, n_regionkey r, n_name, count(c_custkey) n FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1, 2, 3), b AS (SELECT r, max(struct_pack(n := n, i := -id)) x FROM m GROUP BY 1), t AS (SELECT m.id, -b.x.i AS a, (SELECT lower(n_name) FROM m k WHERE k.id = -b.x.i) slug FROM m JOIN b ON m.r = b.r),
+k AS (SELECT a entidad, slug, c_mktsegment tema, c_custkey, row_number() OVER (PARTITION BY a, c_mktsegment ORDER BY c_nationkey <> a, c_custkey) o FROM customer JOIN t ON c_nationkey = id) SELECT entidad, slug, tema, c_custkey FROM k WHERE o = 1""")
+def consolidate_children(spark, sf):
+    """Rows of joined entities point to the one that stays, which takes the slug of the entity with most sessions; of rows that then clash the entity's own stays, else the first."""
+    n, c = table(spark, sf, "nation"), table(spark, sf, "customer")
+    entities = n.join(c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("k")), "n_nationkey", "left").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("same"), F.lower("n_name").alias("slug"), F.coalesce("k", F.lit(0)).alias("n"))
+    children = c.select(F.col("c_nationkey").alias("entidad"), F.col("c_mktsegment").alias("tema"), "c_custkey")
+    return up.consolidated(entities, children, ["tema"], "c_custkey").select("entidad", "slug", "tema", "c_custkey")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,13 +13,14 @@ MAX_ROUNDS = 60
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share.
+    """A new folder below the one that driver and executors share, which the session names in spark.checkpoint.dir.
 
-    The session names it in spark.checkpoint.dir; only where that is unset
-    (local tests) a temporary folder is made and set.
+    Where that is unset, a temporary folder is made and set if all runs in one local process, as in tests; on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='estrado-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

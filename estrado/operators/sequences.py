@@ -10,9 +10,10 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import record as rec
 from .components import components
 
 
@@ -127,13 +128,22 @@ def handovers(seg: DataFrame, calls: str, cooldown: int = 1) -> DataFrame:
     return s.groupBy("pleno_id").applyInPandas(fold, f"pleno_id {kind}, seg_id long, turno int")
 
 
+#: Words of a name that do not tell it apart.
+SKIPPED = frozenset({"de", "del", "la", "las", "los", "y", "e", "i"})
+
+
 def similarity(a: str, b: str) -> float:
-    """Mean over the words of a of the best ratio with a word of b; words of two letters and connectors don't count."""
-    skip = {"de", "del", "la", "las", "los", "y", "e", "i"}
-    x, y = ([w for w in s.lower().split() if w not in skip] for s in (a or "", b or ""))
+    """Mean over the words of a of the best ratio with a word of b; connectors don't count."""
+    x, y = ([w for w in s.lower().split() if w not in SKIPPED] for s in (a or "", b or ""))
     return float(np.mean([max(SequenceMatcher(None, u, v).ratio() for v in y) for u in x])) if x and y else 0.0
 
 
+def name_score(heard: str, written: str) -> float:
+    """similarity(), but two members of the government are 0.6 alike whatever their names: they align by their order."""
+    both = "gobierno" in (heard or "").lower() and "gobierno" in (written or "").lower()
+    return 0.6 if both else similarity(heard, written)
+
+
 def align(score: np.ndarray, gap: float, least: float) -> list[tuple[int, int]]:
     """Pairs of the best global alignment; pairs scored under least are forbidden. Row by row, a row's running maximum in one pass."""
     n, m = score.shape
@@ -165,7 +175,7 @@ def align_sessions(a: DataFrame, b: DataFrame, gap: float = -0.3, least: float =
             return pd.DataFrame(columns=["pleno_id", "a_pos", "b_pos", "sim"])
         x, y = x.sort_values("pos"), y.sort_values("pos")
         (i, u), (j, v) = pd.factorize(x["name"].fillna("")), pd.factorize(y["name"].fillna(""))
-        s = np.array([[similarity(n, m) for m in v] for n in u])[np.ix_(i, j)]
+        s = np.array([[name_score(n, m) for m in v] for n in u])[np.ix_(i, j)]
         return pd.DataFrame([(x.pleno_id.iloc[0], x.pos.iloc[i], y.pos.iloc[j], s[i, j]) for i, j in align(s, gap, least)], columns=["pleno_id", "a_pos", "b_pos", "sim"])
 
     kind = a.schema["pleno_id"].dataType.simpleString()
@@ -174,85 +184,209 @@ def align_sessions(a: DataFrame, b: DataFrame, gap: float = -0.3, least: float =
     return a.groupBy("pleno_id").cogroup(b.groupBy("pleno_id")).applyInPandas(both, f"pleno_id {kind}, a_pos long, b_pos long, sim double")
 
 
-def word_edits(ref: list[str], hyp: list[str]) -> int:
-    """Word edit distance, a row at a time."""
-    code = {w: i for i, w in enumerate(dict.fromkeys([*ref, *hyp]))}
-    h = np.array([code[w] for w in hyp], np.int64)
-    at = np.arange(len(h) + 1)
+def _last_row(ref: np.ndarray, hyp: np.ndarray) -> np.ndarray:
+    """Edit distances of the whole ref to each beginning of hyp, a row at a time."""
+    at = np.arange(len(hyp) + 1)
     row = at.copy()
     for i, w in enumerate(ref, 1):
-        best = np.concatenate([[i], np.minimum(row[:-1] + (h != code[w]), row[1:] + 1)])
+        best = np.concatenate([[i], np.minimum(row[:-1] + (hyp != w), row[1:] + 1)])
         row = np.minimum.accumulate(best - at) + at
-    return int(row[-1])
+    return row
+
+
+def _codes(ref: list[str], hyp: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    code = {w: i for i, w in enumerate(dict.fromkeys([*ref, *hyp]))}
+    return tuple(np.array([code[w] for w in x], np.int64) for x in (ref, hyp))
+
+
+def word_edits(ref: list[str], hyp: list[str]) -> int:
+    """Word edit distance."""
+    return int(_last_row(*_codes(ref, hyp))[-1])
+
+
+#: Cells of a table that is kept whole for its way back; longer texts are halved first.
+CELLS = 4 << 20
+
+
+def substitutions(ref: list[str], hyp: list[str]) -> list[tuple[str, str]]:
+    """(ref word, hyp word) of the words that a least edit replaces, in order. Within CELLS: from the end, an equal word first, then replacing, leaving out, adding."""
+    if len(ref) * len(hyp) > CELLS and len(ref) > 1:
+        half, (r, h) = len(ref) // 2, _codes(ref, hyp)
+        cut = int(np.argmin(_last_row(r[:half], h) + _last_row(r[half:][::-1], h[::-1])[::-1]))
+        return substitutions(ref[:half], hyp[:cut]) + substitutions(ref[half:], hyp[cut:])
+    r, h = _codes(ref, hyp)
+    d = np.stack([_last_row(r[:0], h)] * (len(r) + 1))
+    at = np.arange(len(h) + 1)
+    for i, w in enumerate(r, 1):
+        best = np.concatenate([[i], np.minimum(d[i - 1, :-1] + (h != w), d[i - 1, 1:] + 1)])
+        d[i] = np.minimum.accumulate(best - at) + at
+    i, j, out = len(r), len(h), []
+    while i and j:
+        if r[i - 1] == h[j - 1]:
+            i, j = i - 1, j - 1
+        elif d[i, j] == d[i - 1, j - 1] + 1:
+            out.append((ref[i - 1], hyp[j - 1]))
+            i, j = i - 1, j - 1
+        elif d[i, j] == d[i - 1, j] + 1:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
 
 
 def word_errors(df: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
-    """(key, words, edits) of two texts; the rate of many rows is the sum of edits over the sum of words."""
+    """(key, words, edits, subs array<struct(ref, hyp)>) of two texts, by the words that record.spoken_words gives. The rate of many rows is the sum of edits over the sum of words."""
 
-    @F.pandas_udf("struct<words:long,edits:long>")
+    @F.pandas_udf("struct<words:long,edits:long,subs:array<struct<ref:string,hyp:string>>>")
     def edits(r: pd.Series, h: pd.Series) -> pd.DataFrame:
-        rows = [((a or "").lower().split(), (b or "").lower().split()) for a, b in zip(r, h)]
-        return pd.DataFrame({"words": [len(a) for a, _ in rows], "edits": [word_edits(a, b) for a, b in rows]})
+        rows = [(list(a), list(b)) for a, b in zip(r, h)]
+        subs = [[{"ref": x, "hyp": y} for x, y in substitutions(a, b)] for a, b in rows]
+        return pd.DataFrame({"words": [len(a) for a, _ in rows], "edits": [word_edits(a, b) for a, b in rows], "subs": subs})
 
-    return df.select(key, edits(ref, hyp).alias("e")).select(key, "e.words", "e.edits")
+    return df.select(key, edits(rec.spoken_words(F.col(ref)), rec.spoken_words(F.col(hyp))).alias("e")).select(key, "e.words", "e.edits", "e.subs")
 
 
-def fuzzy_link(names: DataFrame, roster: DataFrame, least: float = 0.62) -> DataFrame:
-    """(name, canon, sim): of each name the most alike of roster(canon, n) in similarity(), ties to the larger n; below least the name itself.
+def literal_share(df: DataFrame, key: str, ours: str, other: str) -> DataFrame:
+    """(key, share): how much of our words stands in matching blocks with the other text."""
 
-    A roster is a chamber's members: it is met in blocks, and a block is scored in the task that holds the names.
+    @F.pandas_udf("double")
+    def share(a: pd.Series, b: pd.Series) -> pd.Series:
+        rows = [(list(x), list(y)) for x, y in zip(a, b)]
+        return pd.Series([sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()) / max(len(x), 1) for x, y in rows], dtype="float64")
+
+    return df.select(key, F.round(share(rec.spoken_words(F.col(ours)), rec.spoken_words(F.col(other))), 6).alias("share"))
+
+
+def compared(a: DataFrame, b: DataFrame, gap: float = -0.2, least: float = 0.5, sure: float = 0.8, alike: float = 0.6) -> DataFrame:
+    """(pleno_id, pares, cobertura, acierto, fidelidad, tema, global) of a session's own record a against the official b, both (pleno_id, pos, name, vec).
+
+    Interventions are aligned by the products of their vectors; pairs from least on count. Coverage is their share of b, fidelity their mean; names are
+    judged on the pairs from sure on, or on all if there is none; the topic is the product of the mean vectors. global is the mean of the four.
     """
-    from .vectors import against
 
-    pairs = against(names.select("name").distinct(), roster.select("canon", "n"), block=64)
+    def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        x, y = x.sort_values("pos"), y.sort_values("pos")
+        cols = ["pleno_id", "pares", "cobertura", "acierto", "fidelidad", "tema", "global"]
+        if not len(x) or not len(y):
+            return pd.DataFrame([(*(x if len(x) else y).pleno_id[:1], 0, 0.0, 0.0, 0.0, 0.0, 0.0)], columns=cols)
+        u, v = np.stack(x.vec.tolist()).astype(float), np.stack(y.vec.tolist()).astype(float)
+        s = u @ v.T
+        pairs = [(i, j) for i, j in align(s, gap, -np.inf) if s[i, j] >= least]
+        base = [(i, j) for i, j in pairs if s[i, j] >= sure] or pairs
+        coverage = len(pairs) / len(y)
+        right = sum(similarity(x["name"].iloc[i], y["name"].iloc[j]) >= alike for i, j in base) / max(len(base), 1)
+        fidelity = float(np.mean([s[i, j] for i, j in pairs])) if pairs else 0.0
+        m, n = u.mean(axis=0), v.mean(axis=0)
+        topic = float(m @ n / ((np.linalg.norm(m) * np.linalg.norm(n)) or 1.0))
+        return pd.DataFrame([(x.pleno_id.iloc[0], len(pairs), coverage, right, fidelity, topic, (coverage + right + fidelity + topic) / 4)], columns=cols)
+
+    kind = a.schema["pleno_id"].dataType.simpleString()
+    b = b.select(*[F.col(c).alias(c) for c in ("pleno_id", "pos", "name", "vec")])
+    out = a.select("pleno_id", "pos", "name", "vec").groupBy("pleno_id").cogroup(b.groupBy("pleno_id")).applyInPandas(both, f"pleno_id {kind}, pares int, cobertura double, acierto double, fidelidad double, tema double, global double")
+    return out.select("pleno_id", "pares", *[F.round(c, 6).alias(c) for c in ("cobertura", "acierto", "fidelidad", "tema", "global")])
+
 
-    @F.pandas_udf("double")
-    def sim(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+def exemplar_buckets(spans: DataFrame, seconds: float = 12.0, most: int = 8, least: float = 0.5) -> DataFrame:
+    """(persona, bucket, n, total) of spans(persona, start, end): the longest first, gathered until they last seconds, most buckets; the rest is one more if there is room.
+
+    Spans under least don't count, so most buckets never take more than most * seconds / least of them, which bounds what is folded for a person.
+    """
+    length = F.col("end") - F.col("start")
+    first = F.row_number().over(Window.partitionBy("persona").orderBy(length.desc(), "start"))
+    s = spans.filter(length >= least).select("persona", length.alias("d"), first.alias("k")).filter(F.col("k") <= int(most * seconds / least) + 1)
+    g = s.groupBy("persona").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]).alias("d"))
+    done = F.array().cast("array<struct<n:int,total:double>>")
+    start = F.struct(done.alias("out"), F.lit(0).alias("n"), F.lit(0.0).alias("total"))
+
+    def add(a, d):
+        n, total = a["n"] + 1, a["total"] + d
+        full = F.struct(F.concat(a["out"], F.array(F.struct(n.alias("n"), total.alias("total")))).alias("out"), F.lit(0).alias("n"), F.lit(0.0).alias("total"))
+        more = F.struct(a["out"].alias("out"), n.alias("n"), total.alias("total"))
+        return F.when(F.size(a["out"]) >= most, a).when(total >= seconds, full).otherwise(more)
+
+    rest = lambda a: F.when((a["n"] > 0) & (F.size(a["out"]) < most), F.concat(a["out"], F.array(F.struct(a["n"].alias("n"), a["total"].alias("total"))))).otherwise(a["out"])
+    return g.select("persona", F.posexplode(F.aggregate("d", start, add, rest)).alias("bucket", "b")).select("persona", "bucket", "b.n", F.round("b.total", 6).alias("total"))
+
+
+def enrolled(store: DataFrame, new: DataFrame, most: int = 8) -> DataFrame:
+    """store(persona, n, party, vecs) with the voiceprints of one more session, new(persona, party, vecs): old and new exemplars together under the cap,
+    one session more, the newer party unless it is empty. People without a name of their own ('Voz 3') are left out.
+    """
+    new = new.filter((F.trim("persona") != "") & ~F.rlike("persona", F.lit(r"^(Voz|Nueva voz) \d+$")))
+    j = store.alias("o").join(new.alias("n"), "persona", "full")
+    none = F.array().cast("array<array<double>>")
+    both = j.select("persona", (F.coalesce("o.n", F.lit(0)) + F.col("n.vecs").isNotNull().cast("int")).alias("n"), F.coalesce(F.nullif("n.party", F.lit("")), "o.party", F.lit("")).alias("party"), F.concat(F.coalesce("o.vecs", none), F.coalesce("n.vecs", none)).alias("vecs"))
 
-    best = pairs.withColumn("sim", sim("name", "canon")).groupBy("name").agg(F.max(F.struct("sim", "n", "canon")).alias("m"))
+    @F.pandas_udf("array<array<double>>")
+    def capped(col: pd.Series) -> pd.Series:
+        return pd.Series([cap_vectors(np.array([np.asarray(v, float) for v in x]), most).tolist() for x in col])
+
+    return both.withColumn("vecs", F.when(F.size("vecs") > most, capped("vecs")).otherwise(F.col("vecs")))
+
+
+def fuzzy_link(names: DataFrame, roster: DataFrame, least: float = 0.62) -> DataFrame:
+    """(name, canon, sim): of each name the most alike of roster(canon, n) in similarity(), ties to the larger n; below least the name itself.
+
+    A roster is a chamber's members, at most lexicon.ENTRIES of them: it goes to every task once, and a name is compared with those alone that may
+    still be the best by their letters.
+    """
+    from .lexicon import bounded, letters
+
+    members = sorted(((r[0], r[1] or 0) for r in bounded(roster.filter("canon is not null"), "canon", "n")), key=lambda x: (-x[1], x[0]))
+
+    def words(s: str) -> list[str]:
+        return [w for w in (s or "").lower().split() if w not in SKIPPED]
+
+    @F.pandas_udf("struct<canon:string,sim:double>")
+    def link(col: pd.Series) -> pd.DataFrame:
+        split = [words(m) for m, _ in members]
+        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s in split for w in s))}
+        counts = letters(list(vocabulary))
+        size, has = counts.sum(axis=1), [i for i, s in enumerate(split) if s]
+        flat = np.array([vocabulary[w] for i in has for w in split[i]], np.int64)
+        begin = np.cumsum([0, *[len(split[i]) for i in has]])[:-1]
+        out = []
+        for name in col:
+            own, best, who = words(name), 0.0, -1
+            if own and has:
+                t = letters(own)
+                top = 2 * np.minimum(counts[:, None], t[None]).sum(axis=2) / (size[:, None] + t.sum(axis=1))
+                bound = np.maximum.reduceat(top[flat], begin, axis=0).mean(axis=1)
+                for k in np.argsort(-bound, kind="stable").tolist():
+                    if bound[k] < best - 1e-9:
+                        break
+                    s = similarity(name, members[has[k]][0])
+                    if s > best or (s == best and who >= 0 and has[k] < who):
+                        best, who = s, has[k]
+            out.append((members[who][0] if who >= 0 else None, best))
+        return pd.DataFrame(out, columns=["canon", "sim"])
+
+    best = names.select("name").distinct().withColumn("m", link("name"))
     return best.select("name", F.when(F.col("m.sim") >= least, F.col("m.canon")).otherwise(F.col("name")).alias("canon"), F.round("m.sim", 6).alias("sim"))
 
 
+def cap_vectors(v: np.ndarray, most: int) -> np.ndarray:
+    """While there are more than most vectors the two most alike are summed and brought to length one."""
+    while len(v) > most:
+        s = v @ v.T
+        s[np.tril_indices(len(v))] = -np.inf
+        i, j = np.unravel_index(np.argmax(s), s.shape)
+        both = v[i] + v[j]
+        v = np.concatenate([np.delete(v, [i, j], axis=0), [both / (np.linalg.norm(both) or 1.0)]])
+    return v
+
+
 def exemplar_caps(vec: DataFrame, most: int = 8) -> DataFrame:
-    """(persona, vecs): while a person has more than most exemplars the two most alike are summed and brought to length one."""
+    """(persona, n, vecs): a person's exemplars under the cap, by cap_vectors in the order of their ids."""
 
     def cap(p: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(p.sort_values("id").vec.tolist()).astype(float)
-        while len(v) > most:
-            s = v @ v.T
-            s[np.tril_indices(len(v))] = -np.inf
-            i, j = np.unravel_index(np.argmax(s), s.shape)
-            both = v[i] + v[j]
-            v = np.concatenate([np.delete(v, [i, j], axis=0), [both / (np.linalg.norm(both) or 1.0)]])
+        v = cap_vectors(np.stack(p.sort_values("id").vec.tolist()).astype(float), most)
         return pd.DataFrame({"persona": [p.persona.iloc[0]], "n": [len(v)], "vecs": [v.tolist()]})
 
     kind = vec.schema["persona"].dataType.simpleString()
     return vec.select("persona", "id", "vec").groupBy("persona").applyInPandas(cap, f"persona {kind}, n int, vecs array<array<double>>")
 
 
-def corrected(df: DataFrame, key: str, text: str, aliases: dict[str, str]) -> DataFrame:
-    """(key, text, cambios): words replaced by an exact alias of their letters and digits, a first capital kept."""
-
-    @F.pandas_udf("struct<text:string,cambios:int>")
-    def fix(col: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in col:
-            n, out = 0, []
-            for w in (t or "").split(" "):
-                good = aliases.get("".join(c for c in w.lower() if c.isalnum()))
-                if good:
-                    n += 1
-                    tail = w[len(w.rstrip(".,;:!?")) :]
-                    good = good[:1].upper() + good[1:] if w[:1].isupper() else good
-                    w = good + tail
-                out.append(w)
-            rows.append((" ".join(out), n))
-        return pd.DataFrame(rows, columns=["text", "cambios"])
-
-    return df.select(key, fix(text).alias("f")).select(key, "f.text", "f.cambios")
-
-
 #: Voices of a block: a task holds two blocks at once.
 VOICES = 512
 

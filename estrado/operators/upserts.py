@@ -46,3 +46,15 @@ def not_yet(new: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
 def replace_partition(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """old with the rows of new in place of all old rows of their keys."""
     return not_yet(old, new, key).unionByName(new)
+
+
+def consolidated(entities: DataFrame, children: DataFrame, unique: list[str], order: str) -> DataFrame:
+    """children(entidad, ...) of entities(id, same, slug, n) that are one where same is: they point to the entity with most sessions n, the smaller id of equals, and
+    bear its slug. Of children that then share (entidad, *unique) one stays: that entity's own before others, then by order.
+    """
+    best = entities.groupBy("same").agg(F.max(F.struct("n", (-F.col("id")).alias("i"), "slug")).alias("x"))
+    to = entities.join(best, "same").select(F.col("id").alias("entidad"), (-F.col("x.i")).alias("_to"), F.col("x.slug").alias("slug"))
+    j = children.join(to, "entidad")
+    first = F.row_number().over(Window.partitionBy("_to", *unique).orderBy(F.col("entidad") != F.col("_to"), order))
+    j = j.withColumn("_k", first).filter("_k = 1").withColumn("entidad", F.col("_to"))
+    return j.drop("_to", "_k")
