@@ -61,7 +61,7 @@ def roster(spark: SparkSession, path: str) -> DataFrame:
 
 def overrides(spark: SparkSession, path: str) -> DataFrame:
     """(legislatura or null, key, sigla): of equal keys the last row of the file; rows without a correction go."""
-    from ..functions.text import norm_key
+    from ..functions.record import registry_name as norm_key
 
     d = spark.read.option("header", True).csv(path).withColumn("_n", F.monotonically_increasing_id())
     d = d.select(F.col("legislatura").try_cast("int").alias("legislatura"), norm_key(F.col("speaker")).alias("key"), F.trim("party_correcto").alias("sigla"), "_n").filter("sigla <> ''")
@@ -71,9 +71,10 @@ def overrides(spark: SparkSession, path: str) -> DataFrame:
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
     """(legislatura, name, key, sigla, canon) of a JSON map term -> name -> [sigla, canonical name]."""
-    from ..functions.text import norm_key
+    from ..functions.record import registry_name as norm_key
 
-    raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,map<string,array<string>>>").alias("m"))
+    raw = spark.read.option("wholetext", True).text(path).select(F.split("value", r"(?<=\})\n+(?=\{)").alias("parts")).select(F.explode("parts").alias("value"))
+    raw = raw.select(F.from_json("value", "map<string,map<string,array<string>>>").alias("m"))
     d = raw.select(F.explode("m").alias("leg", "names")).select("leg", F.explode("names").alias("name", "v"))
     return d.select(F.col("leg").try_cast("int").alias("legislatura"), "name", norm_key(F.col("name")).alias("key"), F.try_element_at("v", F.lit(1)).alias("sigla"), F.try_element_at("v", F.lit(2)).alias("canon"))
 
@@ -121,3 +122,78 @@ def write_sessions(iv: DataFrame, path: str) -> None:
     i = F.struct("idx", "speaker", "party", "role", "topic", "text")
     g = iv.groupBy(F.col("pleno_id").alias("id"), "legislatura", "fecha").agg(F.sort_array(F.collect_list(i)).alias("i"), F.count(F.lit(1)).alias("n_intervenciones"))
     g.select("id", "legislatura", "fecha", "n_intervenciones", F.transform("i", lambda x: x.dropFields("idx")).alias("interventions")).write.json(path)
+
+
+def pictures(spark: SparkSession, path: str) -> DataFrame:
+    """(sha, desc, manual, page, file) of a JSON map of descriptions by content digest."""
+    kind = "map<string,struct<desc:string,manual:string,page:int,file:string>>"
+    d = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", kind)).alias("sha", "v"))
+    return d.select("sha", "v.desc", "v.manual", "v.page", F.coalesce("v.file", F.lit("")).alias("file"))
+
+
+def tutorials(spark: SparkSession, folder: str, known: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """(vid, title, seg_id, start, end, text) of the transcripts of tutorials in a folder, a video once.
+
+    A file's stem is a video's id of eleven characters, its title stands in <id>.title.txt; known maps other stems to (id, title). Other files are none. Of two
+    files of one video the last stem in order stays.
+    """
+    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+    t = spark.read.schema(TRANSCRIPT).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder).select(stem.alias("stem"), "segments")
+    k = spark.createDataFrame([(a, *b) for a, b in (known or {}).items()], "stem string, known string, name string")
+    t = t.join(F.broadcast(k), "stem", "left").withColumn("vid", F.coalesce("known", F.when(F.length("stem") == 11, F.col("stem")))).filter("vid is not null")  # a few legacy names
+    first = F.row_number().over(Window.partitionBy("vid").orderBy(F.desc("stem")))
+    t = t.withColumn("k", first).filter("k = 1")
+    names = spark.read.option("wholetext", True).option("pathGlobFilter", "*.title.txt").text(folder).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.title\.txt$", "").alias("stem"), F.trim(F.regexp_replace("value", r"\s+$", "")).alias("said"))
+    t = t.join(names, "stem", "left").select("vid", F.coalesce("name", "said", F.lit("Tutorial (vídeo)")).alias("title"), F.posexplode("segments").alias("seg_id", "s"))
+    return t.select("vid", "title", "seg_id", "s.start", "s.end", "s.text")
+
+
+def expand(spark: SparkSession, inputs: list[str], suffix: str) -> list[str]:
+    """Files, folders and globs as files that end with suffix, each once: in the order given, within a folder or glob by name."""
+    out: dict[str, None] = {}
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for i in inputs:
+        p = jvm.org.apache.hadoop.fs.Path(i)
+        fs = p.getFileSystem(conf)
+        for found in fs.globStatus(p) or []:
+            files = fs.listStatus(found.getPath()) if found.isDirectory() else [found]
+            for f in sorted(x.getPath().toString() for x in files if x.isFile()):
+                if f.lower().endswith(suffix):
+                    out.setdefault(f)
+    return list(out)
+
+
+def vocabulary(terms: DataFrame, roster_: DataFrame) -> DataFrame:
+    """(term) of a glossary's terms(term) and a roster's names(name), each once."""
+    return terms.select("term").union(roster_.select(F.col("name"))).filter("term is not null and term <> ''").distinct()
+
+
+def write_roster(names: DataFrame, path: str) -> None:
+    """A roster (name, party, n) as JSON lines."""
+    names.select("name", "party", "n").write.json(path)
+
+
+def roster_names(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("name string, party string, n long").json(path)
+
+
+def write_registry(reg: DataFrame, path: str) -> None:
+    """(legislatura, name, sigla, canon) as a JSON map term -> name -> [sigla, canonical name], a line for each term's part."""
+    by = reg.groupBy("legislatura").agg(F.map_from_entries(F.collect_list(F.struct("name", F.array("sigla", "canon")))).alias("names"))
+    by.select(F.to_json(F.create_map(F.col("legislatura").cast("string"), F.col("names"))).alias("value")).write.text(path)
+
+
+def write_captions(seg: DataFrame, path: str) -> None:
+    """Captions of every session in a folder of its own: segments(pleno_id, seg_id, start, end, text), numbered in their order."""
+    from ..functions.record import caption
+
+    n = F.row_number().over(Window.partitionBy("pleno_id").orderBy("start", "seg_id"))
+    c = seg.select("pleno_id", "start", "seg_id", n.alias("n"), "end", "text")
+    c = c.select("pleno_id", "n", caption(F.col("n"), F.col("start"), F.col("end"), F.col("text")).alias("value"))
+    c.repartition("pleno_id").sortWithinPartitions("pleno_id", "n").select("pleno_id", "value").write.partitionBy("pleno_id").text(path)
+
+
+def write_plain(seg: DataFrame, path: str) -> None:
+    """The words alone of every session, a segment a line."""
+    c = seg.select("pleno_id", "start", "seg_id", F.trim(F.coalesce("text", F.lit(""))).alias("value")).filter("value <> ''")
+    c.repartition("pleno_id").sortWithinPartitions("pleno_id", "start", "seg_id").select("pleno_id", "value").write.partitionBy("pleno_id").text(path)

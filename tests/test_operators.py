@@ -184,7 +184,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "r.csv").write_text("﻿Nombre, GRUPO\nAna,PP\n,X\n", "utf-8")
     assert [tuple(r) for r in readers.roster(spark, str(tmp_path / "r.csv")).collect()] == [("Ana", "PP", "")]
     (tmp_path / "o.csv").write_text("speaker,legislatura,party_correcto\nÁna,12,A\nANA,12,B\nx,,\ny,,C\n", "utf-8")
-    assert sorted((r.key, r.legislatura, r.sigla) for r in readers.overrides(spark, str(tmp_path / "o.csv")).collect()) == [("ana", 12, "B"), ("y", None, "C")]
+    assert sorted((r.key, r.legislatura, r.sigla) for r in readers.overrides(spark, str(tmp_path / "o.csv")).collect()) == [("ANA", 12, "B"), ("Y", None, "C")]
     (tmp_path / "g.txt").write_text("# c\nIBI\n\nplusvalia = plusvalía\n[01:05] no\n", "utf-8")
     terms, aliases = readers.glossary(spark, str(tmp_path / "g.txt"))
     assert {r.term for r in terms.collect()} == {"IBI", "[01:05] no"} and [tuple(r) for r in aliases.collect()] == [("plusvalia", "plusvalía")]
@@ -192,7 +192,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "v.json").write_text(json.dumps({"Ana": {"vecs": [[1, 2], [3, 4]], "n": 2, "party": "PP"}, "Old": {"vec": [5, 6]}}), "utf-8")
     assert sorted((r.persona, r.exemplar, r.vec) for r in readers.voiceprints(spark, str(tmp_path / "v.json")).collect()) == [("Ana", 0, [1, 2]), ("Ana", 1, [3, 4]), ("Old", 0, [5, 6])]
     (tmp_path / "reg.json").write_text(json.dumps({"12": {"Ána Ruiz": ["PP", "Ana Ruiz"]}}), "utf-8")
-    assert [(r.legislatura, r.key, r.sigla, r.canon) for r in readers.registry(spark, str(tmp_path / "reg.json")).collect()] == [(12, "ana ruiz", "PP", "Ana Ruiz")]
+    assert [(r.legislatura, r.key, r.sigla, r.canon) for r in readers.registry(spark, str(tmp_path / "reg.json")).collect()] == [(12, "ANA RUIZ", "PP", "Ana Ruiz")]
     (tmp_path / "f.jsonl").write_text('{"q": "a", "util": true}\nbad\n{"q": "b", "util": false}\n', "utf-8")
     assert readers.feedback(spark, str(tmp_path / "f.jsonl")).count() == 2
     (tmp_path / "vv.json").write_text(json.dumps({"id": "V1", "punto": 3, "recuento": {"a_favor": 5, "en_contra": 0, "abstencion": 1}, "sin_voto": 6, "asientos_a_revisar": [1, 2]}), "utf-8")
