@@ -86,13 +86,28 @@ g AS (SELECT grupo, eje, count(*) n, sum(sim * proj) / sum(sim) p, any_value(mid
 SELECT grupo, CAST(eje AS INTEGER) eje, n, CASE WHEN n >= 3 THEN round(greatest(-1.0, least(1.0, (p - mid) / half)), 3) END score, CASE WHEN n < 3 THEN 'sin_datos' WHEN n >= 20 THEN 'alta' WHEN n >= 8 THEN 'media' ELSE 'baja' END confianza, evid_min, evid_max FROM g""")
 def axis_positions(spark, sf):
     c = chunks(spark, sf)
+    return op.positions(c.select("id", F.col("label").alias("grupo"), "vec"), _axes(spark, c))
+
+
+def _axes(spark, c):
+    """(eje, subject, direction, mid, half) of the few axes."""
     cent = centroids(c)
     a = spark.createDataFrame(AXES, "eje int, a int, b int")
     a = a.join(cent.select(F.col("label").alias("a"), F.col("cv").alias("lv")), "a").join(cent.select(F.col("label").alias("b"), F.col("cv").alias("rv")), "b")
     a = a.withColumn("direction", unit(F.zip_with("rv", "lv", lambda x, y: x - y))).withColumn("subject", unit(F.zip_with("rv", "lv", lambda x, y: x + y)))
     lo, hi = dot("lv", "direction"), dot("rv", "direction")
-    axes = a.select("eje", "subject", "direction", ((lo + hi) / 2).alias("mid"), ((hi - lo) / 2).alias("half"))
-    return op.positions(c.select("id", F.col("label").alias("grupo"), "vec"), axes)
+    return a.select("eje", "subject", "direction", ((lo + hi) / 2).alias("mid"), ((hi - lo) / 2).alias("half"))
+
+
+@query(f"""WITH {E}, {CENT}, a AS (SELECT eje, l.cv lv, r.cv rv FROM (VALUES (0, 0, 1), (1, 2, 3), (2, 4, 5)) x(eje, a, b) JOIN c l ON l.label = a JOIN c r ON r.label = b), u AS (SELECT eje, list_transform(range(1, 65), lambda i: rv[i] - lv[i]) dv, lv, rv FROM a),
+w AS (SELECT eje, list_transform(dv, lambda x: x / sqrt({DOT.format("dv", "dv")})) dv, lv, rv FROM u), m AS (SELECT eje, dv, ({DOT.format("lv", "dv")} + {DOT.format("rv", "dv")}) / 2 mid, ({DOT.format("rv", "dv")} - {DOT.format("lv", "dv")}) / 2 half FROM w)
+SELECT e.id, CAST(eje AS INTEGER) eje, round(greatest(-1.0, least(1.0, ({DOT.format("v", "dv")} - mid) / half)), 4) posicion FROM e, m WHERE e.id % 20 = 0""")
+def axis_texts(spark, sf):
+    """Where texts of one's own (every twentieth) stand on each axis, from -1 to 1."""
+    c = chunks(spark, sf)
+    j = op.against(asked(c, 20), _axes(spark, c).select("eje", "direction", "mid", "half"))
+    at = (dot("qvec", "direction") - F.col("mid")) / F.col("half")
+    return j.select(F.col("qid").alias("id"), "eje", F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), at)), 4).alias("posicion"))
 
 
 PEOPLE = f"""x AS (SELECT id, label persona, v FROM e WHERE id % 7 = 0), q AS (SELECT id qid, v FROM e WHERE id % 7 = 1),
