@@ -2,27 +2,25 @@
 
 A byte is removed if a string of THRESHOLD bytes that covers it also starts in a document with a smaller
 doc_id. Prefix doubling names the string of h bytes at a position by the pair of names (h at the position,
-h further on) and sorts the pairs, at offsets that double, until a position's string is unique, which ends it, or is
-as long as the threshold. Done for every byte, each round would sort tens of bytes for each byte of text, so the rounds
-here are made to carry as few positions as exactness allows:
-
-- Names of 1, 2, 4, 8, 16, 20 bytes are made inside a task; a name is a 64-bit mix of a pair of names.
-- Round 1 sorts the names of SEED bytes at sampled positions. The sample is fixed by content: of every string of
-  THRESHOLD bytes the least name of SEED bytes in it. Equal strings have equal least names, so a
-  string whose least name stands in one document alone is unique and its positions end here. Neighbouring
-  positions with the same least name form a run and are one entry.
-- Round 2 sorts, for the runs left, the pair (name of THRESHOLD bytes at the first position, the same at the last position,
-  offset between them). It names all text of the run: a run whose text starts in a smaller document is removed whole.
-- Round 3 sorts the pairs (32 bytes, 32 bytes at offset 18), names of THRESHOLD bytes, at the positions
-  of the runs left: the first of each text. A position is removed if its smallest document is smaller than its own.
-
-A round is: segments of documents -> packed sorted names with their smallest document by bucket -> one
-sort in each bucket, which says for each entry whether a smaller (round 1: another) document has the name -> bits back to the
-segments. Within a segment equal names are one entry before anything moves, so a passage that all documents
-share costs a bucket one entry for each segment, and a task holds one bucket or one segment. The segments are a bucketed table in the shared
-folder: the text is written once and never shuffled.
-
-Names are equal by chance for two different strings with probability 2**-64 a pair.
+h further on) and sorts the pairs, at offsets that grow, until a position's string is unique, which ends it, or is
+as long as the threshold. A name is 64 bits and stands in the place of a rank: equal strings have equal names wherever they are made, so names of
+1, 2, 4, 8, 16, 20 and 32 bytes are made within a segment, and Spark sorts where segments must be compared:
+
+1. the names of SEED bytes, at sampled positions. The sample is fixed by content: of every string of
+   THRESHOLD bytes the least name of SEED bytes in it. Equal strings have equal least names, so a
+   string whose least name stands in one segment and document alone is unique and its positions end here. Neighbouring
+   positions with the same least name form a run and are one entry.
+2. for the runs left, the pairs (name of THRESHOLD bytes at the first position, the same at the last one, the offset between
+   them), within each least name. They name all text of the run: a run whose text starts in a smaller document is removed whole, and where
+   a least name has runs of one text alone, its runs end here.
+3. for the runs left, at each position the pair (name of 32 bytes, name of 32 bytes at offset 18), which names THRESHOLD bytes.
+   A position is removed if its smallest document is smaller than its own.
+
+A sort is a Spark window over the pairs: a row for each distinct entry of a segment goes to its pair's partition, what the window finds comes back to the segment, if it
+says anything. Rows grow with the text, whatever the number of segments. Within a segment equal entries are one row, so a passage that all documents
+share costs a row for each segment. The segments are a bucketed table in the shared folder: the text is written once and never shuffled.
+
+Rounds 2 and 3 compare pairs, 128 bits and more: two different strings are taken for equal with chance 2**-128 a pair. Round 1 only decides what is looked at further.
 """
 
 from __future__ import annotations
@@ -32,9 +30,8 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, small_batches, table, with_defaults, written
@@ -42,7 +39,8 @@ from .common import scratch, small_batches, table, with_defaults, written
 THRESHOLD = 50
 SEED = 20
 SEGMENT_BYTES = 2 << 20
-BUCKET_BYTES = 12 << 20
+#: Bytes of text for each partition of the sorts.
+SORT_BYTES = 16 << 20
 CHUNK = 1 << 18
 U = np.uint64
 _M = [U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93)]
@@ -57,8 +55,8 @@ def _pair(a: np.ndarray, b: np.ndarray, turn: int) -> np.ndarray:
     return h
 
 
-def _names(text: np.ndarray, seed: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the seed and threshold bytes at every position, by doubling."""
+def _names(text: np.ndarray, seed: int, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Names of the seed and threshold bytes at every position, by doubling; and the names, with their offset, whose pairs the last are."""
     h, n, turn = _pair(text.astype(U) + U(1), np.zeros(len(text), U), 0), 1, 1
     short = None
 
@@ -69,9 +67,10 @@ def _names(text: np.ndarray, seed: int, threshold: int) -> tuple[np.ndarray, np.
         if short is None and n * 2 > seed:
             short = h if n == seed else to(h, n, seed, 90 + n)
         step = min(n, threshold - n)
+        half, offset = h, step
         h = to(h, n, n + step, turn)
         n, turn = n + step, turn + 1
-    return short, h
+    return short, h, half, offset
 
 
 def _slide_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -82,16 +81,6 @@ def _slide_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (w - n)], h[w - n :]) if n < w else h
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Sorted unsigned integers: differences, byte plane by byte plane, compressed."""
-    d = np.diff(x, prepend=U(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.T).tobytes())
-
-
-def _unpack(b: bytes) -> np.ndarray:
-    d = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(d.T).view("<u8").reshape(-1).astype(U), dtype=U)
-
 
 class Segment:
     """Documents of one segment, cut into chunks: runs of positions with one least name, and names at positions."""
@@ -104,7 +93,7 @@ class Segment:
         self.seed, self.threshold = seed, threshold
         key, lo, hi, first, last = [], [], [], [], []
         for a, b in self._chunks():
-            short, long_ = _names(self.text[a:b], seed, threshold)
+            short, long_, _, _ = _names(self.text[a:b], seed, threshold)
             least = _slide_min(short, threshold - seed + 1)
             at = np.arange(a, a + len(least))
             doc = np.searchsorted(self.ends, at, side="right")
@@ -136,62 +125,65 @@ class Segment:
         for a in range(0, len(self.text) - self.threshold + 1, CHUNK):
             yield a, min(len(self.text), a + CHUNK + self.threshold - 1)
 
-    def run_names(self, at: np.ndarray) -> np.ndarray:
-        return _pair(_pair(self.first[at], self.last[at], 60), (self.hi - self.lo)[at].astype(U), 61)
+    def pairs(self, runs: np.ndarray) -> np.ndarray:
+        """(least name, first, last, offset) of runs."""
+        return np.stack([self.key[runs], self.first[runs], self.last[runs], (self.hi - self.lo)[runs].astype(U)], axis=1)
 
     def positions(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All positions of the runs and their names of threshold bytes."""
+        """All positions of the runs, and at each the pair of names that names threshold bytes."""
         n = self.hi[runs] - self.lo[runs] + 1
         at = np.repeat(self.lo[runs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        names = []
+        out = [np.zeros((0, 2), U)]
         for a, b in self._chunks():
-            mine = at[np.searchsorted(at, a) : np.searchsorted(at, a + CHUNK)]
+            mine = at[np.searchsorted(at, a) : np.searchsorted(at, a + CHUNK)] - a
             if len(mine):
-                names.append(_names(self.text[a:b], self.seed, self.threshold)[1][mine - a])
-        return at, np.concatenate(names) if names else np.zeros(0, U)
+                half, offset = _names(self.text[a:b], self.seed, self.threshold)[2:]
+                out.append(np.stack([half[mine], half[mine + offset]], axis=1))
+        return at, np.concatenate(out)
 
 
 def _entries(names: np.ndarray, doc_ids: np.ndarray):
-    """Distinct names, sorted, each with its smallest doc_id and whether it has others; and each row's entry."""
-    order = np.lexsort((doc_ids, names))
+    """Distinct rows of names, in order, each with its smallest and greatest doc_id; and each row's entry."""
+    order = np.lexsort((doc_ids, *names.T[::-1]))
     n, d = names[order], doc_ids[order]
     new = np.ones(len(n), bool)
-    new[1:] = n[1:] != n[:-1]
+    new[1:] = (n[1:] != n[:-1]).any(axis=1)
     at = np.flatnonzero(new)
     entry = np.empty(len(n), np.int64)
     entry[order] = np.cumsum(new) - 1
     last = np.append(at[1:], len(n)) - 1 if len(at) else at
-    return n[at], d[at], d[last] != d[at], entry
-
+    return n[at], d[at], d[last], entry
 
-def _bounds(n: int) -> np.ndarray:
-    """Upper ends of n - 1 of n equal ranges of names."""
-    return np.array([((i + 1) << 64) // n - 1 for i in range(n - 1)], U)
 
-
-def _round(seg: Segment, known: dict[int, list[bytes]], buckets: int):
-    """Names, doc_ids and rows of the round after those in known; None after the last."""
+def _round(seg: Segment, known: dict[int, dict[str, np.ndarray]]):
+    """Of the round after those known: its number, the distinct names, their smallest and greatest doc_ids; after the last, the bytes removed."""
     removed, runs = [], np.arange(len(seg.lo))
     for turn in (1, 2, 3):
         if turn == 1:
-            names = seg.key
+            names = seg.key[:, None]
         elif turn == 2:
-            names = seg.run_names(runs)
+            names = seg.pairs(runs)
         else:
             at, names = seg.positions(runs)
-        rows = seg.docs[seg.doc[runs]] if turn < 3 else seg.docs[np.searchsorted(seg.ends, at, side="right")]
-        n, d, many, entry = _entries(names, rows)
+        docs = seg.docs[seg.doc[runs]] if turn < 3 else seg.docs[np.searchsorted(seg.ends, at, side="right")]
+        n, low, high, entry = _entries(names, docs)
         if turn not in known:
-            return turn, (n, d, many), None
-        bits = np.concatenate([np.zeros(0, bool), *[np.unpackbits(np.frombuffer(b, np.uint8), count=k).astype(bool) for k, b in known[turn]]])
-        assert len(bits) == len(n), "a segment's entries changed between rounds"
+            return turn, (n, low, high), None
+        said = known[turn]
         if turn == 1:
-            runs = runs[(bits | many)[entry]]
+            shared = np.zeros(len(n), bool)
+            shared[said["entry"]] = True
+            runs = runs[shared[entry]]
             continue
-        hit = bits[entry] | (d[entry] < rows)
+        # the smallest document of each entry, its own where Spark had nothing to say
+        least = low.copy()
+        least[said["entry"]] = said["least"]
+        hit = least[entry] < docs
         if turn == 2:
             removed.append((seg.lo[runs[hit]], seg.hi[runs[hit]] + seg.threshold))
-            runs = runs[~hit]
+            mixed = np.zeros(len(n), bool)
+            mixed[said["entry"]] = said["mixed"]
+            runs = runs[~hit & mixed[entry]]
         else:
             removed.append((at[hit], at[hit] + seg.threshold))
     cover = np.zeros(len(seg.text) + 1, np.int32)
@@ -237,84 +229,57 @@ def _open(row: dict, seed: int, threshold: int) -> Segment:
     return Segment(row["doc_ids"], row["sizes"], row["data"], seed, threshold)
 
 
-def _answers(row: dict) -> dict[int, list[bytes]]:
-    known: dict[int, list] = {}
+def _answers(row: dict) -> dict[int, dict[str, np.ndarray]]:
+    """What the rounds so far said of the segment's entries."""
+    known = {}
     for turn in (1, 2, 3):
         if row.get(f"r{turn}") is not None:
-            known[turn] = [(x["n"], x["bits"]) for x in sorted(row[f"r{turn}"], key=lambda x: x["bucket"])]
+            r = row[f"r{turn}"]
+            known[turn] = {"entry": np.array([x["entry"] for x in r], np.int64), "least": np.array([x["least"] for x in r], np.int64), "mixed": np.array([x["mixed"] for x in r], bool)}
     return known
 
 
-ENTRY = "bucket int, segment long, n int, names binary, docs binary, many binary"
-
-
-def _emit(buckets: int, seed: int, threshold: int):
-    schema = pa.schema([("bucket", pa.int32()), ("segment", pa.int64()), ("n", pa.int32()), ("names", pa.binary()), ("docs", pa.binary())])
-    ends = _bounds(buckets)
+def _emit(turn: int, seed: int, threshold: int):
+    """A row for each distinct entry of a segment: its number, its names, its smallest and greatest doc_id."""
+    fields = [f"n{i}" for i in range(NAMES[turn])]
 
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                _, (names, docs, _), _ = _round(_open(row, seed, threshold), _answers(row), buckets)
-                edge = np.concatenate([[0], np.searchsorted(names, ends, side="right"), [len(names)]])
-                out = []
-                for i in range(buckets):
-                    a, z = int(edge[i]), int(edge[i + 1])
-                    if z > a:
-                        own = np.unique(docs[a:z])
-                        ranks = np.searchsorted(own, docs[a:z]).astype("<u4").view(np.uint8).reshape(-1, 4).T
-                        packed = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(ranks).tobytes())
-                        head = _pack((own.view(U) ^ U(1 << 63)))
-                        out.append({"bucket": i, "segment": row["segment"], "n": z - a, "names": _pack(names[a:z]), "docs": len(head).to_bytes(4, "little") + head + packed})
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                at, (names, low, high), _ = _round(_open(row, seed, threshold), _answers(row))
+                assert at == turn, "rounds out of order"
+                for a in range(0, len(names), 1 << 16):
+                    part = names[a : a + (1 << 16)].view(np.int64)
+                    columns = [pa.array(np.full(len(part), row["segment"])), pa.array(np.arange(a, a + len(part), dtype=np.int32)), *(pa.array(np.ascontiguousarray(part[:, i])) for i in range(part.shape[1]))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(low[a : a + len(part)]), pa.array(high[a : a + len(part)])], names=["segment", "entry", *fields, "low", "high"])
 
     return run
 
 
-def _docs(b: bytes) -> np.ndarray:
-    k = int.from_bytes(b[:4], "little")
-    own = (_unpack(b[4 : 4 + k]) ^ U(1 << 63)).view(np.int64)
-    ranks = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[4 + k :]), np.uint8).reshape(4, -1)
-    return own[np.ascontiguousarray(ranks.T).view("<u4").reshape(-1)]
-
-
-def _sort(first: bool):
-    """One bucket at a time: sorts its entries; a bit for each: a smaller document (first round: another) has the name."""
-    schema = pa.schema([("segment", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("bits", pa.binary())])
-
-    def bucket(rows):
-        names = np.concatenate([_unpack(r["names"]) for r in rows])
-        docs = np.concatenate([_docs(r["docs"]) for r in rows])
-        order = np.argsort(names, kind="stable")
-        n, d = names[order], docs[order]
-        new = np.ones(len(n), bool)
-        new[1:] = n[1:] != n[:-1]
-        at = np.flatnonzero(new)
-        size = np.diff(np.append(at, len(n)))
-        bit = np.empty(len(n), bool)
-        if first:
-            bit[order] = np.repeat(np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at), size)
-        else:
-            bit[order] = np.repeat(np.minimum.reduceat(d, at), size) < d
-        k = 0
-        out = []
-        for r in rows:
-            out.append({"segment": r["segment"], "bucket": r["bucket"], "n": r["n"], "bits": np.packbits(bit[k : k + r["n"]]).tobytes()})
-            k += r["n"]
-        return pa.RecordBatch.from_pylist(out, schema=schema)
+#: Columns that name an entry in each round.
+NAMES = {1: 1, 2: 4, 3: 2}
 
-    def run(batches):
-        held = []
-        for b in batches:
-            for r in b.to_pylist():
-                if held and r["bucket"] != held[0]["bucket"]:
-                    yield bucket(held)
-                    held = []
-                held.append(r)
-        if held:
-            yield bucket(held)
 
-    return run
+def _sorted(entries: DataFrame, turn: int, parts: int) -> DataFrame:
+    """(segment, r) for every segment to which the sort has something to say: r is a list of (entry, least, mixed).
+
+    Round 1 names the entries that others share. Rounds 2 and 3 give the smallest doc_id of the entry's names, where it is another's; round 2 also tells
+    least names whose runs differ in text.
+    """
+    names = [f"n{i}" for i in range(NAMES[turn])]
+    # rows of a first name lie together, in the order of all: one exchange and one sort serve both windows
+    e = entries.repartition(parts, "n0" if turn < 3 else F.xxhash64(*names))
+    same = Window.partitionBy(*names)
+    e = e.withColumn("least", F.min("low").over(same))
+    if turn == 1:
+        e = e.withColumn("mixed", F.lit(False)).withColumn("top", F.max("high").over(same)).filter("least <> top")
+    elif turn == 2:
+        pair = F.struct(*names[1:])
+        key = Window.partitionBy("n0")
+        e = e.withColumn("a", F.min(pair).over(key)).withColumn("z", F.max(pair).over(key)).withColumn("mixed", F.col("a") != F.col("z")).filter("mixed or least < high")
+    else:
+        e = e.withColumn("mixed", F.lit(False)).filter("least < high")
+    return e.groupBy("segment").agg(F.collect_list(F.struct("entry", "least", "mixed")).alias(f"r{turn}"))
 
 
 DIGEST = "segment long, doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept binary, extra string"
@@ -327,7 +292,7 @@ def _finish(seed: int, threshold: int):
         for b in batches:
             for row in b.to_pylist():
                 seg = _open(row, seed, threshold)
-                gone = _round(seg, _answers(row), 0)[2]
+                gone = _round(seg, _answers(row))[2]
                 out, a = [], 0
                 for i, k, x, z in zip(row["doc_ids"], row["rows"], row["extra"], seg.ends.tolist()):
                     g, t = gone[a:z], seg.text[a:z]
@@ -360,22 +325,21 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, seed: int = SEED
     top = (1 << 63) - 1
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(top)).alias("doc_id"), "text", (F.to_json(F.struct(*extra)) if extra else F.lit(None).cast("string")).alias("extra"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = int(max(4, -(-total // BUCKET_BYTES)))
+    parts = int(max(4, -(-total // SORT_BYTES)))
     name, path = f"segments_{uuid.uuid4().hex}", scratch(spark, "segments")
-    d.mapInArrow(_segments(SEGMENT_BYTES), SEGMENT).write.bucketBy(buckets, "segment").sortBy("segment").option("path", path).option("compression", "zstd").saveAsTable(name)
-    segments = spark.table(name)
-    with_answers = segments
+    d.mapInArrow(_segments(SEGMENT_BYTES), SEGMENT).write.bucketBy(parts, "segment").sortBy("segment").option("path", path).option("compression", "zstd").saveAsTable(name)
+    with_answers = spark.table(name)
     for turn in (1, 2, 3):
-        entries = with_answers.mapInArrow(_emit(buckets, seed, threshold), "bucket int, segment long, n int, names binary, docs binary")
-        entries = entries.repartition(buckets, "bucket").sortWithinPartitions("bucket", "segment")
-        bits = entries.mapInArrow(_sort(turn == 1), "segment long, bucket int, n int, bits binary")
-        answer = bits.groupBy("segment").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias(f"r{turn}"))
-        answer = written(answer, f"answers_{turn}").repartition(buckets, "segment")
+        columns = ", ".join(f"n{i} long" for i in range(NAMES[turn]))
+        entries = with_answers.mapInArrow(_emit(turn, seed, threshold), f"segment long, entry int, {columns}, low long, high long")
+        answer = written(_sorted(entries, turn, parts), f"answers_{turn}").repartition(parts, "segment")
         with_answers = with_answers.join(answer.hint("shuffle_hash"), "segment", "left").withColumn(f"r{turn}", F.coalesce(f"r{turn}", F.expr("array()")))
     out = with_answers.mapInArrow(_finish(seed, threshold), DIGEST).withColumn("doc_id", F.when(F.col("doc_id") != top, F.col("doc_id")))
     if extra:
         kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
         out = out.withColumn("extra", F.from_json("extra", kinds))
+    # the plan holds the files; the catalogue need not
+    spark.sql(f"DROP TABLE {name}")
     return out.select("segment", "row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept", *[F.col("extra")[c].alias(c) for c in extra])
 
 
