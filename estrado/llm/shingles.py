@@ -1,6 +1,8 @@
-"""Near-duplicates by the shared share of word shingles: bands of minima bring texts together, every link is verified on the whole sets.
+"""Near-duplicates by the shared share of word shingles: candidates by SimHash and by bands of minima, every link verified on the whole sets.
 
-Texts of equal words are one row. Each has 144 minima of its shingles' hashes in 24 bands of 6: two texts with a share
+Texts of equal words are one row. Its SimHash meets all others within three bits under deletion variants (module simhash). At a share of 0.8
+fingerprints of 64 bits differ in about ten, which no cut into segments finds without meeting nearly all pairs, so minima complete the candidates: 144
+minima of the shingles' hashes in 24 bands of 6; two texts with a share
 of 0.8 have one band at least in common with chance 0.999. Texts of a band are joined to the least of it only to find
 the clusters within which true links can lie; in a cluster all texts meet by their whole sets of shingles, a large
 cluster in blocks of which each two meet, so that none is left out and a task stays bounded.
@@ -15,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import small_batches, with_defaults, written
-from .simhash import SEED, first_rows, labelled, shingle_hashes, words
+from .common import small_batches, written
+from .simhash import DISTANCE, SEED, labelled, links, of_hashes, shingle_hashes, words
 
 BANDS = 24
 ROWS = 6
@@ -37,20 +39,22 @@ def band_keys(h: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, h, fp, keys) of every row of docs(doc_id, text): hashes of the text and of its words, and its bands."""
+    """(doc_id, h, fp, sim, keys) of every row of docs(doc_id, text): hashes of the text and of its words, its SimHash, and its bands."""
 
     def run(batches):
         for b in batches:
-            fp, keys = [], []
+            fp, sim, keys = [], [], []
             for text in b.column(2).to_pylist():
                 w = words(text)
+                h = shingle_hashes(w, n)
                 fp.append(xxhash.xxh64_intdigest(b" ".join(w), SEED))
-                keys.append(band_keys(shingle_hashes(w, n)))
+                sim.append(of_hashes(h))
+                keys.append(band_keys(h))
             own = pa.array(np.array(fp, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), own, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), own, pa.array(sim, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "fp", "sim", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return small_batches(docs).select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h long, fp long, keys array<long>")
+    return small_batches(docs).select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h long, fp long, sim long, keys array<long>")
 
 
 def _sets(n: int):
@@ -94,20 +98,27 @@ def _verified(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, h, fp, component_id) of every row of docs(doc_id, text): component_id is the smallest doc_id reachable over verified links.
 
     Texts of fewer than n words are one shingle; texts without words are alike.
     """
     rows = written(signatures(docs, n), "signatures")
     none = F.col("doc_id").isNull()
-    classes = rows.groupBy("fp").agg(F.min(F.struct(none.alias("none"), "doc_id", "h")).alias("m"), F.first("keys").alias("keys"))
-    classes = written(classes.select("fp", F.coalesce("m.doc_id", F.lit(0)).alias("_id"), F.col("m.none").alias("_none"), F.col("m.h").alias("_h"), "keys"), "classes")
-    keyed = classes.select("fp", F.posexplode("keys").alias("band", "k"))
+    classes = rows.groupBy("fp").agg(F.min(F.struct(none.alias("none"), "doc_id", "h")).alias("m"), F.first("sim").alias("sim"), F.first("keys").alias("keys"))
+    classes = written(classes.select("fp", F.coalesce("m.doc_id", F.lit(0)).alias("_id"), F.col("m.none").alias("_none"), F.col("m.h").alias("_h"), "sim", "keys"), "classes")
+    # bands of minima, and the SimHash itself as one more band
+    keyed = classes.select("fp", F.posexplode(F.concat("keys", F.array("sim"))).alias("band", "k"))
     least = keyed.groupBy("band", "k").agg(F.min("fp").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    clusters = components(keyed.join(least, ["band", "k"]).filter("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b")))
+    stars = keyed.join(least, ["band", "k"]).filter("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b"))
+    # SimHashes within distance, each by the least of its texts
+    by_sim = classes.groupBy("sim").agg(F.min("fp").alias("fp"))
+    near = links(by_sim.select(F.col("sim").alias("fp")), distance)
+    of = lambda side: by_sim.select(F.col("sim").alias(side), F.col("fp").alias(f"{side}_fp"))
+    near = near.join(of("a"), "a").join(of("b"), "b").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
+    clusters = components(stars.union(near))
     clusters = clusters.select(F.col("node").alias("fp"), F.col("root").alias("cluster"))
-    met = classes.drop("keys").join(clusters, "fp")
+    met = classes.drop("keys", "sim").join(clusters, "fp")
     own = docs.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), none.alias("_none"), F.xxhash64("text").alias("_h"), "text")
     sets = small_batches(own.join(met, ["_id", "_none", "_h"])).select("cluster", "fp", "text").mapInArrow(_sets(n), "cluster long, fp long, s binary")
     # rows that repeat an id and a text are one
@@ -117,8 +128,3 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> Dat
     dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "s")
     edges = dealt.groupBy("cluster", "i", "j").applyInArrow(_verified(similarity), "a long, b long")
     return labelled(rows.select("doc_id", "h", "fp"), edges)
-
-
-def keep_one(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without near-duplicates: of each component the row of its smallest doc_id stays, in all its columns."""
-    return first_rows(docs, near_duplicates(with_defaults(docs, "doc_id", "text"), n, similarity))

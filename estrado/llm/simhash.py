@@ -43,9 +43,8 @@ def shingle_hashes(w: list[bytes], n: int) -> np.ndarray:
     return np.fromiter((xx(b[s:e], SEED) for s, e in zip(starts, ends[k - 1 :].tolist())), np.uint64, len(starts))
 
 
-def fingerprint(text: str | None, n: int = 3) -> int:
-    """The signed 64-bit SimHash of a text's word shingles; no words: 0."""
-    h = shingle_hashes(words(text), n)
+def of_hashes(h: np.ndarray) -> int:
+    """The signed 64-bit SimHash of shingle hashes; none: 0."""
     if not len(h):
         return 0
     bits = np.zeros(64, np.int64)
@@ -55,6 +54,11 @@ def fingerprint(text: str | None, n: int = 3) -> int:
     return int(np.packbits(bits * 2 > len(h), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str | None, n: int = 3) -> int:
+    """The SimHash of a text's shingles of n words; no words: 0."""
+    return of_hashes(shingle_hashes(words(text), n))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, h, fp) of every row of docs(doc_id, text), h being a hash of the text; null and empty texts have fingerprint 0."""
 
@@ -160,13 +164,20 @@ def labelled(fp: DataFrame, edges: DataFrame) -> DataFrame:
     return fp.join(linked, "fp").select("doc_id", "h", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def keep_one(docs: DataFrame, distance: int = DISTANCE, n: int = 3, similarity: float | None = None) -> DataFrame:
     """docs without near-duplicates: of each component the row of its smallest doc_id stays, in all its columns.
 
+    Without a similarity, texts link whose fingerprints of three-word shingles differ in distance bits or fewer, as op6 has it. With one, texts link that
+    share so much of their shingles of n words: fingerprints of those within distance, and bands of minima for what no 64 bits
+    tell, give candidates, and every link is verified on whole sets (module shingles).
+
     Of rows that share that doc_id the one whose text's hash is least stays, of equal rows any. A component without a doc_id keeps one of its
     rows as well. The texts are shuffled once: the join and the numbering of equal rows are on the same keys.
     """
-    return first_rows(docs, near_duplicates(with_defaults(docs, "doc_id", "text"), distance))
+    from . import shingles
+
+    own = with_defaults(docs, "doc_id", "text")
+    return first_rows(docs, near_duplicates(own, distance) if similarity is None else shingles.near_duplicates(own, n, similarity, distance))
 
 
 def first_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:

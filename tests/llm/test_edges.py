@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from estrado.llm import binary, fingerprints, html, langid, mixing, packing, quality, shingles, simhash, suffixes, tokens, topk
+from estrado.llm import binary, fingerprints, html, langid, mixing, packing, quality, simhash, suffixes, tokens, topk
 from estrado.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, block int, key string, size string"
@@ -96,7 +96,7 @@ def test_binary_files(spark, docs, tmp_path):
 def test_clashing_names(spark, docs):
     """Columns of any name pass through keep_one, place and mix."""
     d = docs.withColumnsRenamed({"key": "keep_id", "size": "tie", "block": "keep_k", "score": "row"})
-    for kept in (simhash.keep_one(d), shingles.keep_one(d)):
+    for kept in (simhash.keep_one(d), simhash.keep_one(d, n=5, similarity=0.8)):
         assert kept.columns == d.columns and kept.filter("keep_id is not null and keep_id <> 'k'").isEmpty()
     p = packing.place(d.select("*", F.lit(5).cast("long").alias("length"), F.lit("p").alias("part"), F.lit(1).alias("base")), 10)
     assert p.filter("part <> 'p' or base <> 1").isEmpty() and p.count() == docs.count()
