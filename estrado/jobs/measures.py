@@ -128,6 +128,14 @@ def fragment_union(spark, sf):
     return u.groupBy("tipo").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("titulo").alias("titulos"), F.min("id").alias("primero"))
 
 
+@query("""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) l FROM documents), c AS (SELECT doc_id, left(trim(l), 50) k, min(length(l)) n FROM s WHERE regexp_matches(lower(l), '^(the|le|el|der|la|die) ') GROUP BY 1, 2) SELECT doc_id, count(*) puntos, CAST(max(least(n, 800)) AS BIGINT) largo FROM c GROUP BY 1""")
+def agenda_cues(spark, sf):
+    """Lines of a document that open with an article as titles do, one for each beginning of 50 characters, cut at 800; the record's own cues are in agenda_blind."""
+    s = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l")).filter(F.rlike(F.lower("l"), F.lit("^(the|le|el|der|la|die) ")))
+    c = s.groupBy("doc_id", F.left(F.trim("l"), F.lit(50)).alias("k")).agg(F.min(F.length("l")).alias("n"))
+    return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("puntos"), F.max(F.least("n", F.lit(800))).cast("long").alias("largo"))
+
+
 @query(f"""WITH {SEG} SELECT pleno_id, seg_id, CASE WHEN contains(t, 'votacion') AND contains(t, 'a favor') AND contains(t, 'en contra') THEN 'recuento' WHEN contains(t, 'votacion') THEN 'votacion' END evento
 FROM (SELECT *, CASE seg_id % 4 WHEN 0 THEN 'votacion: votos a favor, en contra ' WHEN 1 THEN 'pasamos a la votacion ' ELSE '' END || speaker t FROM seg) WHERE seg_id % 4 < 3""")
 def vote_calls(spark, sf):
