@@ -66,7 +66,8 @@ def debounce(spark, sf):
     return op.debounced(segments(spark, sf).select("pleno_id", "seg_id", "start"), gap=7200.0)
 
 
-@query
+@said_by("""WITH c AS (SELECT user_id pleno_id, event_id seg_id, event_type IN ('signup', 'purchase') call, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts) // 1, event_id) n FROM events), i AS (SELECT *, n - row_number() OVER (PARTITION BY pleno_id, call ORDER BY n) isla FROM c),
+h AS (SELECT *, call AND row_number() OVER (PARTITION BY pleno_id, call, isla ORDER BY n) % 2 = 1 releva FROM i) SELECT pleno_id, seg_id, CASE WHEN releva THEN -1 ELSE CAST(count(*) FILTER (releva) OVER (PARTITION BY pleno_id ORDER BY n) AS INTEGER) END turno FROM h""")
 def handover_turns(spark, sf):
     return op.handovers(segments(spark, sf), "^(signup|purchase)$")
 
@@ -199,7 +200,13 @@ def agenda_called(spark, sf):
     return turns.called_points(spoken(spark, sf).withColumn("text", t).select("pleno_id", "seg_id", "start", "text"))
 
 
-@query
+TOPIC_KEY = r"trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^0-9a-z\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@said_by(f"""WITH w AS (SELECT source, doc_id, list_filter(string_split({TOPIC_KEY}, ' '), lambda x: length(x) > 3 AND NOT list_contains({rec.TOPIC_STOP_WORDS}, x)) w FROM documents),
+t AS (SELECT source, doc_id, unnest(w || list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) t FROM w), f AS (SELECT source, t, count(*) tf, count(DISTINCT doc_id) df FROM t GROUP BY 1, 2),
+g AS (SELECT t, sum(tf) f FROM f GROUP BY 1 HAVING sum(df) >= 2), z AS (SELECT source, sum(tf) size FROM f GROUP BY 1), s AS (SELECT f.source, f.t, round(tf / size * ln(1 + (SELECT avg(size) FROM z) / g.f), 8) peso FROM f JOIN g ON f.t = g.t JOIN z ON z.source IS NOT DISTINCT FROM f.source),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY peso DESC, t) AS INTEGER) rank FROM s) SELECT source, t, peso, rank FROM r WHERE rank <= 10""")
 def topic_words(spark, sf):
     """Class-based tf-idf of one- and two-word terms in at least two documents, without stop words, ten for each source.
 
@@ -208,7 +215,8 @@ def topic_words(spark, sf):
     """
     keep = lambda w: (F.length(w) > 3) & ~w.isin(*rec.TOPIC_STOP_WORDS)
     d = table(spark, sf, "documents").select("source", F.filter(F.split(tx.norm_key(F.col("text")), " "), keep).alias("w"))
-    two = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.try_element_at("w", i), F.try_element_at("w", i + 1)))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
+    two = F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>"))
     d = d.select("source", F.array_sort(F.concat("w", two)).alias("t"))
     terms = F.arrays_zip(F.col("t").alias("t"), F.concat(F.array(F.lit(None).cast("string")), F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0)))).alias("before"))
     e = d.select("source", F.explode(terms).alias("x")).filter("x.t is not null").select("source", F.col("x.t").alias("t"), (~F.col("x.t").eqNullSafe(F.col("x.before"))).cast("int").alias("doc"))

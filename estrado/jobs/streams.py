@@ -11,6 +11,8 @@ QUERIES = {
 }
 ORACLE = {
     "watcher_available_now": "SELECT DISTINCT user_id pleno_id, strftime(ts, '%Y-%m-%d') dia FROM events WHERE event_type = 'purchase'",
+    "handover_state": """WITH c AS (SELECT user_id pleno_id, event_type IN ('signup', 'purchase') call, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) n FROM events), i AS (SELECT *, n - row_number() OVER (PARTITION BY pleno_id, call ORDER BY n) isla FROM c),
+r AS (SELECT pleno_id, isla, CASE WHEN call THEN (count(*) + 1) // 2 ELSE 0 END k FROM i GROUP BY pleno_id, isla, call) SELECT pleno_id, CAST(sum(k) AS INTEGER) turnos FROM r GROUP BY 1""",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END nw FROM events),
 s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) n FROM s GROUP BY user_id, k""",
 }

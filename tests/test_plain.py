@@ -252,7 +252,7 @@ def test_topic_words(spark, tiny, read):
     tf, df, size = defaultdict(Counter), Counter(), Counter()
     for r in read("documents").itertuples():
         w = [x for x in re.sub(r"[^0-9a-z\s-]", " ", bare(r.text or "").lower()).split() if len(x) > 3 and x not in rec.TOPIC_STOP_WORDS]
-        terms = w + [" ".join(p) for p in zip(w, w[1:])] + (w if len(w) == 1 else [])
+        terms = w + [" ".join(p) for p in zip(w, w[1:])]
         tf[r.source].update(terms)
         df.update(set(terms))
         size[r.source] += len(terms)
