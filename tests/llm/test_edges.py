@@ -124,4 +124,4 @@ def test_vectors(spark):
 def test_missing_labels_and_queries(spark, tiny):
     one = quality.fit(*(lambda x: (x, x[:, 0] * 0 + 1))(__import__("numpy").ones((5, len(quality.STATS)))))
     assert not one.rules and one.bias > 0
-    assert set(QUERIES) == {"op1_html", "op2_binary", "op3_suffixes", "op4_fingerprints", "op5_langid", "op6_simhash", "op7_quality", "op8_packing", "op9_mixing", "op10_topk"}
+    assert set(QUERIES) == {"op1_html", "op2_binary", "op3_suffixes", "op4_fingerprints", "op5_langid", "op6_simhash", "op7_quality", "op8_packing", "op9_mixing", "op10_topk", "op11_merkle", "op12_clusters", "op13_lattice"}
