@@ -18,7 +18,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, table, with_defaults
@@ -27,9 +27,12 @@ from .tokens import slices
 PER_LANGUAGE = 300
 STRETCH = 160
 STRETCH_CHARS = 6000
-LANGUAGES = 1000
+#: Rows that training gathers at most, shared by the languages; of more languages than that, one row each.
+SAMPLE_ROWS = 24_000
 BUCKETS = 1 << 15
 SEGMENT = 256
+#: Labels up to which long texts are cut into segments that are chained.
+CHAINED = 32
 EPOCHS = 6
 UNKNOWN = "und"
 _CLEAN = re.compile(r"[\W\d_]+")
@@ -126,24 +129,28 @@ def marginals(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, fo
     """Posterior of each label at each word; with forward also its posterior given the words up to it. emit: (words, labels) of all texts, one after the other, positive."""
     L = emit.shape[1]
     T = np.exp(transitions - transitions.max())
-    n_seg = -(-lengths // SEGMENT)
+    # transfer matrices are squares of the labels: with many labels a text is one segment
+    segment = SEGMENT if L <= CHAINED else int(max(SEGMENT, lengths.max(initial=0)))
+    n_seg = -(-lengths // segment)
     text = np.repeat(np.arange(len(lengths)), n_seg)
     order = np.arange(len(text)) - np.repeat(np.cumsum(n_seg) - n_seg, n_seg)
-    start = (np.cumsum(lengths) - lengths)[text] + order * SEGMENT
-    size = np.minimum(lengths[text] - order * SEGMENT, SEGMENT)
+    start = (np.cumsum(lengths) - lengths)[text] + order * segment
+    size = np.minimum(lengths[text] - order * segment, segment)
     by = np.argsort(-size, kind="stable")
     at, n = start[by], size[by]
-    live = [int(np.searchsorted(-n, -t, side="left")) for t in range(SEGMENT + 1)]  # segments longer than t
+    live = [int(np.searchsorted(-n, -t, side="left")) for t in range(int(n[0]) + 1 if len(n) else 1)]  # segments longer than t
     S, norm = len(by), lambda x: x / x.sum(axis=-1, keepdims=True)
     # transfer of each segment: row i is the outcome of entering with label i
-    M = np.broadcast_to(np.eye(L), (S, L, L)).copy()
-    for t in range(int(n[0]) if S and n_seg.max() > 1 else 0):  # texts of one segment enter and leave freely
+    chained = S > 0 and n_seg.max() > 1  # texts of one segment enter and leave freely
+    M = np.broadcast_to(np.eye(L), (S, L, L))
+    M = M.copy() if chained else M
+    for t in range(int(n[0]) if chained else 0):
         m = live[t]
         x = (M[:m] @ T) * emit[at[:m] + t][:, None, :]
         M[:m] = x / x.sum(axis=(1, 2), keepdims=True)
     inv = np.empty(S, np.int64)
     inv[by] = np.arange(S)
-    M = M[inv]
+    M = M[inv] if chained else M
     enter, leave = np.full((S, L), 1.0 / L), np.ones((S, L))
     for k in range(1, int(n_seg.max(initial=0))):
         s = np.flatnonzero(order == k)
@@ -246,21 +253,25 @@ def train(samples: list[tuple[str, str]], seed: int = 5) -> Field:
 
 
 def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """About per_language (text, lang) rows of each language of labelled(doc_id, text, lang), chosen by a hash.
+    """per_language distinct rows (text, lang) of each language of labelled(doc_id, text, lang), or all if there are fewer; with many languages fewer rows of each (SAMPLE_ROWS).
 
-    Of a longer text STRETCH_CHARS characters from a place that the hash draws are taken, so what is gathered has a bound. Learned are the
-    LANGUAGES languages with most rows, ties by name.
+    Rows are drawn by a hash; one that stands there n times is drawn as if each copy drew, and comes once. So a language whose rows are all equal is learned too.
+    Of a longer text STRETCH_CHARS characters from a place that the hash draws are taken, so what is gathered has a bound.
     """
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return []
-    rate = F.create_map(*[x for l, n in counts.items() for x in (F.lit(l), F.lit(per_language / n))])[F.col("lang")]
     h = F.xxhash64("doc_id", "text")
-    u = F.pmod(h, F.lit(1 << 20)) / float(1 << 20)
+    copies = labelled.select("lang", h.alias("h")).groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"))
+    languages = labelled.select("lang").distinct().count()
+    if not languages:
+        return []
+    each = max(1, min(per_language, SAMPLE_ROWS // languages))
+    # the least of n exponential draws is one of n times the rate
+    u = (F.pmod(F.xxhash64("h"), F.lit(1 << 40)) + 1) / float(1 << 40)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(-F.log(u) / F.col("n"), "h"))
+    drawn = copies.withColumn("r", rank).filter(F.col("r") <= each).select(F.col("lang").alias("l"), F.col("h").alias("drawn"))  # SAMPLE_ROWS or a row for each language
     room = F.greatest(F.length("text") - STRETCH_CHARS + 1, F.lit(1))
     text = F.substr("text", (F.pmod(F.xxhash64(h), room) + 1).cast("int"), F.lit(STRETCH_CHARS))
-    rows = labelled.filter(u < rate).select(text.alias("text"), "lang").limit(2 * per_language * len(counts)).collect()
-    return sorted((r[0], r[1]) for r in rows)
+    rows = labelled.join(F.broadcast(drawn), (F.col("lang") == F.col("l")) & (h == F.col("drawn"))).select("lang", "drawn", text.alias("text"))
+    return sorted((r["text"], r["lang"]) for r in rows.groupBy("lang", "drawn").agg(F.min("text").alias("text")).collect())
 
 
 def predict(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
@@ -278,7 +289,7 @@ def predict(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
         names = np.array([*f.languages, UNKNOWN], object)
         for b in batches:
             col = b.column(at)
-            for a, k in slices(col, 4 << 20):
+            for a, k in slices(col, (16 << 20) // max(4, len(f.languages))):
                 part = b.slice(a, k)
                 words = pc.ascii_split_whitespace(pc.fill_null(part.column(at).cast(pa.large_string()), ""))
                 flat = words.flatten().dictionary_encode()

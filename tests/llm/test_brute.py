@@ -465,3 +465,30 @@ def test_plan_packs_each_piece_once():
         if fits:
             rooms.remove(min(fits))
     assert len({s for s, _ in used}) <= len(rooms) and all(at < 100 for _, at in used)
+
+
+def test_op5_learns_from_repeated_rows(spark):
+    """4,000 equal rows of one language and 390 others of another: both are learned, and both are found again."""
+    es, en = "la casa y el agua de esta tierra son buenas", "the house and the water of this land are good"
+    rows = [(3, es, "es")] * 4000 + [(i, f"{en} {i}", "en") for i in range(390)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = langid.sample(d)
+    assert {l for _, l in got} == {"en", "es"} and sum(l == "en" for _, l in got) == langid.PER_LANGUAGE and sum(l == "es" for _, l in got) == 1
+    assert sorted(got) == sorted(langid.sample(d.repartition(5)))
+    f = langid.train(got)
+    out = {r.text: r.lang_pred for r in langid.predict(spark.createDataFrame([(es,), (en,)], "text string"), f).collect()}
+    assert out == {es: "es", en: "en"}
+
+
+def test_op5_many_languages(spark, monkeypatch):
+    """No language is left out, and the rows gathered keep their bound."""
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 100)
+    rows = [(i, f"word{i % 60} text{i}", f"l{i % 60}") for i in range(600)]
+    got = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len({l for _, l in got}) == 60 and len(got) == 60
+    # one segment for a long text gives the marginals that chained segments give
+    rng = np.random.default_rng(4)
+    e, T = rng.random((700, 3)) + 0.1, rng.normal(size=(3, 3))
+    want = langid.marginals(e, np.array([650, 50]), T)
+    monkeypatch.setattr(langid, "CHAINED", 2)
+    assert np.allclose(langid.marginals(e, np.array([650, 50]), T), want)
