@@ -14,8 +14,8 @@ GROUP_FIRST = r"del Grupo Parlamentario ([A-Za-záéíóúñ ]+?)\s*\(\s*se[ñn]
 PAGE_HEADER = r"(?s)DIARIO DE SESIONES.*?P[áa]g\.\s*\d+"
 HELD_ON = r"(?i)celebrada el [^,]*?(\d{1,2} de \p{L}+ de \d{4})"
 FOOTER = r"(?im)^.*(documento firmado electr|autenticidad de este|\bcsv\b|sede\.\w+\.\w+).*$"
-ITEM = r"(?im)^\s*(?:\d{1,2}\s*[.)ºª-]|primero|segundo|tercero|cuarto|quinto|sexto|s[eé]ptimo|octavo|noveno|d[eé]cimo)[.)\-\s]+"
-SIGNED = r"(?is)\n\s*(?:el alcalde-?president|la alcaldesa|fdo\.?\s*:|firmado\s*:).*$"
+ITEM = r"(?imu)^\s*(?:\d{1,2}\s*[.)ºª-]|primero|segundo|tercero|cuarto|quinto|sexto|s[eé]ptimo|octavo|noveno|d[eé]cimo)[.)\-\s]+"
+SIGNED = r"(?isu)\n\s*(?:el alcalde-?president|la alcaldesa|fdo\.?\s*:|firmado\s*:).*$"
 _CUT, _NAME, _BODY = "\x01", "\x02", "\x03"
 
 
@@ -64,10 +64,20 @@ def held_on(c: Column) -> Column:
     return F.regexp_extract(c, HELD_ON, 1)
 
 
+def agenda_text(c: Column) -> Column:
+    """The points of agenda(), each on its line; where there are fewer than two the whole block of the agenda, 2,000 characters at most."""
+    points = agenda(c)
+    return F.when(F.size(points) >= 2, F.array_join(points, "\n")).otherwise(F.left(squeeze(F.regexp_replace(_agenda_block(c), r"^\s+|\s+$", "")), F.lit(2000)))
+
+
+def _agenda_block(c: Column) -> Column:
+    body = F.regexp_replace(F.regexp_replace(c, FOOTER, ""), SIGNED, "")
+    return F.regexp_replace(body, r"(?isu)^.*?(orden del d[ií]a|ordre del dia)", "")
+
+
 def agenda(c: Column, most: int = 40) -> Column:
     """The numbered points after the heading, each on one line of at most 200 characters; points under ten are no points."""
-    body = F.regexp_replace(F.regexp_replace(c, FOOTER, ""), SIGNED, "")
-    body = F.regexp_replace(body, r"(?is)^.*?(orden del d[ií]a|ordre del dia)", "")
+    body = _agenda_block(c)
     items = F.split(F.regexp_replace(body, ITEM, _CUT), _CUT)
     rest = F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
     kept = F.filter(rest, lambda p: F.length(F.trim(p)) >= 10)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import bare, squeeze
+from .text import ascii_only, bare, compatible, squeeze, votes
 
 # Fixed values ---------------------------------------------------------------
 
@@ -54,6 +54,12 @@ TOPIC_STOP_WORDS = (
 ).split()
 PARTY_HINTS = ["psoe", "socialista", "popular", "vox", "sumar", "junts", "bildu", "republican", "pnv", "eaj", "podemos", "compromis", "canaria", "bng", "mixto"]
 CONNECTORS = ["de", "del", "la", "las", "los", "el", "i", "y", "e", "da", "do", "san"]
+#: A segment that speaks of voting, and what it then says of the outcome, first match first; without marks.
+VOTING = ["voto", "votaci", "a favor", "en contra", "abstenc", "unanim", "asentim"]
+OUTCOMES = [
+    ("por unanimidad", "Aprobado por unanimidad."), ("se aprueba por mayoria", "Aprobado por mayoría."), ("queda aprobad", "Aprobado."), ("se aprueba", "Aprobado."),
+    ("queda rechazad", "Rechazado."), ("se rechaza", "Rechazado."),
+]
 HONORIFICS = ["senor", "senora", "ministro", "ministra", "vicepresidente", "vicepresidenta", "secretario", "secretaria", "don", "dona"]
 
 # Expressions ----------------------------------------------------------------
@@ -101,7 +107,7 @@ def is_first_name(c: Column) -> Column:
 
 def registry_name(c: Column) -> Column:
     """A name as registries key it: ASCII capitals without marks, hyphens, apostrophes, dots, and without a lone I."""
-    ascii_ = F.upper(F.regexp_replace(bare(text_of(c)), r"[^\x00-\x7f]", ""))
+    ascii_ = F.upper(ascii_only(text_of(c)))
     words = F.split(squeeze(F.regexp_replace(ascii_, "[-'.]", "")), " ")
     return F.array_join(F.filter(words, lambda t: (t != "I") & (t != "")), " ")
 
@@ -136,7 +142,7 @@ def announced_topic(c: Column) -> Column:
 
 def simple(c: Column) -> Column:
     """ASCII small letters, single spaces."""
-    return squeeze(F.lower(F.regexp_replace(bare(text_of(c)), r"[^\x00-\x7f]", "")))
+    return squeeze(F.lower(ascii_only(text_of(c))))
 
 
 def speaker_label(name: Column, party: Column) -> Column:
@@ -154,7 +160,7 @@ def role_of(name: Column, party: Column) -> Column:
 
 def spoken_words(c: Column) -> Column:
     """Words as error rates count them: no marks, small letters, 1.200 as 1200, then all but letters, digits and spaces a space."""
-    s = bare(F.lower(text_of(c)))
+    s = compatible(F.lower(text_of(c)))
     s = F.regexp_replace(s, r"(?<=\d)[.](?=\d{3}\b)", "")
     s = squeeze(F.regexp_replace(s, r"[^0-9a-zñ\s]", " "))
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, " "))
@@ -165,6 +171,16 @@ def content_words(c: Column) -> Column:
     return F.array_except(F.filter(words, lambda w: F.length(w) > 3), F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
+def vote_lines(c: Column) -> Column:
+    """array<string>: what a segment says of a vote, as minutes write it. Results in numbers, in their order; without any, the outcome that a formula states in words of voting."""
+    part = lambda label, n: F.concat(F.lit(f"{label}, "), n.cast("string"))
+    told = F.transform(votes(text_of(c)), lambda v: F.concat(F.lit("Efectuada la votación, dio el siguiente resultado: "), F.concat_ws("; ", F.when(v["emitidos"] > 0, part("votos emitidos", v["emitidos"])), part("a favor", v["a_favor"]), part("en contra", v["en_contra"]), part("abstenciones", v["abstenciones"])), F.lit(".")))
+    low, out = compatible(F.lower(text_of(c))), F.lit(None).cast("string")
+    for said, outcome in reversed(OUTCOMES):
+        out = F.when(F.contains(low, F.lit(said)), outcome).otherwise(out)
+    return F.when(F.size(told) > 0, told).otherwise(F.array_compact(F.array(F.when(has_any(low, VOTING), out))))
+
+
 def entities(c: Column) -> Column:
     """Numbers, and capitalised words in small letters, each once."""
     numbers = F.regexp_extract_all(text_of(c), F.lit(r"\b\d+(?:[.,]\d+)?\b"), F.lit(0))

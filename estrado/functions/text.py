@@ -52,6 +52,16 @@ VOTES_BEFORE = r"(?i)(\d+)\s+votos?\s+a\s+favor(?:\s+más\s+\d+\s+votos?\s+telem
 #: Letters of the Latin blocks that Unicode composes of one letter and marks, and that letter: a rule, no list.
 _COMPOSED = {chr(i): d[0] for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(d := unicodedata.normalize("NFD", chr(i))) > 1 and all(unicodedata.category(m) == "Mn" for m in d[1:])}
 MARKED, BARE = "".join(_COMPOSED), "".join(_COMPOSED.values())
+#: Characters of Western text that Unicode's compatibility forms spell otherwise (ordinals, fractions, ligatures, full width), and how, without marks: a rule, no list.
+_COMPATIBLE = {
+    c: t
+    for c in map(chr, (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2190), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)))
+    if (t := "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))) != c
+}
+_ONE = {c: t for c, t in _COMPATIBLE.items() if len(t) == 1}
+_MORE = {c: t for c, t in _COMPATIBLE.items() if len(t) > 1}
+#: The town hall's name in a body's own, and the article after it.
+BODY = r"^\s*(ayuntamiento|ajuntament|concello|udala?)\s+(de\s+la\s+|de\s+|del\s+|d')?"
 
 # Expressions ----------------------------------------------------------------
 
@@ -61,6 +71,19 @@ def bare(c: Column) -> Column:
     return F.translate(F.regexp_replace(c, r"\p{Mn}", ""), MARKED, BARE)
 
 
+def compatible(c: Column) -> Column:
+    """Compatibility forms as the letters, digits and signs they stand for, and no marks: º as o, ½ as 1⁄2, ﬁ as fi."""
+    one = F.translate(F.regexp_replace(c, r"\p{Mn}", ""), "".join(_ONE), "".join(_ONE.values()))
+    spelled = F.create_map(*[F.lit(x) for pair in _MORE.items() for x in pair])
+    each = F.array_join(F.transform(F.split(one, ""), lambda x: F.coalesce(F.try_element_at(spelled, x), x)), "")
+    return F.when(F.rlike(one, F.lit("[" + "".join(_MORE) + "]")), each).otherwise(one)
+
+
+def ascii_only(c: Column) -> Column:
+    """compatible() without what is still not ASCII."""
+    return F.regexp_replace(compatible(c), r"[^\x00-\x7f]", "")
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -112,8 +135,8 @@ def phonetic_key(c: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    s = F.regexp_replace(F.lower(bare(F.coalesce(c, F.lit("")))), r"[^\x00-\x7f]", "")
-    s = F.regexp_replace(F.trim(s), r"^(ayuntamiento|diputacion|cabildo|comunidad)( de| del)? ", "")
+    """A body's short name for addresses: without the kind of body before it."""
+    s = F.regexp_replace(F.lower(ascii_only(F.coalesce(c, F.lit("")))), BODY, "")
     s = F.regexp_replace(F.regexp_replace(s, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when(s == "", "entidad").otherwise(s)
 
@@ -140,14 +163,32 @@ def clock(seconds: Column, pad: bool = True) -> Column:
     return F.format_string("%02d:%02d:%02d" if pad else "%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
 
 
+def minutes(seconds: Column) -> Column:
+    """M:SS, with as many minutes as there are."""
+    s = F.floor(seconds)
+    return F.format_string("%d:%02d", F.floor(s / 60), s % 60)
+
+
 def word_count(c: Column) -> Column:
     t = squeeze(F.coalesce(c, F.lit("")))
     return F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
 
 
 def sentences(c: Column) -> Column:
-    """Cut after . ! or ? where white space and a capital, an opening mark or a parenthesis follow."""
-    return F.split(c, r"(?<=[.!?])\s+(?=[A-ZÁÉÍÓÚÑ¿¡(])")
+    """Cut after . ! or ? where white space and a capital, an opening mark or a parenthesis follow; white space is one space first. No sentence in an empty text."""
+    t = squeeze(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"(?<=[.!?])\s+(?=[A-ZÁÉÍÓÚÑ¿¡(])"))
+
+
+def statements(c: Column, least: int = 25) -> Column:
+    """Cut after . ! or ? and at line ends; parts of least characters or more."""
+    parts = F.transform(F.split(c, r"(?<=[.!?])\s+|\n+"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    return F.filter(parts, lambda p: F.length(p) >= least)
+
+
+def clauses(c: Column) -> Column:
+    """Cut after . : ; ! or ? and white space."""
+    return F.split(c, r"(?<=[.:;!?])\s+")
 
 
 def any_of(c: Column, patterns: list[str]) -> Column:
@@ -177,21 +218,28 @@ def temporal(question: Column) -> Column:
 def votes(c: Column) -> Column:
     """array<struct(pos, emitidos, a_favor, en_contra, abstenciones)> of all results in a text, in their order.
 
-    A text is scanned once for each format, and only if it speaks of a favor; the numbers are read from the matches.
+    A text is cut at the matches of each format, and only if it speaks of a favor: what lies before a match is its place, and the numbers are read from the match,
+    so a result that is said twice has two places.
     """
     number = lambda x, p, i: F.nullif(F.regexp_extract(x, p, i), F.lit("")).cast("int")
 
-    def row(whole, total, yes, no, none):
-        return F.struct(F.position(whole, c).alias("pos"), total.alias("emitidos"), yes.alias("a_favor"), no.alias("en_contra"), none.alias("abstenciones"))
+    def placed(pattern):
+        """array<struct(at, m)>: the matches and their places."""
+        found, gaps = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern)
+        size = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
+        return F.transform(found, lambda m, i: F.struct((size(gaps, i + 1) + size(found, i) + 1).alias("at"), m.alias("m")))
+
+    def row(x, total, yes, no, none):
+        return F.struct(x["at"].alias("pos"), total.alias("emitidos"), yes.alias("a_favor"), no.alias("en_contra"), none.alias("abstenciones"))
 
     def after(x):
-        return row(x, *[number(x, VOTES_AFTER, i) for i in (1, 2, 3, 4)])
+        return row(x, *[number(x["m"], VOTES_AFTER, i) for i in (1, 2, 3, 4)])
 
     def before(x):
-        n = [number(x, VOTES_BEFORE, i) for i in range(1, 6)]
+        n = [number(x["m"], VOTES_BEFORE, i) for i in range(1, 6)]
         return row(x, F.lit(None).cast("int"), F.coalesce(n[1], n[0]), F.coalesce(n[3], n[2]), n[4])
 
-    both = F.concat(F.transform(F.regexp_extract_all(c, F.lit(VOTES_AFTER), F.lit(0)), after), F.transform(F.regexp_extract_all(c, F.lit(VOTES_BEFORE), F.lit(0)), before))
+    both = F.concat(F.transform(placed(VOTES_AFTER), after), F.transform(placed(VOTES_BEFORE), before))
     return F.when(F.rlike(c, F.lit("(?i)favor")), F.array_sort(both)).when(c.isNotNull(), F.array().cast("array<struct<pos:int,emitidos:int,a_favor:int,en_contra:int,abstenciones:int>>"))
 
 

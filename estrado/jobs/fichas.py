@@ -129,6 +129,18 @@ def latest_earliest(spark, sf):
     return last.join(first, "legislatura")
 
 
+@query("""WITH p AS (SELECT o_orderkey, year(o_orderdate) leg, 'DSCD-' || CASE WHEN o_orderkey % 3 = 0 THEN year(o_orderdate) - 1 ELSE year(o_orderdate) END || '-PL-' || (o_orderkey % 900) pleno, CAST(o_orderkey % 900 AS VARCHAR) num FROM orders), q AS (SELECT DISTINCT leg, num FROM p UNION SELECT 1900, '7' UNION SELECT leg, '899' FROM p)
+SELECT q.leg, q.num, coalesce(min(p.pleno) FILTER (p.pleno = 'DSCD-' || q.leg || '-PL-' || q.num), min(p2.pleno)) pleno FROM q LEFT JOIN (SELECT DISTINCT pleno FROM p) p ON p.pleno = 'DSCD-' || q.leg || '-PL-' || q.num LEFT JOIN (SELECT leg, num, min(pleno) pleno FROM p GROUP BY 1, 2) p2 ON p2.leg = q.leg AND p2.num = q.num GROUP BY 1, 2""")
+def pleno_by_legislature(spark, sf):
+    """A session by its term and number: the one whose id says so, else one of that term with that number."""
+    o, year = table(spark, sf, "orders"), F.year("o_orderdate")
+    said = F.when(F.col("o_orderkey") % 3 == 0, year - 1).otherwise(year)
+    p = o.select(year.alias("legislatura"), F.concat(F.lit("DSCD-"), said, F.lit("-PL-"), F.col("o_orderkey") % 900).alias("pleno_id"))
+    asked = p.select(F.col("legislatura").alias("leg"), F.regexp_extract("pleno_id", r"(\d+)$", 1).alias("num"))
+    asked = asked.union(asked.select("leg", F.lit("899"))).union(spark.createDataFrame([(1900, "7")], "leg int, num string")).distinct()
+    return op.by_number(asked, p).select("leg", "num", F.col("pleno_id").alias("pleno"))
+
+
 @query("""WITH p AS (SELECT o_orderkey, 'DS-' || year(o_orderdate) || '-PL-' || (o_orderkey % 400) pleno FROM orders), n AS (SELECT CAST(unnest(range(0, 400)) AS BIGINT) num)
 SELECT num, count(o_orderkey) candidatos, CASE WHEN count(o_orderkey) = 1 THEN min(pleno) END pleno FROM n LEFT JOIN p ON suffix(pleno, '-PL-' || num) GROUP BY 1""")
 def pleno_by_number(spark, sf):

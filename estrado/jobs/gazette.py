@@ -59,6 +59,17 @@ def agenda_points(spark, sf):
     return g.select("k", F.posexplode(gz.agenda(t)).alias("punto", "titulo"))
 
 
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Asuntos de ' || o_orderpriority || ' y ' || o_custkey WHEN 1 THEN '1.- Lectura del acta de ' || o_custkey ELSE 'Lectura del acta' || chr(10) || 'Mociones de ' || o_custkey END orden FROM orders""")
+def agenda_block(spark, sf):
+    """The agenda out of a summons as text: a point a line, or the whole block where there are fewer than two points."""
+    o, m = table(spark, sf, "orders"), F.col("o_orderkey") % 3
+    who = F.col("o_custkey").cast("string")
+    none = F.concat(F.lit("Asuntos  de "), "o_orderpriority", F.lit("\n y "), who)
+    one, two = F.concat(F.lit("1.- Lectura del acta de "), who), F.concat(F.lit("1. Lectura del acta\n2º- Mociones de "), who)
+    t = F.concat(F.lit("Convocatoria\nORDEN DEL DÍA\n"), F.when(m == 0, none).when(m == 1, one).otherwise(two), F.lit("\nfirmado: el alcalde"))
+    return o.select("o_orderkey", gz.agenda_text(t).alias("orden"))
+
+
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') fecha FROM orders""")
 def session_dates(spark, sf):
     """The date in a gazette's head."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import record as rec
 from ..functions import text as tx
-from ..operators import fichas, lexicon, sequences
+from ..operators import fichas, names, sequences
 from ..operators import vectors as vec
 from ..sources.tables import IV, SEG, interventions, segments, table
 from .parties import people
@@ -167,7 +167,7 @@ def announced_names(spark, sf):
     p = people(spark, sf)
     said = F.concat(F.lit("Gracias, señor presidente. Tiene la palabra el señor "), F.col("escrito"), F.lit(" por su grupo"))
     roster = p.filter("id % 2 = 0").groupBy(F.col("nombre").alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    return lexicon.announced(p.select("id", said.alias("t")), "id", "t", roster)
+    return names.announced(p.select("id", said.alias("t")), "id", "t", roster).drop("partido")
 
 
 @query("""WITH c AS (SELECT c_custkey, [c_name, c_mktsegment, 'X', 'Ana ' || c_custkey] pers, CASE c_custkey % 4 WHEN 0 THEN ['Estado', 'Grupo Popular'] WHEN 1 THEN ['Cámara', 'Gobierno de España'] WHEN 2 THEN ['Estado'] ELSE ['Estado', 'Coalición Canaria', 'VOX'] END orgs FROM customer)

@@ -8,15 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import record as rec
 from ..functions import text as tx
 from ..functions.vector import dot
-from ..operators import lexicon, turns
+from ..operators import lexicon, names, turns
 from ..operators import sequences as op
 from ..operators.components import written
 from ..sources.tables import segments, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-#: Most sources that topic_words gathers sizes of.
-SOURCES = 50_000
 
 
 def query(f):
@@ -66,10 +64,12 @@ def debounce(spark, sf):
     return op.debounced(segments(spark, sf).select("pleno_id", "seg_id", "start"), gap=7200.0)
 
 
-@said_by("""WITH c AS (SELECT user_id pleno_id, event_id seg_id, event_type IN ('signup', 'purchase') call, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts) // 1, event_id) n FROM events), i AS (SELECT *, n - row_number() OVER (PARTITION BY pleno_id, call ORDER BY n) isla FROM c),
-h AS (SELECT *, call AND row_number() OVER (PARTITION BY pleno_id, call, isla ORDER BY n) % 2 = 1 releva FROM i) SELECT pleno_id, seg_id, CASE WHEN releva THEN -1 ELSE CAST(count(*) FILTER (releva) OVER (PARTITION BY pleno_id ORDER BY n) AS INTEGER) END turno FROM h""")
+@said_by("""WITH c AS (SELECT user_id pleno_id, event_id seg_id, event_type IN ('signup', 'purchase') call, round(value * 60) > 1200 named, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts) // 1, event_id) n FROM events), i AS (SELECT *, n - row_number() OVER (PARTITION BY pleno_id, call AND named ORDER BY n) isla FROM c),
+h AS (SELECT *, call AND named AND row_number() OVER (PARTITION BY pleno_id, call AND named, isla ORDER BY n) % 2 = 1 releva FROM i), t AS (SELECT *, releva OR (call AND coalesce(lag(releva) OVER (PARTITION BY pleno_id ORDER BY n), false)) mesa, count(*) FILTER (releva) OVER (PARTITION BY pleno_id ORDER BY n) relevos FROM h)
+SELECT pleno_id, seg_id, CASE WHEN mesa THEN -1 ELSE CAST(relevos - 1 AS INTEGER) END turno FROM t""")
 def handover_turns(spark, sf):
-    return op.handovers(segments(spark, sf), "^(signup|purchase)$")
+    """Calls hand over where they name somebody, here the longer ones; the chair is -1 before the first and in each call."""
+    return op.handovers(segments(spark, sf), "^(signup|purchase)$", F.col("end") - F.col("start") > 1200)
 
 
 @query
@@ -119,8 +119,8 @@ def wer_substitutions(spark, sf):
 def fuzzy_names(spark, sf):
     """Suppliers' names without their r: each is found again, as no other name shares its number."""
     s = table(spark, sf, "supplier")
-    names = s.select(F.concat(F.replace("s_name", F.lit("r"), F.lit("")), F.lit(" de la")).alias("name"))
-    return op.fuzzy_link(names, s.select(F.col("s_name").alias("canon"), F.col("s_nationkey").alias("n")))
+    heard = s.select(F.concat(F.replace("s_name", F.lit("r"), F.lit("")), F.lit(" de la")).alias("name"))
+    return names.fuzzy_link(heard, s.select(F.col("s_name").alias("canon"), F.col("s_nationkey").alias("n"))).drop("party")
 
 
 @query
@@ -222,12 +222,9 @@ def topic_words(spark, sf):
     e = d.select("source", F.explode(terms).alias("x")).filter("x.t is not null").select("source", F.col("x.t").alias("t"), (~F.col("x.t").eqNullSafe(F.col("x.before"))).cast("int").alias("doc"))
     tf = written(e.groupBy("source", "t").agg(F.count(F.lit(1)).alias("tf"), F.sum("doc").alias("df")), "terms")
     size = tf.groupBy("source").agg(F.sum("tf").alias("size"))
-    sizes = {r[0]: r[1] for r in size.limit(SOURCES + 1).collect()}  # one row for each source
-    if len(sizes) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
-    mean = F.lit(float(sum(sizes.values())) / max(len(sizes), 1))
+    mean = F.lit(float(size.agg(F.avg("size")).first()[0] or 0.0))
     all_ = tf.groupBy("t").agg(F.sum("tf").alias("f"), F.sum("df").alias("df"), F.collect_list(F.struct("source", "tf")).alias("s")).filter("df >= 2")
-    s = all_.select("t", "f", F.explode("s").alias("s")).select("t", "f", "s.*").join(F.broadcast(size.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")))
+    s = all_.select("t", "f", F.explode("s").alias("s")).select("t", "f", "s.*").join(size.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
     s = s.withColumn("peso", F.round(F.col("tf") / F.col("size") * F.log(1 + mean / F.col("f")), 8))
     k = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("peso"), "t"))
     return s.withColumn("rank", k).filter("rank <= 10").select("source", "t", "peso", "rank")

@@ -259,11 +259,12 @@ def two_phase_ingest(spark, sf):
     return state.join(n, "pleno_id", "left")
 
 
-@query("""WITH m AS (SELECT n_nationkey id, n_regionkey r, n_name, count(c_custkey) n FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1, 2, 3), b AS (SELECT r, max(struct_pack(n := n, i := -id)) x FROM m GROUP BY 1), t AS (SELECT m.id, -b.x.i AS a, (SELECT lower(n_name) FROM m k WHERE k.id = -b.x.i) slug FROM m JOIN b ON m.r = b.r),
+@query("""WITH m AS (SELECT n_nationkey id, n_regionkey r, lower(r_name) short, CASE WHEN n_nationkey IN (7, 21) THEN lower(r_name) ELSE lower(n_name) END slug, count(c_custkey) n FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1, 2, 3, 4), b AS (SELECT r, max(struct_pack(s := slug = short, n := n, i := -id)) x FROM m GROUP BY 1), t AS (SELECT m.id, -b.x.i AS a, m.short slug FROM m JOIN b ON m.r = b.r),
 k AS (SELECT a entidad, slug, c_mktsegment tema, c_custkey, row_number() OVER (PARTITION BY a, c_mktsegment ORDER BY c_nationkey <> a, c_custkey) o FROM customer JOIN t ON c_nationkey = id) SELECT entidad, slug, tema, c_custkey FROM k WHERE o = 1""")
 def consolidate_children(spark, sf):
-    """Rows of joined entities point to the one that stays, which takes the slug of the entity with most sessions; of rows that then clash the entity's own stays, else the first."""
-    n, c = table(spark, sf, "nation"), table(spark, sf, "customer")
-    entities = n.join(c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("k")), "n_nationkey", "left").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("same"), F.lower("n_name").alias("slug"), F.coalesce("k", F.lit(0)).alias("n"))
+    """Nations of one region are one: the one that bears the region's short slug stays, else that with most sessions, and has the short slug; of rows that then clash the entity's own stays, else the first."""
+    n, c = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")), table(spark, sf, "customer")
+    short = F.lower("r_name")
+    entities = n.join(c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("k")), "n_nationkey", "left").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("same"), F.when(F.col("n_nationkey").isin(7, 21), short).otherwise(F.lower("n_name")).alias("slug"), short.alias("short"), F.coalesce("k", F.lit(0)).alias("n"))
     children = c.select(F.col("c_nationkey").alias("entidad"), F.col("c_mktsegment").alias("tema"), "c_custkey")
     return up.consolidated(entities, children, ["tema"], "c_custkey").select("entidad", "slug", "tema", "c_custkey")

@@ -64,11 +64,15 @@ def phonetic_key(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.phonetic_key(F.col("text")).alias("fon"))
 
 
-@query(r"""SELECT c_custkey, CASE WHEN s = '' THEN 'entidad' ELSE s END slug FROM (SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(strip_accents(n)), '[^\x00-\x7f]', '', 'g')), '^(ayuntamiento|diputacion|cabildo|comunidad)( de| del)? ', ''), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') s
-FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Ayuntamiento de ' || c_name WHEN 1 THEN 'Diputación ' || c_name WHEN 2 THEN c_mktsegment || ' Ñandú!' ELSE '¿?' END n FROM customer))""")
+@query(r"""SELECT c_custkey, CASE WHEN s = '' THEN 'entidad' ELSE s END slug FROM (SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(n)), '[^\x00-\x7f]', '', 'g'), '^\s*(ayuntamiento|ajuntament|concello|udala?)\s+(de\s+la\s+|de\s+|del\s+|d'')?', ''), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') s
+FROM (SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'Ayuntamiento de ' || c_name WHEN 1 THEN 'Diputación de ' || c_name WHEN 3 THEN 'Ajuntament d''' || c_name WHEN 4 THEN '  Concello de la ' || c_name WHEN 5 THEN 'Udala ' || c_name WHEN 2 THEN c_mktsegment || ' Ñandú!' ELSE '¿?' END n FROM customer))""")
 def slugs(spark, sf):
-    m = F.col("c_custkey") % 4
-    n = F.when(m == 0, F.concat(F.lit("Ayuntamiento de "), "c_name")).when(m == 1, F.concat(F.lit("Diputación "), "c_name")).when(m == 2, F.concat("c_mktsegment", F.lit(" Ñandú!"))).otherwise("¿?")
+    m = F.col("c_custkey") % 8
+    before = {0: "Ayuntamiento de ", 1: "Diputación de ", 3: "Ajuntament d'", 4: "  Concello de la ", 5: "Udala "}
+    n = F.when(m == 2, F.concat("c_mktsegment", F.lit(" Ñandú!")))
+    for k, words in before.items():
+        n = n.when(m == k, F.concat(F.lit(words), "c_name"))
+    n = n.otherwise("¿?")
     return table(spark, sf, "customer").select("c_custkey", tx.slug(n).alias("slug"))
 
 
@@ -85,10 +89,10 @@ def dates_both_ways(spark, sf):
     return o.select("o_orderkey", "larga", tx.iso_date(F.col("larga")).alias("iso"))
 
 
-@query("""WITH s AS (SELECT event_id, CAST(floor(value * 60) AS BIGINT) s FROM events) SELECT event_id, printf('%02d:%02d:%02d', s // 3600, (s // 60) % 60, s % 60) reloj, printf('%d:%02d:%02d', s // 3600, (s // 60) % 60, s % 60) acta FROM s""")
+@query("""WITH s AS (SELECT event_id, CAST(floor(value * 60) AS BIGINT) s FROM events) SELECT event_id, printf('%02d:%02d:%02d', s // 3600, (s // 60) % 60, s % 60) reloj, printf('%d:%02d:%02d', s // 3600, (s // 60) % 60, s % 60) acta, printf('%d:%02d', s // 60, s % 60) minuto FROM s""")
 def clocks(spark, sf):
     s = F.floor(F.col("value") * 60)
-    return table(spark, sf, "events").select("event_id", tx.clock(s).alias("reloj"), tx.clock(s, pad=False).alias("acta"))
+    return table(spark, sf, "events").select("event_id", tx.clock(s).alias("reloj"), tx.clock(s, pad=False).alias("acta"), tx.minutes(s).alias("minuto"))
 
 
 @query("""WITH s AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) n, round(value * 60, 3) a, round(value * 60, 3) + 2.5 b, event_type FROM events), t AS (SELECT *, printf('%02d:%02d:%02d,%03d', CAST(floor(a) AS BIGINT) // 3600, (CAST(floor(a) AS BIGINT) % 3600) // 60, CAST(floor(a) AS BIGINT) % 60, CAST(round((a - floor(a)) * 1000) AS INTEGER)) x,
@@ -119,10 +123,20 @@ def votes_extract(spark, sf):
     return v.select("l_orderkey", "l_linenumber", "v.emitidos", "v.a_favor", "v.en_contra", "v.abstenciones")
 
 
-@query(r"""WITH m AS (SELECT doc_id, regexp_replace(text, '([.!?])\s+([A-ZÁÉÍÓÚÑ¿¡(])', '\1' || chr(1) || '\2', 'g') t FROM documents) SELECT doc_id, len(string_split(t, chr(1))) n, string_split(t, chr(1))[1] primera, string_split(t, chr(1))[-1] ultima FROM m""")
+@query(r"""WITH s AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) s FROM documents), m AS (SELECT doc_id, s, regexp_replace(s, '([.!?])\s+([A-ZÁÉÍÓÚÑ¿¡(])', '\1' || chr(1) || '\2', 'g') t FROM s)
+SELECT doc_id, CASE WHEN s = '' THEN 0 ELSE len(string_split(t, chr(1))) END n, CASE WHEN s <> '' THEN string_split(t, chr(1))[1] END primera, CASE WHEN s <> '' THEN string_split(t, chr(1))[-1] END ultima FROM m""")
 def sentence_split(spark, sf):
+    """Sentences of a text whose white space is squeezed first."""
     d = table(spark, sf, "documents").select("doc_id", tx.sentences(F.col("text")).alias("s"))
-    return d.select("doc_id", F.size("s").cast("long").alias("n"), F.element_at("s", 1).alias("primera"), F.element_at("s", -1).alias("ultima"))
+    return d.select("doc_id", F.size("s").cast("long").alias("n"), F.try_element_at("s", F.lit(1)).alias("primera"), F.try_element_at("s", F.lit(-1)).alias("ultima"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, text t FROM documents), s AS (SELECT doc_id, t, list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 25) a FROM d)
+SELECT doc_id, len(a) frases, a[-1] ultima, len(string_split(regexp_replace(t, '([.:;!?])\s+', '\1' || chr(1), 'g'), chr(1))) clausulas FROM s""")
+def sentence_kinds(spark, sf):
+    """The two other ways to cut a text: statements of 25 characters or more, also at line ends, as summaries are checked by; and clauses, as pages are packed by."""
+    d = table(spark, sf, "documents").select("doc_id", tx.statements(F.col("text")).alias("s"), tx.clauses(F.col("text")).alias("c"))
+    return d.select("doc_id", F.size("s").cast("long").alias("frases"), F.try_element_at("s", F.lit(-1)).alias("ultima"), F.size("c").cast("long").alias("clausulas"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END palabras, length(text) n_chars, left(text, 320) preview FROM (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) t FROM documents)""")

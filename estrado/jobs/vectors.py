@@ -218,23 +218,26 @@ def hit_at_k(spark, sf):
 REL = f"""s AS (SELECT q.id qid, e.id, e.label, {DOT.format("q.v", "e.v")} sim FROM e q, e WHERE q.id % 20 = 0 AND e.id <> q.id)"""
 
 
-@query(f"""WITH {E}, {REL}, m AS (SELECT *, max(sim) OVER (PARTITION BY qid) b FROM s) SELECT qid, id, round(sim, 6) sim FROM m WHERE sim >= 0.32 AND sim >= b - 0.12""")
+@query(f"""WITH {E}, {REL}, m AS (SELECT *, max(sim) OVER (PARTITION BY qid) b FROM s) SELECT qid, id, round(sim, 6) sim FROM m WHERE CASE WHEN label < 6 THEN sim >= 0.32 AND sim >= b - 0.12 ELSE sim >= 0.35 END""")
 def relative_threshold(spark, sf):
+    """Recordings count if they are like the question and nearly as like as the best answer of any kind; written manuals by an absolute bound alone."""
     c = chunks(spark, sf)
-    s = op.against(c.select("id", "vec"), asked(c, 20)).filter("id <> qid").select("qid", "id", dot("qvec", "vec").alias("sim")).filter("sim >= 0.32")
+    s = op.against(c.select("id", "label", "vec"), asked(c, 20)).filter("id <> qid").select("qid", "id", "label", dot("qvec", "vec").alias("sim"))
     best = s.groupBy("qid").agg(F.max("sim").alias("b"))
-    return s.join(best, "qid").filter(F.col("sim") >= F.col("b") - 0.12).select("qid", "id", F.round("sim", 6).alias("sim"))
+    relevant = F.when(F.col("label") < 6, (F.col("sim") >= 0.32) & (F.col("sim") >= F.col("b") - 0.12)).otherwise(F.col("sim") >= 0.35)
+    return s.filter("sim >= 0.32").join(best, "qid").filter(relevant).select("qid", "id", F.round("sim", 6).alias("sim"))
 
 
-@query(f"""WITH {E}, {REL}, i AS (SELECT *, row_number() OVER (PARTITION BY qid, label = qid % 10 ORDER BY sim DESC, id) k FROM s),
-u AS (SELECT qid, id, sim, CASE WHEN label = qid % 10 THEN 0 ELSE 1 END o, k FROM i WHERE k <= CASE WHEN label = qid % 10 THEN 5 ELSE 3 END), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY o, k) AS INTEGER) pos FROM u)
+@query(f"""WITH {E}, {REL}, i AS (SELECT *, row_number() OVER (PARTITION BY qid, label = qid // 20 % 13 ORDER BY sim DESC, id) k, bool_or(label = qid // 20 % 13) OVER (PARTITION BY qid) dentro FROM s),
+u AS (SELECT qid, id, sim, CASE WHEN label = qid // 20 % 13 THEN 0 ELSE 1 END o, k FROM i WHERE k <= CASE WHEN label = qid // 20 % 13 THEN 5 WHEN dentro THEN 3 ELSE 8 END), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY o, k) AS INTEGER) pos FROM u)
 SELECT qid, id, pos FROM r WHERE pos <= 8""")
 def soft_scope(spark, sf):
-    """Five places for answers in scope, three for those out of it; the scope empty, the others alone."""
+    """Five places for answers in scope and three for those out of it; all eight for the others where the scope is empty, as three of thirteen here are."""
     c = chunks(spark, sf)
-    s = op.against(c, asked(c, 20)).filter("id <> qid").select("qid", "id", F.when(F.col("label") == F.col("qid") % 10, 0).otherwise(1).alias("o"), dot("qvec", "vec").alias("sim"))
-    k = F.row_number().over(Window.partitionBy("qid", "o").orderBy(F.desc("sim"), "id"))
-    u = s.withColumn("k", k).filter(F.col("k") <= F.when(F.col("o") == 0, 5).otherwise(3))
+    s = op.against(c, asked(c, 20)).filter("id <> qid").select("qid", "id", F.when(F.col("label") == F.floor(F.col("qid") / 20) % 13, 0).otherwise(1).alias("o"), dot("qvec", "vec").alias("sim"))
+    u = op.ranked(s, ["qid", "o"], 8, "id", name="k")
+    inside = F.min("o").over(Window.partitionBy("qid")) == 0
+    u = u.withColumn("most", F.when(F.col("o") == 0, 5).when(inside, 3).otherwise(8)).filter("k <= most")
     return u.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("o", "k"))).filter("pos <= 8").select("qid", "id", "pos")
 
 

@@ -135,3 +135,19 @@ def edge_session(iv: DataFrame, latest: bool, by: str | None = None) -> DataFram
     pick = (F.max if latest else F.min)(F.struct("fecha_iso", "pleno_id")).alias("s")
     out = (d.groupBy(by) if by else d).agg(pick)
     return out.select(*([by] if by else []), "s.fecha_iso", "s.pleno_id")
+
+
+def by_number(asked: DataFrame, sessions: DataFrame) -> DataFrame:
+    """asked(leg, num) with pleno_id, of sessions(pleno_id, legislatura): with a term the session whose id is DSCD-leg-PL-num, else the first of that term whose id ends in -PL-num;
+    without a term (null) the only one whose id ends so. Null where there is none, or more than one without a term.
+
+    Numbers are cut out of the ids, so all joins are on equality.
+    """
+    s = sessions.select("pleno_id", F.col("legislatura").alias("leg"), F.nullif(F.regexp_extract("pleno_id", r"-PL-(\d+)$", 1), F.lit("")).alias("num")).filter("num is not null").distinct()
+    q = asked.withColumn("own", F.concat(F.lit("DSCD-"), F.col("leg").cast("string"), F.lit("-PL-"), F.col("num")))
+    q = q.join(s.select(F.col("pleno_id").alias("own"), F.col("pleno_id").alias("named")).distinct(), "own", "left")
+    q = q.join(s.groupBy("leg", "num").agg(F.min("pleno_id").alias("of_term")), ["leg", "num"], "left")
+    alone = s.select("pleno_id", "num").distinct().groupBy("num").agg(F.count(F.lit(1)).alias("n"), F.min("pleno_id").alias("only"))
+    q = q.join(alone, "num", "left")
+    found = F.when(F.col("leg").isNull(), F.when(F.col("n") == 1, F.col("only"))).otherwise(F.coalesce("named", "of_term"))
+    return q.select(*asked.columns, found.alias("pleno_id"))

@@ -1,33 +1,26 @@
-"""Words heard wrong: glossary repair by sound, and names announced by the chair.
+"""Words heard wrong: glossary repair by sound.
 
-Glossaries and rosters are those of one body, a few thousand entries: they are checked against a bound, go to every task once, and are met there through
-upper bounds of likeness, so that few entries are compared letter by letter.
+Glossaries and lists of aliases may be of any size. A text's spans of words are looked up by their sound: spans of all texts are made distinct, those that sound as a term does are found by
+equality, the others meet the terms in blocks (names.py), and what was found goes back to the texts that asked, where one fold from left to right decides.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.record import CONNECTORS, HONORIFICS
+from .components import written
+from .names import Block, letters, most_alike
 
-#: Most terms or names that go to every task.
-ENTRIES = 20_000
 SPAN = 5
-
-
-def bounded(df: DataFrame, *columns: str) -> list:
-    rows = df.select(*columns).distinct().limit(ENTRIES + 1).collect()
-    if len(rows) > ENTRIES:
-        raise ValueError(f"more than {ENTRIES} entries")
-    return rows
+#: Letters of a sound that is long enough to be looked up, and the least likeness of a span.
+SOUND, ALIKE = 5, 0.80
 
 
 def without_marks(s: str) -> str:
@@ -42,44 +35,52 @@ def sound(s: str) -> str:
     return re.sub(r"(.)\1+", r"\1", s)
 
 
-def letters(words: list[str]) -> np.ndarray:
-    """How often each of 27 kinds of letters occurs in each word."""
-    m = np.zeros((len(words), 27), np.int16)
-    for i, w in enumerate(words):
-        for c in w:
-            m[i, ord(c) - 97 if "a" <= c <= "z" else 26] += 1
-    return m
+class Sounds(Block):
+    """Terms by their sound."""
+
+    def __init__(self, terms: list[str]):
+        keyed = [(i, k) for i, k in enumerate(map(sound, terms)) if len(k) >= SOUND]
+        self.has, self.keys = [i for i, _ in keyed], [k for _, k in keyed]
+        self.size, self.letters = np.array([len(k) for k in self.keys], np.int64), letters(self.keys)
+
+    def best(self, asked: str, least: float) -> tuple[float, int] | None:
+        """The greatest ratio from least on; of equals the first term in order."""
+        if not self.keys:
+            return None
+        shared = np.minimum(self.letters, letters([asked])).sum(axis=1)
+        best, who = 0.0, -1
+        for i in np.flatnonzero(2 * shared >= least * (self.size + len(asked)) - 1e-9).tolist():
+            r = SequenceMatcher(None, asked, self.keys[i]).ratio()
+            if r >= least and r > best:
+                best, who = r, i
+        return (best, self.has[who]) if who >= 0 else None
+
 
+class Matches:
+    """What spans of words sound like: a term and its likeness by the span's sound, or "" for a span that sounds as a term does."""
 
-class Terms:
-    """A glossary by sound: the most alike term of a span of words."""
+    def __init__(self, found: dict[str, tuple[str, float]]):
+        self.found = found
+
+    def match(self, words: list[str], least: float) -> tuple[str, float] | None:
+        hit = self.found.get(sound("".join(words)))
+        return hit if hit and hit[1] >= least else None
+
+
+class Terms(Matches):
+    """The same from a glossary at hand."""
 
     def __init__(self, terms: list[str]):
-        ordered = sorted(set(terms), key=lambda t: (-len(t), t))
-        keyed = [(t, k) for t, k in ((t, sound(t)) for t in ordered) if len(k) >= 5]
-        self.terms, self.keys = [t for t, _ in keyed], [k for _, k in keyed]
-        self.exact = set(self.keys)
-        self.size, self.letters = np.array([len(k) for k in self.keys]), letters(self.keys)
-        self.known: dict[tuple[str, float], tuple[str, float] | None] = {}
+        self.terms = sorted(set(terms), key=lambda t: (-len(t), t))
+        self.block, self.exact = Sounds(self.terms), {k for k in map(sound, self.terms) if len(k) >= SOUND}
+        super().__init__({})
 
     def match(self, words: list[str], least: float) -> tuple[str, float] | None:
-        """("", 1) if the span sounds as a term does, else the term of the greatest ratio from least on; the longest of equals."""
         key = sound("".join(words))
-        if len(key) < 5 or not self.keys:
-            return None
-        if key in self.exact:
-            return "", 1.0
-        if (key, least) not in self.known:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            shared = np.minimum(self.letters, letters([key])).sum(axis=1)
-            best = None
-            for i in np.flatnonzero(2 * shared >= least * (self.size + len(key)) - 1e-9).tolist():
-                r = SequenceMatcher(None, key, self.keys[i]).ratio()
-                if r >= least and (best is None or r > best[1]):
-                    best = self.terms[i], r
-            self.known[key, least] = best
-        return self.known[key, least]
+        if len(key) >= SOUND and key not in self.found:
+            best = None if key in self.exact else self.block.best(key, ALIKE)
+            self.found[key] = ("", 1.0) if key in self.exact else (self.terms[best[1]], best[0]) if best else ("", 0.0)
+        return super().match(words, least)
 
 
 def _plain(w: str) -> str:
@@ -94,7 +95,7 @@ def _as_said(term: str, word: str) -> str:
     return term[:1].upper() + term[1:] if word[:1].isupper() else term
 
 
-def repair(text: str, terms: Terms, aliases: dict[str, str], one: float = 0.90, several: float = 0.80) -> tuple[str, list[tuple[str, str]]]:
+def repair(text: str, terms: Matches, aliases: dict[str, str], one: float = 0.90, several: float = 0.80) -> tuple[str, list[tuple[str, str]]]:
     """The text and what was changed in it, from left to right.
 
     At each word: an alias of two words or one; a single word like a term (one); nothing where a term of several words stands correctly; else
@@ -140,87 +141,55 @@ def repair(text: str, terms: Terms, aliases: dict[str, str], one: float = 0.90,
     return " ".join(out), changed
 
 
-def repaired(df: DataFrame, key: str, text: str, terms: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(key, text, cambios) of every row: cambios is the list of (bad, good). terms(term), aliases(key, canon). Null text is empty."""
-    vocabulary = [r[0] for r in bounded(terms, "term")]
-    fixed = {r[0]: r[1] for r in sorted(bounded(aliases, "key", "canon"))}
-
-    @F.pandas_udf("struct<text:string,cambios:array<struct<bad:string,good:string>>>")
-    def fix(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        t = Terms(vocabulary)
-        for col in batches:
-            rows = [repair(x or "", t, fixed) for x in col]
-            yield pd.DataFrame({"text": [r[0] for r in rows], "cambios": [[{"bad": a, "good": b} for a, b in r[1]] for r in rows]})
-
-    return df.select(key, fix(text).alias("f")).select(key, "f.text", "f.cambios")
-
-
-class Roster:
-    """Names by their words, to find the one that an announcement means."""
-
-    def __init__(self, names: list[tuple[str, int]]):
-        self.names, words, self.of = [], {}, []
-        for name, n in sorted(names, key=lambda x: (-x[1], x[0])):
-            w = [x for x in without_marks(name.lower()).split() if x not in CONNECTORS]
-            if w:
-                self.names.append((name, w))
-                self.of.append([words.setdefault(x, len(words)) for x in w])
-        joined = ["".join(w) for _, w in self.names]
-        self.words, self.joined = list(words), joined
-        self.counts, self.joined_counts = letters(self.words), letters(joined)
-        self.flat = np.array([i for o in self.of for i in o], np.int64)
-        self.begin = np.cumsum([0, *map(len, self.of)])[:-1] if self.of else np.zeros(0, np.int64)
-        self.ratios: dict[tuple[str, str], float] = {}
-
-    def ratio(self, a: str, b: str) -> float:
-        if (a, b) not in self.ratios:
-            if len(self.ratios) > 500_000:
-                self.ratios.clear()
-            self.ratios[a, b] = SequenceMatcher(None, a, b).ratio()
-        return self.ratios[a, b]
-
-    def bound(self, tokens: list[str], counts: np.ndarray, size: np.ndarray) -> np.ndarray:
-        t = letters(tokens)
-        shared = np.minimum(counts[:, None], t[None]).sum(axis=2)
-        return (2 * shared / (size[:, None] + t.sum(axis=1))).max(axis=1)
-
-    def score(self, tokens: list[str], i: int) -> float:
-        """The best mean likeness of the name's words with a run of as many tokens, or of the whole name with one token."""
-        w = self.names[i][1]
-        runs = [tokens[a : a + len(w)] for a in range(max(1, len(tokens) - len(w) + 1))]
-        best = max(sum(max(self.ratio(x, y) for y in run) for x in w) / len(w) for run in runs)
-        return max(best, *[self.ratio(self.joined[i], t) for t in tokens])
-
-    def announced(self, window: str, least: float) -> tuple[str, float] | None:
-        low = without_marks(window.lower())
-        at = low.rfind("palabra")
-        tokens = [t for t in low[at + 7 :].split() if t not in CONNECTORS and t not in HONORIFICS][:5] if at >= 0 else []
-        if not tokens or not self.names:
-            return None
-        by_word = self.bound(tokens, self.counts, self.counts.sum(axis=1))[self.flat]
-        top = np.maximum(np.add.reduceat(by_word, self.begin) / np.diff(np.append(self.begin, len(self.flat))), self.bound(tokens, self.joined_counts, self.joined_counts.sum(axis=1)))
-        best, who = 0.0, -1
-        for i in np.argsort(-top, kind="stable").tolist():
-            if top[i] < max(best, least) - 1e-9:
-                break
-            s = self.score(tokens, i)
-            if s > best or (s == best and i < who):
-                best, who = s, i
-        return (self.names[who][0], best) if who >= 0 and best >= least else None
+def spans(text: str) -> tuple[set[str], set[str]]:
+    """What repair() may look up of a text: sounds of runs of up to SPAN words, and keys of aliases."""
+    w = text.split()
+    sounds = {sound("".join(w[i : i + n])) for i in range(len(w)) for n in range(1, min(SPAN, len(w) - i) + 1)}
+    plain = [_plain(x) for x in w]
+    return {k for k in sounds if len(k) >= SOUND}, {*plain, *(a + b for a, b in zip(plain, plain[1:]))} - {""}
 
 
-def announced(df: DataFrame, key: str, text: str, roster: DataFrame, least: float = 0.6) -> DataFrame:
-    """(key, nombre, parecido) of the windows in which the chair gives the floor to someone of roster(name, n): the name most like the five words after 'palabra'.
+def repaired(df: DataFrame, key: str, text: str, terms: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(key, text, cambios) of every row: cambios is the list of (bad, good). terms(term), aliases(key, canon), of any size. Null text is empty.
 
-    Connectors and honorifics don't count; of equal names the more frequent wins. Windows without 'palabra', or without a name as like as least, give no row.
+    Of an alias with several forms the last in order holds.
     """
-    names = [(r[0], r[1] or 0) for r in bounded(roster.filter("name is not null"), "name", "n")]
-
-    @F.pandas_udf("struct<nombre:string,parecido:double>")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        r = Roster(names)
-        for col in batches:
-            found = [r.announced(x or "", least) or (None, None) for x in col]
-            yield pd.DataFrame(found, columns=["nombre", "parecido"])
-
-    return df.filter(F.contains(F.lower(text), F.lit("palabra"))).select(key, find(text).alias("f")).select(key, "f.nombre", F.round("f.parecido", 6).alias("parecido")).filter("nombre is not null")
+    d = written(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id()), "texts")
+
+    def cut(batches):
+        for b in batches:
+            rows, kinds, keys = [], [], []
+            for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for kind, found in enumerate(spans(t)):
+                    rows += [row] * len(found)
+                    kinds += [kind] * len(found)
+                    keys += sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(kinds, pa.int32()), pa.array(keys, pa.string())], names=["row", "kind", "k"])
+
+    def sounds(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sound(t) for t in b.column(0).to_pylist()], pa.string())], names=["term", "k"])
+
+    asked = written(d.select("row", "text").mapInArrow(cut, "row long, kind int, k string"), "spans")
+    known = written(terms.select("term").filter("term is not null").distinct().mapInArrow(sounds, "term string, k string"), "terms").filter(F.length("k") >= SOUND)
+    heard = asked.filter("kind = 0").select("k").distinct()
+    same = heard.join(known.select("k").distinct(), "k").select("k", F.lit("").alias("good"), F.lit(1.0).alias("sim"))
+    other = heard.join(known.select("k").distinct(), "k", "left_anti").withColumnRenamed("k", "q")
+    # of equal terms the longest, then the first
+    roster = known.select(F.col("term").alias("canon"), F.length("term").alias("n"), F.lit("").alias("party"))
+    alike = most_alike(other, roster, Sounds, ALIKE).select(F.col("q").alias("k"), F.col("canon").alias("good"), "sim")
+    fixed = aliases.filter("key is not null and canon is not null").groupBy(F.col("key").alias("k")).agg(F.max("canon").alias("good")).withColumn("sim", F.lit(-1.0))
+    hits = asked.filter("kind = 0").join(same.unionByName(alike), "k").unionByName(asked.filter("kind = 1").join(fixed, "k"))
+    told = hits.groupBy("row").agg(F.collect_list(F.struct("k", "good", "sim")).alias("hits"))
+
+    def fix(batches):
+        for b in batches:
+            out = []
+            for t, hits in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                hits = hits or []
+                m = Matches({h["k"]: (h["good"], h["sim"]) for h in hits if h["sim"] >= 0})
+                out.append(repair(t, m, {h["k"]: h["good"] for h in hits if h["sim"] < 0}))
+            changes = pa.array([[{"bad": x, "good": y} for x, y in r[1]] for r in out], pa.list_(pa.struct([("bad", pa.string()), ("good", pa.string())])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in out], pa.string()), changes], names=[key, "text", "cambios"])
+
+    return d.join(told, "row", "left").select(key, "text", "hits").mapInArrow(fix, f"`{key}` {d.schema[key].dataType.simpleString()}, text string, cambios array<struct<bad:string,good:string>>")

@@ -82,6 +82,7 @@ def resolve(names: DataFrame, overrides: DataFrame, summaries: DataFrame, regist
     any_ = overrides.filter("leg is null").select("name", F.col("sigla").alias("always"))
     said = summaries.select("leg", "name", F.col("sigla").alias("said"))
     loose = summaries.groupBy("leg", tight("name").alias("t")).agg(F.min_by("sigla", "name").alias("loose"))
+    # rows without a term have nothing of a term, only what holds for all
     j = q.join(hit, ["leg", "name"], "left").join(own, ["leg", "name"], "left").join(any_, "name", "left").join(said, ["leg", "name"], "left")
     j = j.withColumn("t", tight("name")).join(loose, ["leg", "t"], "left")
     steps = ["own", "always", "said", "loose", "registered"]
@@ -107,7 +108,9 @@ def attach(speeches: DataFrame, overrides: DataFrame, summaries: DataFrame, regi
     d = d.withColumns({"_name": name, "_office": F.when(titled, F.col("_s")).otherwise(F.col("_p")), "_key": F.nullif(rec.registry_name(name), F.lit(""))})
     d = written(d, "speeches")
     known = resolve(d.filter("_key is not null").select("leg", F.col("_key").alias("name")), overrides, summaries, registry)
-    d = d.join(known.select("leg", F.col("name").alias("_key"), "sigla", "canon"), ["leg", "_key"], "left")
+    known = known.select(F.col("leg").alias("_leg"), F.col("name").alias("_name_of"), "sigla", "canon")
+    # a speech without a term still meets what holds for all terms
+    d = d.join(known, F.col("leg").eqNullSafe(F.col("_leg")) & (F.col("_key") == F.col("_name_of")), "left").drop("_leg", "_name_of")
     first = rec.is_first_name(F.col("_p"))
     letters = rec.group_letters(F.col("_p"))
     own = F.when((F.col("_p") != "") & ~first & letters.isin(*rec.KNOWN_GROUPS), letters).otherwise("")

@@ -52,22 +52,23 @@ def cascade(names: DataFrame, registry: DataFrame, prefix: int = 6) -> DataFrame
 
 
 def party(queries: DataFrame, labels: DataFrame) -> DataFrame:
-    """(qid, label) of queries(qid, q): the label q itself, else the best of labels(label, n), else q.
+    """(qid, label) of queries(qid, q): the label that is q's canonical form, else the best of labels(label, n), else the canonical form.
 
     A label that holds the whole text scores 100, another one for each word of three letters or more that it holds; of equal scores the larger n
     wins, then the label. Labels are indexed under their pieces of one to three letters, of which a text or word is looked up under its first, so the join is on equality.
     """
-    from ..functions.text import norm_key
+    from ..functions.text import canonical_party, norm_key
 
     l = labels.select("label", "n", norm_key(F.col("label")).alias("lk"))
     piece = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.length("lk") - size + 1, F.lit(1))), lambda i: F.substr(F.col("lk"), i, F.lit(size)))
     index = l.select("label", "n", "lk", F.explode(F.array_distinct(F.concat(*[piece(i) for i in (1, 2, 3)]))).alias("g"))
     q = queries.select("q").distinct().withColumn("key", norm_key(F.col("q"))).filter("key <> ''")
+    queries = queries.withColumn("canon", canonical_party(F.col("q")))
     words = q.select("q", F.col("key").alias("w"), F.lit(100).alias("score")).union(q.select("q", F.explode(F.filter(F.split("key", " "), lambda t: F.length(t) >= 3)), F.lit(1)))
     hit = words.withColumn("g", F.left("w", F.least(F.length("w"), F.lit(3)))).join(index, "g").filter(F.contains("lk", F.col("w")))
     score = F.when(F.max("score") == 100, 100).otherwise(F.sum("score"))
     best = hit.groupBy("q", "label").agg(score.alias("score"), F.first("n").alias("n"))
     first = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("n"), "label"))
     best = best.withColumn("k", first).filter("k = 1").select("q", F.col("label").alias("best"))
-    same = labels.select(F.col("label").alias("q"), F.col("label").alias("same"))
-    return queries.join(best, "q", "left").join(same, "q", "left").select("qid", F.coalesce("same", "best", "q").alias("label"))
+    same = labels.select(F.col("label").alias("canon"), F.col("label").alias("same")).filter("canon <> ''")
+    return queries.join(best, "q", "left").join(same, "canon", "left").select("qid", F.coalesce("same", "best", "canon").alias("label"))

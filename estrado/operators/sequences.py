@@ -1,7 +1,7 @@
-"""Steps that depend on what they kept before: packers, debouncing, alignment, edit scores.
+"""Steps that depend on what they kept before: packers, debouncing, handovers, alignment, edit scores.
 
-No window expresses these, as each row's outcome depends on earlier outcomes. A session is folded in one task
-through applyInPandas: sessions bound what a task holds, and rows of one session alone are ordered.
+No window expresses these, as each row's outcome depends on earlier outcomes. Packers, debouncing and handovers are folds over a stream of
+sorted rows (folds.py); alignments meet two records of a session in one task.
 """
 
 from __future__ import annotations
@@ -15,6 +15,31 @@ from pyspark.sql import functions as F
 
 from ..functions import record as rec
 from .components import components
+from .folds import Fold, folded
+from .names import similarity
+
+
+class _Chunks(Fold):
+    def __init__(self, most: int, overlap: int, by_speaker: bool):
+        self.most, self.overlap, self.by_speaker = most, overlap, by_speaker
+        self.open, self.size, self.n = [], 0, 0
+
+    def row(self, start, seg_id, end, text, speaker):
+        text = (text or "").strip()
+        if not text:
+            return
+        turned = self.by_speaker and self.open and speaker != self.open[0][3]
+        if self.open and (turned or self.size + len(text) + 1 > self.most):
+            yield from self.end()
+            self.open = [] if turned or not self.overlap else self.open[-self.overlap :]
+            self.size = sum(len(s[0]) + 1 for s in self.open)
+        self.open.append((text, start, end, speaker))
+        self.size += len(text) + 1
+
+    def end(self):
+        if self.open:
+            yield self.n, " ".join(s[0] for s in self.open), self.open[0][1], self.open[-1][2], self.open[0][3]
+            self.n += 1
 
 
 def chunks(seg: DataFrame, most: int = 1200, overlap: int = 1, by_speaker: bool = True) -> DataFrame:
@@ -23,60 +48,57 @@ def chunks(seg: DataFrame, most: int = 1200, overlap: int = 1, by_speaker: bool
     A chunk ends where its speaker does, or where the next segment would not fit; then the last overlap segments are taken along. A segment
     longer than most is a chunk of its own. Blank segments are left out.
     """
+    rows = seg.select("pleno_id", "start", "seg_id", "end", "text", "speaker")
+    return folded(rows, "pleno_id", ["start", "seg_id"], lambda: _Chunks(most, overlap, by_speaker), "idx int, text string, start double, end double, speaker string")
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        out, cur, size, fresh = [], [], 0, False
 
-        def flush():
-            out.append((p.pleno_id.iloc[0], len(out), " ".join(s[0] for s in cur), cur[0][1], cur[-1][2], cur[0][3]))
+class _Windows(Fold):
+    def __init__(self, least: int):
+        self.least, self.texts, self.size, self.first, self.last, self.done = least, [], 0, None, None, 0
 
-        for text, start, end, who in p.sort_values(["start", "seg_id"])[["text", "start", "end", "speaker"]].itertuples(index=False):
-            text = (text or "").strip()
-            if not text:
-                continue
-            turned = by_speaker and cur and who != cur[0][3]
-            if cur and (turned or size + len(text) + 1 > most):
-                flush()
-                cur = [] if turned or not overlap else cur[-overlap:]
-                size = sum(len(s[0]) + 1 for s in cur)
-            cur.append((text, start, end, who))
-            size += len(text) + 1
-        if cur:
-            flush()
-        return pd.DataFrame(out, columns=["pleno_id", "idx", "text", "start", "end", "speaker"])
+    def row(self, start, seg_id, end, text):
+        text = (text or "").strip()
+        if not text:
+            return
+        if not self.texts:
+            self.first = start
+        self.texts.append(text)
+        self.last = start if end is None else end
+        # every text with the space before it
+        self.size += 1 + len(text)
+        if self.size >= self.least:
+            yield from self.end()
 
-    kind = seg.schema["pleno_id"].dataType.simpleString()
-    return seg.select("pleno_id", "seg_id", "text", "start", "end", "speaker").groupBy("pleno_id").applyInPandas(fold, f"pleno_id {kind}, idx int, text string, start double, end double, speaker string")
+    def end(self):
+        if self.texts:
+            yield self.done, self.first, self.last, len(self.texts), self.size - 1, " ".join(self.texts)
+            self.texts, self.size, self.done = [], 0, self.done + 1
 
 
 def windows_of(seg: DataFrame, least: int = 700) -> DataFrame:
-    """(pleno_id, idx, start, n, chars): rows gathered until they hold least characters; the rest is the last window."""
-
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        out, first, n, size = [], None, 0, 0
-        for start, chars in p.sort_values(["start", "seg_id"])[["start", "chars"]].itertuples(index=False):
-            first = start if n == 0 else first
-            n, size = n + 1, size + int(chars)
-            if size >= least:
-                out.append((p.pleno_id.iloc[0], len(out), first, n, size))
-                n = size = 0
-        if n:
-            out.append((p.pleno_id.iloc[0], len(out), first, n, size))
-        return pd.DataFrame(out, columns=["pleno_id", "idx", "start", "n", "chars"])
-
-    kind = seg.schema["pleno_id"].dataType.simpleString()
-    return seg.select("pleno_id", "seg_id", "start", F.length("text").alias("chars")).groupBy("pleno_id").applyInPandas(fold, f"pleno_id {kind}, idx int, start double, n int, chars long")
-
-
-def packed_sentences(sentences: list[str], most: int, carry: bool = True) -> list[str]:
-    """Sentences packed to at most most characters; the last one is taken along unless it would not fit; a giant is cut."""
-    out, cur = [], []
-    for s in (x for y in sentences for x in ([y] if len(y) <= most else [y[i : i + most] for i in range(0, len(y), most)])):
-        if cur and sum(map(len, cur)) + len(cur) + len(s) > most:
-            out.append(" ".join(cur))
-            cur = cur[-1:] if carry and len(cur[-1]) + 1 + len(s) <= most else []
-        cur.append(s)
-    return [*out, " ".join(cur)] if cur else out
+    """(pleno_id, idx, start, end, n, chars, text): segments gathered until their texts, each with a space before it, hold least characters; the rest is the last window.
+
+    Blank segments don't count.
+    """
+    rows = seg.select("pleno_id", "start", "seg_id", "end", "text")
+    return folded(rows, "pleno_id", ["start", "seg_id"], lambda: _Windows(least), "idx int, start double, end double, n int, chars long, text string")
+
+
+def packed_sentences(sentences: list[str], most: int, carry: int = 1) -> list[str]:
+    """Sentences packed so that a pack's sentences, each with a space, hold at most most characters. The last carry ones are taken along, unless the next one would not fit
+    beside them. A sentence longer than most is cut into packs of its own, and nothing is carried over it.
+    """
+    packs: list[list[str]] = [[]]
+    for s in sentences:
+        if len(s) > most:
+            packs += [[s[i : i + most]] for i in range(0, len(s), most)] + [[]]
+            continue
+        room = most - sum(len(x) + 1 for x in packs[-1])
+        if packs[-1] and len(s) + 1 > room:
+            taken = packs[-1][-carry:] if carry else []
+            packs.append(taken if sum(len(x) + 1 for x in (*taken, s)) <= most else [])
+        packs[-1].append(s)
+    return [" ".join(p) for p in packs if p]
 
 
 def pack_sentences(df: DataFrame, key: str, sentences: str, most: int = 1200) -> DataFrame:
@@ -93,49 +115,51 @@ def pack_sentences(df: DataFrame, key: str, sentences: str, most: int = 1200) ->
     return df.select(key, pack(sentences).alias("p")).select(key, "p.n", "p.longest", "p.chars")
 
 
-def debounced(ev: DataFrame, gap: float = 2.0) -> DataFrame:
-    """ev(pleno_id, seg_id, start) without those less than gap after the last one kept."""
+class _Debounced(Fold):
+    def __init__(self, gap: float, at: int):
+        self.gap, self.at, self.last = gap, at, -np.inf
+
+    def row(self, *values):
+        if values[self.at] is not None and values[self.at] - self.last >= self.gap:
+            self.last = values[self.at]
+            yield values
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p, keep, last = p.sort_values(["start", "seg_id"]), [], -np.inf
-        for t in p.start:
-            keep.append(t - last >= gap)
-            last = t if keep[-1] else last
-        return p[keep]
 
-    return ev.groupBy("pleno_id").applyInPandas(fold, ev.schema)
+def debounced(ev: DataFrame, gap: float = 2.0) -> DataFrame:
+    """ev(pleno_id, seg_id, start, ...) without those less than gap after the last one kept, or without a start."""
+    rest = [f for f in ev.schema.fields if f.name != "pleno_id"]
+    at = [f.name for f in rest].index("start")
+    kept = folded(ev, "pleno_id", ["start", "seg_id"], lambda: _Debounced(gap, at), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest))
+    return kept.select(*ev.columns)
 
 
-def handovers(seg: DataFrame, calls: str, cooldown: int = 1) -> DataFrame:
-    """(pleno_id, seg_id, turno): a segment that matches calls hands over: the next ones are a new turn; -1 is the chair that calls.
+class Handover(Fold):
+    """Which turn of speech a segment belongs to: -1 is the chair, before the first handover and in the calls themselves.
 
-    After a handover the next cooldown segments cannot hand over again.
+    A valid call begins a turn; the call right after it is its tail, the chair's too, and begins none. A call that names nobody leaves the turn as it is.
     """
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p, turn, wait, out = p.sort_values(["start", "seg_id"]), 0, 0, []
-        for call in p.call:
-            if call and not wait:
-                out.append(-1)
-                turn, wait = turn + 1, cooldown
-            else:
-                out.append(turn)
-                wait = max(0, wait - 1)
-        return p.assign(turno=out)[["pleno_id", "seg_id", "turno"]]
-
-    kind = seg.schema["pleno_id"].dataType.simpleString()
-    s = seg.select("pleno_id", "seg_id", "start", F.rlike("speaker", F.lit(calls)).alias("call"))
-    return s.groupBy("pleno_id").applyInPandas(fold, f"pleno_id {kind}, seg_id long, turno int")
+    def __init__(self):
+        self.turns, self.tail = 0, False
 
+    def label(self, call: bool, valid: bool = True) -> int:
+        tail, self.tail = self.tail, False
+        if call and tail:
+            return -1
+        if call and valid:
+            self.turns, self.tail = self.turns + 1, True
+            return -1
+        return self.turns - 1
 
-#: Words of a name that do not tell it apart.
-SKIPPED = frozenset({"de", "del", "la", "las", "los", "y", "e", "i"})
+    def row(self, start, seg_id, call, valid):
+        yield seg_id, self.label(bool(call), bool(valid))
 
 
-def similarity(a: str, b: str) -> float:
-    """Mean over the words of a of the best ratio with a word of b; connectors don't count."""
-    x, y = ([w for w in s.lower().split() if w not in SKIPPED] for s in (a or "", b or ""))
-    return float(np.mean([max(SequenceMatcher(None, u, v).ratio() for v in y) for u in x])) if x and y else 0.0
+def handovers(seg: DataFrame, calls: str, valid=None) -> DataFrame:
+    """(pleno_id, seg_id, turno) of segments: one whose speaker matches calls is a call, valid (a column; all are without it) tells calls that name somebody."""
+    rows = seg.select("pleno_id", "start", "seg_id", F.rlike("speaker", F.lit(calls)).alias("call"), (F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))).alias("valid"))
+    kind = seg.schema["seg_id"].dataType.simpleString()
+    return folded(rows, "pleno_id", ["start", "seg_id"], Handover, f"seg_id {kind}, turno int")
 
 
 def name_score(heard: str, written: str) -> float:
@@ -324,47 +348,6 @@ def enrolled(store: DataFrame, new: DataFrame, most: int = 8) -> DataFrame:
     return both.withColumn("vecs", F.when(F.size("vecs") > most, capped("vecs")).otherwise(F.col("vecs")))
 
 
-def fuzzy_link(names: DataFrame, roster: DataFrame, least: float = 0.62) -> DataFrame:
-    """(name, canon, sim): of each name the most alike of roster(canon, n) in similarity(), ties to the larger n; below least the name itself.
-
-    A roster is a chamber's members, at most lexicon.ENTRIES of them: it goes to every task once, and a name is compared with those alone that may
-    still be the best by their letters.
-    """
-    from .lexicon import bounded, letters
-
-    members = sorted(((r[0], r[1] or 0) for r in bounded(roster.filter("canon is not null"), "canon", "n")), key=lambda x: (-x[1], x[0]))
-
-    def words(s: str) -> list[str]:
-        return [w for w in (s or "").lower().split() if w not in SKIPPED]
-
-    @F.pandas_udf("struct<canon:string,sim:double>")
-    def link(col: pd.Series) -> pd.DataFrame:
-        split = [words(m) for m, _ in members]
-        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s in split for w in s))}
-        counts = letters(list(vocabulary))
-        size, has = counts.sum(axis=1), [i for i, s in enumerate(split) if s]
-        flat = np.array([vocabulary[w] for i in has for w in split[i]], np.int64)
-        begin = np.cumsum([0, *[len(split[i]) for i in has]])[:-1]
-        out = []
-        for name in col:
-            own, best, who = words(name), 0.0, -1
-            if own and has:
-                t = letters(own)
-                top = 2 * np.minimum(counts[:, None], t[None]).sum(axis=2) / (size[:, None] + t.sum(axis=1))
-                bound = np.maximum.reduceat(top[flat], begin, axis=0).mean(axis=1)
-                for k in np.argsort(-bound, kind="stable").tolist():
-                    if bound[k] < best - 1e-9:
-                        break
-                    s = similarity(name, members[has[k]][0])
-                    if s > best or (s == best and who >= 0 and has[k] < who):
-                        best, who = s, has[k]
-            out.append((members[who][0] if who >= 0 else None, best))
-        return pd.DataFrame(out, columns=["canon", "sim"])
-
-    best = names.select("name").distinct().withColumn("m", link("name"))
-    return best.select("name", F.when(F.col("m.sim") >= least, F.col("m.canon")).otherwise(F.col("name")).alias("canon"), F.round("m.sim", 6).alias("sim"))
-
-
 def cap_vectors(v: np.ndarray, most: int) -> np.ndarray:
     """While there are more than most vectors the two most alike are summed and brought to length one."""
     while len(v) > most:

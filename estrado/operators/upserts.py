@@ -49,11 +49,12 @@ def replace_partition(old: DataFrame, new: DataFrame, key: list[str]) -> DataFra
 
 
 def consolidated(entities: DataFrame, children: DataFrame, unique: list[str], order: str) -> DataFrame:
-    """children(entidad, ...) of entities(id, same, slug, n) that are one where same is: they point to the entity with most sessions n, the smaller id of equals, and
-    bear its slug. Of children that then share (entidad, *unique) one stays: that entity's own before others, then by order.
+    """children(entidad, ...) of entities(id, same, slug, short, n) that are one where same is: they point to the entity that bears the short slug, else to that with most sessions n, the smaller
+    id of equals, and bear the short slug: an entity that is alone keeps its own. Of children that then share (entidad, *unique) one stays: that entity's own before others, then by order.
     """
-    best = entities.groupBy("same").agg(F.max(F.struct("n", (-F.col("id")).alias("i"), "slug")).alias("x"))
-    to = entities.join(best, "same").select(F.col("id").alias("entidad"), (-F.col("x.i")).alias("_to"), F.col("x.slug").alias("slug"))
+    # the short slug is that of the first of them
+    best = entities.groupBy("same").agg(F.max(F.struct((F.col("slug") == F.col("short")).alias("bears"), "n", (-F.col("id")).alias("i"), "slug")).alias("x"), F.min_by("short", "id").alias("short"), F.count(F.lit(1)).alias("many"))
+    to = entities.select("id", "same").join(best, "same").select(F.col("id").alias("entidad"), (-F.col("x.i")).alias("_to"), F.when(F.col("many") > 1, F.col("short")).otherwise(F.col("x.slug")).alias("slug"))
     j = children.join(to, "entidad")
     first = F.row_number().over(Window.partitionBy("_to", *unique).orderBy(F.col("entidad") != F.col("_to"), order))
     j = j.withColumn("_k", first).filter("_k = 1").withColumn("entidad", F.col("_to"))

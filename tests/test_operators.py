@@ -58,8 +58,15 @@ def test_debounce(spark):
 
 
 def test_handover_cooldown(spark):
-    s = seg(spark, *[(float(i), 0.0, w, "") for i, w in enumerate(["x", "call", "call", "y", "call"])])
-    assert [r.turno for r in sequences.handovers(s, "call").orderBy("seg_id").collect()] == [0, -1, 1, 1, -1]
+    def turns_of(*said, valid=None):
+        s = seg(spark, *[(float(i), 0.0, w, "") for i, w in enumerate(said)])
+        return [r.turno for r in sequences.handovers(s, "call", valid).orderBy("seg_id").collect()]
+
+    # before the first call, in a call and in its tail the chair speaks; turns are numbered from 0
+    assert turns_of("x", "call", "call", "x", "call", "y", "i", "t") == [-1, -1, -1, 0, -1, 1, 1, 1]
+    assert turns_of("call", "call", "call", "x") == [-1, -1, -1, 1]
+    # a call that names nobody leaves the turn as it is, and has no tail
+    assert turns_of("call", "x", "call?", "call", "y", valid=F.col("speaker") != "call?") == [-1, 0, 0, -1, 1]
 
 
 def test_upsert(spark):
@@ -150,9 +157,11 @@ def test_word_edits_is_levenshtein(a, b):
 def test_packs_are_short_and_whole(sentences, most):
     packs = sequences.packed_sentences(sentences, most)
     assert all(len(p) <= most for p in packs)
-    whole = sequences.packed_sentences(sentences, most, carry=False)
+    whole = sequences.packed_sentences(sentences, most, carry=0)
     pieces = [x for s in sentences for x in ([s] if len(s) <= most else [s[i : i + most] for i in range(0, len(s), most)])]
     assert " ".join(whole) == " ".join(pieces)
+    # two neighbours share at most one sentence
+    assert sum(map(len, packs)) <= 2 * sum(len(p) + 1 for p in pieces)
 
 
 @given(st.integers(1, 6), st.integers(1, 6), st.randoms())

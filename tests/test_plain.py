@@ -69,15 +69,18 @@ def test_sounds(spark):
 def test_accumulate_windows(spark, tiny, read):
     want = []
     for pleno, g in read("conversations").sort_values("turn").groupby("conv_id"):
-        n = size = k = 0
+        texts, k = [], 0
         for r in g.itertuples():
-            start = float(r.turn) if not n else start
-            n, size = n + 1, size + len(r.text)
-            if size >= 700:
-                want.append((pleno, k, start, n, size))
-                n, size, k = 0, 0, k + 1
-        if n:
-            want.append((pleno, k, start, n, size))
+            if not r.text.strip():
+                continue
+            start = float(r.turn) if not texts else start
+            texts.append(r.text.strip())
+            whole = " ".join(["", *texts])
+            if len(whole) >= 700:
+                want.append((pleno, k, start, r.turn + 1.0, len(texts), len(whole) - 1, whole[1:]))
+                texts, k = [], k + 1
+        if texts:
+            want.append((pleno, k, start, r.turn + 1.0, len(texts), len(" ".join(texts)), " ".join(texts)))
     assert sorted(run(spark, tiny, "accumulate_windows").itertuples(index=False, name=None)) == sorted(want)
 
 
