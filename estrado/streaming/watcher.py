@@ -1,16 +1,13 @@
-"""Streams: new files only, each notification once, sessions by event time, handovers with state."""
+"""Streams: new files only, each notification once, sessions by event time. Handovers with state are in handover.py."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.components import scratch
 from ..operators.upserts import not_yet
 
-
 #: Days of a batch up to which only those are read from the outbox.
 DAYS = 1000
 
@@ -80,29 +77,3 @@ def sessions(spark: SparkSession, folder: str, gap: str = "30 minutes", late: st
         last.select(F.lit(None).cast("long").alias("user_id"), (F.col("t") + F.expr(f"INTERVAL {days} DAYS")).alias("t")).filter("t is not null").write.mode("append").parquet(marks)
         run_once(all_sessions(), each, check)
     return spark.read.schema("user_id long, start string, n long, batch int").parquet(out).filter("user_id is not null").drop("batch")
-
-
-def handovers(spark: SparkSession, folder: str, calls: tuple[str, ...] = ("signup", "purchase")) -> DataFrame:
-    """(pleno_id, turnos): how often each session was handed over, counted with state from batch to batch."""
-    out, mark = scratch(spark, "handovers"), scratch(spark, "handovers-mark")
-
-    def count(key, batches, state: GroupState):
-        turns, wait = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches))
-        for call in rows.sort_values(["ts", "event_id"]).event_type.isin(calls):
-            if call and not wait:
-                turns, wait = turns + 1, 1
-            else:
-                wait = max(0, wait - 1)
-        state.update((turns, wait))
-        yield pd.DataFrame({"pleno_id": [key[0]], "turnos": [turns]})
-
-    e = files(spark, folder, "events").select(F.col("user_id").alias("pleno_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
-    s = e.groupBy("pleno_id").applyInPandasWithState(count, "pleno_id long, turnos int", "turnos int, espera int", "update", GroupStateTimeout.NoTimeout)
-
-    def each(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
-
-    q = s.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", mark).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(out).groupBy("pleno_id").agg(F.max_by("turnos", "batch").alias("turnos"))

@@ -291,16 +291,6 @@ def test_voice_store(spark):
     assert (got["Luis"].n, got["Luis"].vecs) == (1, [[0.0, 1.0]]) and (got["Eva"].n, got["Eva"].party) == (1, "PSOE")
 
 
-def test_handover_state(spark, tiny, read):
-    want = {}
-    for u, g in read("events").sort_values(["ts", "event_id"]).groupby("user_id"):
-        n = wait = 0
-        for t in g.event_type:
-            n, wait = (n + 1, 1) if t in ("signup", "purchase") and not wait else (n, max(0, wait - 1))
-        want[u] = n
-    assert dict(run(spark, tiny, "handover_state").itertuples(index=False, name=None)) == want
-
-
 def test_government_aligns_by_order(spark):
     a = spark.createDataFrame([(1, 0, "PÉREZ"), (1, 1, "miembro del Gobierno"), (1, 2, "GIL")], "pleno_id int, pos long, name string")
     b = spark.createDataFrame([(1, 0, "PÉREZ"), (1, 1, "Ministro (Gobierno)"), (1, 2, "OTRA")], "pleno_id int, pos long, name string")
