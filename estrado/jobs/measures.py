@@ -73,11 +73,12 @@ def label_map(spark, sf):
     return j.select("pleno_id", "seg_id", F.coalesce("nombre", "speaker").alias("nombre"), F.coalesce(F.col("nombre") == "Presidencia", F.lit(False)).alias("mesa"))
 
 
-@query("""WITH a AS (SELECT user_id k, event_type p FROM events WHERE value > 95), f AS (SELECT k, count(DISTINCT p) n FROM a GROUP BY 1), g AS (SELECT p, count(DISTINCT k) n FROM a GROUP BY 1)
+@query("""WITH a AS (SELECT user_id || '-' || CAST(floor(value) AS INTEGER) k, event_type || '-' || CAST(floor(value / 10) AS INTEGER) p FROM events), f AS (SELECT k, count(DISTINCT p) n FROM a GROUP BY 1), g AS (SELECT p, count(DISTINCT k) n FROM a GROUP BY 1)
 SELECT (SELECT round(avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END), 6) FROM f) consistencia, (SELECT round(avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END), 6) FROM g) pureza""")
 def voice_consistency(spark, sf):
     """Share of voices with one name, and of names with one voice."""
-    a = table(spark, sf, "events").filter("value > 95").select(F.col("user_id").alias("k"), F.col("event_type").alias("p"))
+    v = F.col("value")
+    a = table(spark, sf, "events").select(F.concat_ws("-", "user_id", F.floor(v)).alias("k"), F.concat_ws("-", "event_type", F.floor(v / 10)).alias("p"))
     share = lambda by, of, name: a.groupBy(by).agg(F.countDistinct(of).alias("n")).agg(F.round(F.avg((F.col("n") == 1).cast("double")), 6).alias(name))
     return share("k", "p", "consistencia").crossJoin(share("p", "k", "pureza"))  # one row each
 
@@ -137,11 +138,11 @@ def agenda_cues(spark, sf):
 
 
 @query(f"""WITH {SEG} SELECT pleno_id, seg_id, CASE WHEN contains(t, 'votacion') AND contains(t, 'a favor') AND contains(t, 'en contra') THEN 'recuento' WHEN contains(t, 'votacion') THEN 'votacion' END evento
-FROM (SELECT *, CASE seg_id % 4 WHEN 0 THEN 'votacion: votos a favor, en contra ' WHEN 1 THEN 'pasamos a la votacion ' ELSE '' END || speaker t FROM seg) WHERE seg_id % 4 < 3""")
+FROM (SELECT *, CASE seg_id % 4 WHEN 0 THEN 'votacion: votos a favor, en contra ' WHEN 1 THEN 'pasamos a la votacion ' ELSE '' END || speaker t FROM seg)""")
 def vote_calls(spark, sf):
-    """Segments in which a vote is counted, or called; a count is looked for first."""
+    """What each segment says of a vote: that it is counted, or called, or nothing; a count is looked for first."""
     said = F.when(F.col("seg_id") % 4 == 0, "votación: votos a favor, en contra ").when(F.col("seg_id") % 4 == 1, "pasamos a la votación ").otherwise("")
-    s = segments(spark, sf).filter("seg_id % 4 < 3").withColumn("t", tx.norm_key(F.concat(said, "speaker")))
+    s = segments(spark, sf).withColumn("t", tx.norm_key(F.concat(said, "speaker")))
     has = lambda w: F.contains("t", F.lit(w))
     return s.select("pleno_id", "seg_id", F.when(has("votacion") & has("a favor") & has("en contra"), "recuento").when(has("votacion"), "votacion").alias("evento"))
 

@@ -144,9 +144,8 @@ def voice_exemplar_buckets(spark, sf):
 
 @query
 def voice_store(spark, sf):
-    """Voiceprints that grow from session to session: two sessions of twenty voices each, the cap at eight exemplars."""
-    e = table(spark, sf, "embeddings").select(F.concat(F.lit("Ana "), (F.col("vec_id") % 20).cast("string")).alias("persona"), (F.floor(F.col("vec_id") / 20) % 2).alias("sesion"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
-    e = e.withColumn("k", F.row_number().over(Window.partitionBy("persona", "sesion").orderBy("vec_id"))).filter("k <= 8")  # a session gives a voice eight exemplars at most
+    """Voiceprints that grow from session to session: each sixteen vectors are a voice, eight of each of two sessions, the cap at eight exemplars."""
+    e = table(spark, sf, "embeddings").select(F.concat(F.lit("Ana "), F.floor(F.col("vec_id") / 16).cast("string")).alias("persona"), (F.floor(F.col("vec_id") / 8) % 2).alias("sesion"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
     new = e.groupBy("persona", "sesion").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "vec"))), lambda x: x["vec"]).alias("vecs")).withColumn("party", F.when(F.col("sesion") == 0, "PP").otherwise(""))
     store = spark.createDataFrame([], "persona string, n int, party string, vecs array<array<double>>")
     for session in (0, 1):
@@ -157,8 +156,8 @@ def voice_store(spark, sf):
 @query
 def voice_exemplars(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("label").alias("persona"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    # a person's exemplars of one session, of a hundred voices each: the cap is for each of both
-    e = e.withColumn("persona", F.concat_ws("-", "persona", F.floor(F.col("id") / 100).cast("string")))
+    # a person's exemplars of a session of five hundred voices: some fifty, which the cap joins to eight
+    e = e.withColumn("persona", F.concat_ws("-", "persona", F.floor(F.col("id") / 500).cast("string")))
     return op.exemplar_caps(e).select("persona", "n", F.transform("vecs", lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x), 6)).alias("norms"))
 
 

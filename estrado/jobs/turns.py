@@ -222,16 +222,13 @@ REL, FRAC, MIN_DETS, SURE = 60.0, 0.34, 2, 0.60
 
 
 @query("""WITH p AS (SELECT user_id asiento, event_type fase, count(*) n, avg(CASE WHEN value >= 60 THEN 1.0 ELSE 0.0 END) frac FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY asiento ORDER BY frac DESC, fase) k, lead(frac) OVER (PARTITION BY asiento ORDER BY frac DESC, fase) nx FROM p WHERE n >= 2)
-SELECT asiento, CASE WHEN frac >= 0.34 AND (nx IS NULL OR frac > nx) THEN fase END voto, round(frac, 6) frac, frac >= 0.60 segura FROM r WHERE k = 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY asiento ORDER BY CASE WHEN n >= 2 AND frac >= 0.34 THEN frac ELSE 0 END DESC, CASE fase WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END) k FROM p)
+SELECT asiento, CASE WHEN n >= 2 AND frac >= 0.34 THEN fase END voto, round(frac, 6) frac, n >= 2 AND frac >= 0.60 segura FROM r WHERE k = 1""")
 def vote_decision(spark, sf):
-    """The phase in which a seat's hand is up in the largest share of frames, if that share is large and no other equals it."""
+    """The phase in which a seat's hand is up in the largest share of frames, if that share is large; of equal ones the earlier."""
     e = table(spark, sf, "events").filter(F.col("event_type").isin("view", "click", "purchase"))
-    p = e.groupBy(F.col("user_id").alias("asiento"), F.col("event_type").alias("fase")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("value") >= REL).cast("double")).alias("frac"))
-    w = Window.partitionBy("asiento").orderBy(F.desc("frac"), "fase")
-    r = p.filter(F.col("n") >= MIN_DETS).withColumn("k", F.row_number().over(w)).withColumn("nx", F.lead("frac").over(w)).filter("k = 1")
-    clear = (F.col("frac") >= FRAC) & (F.col("nx").isNull() | (F.col("frac") > F.col("nx")))
-    return r.select("asiento", F.when(clear, F.col("fase")).alias("voto"), F.round("frac", 6).alias("frac"), (F.col("frac") >= SURE).alias("segura"))
+    d = op.seat_votes(e.select(F.col("user_id").alias("asiento"), F.col("event_type").alias("fase"), F.col("value").alias("rel")), ["view", "click", "purchase"], REL, FRAC, MIN_DETS)
+    return d.select("asiento", "voto", F.round("frac", 6).alias("frac"), (F.col("voto").isNotNull() & (F.col("frac") >= SURE)).alias("segura"))
 
 
 @query("""WITH v AS (SELECT date_trunc('day', ts) dia, count(*) FILTER (event_type = 'click') si, count(*) FILTER (event_type = 'error') contra FROM events GROUP BY 1)

@@ -41,12 +41,11 @@ def centroids(c):
     return mean_vector(c, ["label"], "vec").select("label", unit(F.col("centroid")).alias("cv"))
 
 
-@query(f"""WITH {E}, s AS (SELECT q.id qid, e.id, round({DOT.format("q.v", "e.v")}, 6) sim FROM e q, e WHERE q.id % 20 = 0 AND e.label IN (1, 3, 5)),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS INTEGER) rank FROM s) SELECT * FROM r WHERE rank <= 8""")
+@query(f"""WITH {E}, s AS (SELECT q.id qid, e.id, {DOT.format("q.v", "e.v")} sim FROM e q, e WHERE q.id % 20 = 0 AND e.label IN (1, 3, 5)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS INTEGER) rank FROM s) SELECT qid, id, round(sim, 6) sim, rank FROM r WHERE rank <= 8""")
 def knn_filtered(spark, sf):
     c = chunks(spark, sf)
-    s = op.against(c.filter(F.col("label").isin(1, 3, 5)).select("id", "vec"), asked(c, 20)).select("qid", "id", F.round(dot("qvec", "vec"), 6).alias("sim"))
-    return op.ranked(s, ["qid"], 8, "id")
+    return op.knn(asked(c, 20), c.select("id", "label", "vec"), 8, F.col("label").isin(1, 3, 5)).select("qid", "id", F.round("sim", 6).alias("sim"), "rank")
 
 
 @query(f"""WITH {E}, s AS (SELECT q.id qid, e.id, {DOT.format("q.v", "e.v")} sim FROM e q, e WHERE q.id % 20 = 0),
@@ -110,14 +109,14 @@ def axis_texts(spark, sf):
     return j.select(F.col("qid").alias("id"), "eje", F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), at)), 4).alias("posicion"))
 
 
-PEOPLE = f"""x AS (SELECT id, label persona, v FROM e WHERE id % 7 = 0), q AS (SELECT id qid, v FROM e WHERE id % 7 = 1),
+PEOPLE = f"""x AS (SELECT id, label persona, v FROM e WHERE id % 20 <> 0), q AS (SELECT id qid, v FROM e WHERE id % 20 = 0),
 s AS (SELECT qid, persona, max({DOT.format("q.v", "x.v")}) sim FROM q, x GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, persona) k FROM s),
 t AS (SELECT qid, max(persona) FILTER (k = 1) persona, max(sim) FILTER (k = 1) s1, coalesce(max(sim) FILTER (k = 2), 0) s2 FROM r GROUP BY 1)"""
 
 
 def _two(spark, sf):
     c = chunks(spark, sf)
-    return op.best_two(c.filter("id % 7 = 1").select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), c.filter("id % 7 = 0").select(F.col("label").alias("persona"), F.col("vec").alias("evec")))
+    return op.best_two(asked(c, 20), c.filter("id % 20 <> 0").select(F.col("label").alias("persona"), F.col("vec").alias("evec")))
 
 
 @query(f"WITH {E}, {PEOPLE} SELECT qid, CASE WHEN s1 >= 0.3 THEN 'p' || persona ELSE '(desconocido)' END quien, round(s1, 6) sim FROM t")
@@ -132,12 +131,12 @@ def match_margin(spark, sf):
     return t.select("qid", "persona", F.round("s1", 6).alias("s1"), F.round("s2", 6).alias("s2"))
 
 
-@query(f"""WITH {E}, {PEOPLE}, m AS (SELECT qid, qid % 12 voz, 1.0 + qid % 5 dur, CASE WHEN s1 >= 0.25 AND s1 - s2 >= 0.03 THEN persona END persona FROM t),
+@query(f"""WITH {E}, {PEOPLE}, m AS (SELECT qid, qid // 20 % 12 voz, 1.0 + qid // 20 % 5 dur, CASE WHEN s1 >= 0.25 AND s1 - s2 >= 0.03 THEN persona END persona FROM t),
 h AS (SELECT voz, persona, sum(dur) s FROM m WHERE persona IS NOT NULL GROUP BY 1, 2), k AS (SELECT *, s / sum(s) OVER (PARTITION BY voz) cuota, row_number() OVER (PARTITION BY voz ORDER BY s DESC, persona) k FROM h)
 SELECT m.qid, CASE WHEN k.cuota >= 0.80 THEN k.persona ELSE m.persona END persona FROM m LEFT JOIN k ON m.voz = k.voz AND k.k = 1""")
 def supervised_assign(spark, sf):
     """A voice whose matched seconds belong to one person by 80 % is that person's whole; else only its matched segments are."""
-    m = op.with_margin(_two(spark, sf), *MATCH).select("qid", (F.col("qid") % 12).alias("voz"), (1.0 + F.col("qid") % 5).alias("dur"), "persona")
+    m = op.with_margin(_two(spark, sf), *MATCH).select("qid", (F.floor(F.col("qid") / 20) % 12).alias("voz"), (1.0 + F.floor(F.col("qid") / 20) % 5).alias("dur"), "persona")
     h = m.filter("persona is not null").groupBy("voz", "persona").agg(F.sum("dur").alias("s"))
     w = Window.partitionBy("voz")
     k = h.withColumn("cuota", F.col("s") / F.sum("s").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("s"), "persona"))).filter("k = 1")

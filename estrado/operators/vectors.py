@@ -1,5 +1,8 @@
 """Retrieval and decisions on similarity.
 
+Searches (knn, best_two, max_similarity) pack both sides into blocks of vectors; each two blocks are one row, of which a task makes one product of matrices and keeps the best of each query, so no row ever
+stands for a pair that is not among the best.
+
 Queries, catalogues, exemplars and axes are tables; the larger side, chunks(id, vec), is scanned once and never
 shuffled whole: what a task finds is cut to k for each query before it leaves (top_k's windows are limited
 per partition by Spark, and its groups are combined). The smaller side is broadcast while it is
@@ -8,10 +11,13 @@ bounded and small, and otherwise met in blocks.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import dot
+from .components import written
 
 #: Rows of a smaller side up to which each task takes it whole; larger ones go block by block.
 SMALL_SIDE = 20_000
@@ -32,6 +38,64 @@ def against(left: DataFrame, right: DataFrame, block: int = 256) -> DataFrame:
     return l.join(b, "_b").drop("_b").withColumn("_r", F.explode("_r")).select(*left.columns, *[F.col("_r")[c].alias(c) for c in fields])
 
 
+#: Vectors of a packed block.
+PACKED = 1024
+#: Decimals of a product: what lies beyond hangs on the order of its sums, and equal vectors must tie.
+DECIMALS = 12
+
+
+def packed(rows: DataFrame, id_: str, vec: str, label: str | None = None, size: int = PACKED) -> DataFrame:
+    """(block, ids, labels, m) of rows with a vector: about size of them in a block, m their matrix of doubles; written. All vectors have one length."""
+    rows = rows.select(F.col(id_).cast("long").alias("id"), F.col(label or id_).cast("long").alias("label"), F.transform(vec, lambda x: x.cast("double")).alias("vec")).filter("vec is not null and id is not null")
+    n = max(1, -(-rows.count() // size))
+    g = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "label", "vec"))).alias("r"))
+
+    def run(batches):
+        for b in batches:
+            for block, r in zip(b.column(0).to_pylist(), b.column(1)):
+                f = r.values
+                m = f.field("vec").flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([f.field("id").to_pylist()], pa.list_(pa.int64())), pa.array([f.field("label").to_pylist()], pa.list_(pa.int64())), pa.array([m.tobytes()], pa.binary())], names=["block", "ids", "labels", "m"])
+
+    return written(g.mapInArrow(run, "block long, ids array<long>, labels array<long>, m binary"), "vectors")
+
+
+def best_of_blocks(queries: DataFrame, vectors: DataFrame, keep, schema: str) -> DataFrame:
+    """What keep(q ids, ids, labels, products) gives, as columns of schema, for each block of packed queries with each block of packed vectors."""
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(vectors.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0])).cast("long"))).alias("block")
+    q = queries.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), blocks)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            for q_ids, q_m, ids, labels, m in zip(*(c.to_pylist() for c in b.columns)):
+                x, y = np.frombuffer(q_m).reshape(len(q_ids), -1), np.frombuffer(m).reshape(len(ids), -1)
+                got = keep(np.array(q_ids), np.array(ids), np.array(labels), np.round(x @ y.T, DECIMALS))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=names)
+
+    met = q.join(vectors, "block")
+    most = 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(most, "q", "block").select("q_ids", "q_m", "ids", "labels", "m").mapInArrow(run, schema)
+
+
+def _k_best(k: int):
+    def keep(q, ids, labels, s):
+        # ids ascend within a block, so a stable sort leaves ties to the smaller
+        at = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        return np.repeat(q, at.shape[1]), ids[at].ravel(), np.take_along_axis(s, at, 1).ravel()
+
+    return keep
+
+
+def _best_of_label(q, ids, labels, s):
+    """The best of each label for each query, with the smallest id that has it."""
+    order = np.lexsort((ids, labels))
+    labels, ids, s = labels[order], ids[order], s[:, order]
+    begin = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]])
+    top = np.maximum.reduceat(s, begin, axis=1)
+    return np.repeat(q, len(begin)), np.tile(labels[begin], len(q)), top.ravel()
+
+
 def ranked(scored: DataFrame, by: list[str], k: int, id_: str, score: str = "sim", name: str = "rank") -> DataFrame:
     """The k best of each group, ties to the smaller id."""
     w = Window.partitionBy(*by).orderBy(F.desc(score), id_)
@@ -41,14 +105,15 @@ def ranked(scored: DataFrame, by: list[str], k: int, id_: str, score: str = "sim
 def knn(queries: DataFrame, chunks: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """(qid, id, sim, rank) of queries(qid, qvec) over chunks(id, vec, ...): the filter comes before the ranking."""
     c = chunks if where is None else chunks.filter(where)
-    s = against(c, queries).withColumn("sim", dot("qvec", "vec"))
+    s = best_of_blocks(packed(queries, "qid", "qvec"), packed(c, "id", "vec"), _k_best(k), "qid long, id long, sim double")
     return ranked(s, ["qid"], k, "id")
 
 
 def best_two(queries: DataFrame, exemplars: DataFrame) -> DataFrame:
-    """(qid, persona, s1, s2): the best and second best person by their best exemplar(persona, evec); s2 is 0 where there is one person alone."""
-    s = against(queries, exemplars).withColumn("sim", dot("qvec", "evec"))
-    each = s.groupBy("qid", "persona").agg(F.max("sim").alias("sim"))
+    """(qid, persona, s1, s2): the best and second best person, a number, by their best exemplar(persona, evec); s2 is 0 where there is one person alone."""
+    e = exemplars.withColumn("_id", F.monotonically_increasing_id())
+    s = best_of_blocks(packed(queries, "qid", "qvec"), packed(e, "_id", "evec", "persona"), _best_of_label, "qid long, persona long, sim double")
+    each = s.groupBy("qid", F.col("persona").cast(exemplars.schema["persona"].dataType).alias("persona")).agg(F.max("sim").alias("sim"))
     two = ranked(each, ["qid"], 2, "persona")
     return two.groupBy("qid").agg(
         F.max(F.when(F.col("rank") == 1, F.col("persona"))).alias("persona"), F.max(F.when(F.col("rank") == 1, F.col("sim"))).alias("s1"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("sim"))), F.lit(0.0)).alias("s2")
@@ -63,7 +128,7 @@ def with_margin(two: DataFrame, least: float, margin: float) -> DataFrame:
 
 def max_similarity(left: DataFrame, right: DataFrame) -> DataFrame:
     """(id, sim, qid): of each left(id, vec) the best of right(qid, qvec)."""
-    s = against(left, right).withColumn("sim", dot("vec", "qvec"))
+    s = best_of_blocks(packed(left, "id", "vec"), packed(right, "qid", "qvec"), _k_best(1), "id long, qid long, sim double")
     return s.groupBy("id").agg(F.max(F.struct(F.col("sim"), (-F.col("qid")).alias("nq"))).alias("m")).select("id", F.col("m.sim").alias("sim"), (-F.col("m.nq")).alias("qid"))
 
 
