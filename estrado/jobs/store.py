@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import alerts, ingest, resolve
+from ..operators import alerts, ingest, resolve, versions
 from ..operators import upserts as up
-from ..operators.components import written
+from ..operators.components import scratch, written
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -268,3 +268,25 @@ def consolidate_children(spark, sf):
     entities = n.join(c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("k")), "n_nationkey", "left").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("same"), F.when(F.col("n_nationkey").isin(7, 21), short).otherwise(F.lower("n_name")).alias("slug"), short.alias("short"), F.coalesce("k", F.lit(0)).alias("n"))
     children = c.select(F.col("c_nationkey").alias("entidad"), F.col("c_mktsegment").alias("tema"), "c_custkey")
     return up.consolidated(entities, children, ["tema"], "c_custkey").select("entidad", "slug", "tema", "c_custkey")
+
+
+@query("""SELECT conv_id pleno_id, true filas, true vectores, count(*) trozos, CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 2 END pasada FROM conversations GROUP BY 1""")
+def versioned_ingest(spark, sf):
+    """The same ingest in tables with versions: each phase's rows and flags appear in one step. A run dies in its second phase, once in the middle and once with its rows written and no version made; then it is resumed."""
+    root = scratch(spark, "store")
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("pleno_id"), F.col("turn").cast("long").alias("idx"), "text")
+    now = lambda t: versions.read(spark, root, t)
+    flags = lambda ids, vectors: ids.select("pleno_id", F.lit(True).alias("filas"), F.lit(vectors).alias("vectores"))
+    made = lambda ids, n: c.join(ids, "pleno_id", "left_semi").select("pleno_id", "idx", F.lit(n).alias("pasada"))
+    all_ = c.select("pleno_id").distinct()
+    versions.change(spark, root, {"rows": (c, ["pleno_id"]), "state": (flags(all_, False), ["pleno_id"])})
+    half = now("state").filter("not vectores and pleno_id % 2 = 0").select("pleno_id")
+    versions.change(spark, root, {"chunks": (made(half, 1), ["pleno_id"]), "state": (flags(half, True), ["pleno_id"])})
+    # rows of the rest are written, and the run dies before they are published
+    left = now("state").filter("not vectores").select("pleno_id")
+    versions.prepare(spark, root, "chunks", made(left, -1), ["pleno_id"], versions.manifest(spark, root))
+    # resumed
+    left = now("state").filter("not vectores").select("pleno_id")
+    versions.change(spark, root, {"chunks": (made(left, 2), ["pleno_id"]), "state": (flags(left, True), ["pleno_id"])})
+    n = now("chunks").groupBy("pleno_id").agg(F.count(F.lit(1)).alias("trozos"), F.max("pasada").alias("pasada"))
+    return now("state").join(n, "pleno_id", "left").select("pleno_id", "filas", "vectores", "trozos", "pasada")

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import dot, mean_vector, unit
+from ..operators import index
 from ..operators import vectors as op
+from ..operators.components import scratch
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -286,3 +288,30 @@ def tiny_absorb(spark, sf):
     two = op.best_two(c.filter("n <= 12").select(F.col("voz").alias("qid"), F.col("vec").alias("qvec")), c.filter("n > 12").select(F.col("voz").alias("persona"), F.col("vec").alias("evec")))
     ok = op.with_margin(two, 0.45, 0.01)
     return ok.select(F.col("qid").alias("voz"), F.coalesce("persona", "qid").alias("destino"))
+
+
+def _index(spark, sf) -> str:
+    path = scratch(spark, "index")
+    index.build(chunks(spark, sf), path, by=("label",))
+    return path
+
+
+#: Share of the cells that a question asks.
+PROBED = 0.75
+
+
+@query(f"""WITH {E}, s AS (SELECT q.id qid, e.id, {DOT.format("q.v", "e.v")} sim FROM e q, e WHERE q.id % 20 = 0 AND e.label IN (2, 4)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS INTEGER) rank FROM s) SELECT qid, id, round(sim, 6) sim, rank FROM r WHERE rank <= 6""")
+def index_exact(spark, sf):
+    """The index asked in all its cells, of two labels alone: what every pair gives."""
+    return index.search(spark, _index(spark, sf), asked(chunks(spark, sf), 20), 6, None, F.col("label").isin(2, 4)).select("qid", "id", F.round("sim", 6).alias("sim"), "rank")
+
+
+@query("SELECT count(*) FILTER (vec_id % 20 = 0) consultas, true suficiente FROM embeddings")
+def index_recall(spark, sf):
+    """Whether the index finds nine tenths of the ten best, asked in PROBED of its cells, against the exact search of all rows."""
+    c, path = chunks(spark, sf), scratch(spark, "index")
+    cells = index.build(c, path)
+    found = index.search(spark, path, asked(c, 20), 10, max(1, round(PROBED * cells)))
+    r = index.recall(found, op.knn(asked(c, 20), c, 10))
+    return r.select(F.col("queries").alias("consultas"), (F.col("recall") >= 0.9).alias("suficiente"))
