@@ -315,3 +315,17 @@ def index_recall(spark, sf):
     found = index.search(spark, path, asked(c, 20), 10, max(1, round(PROBED * cells)))
     r = index.recall(found, op.knn(asked(c, 20), c, 10))
     return r.select(F.col("queries").alias("consultas"), (F.col("recall") >= 0.9).alias("suficiente"))
+
+
+@query(f"""WITH {E}, n AS (SELECT label, count(*) n FROM e GROUP BY 1) SELECT label, true muestra, true cerca FROM n WHERE n > 1""")
+def random_mean(spark, sf):
+    """Whether the mean of two hundred random pairs of each topic lies within five standard errors of the mean of all its pairs, which comes from the sum of its vectors."""
+    c = chunks(spark, sf)
+    drawn = op.random_pairs(c, 200, seed=7, by="label")
+    n = F.count(F.lit(1))
+    size = c.groupBy("label").agg(n.alias("n"), F.sum(dot("vec", "vec")).alias("own"))
+    total = mean_vector(c, ["label"], "vec").join(size, "label").filter("n > 1")
+    # all ordered pairs of different rows: the square of the sum without the rows' own
+    every = total.select("label", "n", ((dot("centroid", "centroid") * F.col("n") * F.col("n") - F.col("own")) / (F.col("n") * (F.col("n") - 1))).alias("todas"))
+    j = every.join(drawn, "label")
+    return j.select("label", (F.col("pares") >= F.least(F.lit(200), F.col("n")) - 20).alias("muestra"), (F.abs(F.col("media") - F.col("todas")) <= 5 * F.col("error") + 1e-9).alias("cerca"))

@@ -169,25 +169,46 @@ def name_score(heard: str, written: str) -> float:
 
 
 def align(score: np.ndarray, gap: float, least: float) -> list[tuple[int, int]]:
-    """Pairs of the best global alignment; pairs scored under least are forbidden. Row by row, a row's running maximum in one pass."""
-    n, m = score.shape
-    s = np.where(score >= least, score, -9.0)
-    dp = np.zeros((n + 1, m + 1))
-    dp[0] = gap * np.arange(m + 1)
-    for i in range(1, n + 1):
-        best = np.concatenate([[gap * i], np.maximum(dp[i - 1, :-1] + s[i - 1], dp[i - 1, 1:] + gap)])
-        # dp[j] = max over k <= j of best[k] + gap * (j - k)
-        dp[i] = np.maximum.accumulate(best - gap * np.arange(m + 1)) + gap * np.arange(m + 1)
+    """Pairs of the best global alignment of a table of scores; see align_rows()."""
+    return align_rows(lambda i: score[i], *score.shape, gap, least)
+
+
+def align_rows(row, n: int, m: int, gap: float, least: float) -> list[tuple[int, int]]:
+    """Pairs of the best global alignment of n with m, row(i) being the scores of i; pairs scored under least are forbidden. From the end, a pair comes before leaving out of the first, that before the second.
+
+    The forward pass keeps every KEPT-th row of the table of best sums, about the root of n; the way back makes the rows between two of them again. So memory is the root of n times m, and the
+    way is that of the whole table.
+    """
+    at = gap * np.arange(m + 1)
+
+    def following(last: np.ndarray, i: int) -> np.ndarray:
+        s = row(i)
+        best = np.concatenate([[gap * (i + 1)], np.maximum(last[:-1] + np.where(s >= least, s, -9.0), last[1:] + gap)])
+        # the most of best[k] + gap * (j - k) for k <= j
+        return np.maximum.accumulate(best - at) + at
+
+    step = max(1, int(n**0.5))
+    kept, dp = {0: at.copy()}, at.copy()
+    for i in range(n):
+        dp = following(dp, i)
+        if (i + 1) % step == 0:
+            kept[i + 1] = dp
     out, i, j = [], n, m
     while i and j:
-        if np.isclose(dp[i, j], dp[i - 1, j - 1] + s[i - 1, j - 1]):
-            if score[i - 1, j - 1] >= least:
-                out.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif np.isclose(dp[i, j], dp[i - 1, j] + gap):
-            i -= 1
-        else:
-            j -= 1
+        first = (i - 1) // step * step
+        table = [kept[first]]
+        for k in range(first, i):
+            table.append(following(table[-1], k))
+        while i > first and j:
+            s, here, up = row(i - 1)[j - 1], table[i - first], table[i - 1 - first]
+            if np.isclose(here[j], up[j - 1] + (s if s >= least else -9.0)):
+                if s >= least:
+                    out.append((i - 1, j - 1))
+                i, j = i - 1, j - 1
+            elif np.isclose(here[j], up[j] + gap):
+                i -= 1
+            else:
+                j -= 1
     return out[::-1]
 
 
@@ -199,8 +220,10 @@ def align_sessions(a: DataFrame, b: DataFrame, gap: float = -0.3, least: float =
             return pd.DataFrame(columns=["pleno_id", "a_pos", "b_pos", "sim"])
         x, y = x.sort_values("pos"), y.sort_values("pos")
         (i, u), (j, v) = pd.factorize(x["name"].fillna("")), pd.factorize(y["name"].fillna(""))
-        s = np.array([[name_score(n, m) for m in v] for n in u])[np.ix_(i, j)]
-        return pd.DataFrame([(x.pleno_id.iloc[0], x.pos.iloc[i], y.pos.iloc[j], s[i, j]) for i, j in align(s, gap, least)], columns=["pleno_id", "a_pos", "b_pos", "sim"])
+        # scores of distinct names; a row of the table of all is made when it is needed
+        s = np.array([[name_score(n, m) for m in v] for n in u])
+        pairs = align_rows(lambda k: s[i[k]][j], len(x), len(y), gap, least)
+        return pd.DataFrame([(x.pleno_id.iloc[0], x.pos.iloc[k], y.pos.iloc[l], s[i[k], j[l]]) for k, l in pairs], columns=["pleno_id", "a_pos", "b_pos", "sim"])
 
     kind = a.schema["pleno_id"].dataType.simpleString()
     # own names for the second side: both may come from one table
@@ -294,9 +317,9 @@ def compared(a: DataFrame, b: DataFrame, gap: float = -0.2, least: float = 0.5,
         if not len(x) or not len(y):
             return pd.DataFrame([(*(x if len(x) else y).pleno_id[:1], 0, 0.0, 0.0, 0.0, 0.0, 0.0)], columns=cols)
         u, v = np.stack(x.vec.tolist()).astype(float), np.stack(y.vec.tolist()).astype(float)
-        s = u @ v.T
-        pairs = [(i, j) for i, j in align(s, gap, -np.inf) if s[i, j] >= least]
-        base = [(i, j) for i, j in pairs if s[i, j] >= sure] or pairs
+        s = {(i, j): float(u[i] @ v[j]) for i, j in align_rows(lambda i: v @ u[i], len(u), len(v), gap, -np.inf)}
+        pairs = [p for p in s if s[p] >= least]
+        base = [p for p in pairs if s[p] >= sure] or pairs
         coverage = len(pairs) / len(y)
         right = sum(similarity(x["name"].iloc[i], y["name"].iloc[j]) >= alike for i, j in base) / max(len(base), 1)
         fidelity = float(np.mean([s[i, j] for i, j in pairs])) if pairs else 0.0

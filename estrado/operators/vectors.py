@@ -126,6 +126,26 @@ def with_margin(two: DataFrame, least: float, margin: float) -> DataFrame:
     return two.withColumn("persona", F.when(ok, F.col("persona")))
 
 
+def random_pairs(rows: DataFrame, pairs: int, seed: int = 0, by: str | None = None) -> DataFrame:
+    """(by, pares, media, error): the mean product of pairs of rows(id, vec) drawn at random, of each value of by if it is given, and its standard error.
+
+    One side of the pairs are the rows of the least hash, in its order, the other side those of another hash: any two rows are as likely a pair as any others, a row never meets itself, no other pairs are formed,
+    and runs agree whatever the partitions. A group gives pairs of them at most, what its rows allow if they are fewer.
+    """
+    key = F.col(by) if by else F.lit(0)
+    r = rows.select(key.alias("g"), "id", "vec")
+
+    def side(name: str) -> DataFrame:
+        k = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64(F.lit(f"{seed}{name}"), "id"), "id"))
+        return r.withColumn("k", k).filter(F.col("k") <= pairs).select("g", "k", F.col("id").alias(f"{name}_id"), F.col("vec").alias(name))
+
+    x, y = side("a").alias("x"), side("b").alias("y")
+    p = x.join(y, F.col("x.g").eqNullSafe(F.col("y.g")) & (F.col("x.k") == F.col("y.k"))).filter("a_id <> b_id")
+    s = p.select("x.g", dot("a", "b").alias("sim"))
+    g = s.groupBy("g").agg(F.count(F.lit(1)).alias("pares"), F.avg("sim").alias("media"), (F.coalesce(F.stddev("sim"), F.lit(0.0)) / F.sqrt(F.count(F.lit(1)))).alias("error"))
+    return g.withColumnRenamed("g", by) if by else g.drop("g")
+
+
 def max_similarity(left: DataFrame, right: DataFrame) -> DataFrame:
     """(id, sim, qid): of each left(id, vec) the best of right(qid, qvec)."""
     s = best_of_blocks(packed(left, "id", "vec"), packed(right, "qid", "qvec"), _k_best(1), "id long, qid long, sim double")

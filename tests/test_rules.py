@@ -209,3 +209,64 @@ def test_a_roster_of_any_size(spark):
 def test_align_names_by_the_same_likeness():
     assert sequences.name_score("PÉREZ", "Perez") == 1.0 and sequences.name_score("Gobierno", "Ministro (Gobierno)") == 0.6
     assert np.isclose(sequences.name_score("Roca", "Roc"), 6 / 7)
+
+
+def whole_table(s, gap, least):
+    """The alignment by a table of all sums, and the way back through it."""
+    n, m = s.shape
+    d = np.zeros((n + 1, m + 1))
+    d[:, 0], d[0] = gap * np.arange(n + 1), gap * np.arange(m + 1)
+    pair = np.where(s >= least, s, -9.0)
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            d[i, j] = max(d[i - 1, j - 1] + pair[i - 1, j - 1], d[i - 1, j] + gap, d[i, j - 1] + gap)
+    out, i, j = [], n, m
+    while i and j:
+        if np.isclose(d[i, j], d[i - 1, j - 1] + pair[i - 1, j - 1]):
+            out += [(i - 1, j - 1)] if s[i - 1, j - 1] >= least else []
+            i, j = i - 1, j - 1
+        elif np.isclose(d[i, j], d[i - 1, j] + gap):
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+@given(st.integers(1, 40), st.integers(1, 25), st.integers(0, 999))
+@settings(max_examples=40, deadline=None)
+def test_alignment_in_little_room(n, m, seed):
+    s = np.random.default_rng(seed).integers(0, 5, (n, m)) / 4
+    assert sequences.align(s, -0.3, 0.5) == whole_table(s, -0.3, 0.5)
+
+
+def test_a_session_of_three_thousand_names(spark):
+    r = np.random.default_rng(5)
+    said = [f"N{i} A{i}" for i in r.integers(0, 40, 3000)]
+    written_ = [n for k, n in enumerate(said) if k % 5]
+    a = spark.createDataFrame([(1, i, n) for i, n in enumerate(said)], "pleno_id int, pos long, name string")
+    b = spark.createDataFrame([(1, i, n) for i, n in enumerate(written_)], "pleno_id int, pos long, name string")
+    got = sorted((r.a_pos, r.b_pos) for r in sequences.align_sessions(a, b).collect())
+    names_ = sorted(set(said))
+    table = np.array([[names.similarity(x, y) for y in names_] for x in names_])
+    at = {x: i for i, x in enumerate(names_)}
+    s = table[np.ix_([at[x] for x in said], [at[x] for x in written_])]
+    # the best sum is that of all that was written; the pairs are in order and as good as can be
+    assert all(x < y and u < v for (x, u), (y, v) in zip(got, got[1:])) and all(s[i, j] >= 0.5 for i, j in got)
+    total = sum(s[i, j] for i, j in got) - 0.3 * (len(said) + len(written_) - 2 * len(got))
+    assert total >= len(written_) - 0.3 * (len(said) - len(written_)) - 1e-6
+
+
+def test_random_pairs(spark):
+    from estrado.operators import vectors
+
+    r = np.random.default_rng(1)
+    x = r.normal(size=(500, 4))
+    d = spark.createDataFrame([(i, "ab"[i % 2] if i % 7 else None, v.tolist()) for i, v in enumerate(x)], "id long, g string, vec array<double>")
+    one = vectors.random_pairs(d, 300, seed=3).first()
+    assert one == vectors.random_pairs(d.repartition(7), 300, seed=3).first() != vectors.random_pairs(d, 300, seed=4).first()
+    s = x @ x.T
+    every = (s.sum() - np.trace(s)) / (500 * 499)
+    assert 290 <= one.pares <= 300 and abs(one.media - every) < 5 * one.error
+    by = {r.g: r.pares for r in vectors.random_pairs(d, 50, by="g").collect()}
+    assert set(by) == {"a", "b", None} and all(45 <= n <= 50 for n in by.values())
+    assert vectors.random_pairs(d.limit(1), 5).count() == 0
