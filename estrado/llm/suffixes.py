@@ -22,7 +22,8 @@ segments. Within a segment equal names are one entry before anything moves, so a
 share costs a bucket one entry for each segment, and a task holds one bucket or one segment. The segments are a bucketed table in the shared
 folder: the text is written once and never shuffled.
 
-Names are equal by chance for two different strings with probability 2**-64 a pair.
+A removal needs two names: that by doubling, and a second one that sums the bytes themselves and shares no step with it. So two different strings are taken for equal with probability
+2**-128 a pair; the first round, whose names are single, only decides what goes on.
 """
 
 from __future__ import annotations
@@ -45,6 +46,9 @@ SEGMENT_BYTES = 2 << 20
 BUCKET_BYTES = 12 << 20
 CHUNK = 1 << 18
 U = np.uint64
+#: The second name of a range of bytes: a sum of random numbers of its bytes times powers of an odd number.
+_BYTE = np.random.Generator(np.random.PCG64(17)).integers(0, 1 << 64, 256, dtype=U)
+_BASE = 0x9FB21C651E98DF25
 _M = [U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93)]
 
 
@@ -74,6 +78,34 @@ def _names(text: np.ndarray, seed: int, threshold: int) -> tuple[np.ndarray, np.
     return short, h
 
 
+def _powers(n: int, base: int) -> np.ndarray:
+    p = np.full(n, base, U)
+    p[0] = U(1)
+    return np.cumprod(p, dtype=U)
+
+
+class _Ranges:
+    """Second names of ranges of a text, in the order of their beginnings: they hang on the bytes alone, and share nothing with the names by doubling."""
+
+    powers = inverse = np.zeros(0, U)
+
+    @classmethod
+    def of(cls, text: np.ndarray, begin: np.ndarray, end: np.ndarray, longest: int) -> np.ndarray:
+        if not len(cls.powers) or len(cls.powers) < CHUNK + longest + 1:
+            cls.powers, cls.inverse = _powers(CHUNK + longest + 1, _BASE), _powers(CHUNK + longest + 1, pow(_BASE, -1, 1 << 64))
+        out = np.empty(len(begin), U)
+        for a in range(0, len(text), CHUNK):
+            i, j = np.searchsorted(begin, (a, a + CHUNK))
+            if i == j:
+                continue
+            part = text[a : a + CHUNK + longest]
+            sums = np.zeros(len(part) + 1, U)
+            np.cumsum(_BYTE[part] * cls.powers[: len(part)], out=sums[1:])
+            x = begin[i:j] - a
+            out[i:j] = (sums[end[i:j] - a] - sums[x]) * cls.inverse[x]
+        return out
+
+
 def _slide_min(h: np.ndarray, w: int) -> np.ndarray:
     n = 1
     while n * 2 <= w:
@@ -139,6 +171,9 @@ class Segment:
     def run_names(self, at: np.ndarray) -> np.ndarray:
         return _pair(_pair(self.first[at], self.last[at], 60), (self.hi - self.lo)[at].astype(U), 61)
 
+    def seconds(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _Ranges.of(self.text, begin, end, 2 * self.threshold)
+
     def positions(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All positions of the runs and their names of threshold bytes."""
         n = self.hi[runs] - self.lo[runs] + 1
@@ -151,17 +186,18 @@ class Segment:
         return at, np.concatenate(names) if names else np.zeros(0, U)
 
 
-def _entries(names: np.ndarray, doc_ids: np.ndarray):
-    """Distinct names, sorted, each with its smallest doc_id and whether it has others; and each row's entry."""
-    order = np.lexsort((doc_ids, names))
+def _entries(names: np.ndarray, doc_ids: np.ndarray, seconds: np.ndarray | None = None):
+    """Distinct names, with their second ones if there are any, sorted; each with its smallest doc_id, whether it has others, and its second name; and each row's entry."""
+    order = np.lexsort((doc_ids, names) if seconds is None else (doc_ids, seconds, names))
     n, d = names[order], doc_ids[order]
+    s = n if seconds is None else seconds[order]
     new = np.ones(len(n), bool)
-    new[1:] = n[1:] != n[:-1]
+    new[1:] = (n[1:] != n[:-1]) | (s[1:] != s[:-1])
     at = np.flatnonzero(new)
     entry = np.empty(len(n), np.int64)
     entry[order] = np.cumsum(new) - 1
     last = np.append(at[1:], len(n)) - 1 if len(at) else at
-    return n[at], d[at], d[last] != d[at], entry
+    return n[at], d[at], d[last] != d[at], None if seconds is None else s[at], entry
 
 
 def _bounds(n: int) -> np.ndarray:
@@ -170,19 +206,21 @@ def _bounds(n: int) -> np.ndarray:
 
 
 def _round(seg: Segment, known: dict[int, list[bytes]], buckets: int):
-    """Names, doc_ids and rows of the round after those in known; None after the last."""
+    """Names, doc_ids, rows and second names of the round after those in known; None after the last."""
     removed, runs = [], np.arange(len(seg.lo))
     for turn in (1, 2, 3):
+        seconds = None  # the first round only tells what may go on
         if turn == 1:
             names = seg.key
         elif turn == 2:
-            names = seg.run_names(runs)
+            names, seconds = seg.run_names(runs), seg.seconds(seg.lo[runs], seg.hi[runs] + seg.threshold)
         else:
             at, names = seg.positions(runs)
+            seconds = seg.seconds(at, at + seg.threshold)
         rows = seg.docs[seg.doc[runs]] if turn < 3 else seg.docs[np.searchsorted(seg.ends, at, side="right")]
-        n, d, many, entry = _entries(names, rows)
+        n, d, many, two, entry = _entries(names, rows, seconds)
         if turn not in known:
-            return turn, (n, d, many), None
+            return turn, (n, d, two), None
         bits = np.concatenate([np.zeros(0, bool), *[np.unpackbits(np.frombuffer(b, np.uint8), count=k).astype(bool) for k, b in known[turn]]])
         assert len(bits) == len(n), "a segment's entries changed between rounds"
         if turn == 1:
@@ -245,17 +283,17 @@ def _answers(row: dict) -> dict[int, list[bytes]]:
     return known
 
 
-ENTRY = "bucket int, segment long, n int, names binary, docs binary, many binary"
+ENTRY = "bucket int, segment long, n int, names binary, docs binary, seconds binary"
 
 
 def _emit(buckets: int, seed: int, threshold: int):
-    schema = pa.schema([("bucket", pa.int32()), ("segment", pa.int64()), ("n", pa.int32()), ("names", pa.binary()), ("docs", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("segment", pa.int64()), ("n", pa.int32()), ("names", pa.binary()), ("docs", pa.binary()), ("seconds", pa.binary())])
     ends = _bounds(buckets)
 
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                _, (names, docs, _), _ = _round(_open(row, seed, threshold), _answers(row), buckets)
+                _, (names, docs, seconds), _ = _round(_open(row, seed, threshold), _answers(row), buckets)
                 edge = np.concatenate([[0], np.searchsorted(names, ends, side="right"), [len(names)]])
                 out = []
                 for i in range(buckets):
@@ -265,7 +303,7 @@ def _emit(buckets: int, seed: int, threshold: int):
                         ranks = np.searchsorted(own, docs[a:z]).astype("<u4").view(np.uint8).reshape(-1, 4).T
                         packed = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(ranks).tobytes())
                         head = _pack((own.view(U) ^ U(1 << 63)))
-                        out.append({"bucket": i, "segment": row["segment"], "n": z - a, "names": _pack(names[a:z]), "docs": len(head).to_bytes(4, "little") + head + packed})
+                        out.append({"bucket": i, "segment": row["segment"], "n": z - a, "names": _pack(names[a:z]), "docs": len(head).to_bytes(4, "little") + head + packed, "seconds": None if seconds is None else seconds[a:z].astype("<u8").tobytes()})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return run
@@ -285,10 +323,14 @@ def _sort(first: bool):
     def bucket(rows):
         names = np.concatenate([_unpack(r["names"]) for r in rows])
         docs = np.concatenate([_docs(r["docs"]) for r in rows])
-        order = np.argsort(names, kind="stable")
+        two = None if first else np.concatenate([np.frombuffer(r["seconds"], "<u8") for r in rows])
+        order = np.argsort(names, kind="stable") if first else np.lexsort((two, names))
         n, d = names[order], docs[order]
         new = np.ones(len(n), bool)
         new[1:] = n[1:] != n[:-1]
+        if not first:
+            two = two[order]
+            new[1:] |= two[1:] != two[:-1]
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(n)))
         bit = np.empty(len(n), bool)
@@ -366,7 +408,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, seed: int = SEED
     segments = spark.table(name)
     with_answers = segments
     for turn in (1, 2, 3):
-        entries = with_answers.mapInArrow(_emit(buckets, seed, threshold), "bucket int, segment long, n int, names binary, docs binary")
+        entries = with_answers.mapInArrow(_emit(buckets, seed, threshold), ENTRY)
         entries = entries.repartition(buckets, "bucket").sortWithinPartitions("bucket", "segment")
         bits = entries.mapInArrow(_sort(turn == 1), "segment long, bucket int, n int, bits binary")
         answer = bits.groupBy("segment").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias(f"r{turn}"))
