@@ -47,12 +47,7 @@ SELECT f.con_mesa, f.party, count(*) n, count(DISTINCT pleno_id) n_plenos, count
 FROM f LEFT JOIN s ON s.con_mesa = f.con_mesa AND s.party = f.party LEFT JOIN t ON t.con_mesa = f.con_mesa AND t.party = f.party GROUP BY 1, 2""")
 def ficha_party(spark, sf):
     """Parties with and without the chair: counts, dates, words, ten speakers and ten topics."""
-    out = None
-    for chair in (False, True):
-        iv = interventions(spark, sf)
-        f = op.party(iv if chair else iv.filter(op.substantive())).withColumn("con_mesa", F.lit(chair))
-        out = f if out is None else out.unionByName(f)
-    return out
+    return op.party(interventions(spark, sf))
 
 
 @query(f"""WITH {IV}, w AS (SELECT pleno_id, speaker, sum(n_words) w, count(*) n FROM iv WHERE {NO_CHAIR} GROUP BY 1, 2),
@@ -66,8 +61,7 @@ def ficha_session(spark, sf):
     votes = F.when(F.col("o_orderkey") % 3 == 0, "[]").when(F.col("o_orderkey") % 3 == 1, '[{"a_favor":1,"en_contra":2,"abstenciones":0}]').otherwise('[{"a_favor":1,"en_contra":2,"abstenciones":0},{"a_favor":3,"en_contra":4,"abstenciones":1}]')
     o = table(spark, sf, "orders")
     head = o.select(F.col("o_orderkey").alias("pleno_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("fecha"), F.year("o_orderdate").alias("legislatura"), F.col("o_orderpriority").alias("tema_sesion"), votes.alias("votaciones_json"))
-    speech = speeches(spark, sf).join(o.select(F.col("o_orderkey").alias("pleno_id"), F.col("o_orderpriority").alias("topic")), "pleno_id")
-    return op.session(head, speech)
+    return op.session(head, speeches(spark, sf))
 
 
 @query(f"""WITH {IV}, c AS (SELECT legislatura, topic, count(*) n FROM iv WHERE coalesce(topic, '') <> '' GROUP BY 1, 2),
@@ -75,7 +69,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY legislatura ORDER BY n DESC, top
 t AS (SELECT legislatura, string_agg(topic, '|' ORDER BY rank) temas FROM r WHERE rank <= 3 GROUP BY 1)
 SELECT iv.legislatura, count(*) n, count(DISTINCT pleno_id) n_plenos, min(fecha_iso) desde, max(fecha_iso) hasta, any_value(temas) temas FROM iv LEFT JOIN t ON iv.legislatura = t.legislatura GROUP BY 1""")
 def evolution_top3(spark, sf):
-    return op.evolution(interventions(spark, sf))
+    o = table(spark, sf, "orders")
+    heads = o.select(F.col("o_orderkey").alias("pleno_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("fecha_iso"), F.year("o_orderdate").alias("legislatura"), F.col("o_orderpriority").alias("topic"))
+    return op.evolution_by_head(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pleno_id")), heads)
 
 
 @query(f"WITH {IV} SELECT party, count(*) n FROM iv WHERE {NO_CHAIR} AND party <> '' GROUP BY 1")

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import written
+
 
 def substantive() -> Column:
     """Not the chair's: neither by role nor, in old records, by party. Null counts as empty."""
@@ -47,6 +49,17 @@ def evolution(iv: DataFrame, period: str = "legislatura", topic: str = "topic",
     Rows are counted once by (period, session, topic); totals, distinct sessions and topics all come from that.
     """
     by = iv.groupBy(period, "pleno_id", topic).agg(F.count(F.lit(1)).alias("n"), F.min("fecha_iso").alias("desde"), F.max("fecha_iso").alias("hasta"))
+    return _evolved(by, period, topic, k)
+
+
+def evolution_by_head(speeches: DataFrame, heads: DataFrame, period: str = "legislatura", topic: str = "topic", k: int = 3) -> DataFrame:
+    """evolution() where date and topic belong to the session: speeches(pleno_id) are counted by session before they meet heads(pleno_id, fecha_iso, period, topic), so the join is of sessions."""
+    n = speeches.groupBy("pleno_id").agg(F.count(F.lit(1)).alias("n"))
+    by = n.join(heads.select("pleno_id", period, topic, F.col("fecha_iso").alias("desde"), F.col("fecha_iso").alias("hasta")), "pleno_id")
+    return _evolved(by, period, topic, k)
+
+
+def _evolved(by: DataFrame, period: str, topic: str, k: int) -> DataFrame:
     sessions = by.groupBy(period, "pleno_id").agg(F.sum("n").alias("n"), F.min("desde").alias("desde"), F.max("hasta").alias("hasta"))
     total = sessions.groupBy(period).agg(F.sum("n").alias("n"), F.count("pleno_id").alias("n_plenos"), F.min("desde").alias("desde"), F.max("hasta").alias("hasta"))
     topics = by.filter(F.coalesce(F.col(topic), F.lit("")) != "").groupBy(period, topic).agg(F.sum("n").alias("n"))
@@ -61,10 +74,22 @@ def _listed(top: DataFrame, by: str, value: Column, name: str) -> DataFrame:
 
 
 def party(iv: DataFrame, k: int = 10) -> DataFrame:
-    """By party: counts, sessions, speakers, dates, words, and its k commonest speakers and topics."""
-    total = head(iv, "party").join(iv.groupBy("party").agg(F.countDistinct("speaker").alias("oradores")), "party")
+    """By party, without (con_mesa false) and with the chair's rows: counts, sessions, speakers, dates, words, and its k commonest speakers and topics.
+
+    Rows are counted once by (party, speaker, topic, session) and whether they are the chair's; everything else comes from that table. A party without speakers or topics has null lists.
+    """
+    n = F.count(F.lit(1)).alias("n")
+    c = iv.groupBy("party", "speaker", "topic", "pleno_id", (~substantive()).alias("chair")).agg(n, F.min("fecha_iso").alias("desde"), F.max("fecha_iso").alias("hasta"), F.sum("n_words").alias("palabras"))
+    c = written(c, "party_counts").withColumn("con_mesa", F.explode(F.when(F.col("chair"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    by = ["con_mesa", "party"]
+    total = c.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.countDistinct("pleno_id").alias("n_plenos"), F.countDistinct("speaker").alias("oradores"), F.min("desde").alias("desde"), F.max("hasta").alias("hasta"), F.coalesce(F.sum("palabras"), F.lit(0)).alias("palabras")
+    )
     for facet, name in (("speaker", "oradores_top"), ("topic", "temas")):
-        total = total.join(_listed(top_facets(iv, "party", facet, k), "party", F.col(facet), name), "party", "left")
+        f = c.filter(F.coalesce(F.col(facet), F.lit("")) != "").groupBy(*by, facet).agg(F.sum("n").alias("n"))
+        f = f.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), facet))).filter(F.col("rank") <= k)
+        f = f.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.col(facet).alias("v")))), lambda x: x["v"]), "|").alias(name))
+        total = total.alias("t").join(f.alias("f"), (F.col("t.con_mesa") == F.col("f.con_mesa")) & F.col("t.party").eqNullSafe(F.col("f.party")), "left").select("t.*", f"f.{name}")
     return total
 
 
@@ -75,8 +100,10 @@ def session(heads: DataFrame, iv: DataFrame, k: int = 10) -> DataFrame:
     """Every session of heads(pleno_id, fecha, legislatura, tema_sesion, votaciones_json) with what was said in it.
 
     The rows of a session are first counted by speaker and by (party, topic); all else comes from those counts. A session without rows, or
-    whose votes do not parse, has empty lists.
+    whose votes do not parse, has empty lists. Rows without a column topic have the session's own, which is taken from its head after the counts.
     """
+    own = "topic" not in iv.columns
+    iv = iv.withColumn("topic", F.lit("")) if own else iv
     words = iv.filter(substantive()).groupBy("pleno_id", "speaker").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w"))
     rank = F.row_number().over(Window.partitionBy("pleno_id").orderBy(F.desc("w"), "speaker"))
     top = _listed(words.withColumn("rank", rank).filter(F.col("rank") <= k), "pleno_id", F.concat_ws(":", "speaker", "n", "w"), "oradores")
@@ -85,7 +112,7 @@ def session(heads: DataFrame, iv: DataFrame, k: int = 10) -> DataFrame:
     row = F.when(F.coalesce("party", F.lit("")) != "", F.struct((-F.col("n")).alias("o"), "party", "n"))
     facts = by_party.groupBy("pleno_id").agg(F.sum("n").alias("intervenciones"), F.array_sort(F.collect_list(row)).alias("p"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("temas")))).alias("t"))
     split = F.when(F.size("p") > 0, F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["party"], x["n"].cast("string"))), "|"))
-    topics = F.when(F.size("t") > 0, F.array_join("t", "|"))
+    topics = F.when(F.col("intervenciones") > 0, F.nullif("tema_sesion", F.lit(""))) if own else F.when(F.size("t") > 0, F.array_join("t", "|"))
     votes = F.coalesce(F.from_json("votaciones_json", VOTES), F.array().cast(VOTES))
     said = F.array_join(F.transform(votes, lambda v: F.concat_ws("-", *[v[c].cast("string") for c in ("a_favor", "en_contra", "abstenciones")])), "|")
     out = heads.join(facts, "pleno_id", "left").join(top, "pleno_id", "left")
