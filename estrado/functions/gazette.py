@@ -40,6 +40,44 @@ def speeches(c: Column) -> Column:
     return F.filter(out, lambda x: x["text"] != "")
 
 
+#: Fixed values of a city council's gazette: its page header, remarks of the stenographer, where the session begins, the chair's and others' marks, names in them, and groups, first match first.
+COUNCIL_HEADER = r"(?s)Diario de Sesiones del Pleno del Ayuntamiento de Madrid.*?N[úu]m\.\s*[\d.]+"
+COUNCIL_REMARK = r"\((?:Aplausos|Rumores|Protestas|Risas|El se[ñn]or[^)]*|La se[ñn]ora[^)]*)\.?\)"
+COUNCIL_BEGINS = r"(?isu)^.*?(se abre la sesi[óo]n.*)$"
+COUNCIL_MARK = (
+    r"(El presidente|El secretario general|El secretario|El alcalde|La alcaldesa)\s*:"
+    r"|([^.:\n]{0,180}?\b(?:don|do[ñn]a)\s+[A-ZÁÉÍÓÚÑ][A-Za-zÁÉÍÓÚÑáéíóúñ\-]+(?:\s+[A-ZÁÉÍÓÚÑ][A-Za-zÁÉÍÓÚÑáéíóúñ\-]+){0,3})\s*:"
+)
+COUNCIL_NAME = r"(?iu)(?:don|do[ñn]a)\s+(.+)$"
+COUNCIL_GROUPS = [("partido popular", "PP"), ("m[áa]s madrid", "Más Madrid"), ("socialista", "PSOE"), ("vox", "VOX"), ("mixto", "Mixto")]
+#: A speech is longer than this.
+SHORTEST = 15
+
+
+def council_speeches(c: Column) -> Column:
+    """array<struct(speaker, party, role, text)> of a city council's gazette: the text from each mark to the next, without remarks; page headers go before, so that a mark may stand across two pages.
+
+    What comes before the session is opened is its summary and holds no speech. The chair is called by its office; others by the name after don or doña, with the group that the words before it name.
+    """
+    plain = F.regexp_replace(F.regexp_replace(c, COUNCIL_HEADER, " "), r"[ \t]+", " ")
+    opened = F.regexp_extract(plain, COUNCIL_BEGINS, 1)
+    body = F.when(opened != "", opened).otherwise(plain)
+    parts = F.split(F.regexp_replace(body, COUNCIL_MARK, f"{_CUT}$1{_NAME}$2{_BODY}"), _CUT)
+    marked = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+
+    def speech(p):
+        head, said = F.split_part(p, F.lit(_BODY), F.lit(1)), F.split_part(p, F.lit(_BODY), F.lit(2))
+        chair, other = F.split_part(head, F.lit(_NAME), F.lit(1)), F.split_part(head, F.lit(_NAME), F.lit(2))
+        name, group = F.regexp_extract(other, COUNCIL_NAME, 1), F.lit("")
+        for pattern, letters in reversed(COUNCIL_GROUPS):
+            group = F.when(F.rlike(F.lower(other), F.lit(pattern)), letters).otherwise(group)
+        who = F.when(chair != "", chair).when(name != "", F.trim(F.regexp_replace(name, r"\s+", " "))).otherwise(F.regexp_replace(other, r"^\s+|\s+$", ""))
+        text = F.regexp_replace(F.regexp_replace(F.regexp_replace(said, COUNCIL_REMARK, ""), r"^[ .—-]+|[ .—-]+\z", ""), r"\s+", " ")
+        return F.struct(who.alias("speaker"), F.when(chair != "", "").otherwise(group).alias("party"), F.when(chair != "", "presidencia").otherwise("concejal").alias("role"), text.alias("text"))
+
+    return F.filter(F.transform(marked, speech), lambda x: F.length(x["text"]) > SHORTEST)
+
+
 def group_mentions(c: Column) -> Column:
     """array<struct(name, grupo)>: whom a summary names with a group, in either order."""
     pair = lambda p, name, group: F.arrays_zip(F.regexp_extract_all(c, F.lit(p), F.lit(name)).alias("name"), F.regexp_extract_all(c, F.lit(p), F.lit(group)).alias("grupo"))

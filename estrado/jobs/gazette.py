@@ -33,6 +33,17 @@ def gazette_speeches(spark, sf):
     return g.select("conv_id", F.posexplode(gz.speeches(F.regexp_replace(text, gz.PAGE_HEADER, " "))).alias("idx", "s")).select("conv_id", "idx", "s.*")
 
 
+@query(r"""WITH c AS (SELECT conv_id, turn, role = 'user' mesa, regexp_replace(ltrim(text, ' .—-'), '\s+', ' ', 'g') || ' ' t FROM conversations)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) idx, CASE WHEN mesa THEN 'El presidente' ELSE 'Íñiga Ruiz-López' END speaker, CASE WHEN mesa THEN '' ELSE 'Más Madrid' END party, CASE WHEN mesa THEN 'presidencia' ELSE 'concejal' END AS role, t AS text FROM c WHERE length(t) > 15""".replace("\\\\", "\\"))
+def gazette_council(spark, sf):
+    """Speeches out of a city council's gazette, whose page headers stand within marks and whose summary comes before the session."""
+    mark = F.when(F.col("role") == "user", "El presidente: ").otherwise("La portavoz del Grupo Municipal Más Madrid, doña Íñiga\tDiario de Sesiones del Pleno del Ayuntamiento de Madrid\n3 de marzo   Núm. 1.234 Ruiz-López: ")
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(mark, "text", F.lit("\n")).alias("l"))
+    g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "l"))).alias("l"))
+    text = F.concat(F.lit("SUMARIO\nEl presidente: esto es el sumario y no cuenta\nSe abre la sesión a las diez\n"), F.array_join(F.transform("l", lambda x: x["l"]), ""))
+    return g.select("conv_id", F.posexplode(gz.council_speeches(text)).alias("idx", "s")).select("conv_id", "idx", "s.*")
+
+
 @query(r"""WITH s AS (SELECT s_suppkey % 4 leg, upper(translate(n_name, '_#0123456789', '  ABCDEFGHIJ')) AS n, CASE s_suppkey % 4 WHEN 0 THEN 'PSOE' WHEN 1 THEN 'PP' WHEN 2 THEN 'Mixto' END g FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 c AS (SELECT leg, array_to_string(list_filter(string_split(trim(regexp_replace(n, '\s+', ' ', 'g')), ' '), lambda t: t <> 'I'), ' ') orador, g, count(*) n FROM s WHERE g IS NOT NULL GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY leg, orador ORDER BY n DESC, g) k FROM c) SELECT leg, orador, g partido, n FROM r WHERE k = 1""")
 def party_map(spark, sf):

@@ -270,3 +270,20 @@ def test_random_pairs(spark):
     by = {r.g: r.pares for r in vectors.random_pairs(d, 50, by="g").collect()}
     assert set(by) == {"a", "b", None} and all(45 <= n <= 50 for n in by.values())
     assert vectors.random_pairs(d.limit(1), 5).count() == 0
+
+
+def test_a_council_gazette(spark):
+    text = (
+        "Sumario. El presidente: nada de esto cuenta, es el sumario.\nSe abre la sesión a las nueve horas.\nEl presidente: Buenos días a todos y a todas. (Aplausos.) Empezamos. —\n"
+        "El concejal del Grupo Municipal Socialista, don Ramón  Silva Buenadicha: Muchas gracias, presidente. (El señor Silva muestra un papel).\n"
+        "La delegada, doña Engracia\nHidalgo Tena: Corto.\nEl secretario general : Se ha votado, y así constará.\n"
+        "El portavoz de Vox, don Javier Diario de Sesiones del Pleno del Ayuntamiento de Madrid\nsesión ordinaria Núm. 1.234 Ortega Smith-Molina: Esto sigue en otra página"
+    )
+    got = [tuple(r) for r in one(spark, gz.council_speeches, text)]
+    assert got == [
+        ("El presidente", "", "presidencia", "Buenos días a todos y a todas. Empezamos. — "),
+        ("Ramón Silva Buenadicha", "PSOE", "concejal", "Muchas gracias, presidente. . "),
+        ("El secretario general", "", "presidencia", "Se ha votado, y así constará. "),
+        ("Javier Ortega Smith-Molina", "VOX", "concejal", "Esto sigue en otra página"),
+    ]
+    assert one(spark, gz.council_speeches, "", "nadie habla", None) == [[], [], None]
