@@ -181,4 +181,4 @@ def topic_overview(spark, sf):
     n = iv.groupBy("topic", "party").agg(F.count(F.lit(1)).alias("n"))
     big = n.withColumn("g", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("n"), "party"))).filter("g <= 6").drop("g")
     k = F.row_number().over(Window.partitionBy("topic", "party").orderBy("pleno_id", "idx"))
-    return iv.select("topic", "party", "pleno_id", "idx", k.alias("k")).filter("k <= 3").drop("k").join(F.broadcast(big), ["topic", "party"])  # six rows for each topic
+    return iv.select("topic", "party", "pleno_id", "idx", k.alias("k")).filter("k <= 3").drop("k").join(big, ["topic", "party"])

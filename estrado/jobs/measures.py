@@ -69,7 +69,7 @@ def speaker_labels(spark, sf):
 def label_map(spark, sf):
     """Names given to voices; voices without one keep their label, and the chair's mark wins."""
     m = spark.createDataFrame([("view", "Ana"), ("click", "Luis"), ("error", "Presidencia")], "speaker string, nombre string")
-    j = segments(spark, sf).join(F.broadcast(m), "speaker", "left")  # a session's few voices
+    j = segments(spark, sf).join(m, "speaker", "left")
     return j.select("pleno_id", "seg_id", F.coalesce("nombre", "speaker").alias("nombre"), F.coalesce(F.col("nombre") == "Presidencia", F.lit(False)).alias("mesa"))
 
 

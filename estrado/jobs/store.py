@@ -169,7 +169,7 @@ def subscribe_checks(spark, sf):
     m = F.col("c_custkey") % 3
     e = F.lower(F.trim(F.when(m == 0, F.concat(F.lit(" U"), F.col("c_custkey").cast("string"), F.lit("@X.es "))).when(m == 1, "u@x").otherwise("nadie")))
     topics = c.filter("c_custkey < 3").select("c_mktsegment").distinct()
-    return c.join(F.broadcast(topics), "c_mktsegment", "left_semi").select("c_custkey", e.alias("email")).filter(F.rlike("email", F.lit(r"^[^@]+@[^@]*\.[^@]*$")))  # two topics
+    return c.join(topics, "c_mktsegment", "left_semi").select("c_custkey", e.alias("email")).filter(F.rlike("email", F.lit(r"^[^@]+@[^@]*\.[^@]*$")))
 
 
 @query("""WITH q AS (SELECT p_partkey qid, unnest(list_distinct(string_split(lower(p_name), ' '))) w FROM part WHERE p_partkey % 20 = 0), k AS (SELECT lower(p_type) k, count(*) n FROM part GROUP BY 1),
@@ -203,8 +203,7 @@ def party_resolve(spark, sf):
     p = table(spark, sf, "part")
     q = p.filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("qid"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise("Brand").alias("q"))
     k = p.groupBy(F.col("p_brand").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    asked = q.select("q").distinct()
-    best = asked.join(F.broadcast(k), F.contains(F.lower("b"), F.lower("q")))  # the parties of a chamber, some tens
+    best = resolve.holding(q.select("q").distinct(), k.withColumnRenamed("b", "label")).withColumnRenamed("label", "b")
     best = best.groupBy("q").agg(F.max(F.struct((F.col("b") == F.col("q")).alias("same"), "n", F.translate("b", "0123456789", "9876543210").alias("z"), "b")).alias("m"))
     return q.join(best, "q", "left").select("qid", F.coalesce("m.b", "q").alias("partido"))
 

@@ -263,7 +263,7 @@ SELECT frag, string_agg('s' || id, ' ' ORDER BY id) texto FROM r WHERE n <= 3 OR
 def focus_compress(spark, sf):
     """Of a fragment with more than three sentences the three nearest to the topic, in their own order."""
     c = chunks(spark, sf)
-    s = c.join(F.broadcast(centroids(c)), "label").select("id", F.floor(F.col("id") / 10).alias("frag"), dot("cv", "vec").alias("sim"))  # centroids: one for each label
+    s = c.join(centroids(c), "label").select("id", F.floor(F.col("id") / 10).alias("frag"), dot("cv", "vec").alias("sim"))
     s = op.ranked(s, ["frag"], 3, "id")
     return s.groupBy("frag").agg(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: F.concat(F.lit("s"), x)), " ").alias("texto"))
 

@@ -51,6 +51,15 @@ def cascade(names: DataFrame, registry: DataFrame, prefix: int = 6) -> DataFrame
     return q.join(hit, "name", "left")
 
 
+def holding(queries: DataFrame, labels: DataFrame) -> DataFrame:
+    """queries(q) with each labels(label, ...) that holds it, whatever the capitals. Labels are indexed under their pieces of one to three letters, a text is looked up under its first, so the join is on equality. An empty text holds nowhere."""
+    l = labels.withColumn("_k", F.lower("label"))
+    piece = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_k") - size + 1, F.lit(1))), lambda i: F.substr(F.col("_k"), i, F.lit(size)))
+    l = l.withColumn("_g", F.explode(F.array_distinct(F.concat(*[piece(i) for i in (1, 2, 3)]))))
+    q = queries.filter("q <> ''").withColumn("_q", F.lower("q")).withColumn("_g", F.left("_q", F.least(F.length("_q"), F.lit(3))))
+    return q.join(l, "_g").filter(F.contains("_k", F.col("_q"))).drop("_g", "_k", "_q")
+
+
 def party(queries: DataFrame, labels: DataFrame) -> DataFrame:
     """(qid, label) of queries(qid, q): the label that is q's canonical form, else the best of labels(label, n), else the canonical form.
 
