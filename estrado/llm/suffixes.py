@@ -23,7 +23,7 @@ share costs a bucket one entry for each segment, and a task holds one bucket or
 folder: the text is written once and never shuffled.
 
 A removal needs two names: that by doubling, and a second one that sums the bytes themselves and shares no step with it. So two different strings are taken for equal with probability
-2**-128 a pair; the first round, whose names are single, only decides what goes on.
+2**-96 a pair; the first round, whose names are single, only decides what goes on.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ SEGMENT_BYTES = 2 << 20
 BUCKET_BYTES = 12 << 20
 CHUNK = 1 << 18
 U = np.uint64
-#: The second name of a range of bytes: a sum of random numbers of its bytes times powers of an odd number.
+#: The second name of a range of bytes: from a sum of random numbers of its bytes times powers of an odd number.
 _BYTE = np.random.Generator(np.random.PCG64(17)).integers(0, 1 << 64, 256, dtype=U)
 _BASE = 0x9FB21C651E98DF25
 _M = [U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93)]
@@ -85,24 +85,36 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 class _Ranges:
-    """Second names of ranges of a text, in the order of their beginnings: they hang on the bytes alone, and share nothing with the names by doubling."""
+    """Second names of ranges of a text, 32 bits of them, in the order of their beginnings: they hang on the bytes alone, and share nothing with the names by doubling."""
 
     powers = inverse = np.zeros(0, U)
-
-    @classmethod
-    def of(cls, text: np.ndarray, begin: np.ndarray, end: np.ndarray, longest: int) -> np.ndarray:
-        if not len(cls.powers) or len(cls.powers) < CHUNK + longest + 1:
-            cls.powers, cls.inverse = _powers(CHUNK + longest + 1, _BASE), _powers(CHUNK + longest + 1, pow(_BASE, -1, 1 << 64))
-        out = np.empty(len(begin), U)
-        for a in range(0, len(text), CHUNK):
+    #: Bytes of a text whose sums are kept for the next round.
+    KEPT = 8 << 20
+
+    def __init__(self, text: np.ndarray, longest: int):
+        if len(self.powers) < CHUNK + longest + 1:
+            _Ranges.powers, _Ranges.inverse = _powers(CHUNK + longest + 1, _BASE), _powers(CHUNK + longest + 1, pow(_BASE, -1, 1 << 64))
+        self.text, self.longest = text, longest
+        self.sums: dict[int, np.ndarray] = {}
+
+    def _sums(self, a: int) -> np.ndarray:
+        if a in self.sums:
+            return self.sums[a]
+        part = self.text[a : a + CHUNK + self.longest]
+        sums = np.zeros(len(part) + 1, U)
+        np.cumsum(_BYTE[part] * self.powers[: len(part)], out=sums[1:])
+        if len(self.text) <= self.KEPT:
+            self.sums[a] = sums
+        return sums
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = np.empty(len(begin), np.uint32)
+        for a in range(0, len(self.text), CHUNK):
             i, j = np.searchsorted(begin, (a, a + CHUNK))
-            if i == j:
-                continue
-            part = text[a : a + CHUNK + longest]
-            sums = np.zeros(len(part) + 1, U)
-            np.cumsum(_BYTE[part] * cls.powers[: len(part)], out=sums[1:])
-            x = begin[i:j] - a
-            out[i:j] = (sums[end[i:j] - a] - sums[x]) * cls.inverse[x]
+            if i < j:
+                sums, x = self._sums(a), begin[i:j] - a
+                # the higher half: lower bits hang on fewer of the bytes' places
+                out[i:j] = ((sums[end[i:j] - a] - sums[x]) * self.inverse[x]) >> U(32)
         return out
 
 
@@ -162,6 +174,7 @@ class Segment:
         self.key, self.first, self.last = (np.concatenate(x) if x else np.zeros(0, U) for x in (key, first, last))
         self.lo, self.hi = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lo, hi))
         self.doc = np.searchsorted(self.ends, self.lo, side="right")
+        self.ranges = _Ranges(self.text, 2 * threshold)
 
     def _chunks(self):
         """Stretches of about CHUNK bytes with room for the strings that start in them; a rest too short for one has no position."""
@@ -172,7 +185,7 @@ class Segment:
         return _pair(_pair(self.first[at], self.last[at], 60), (self.hi - self.lo)[at].astype(U), 61)
 
     def seconds(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _Ranges.of(self.text, begin, end, 2 * self.threshold)
+        return self.ranges.of(begin, end)
 
     def positions(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All positions of the runs and their names of threshold bytes."""
@@ -186,9 +199,16 @@ class Segment:
         return at, np.concatenate(names) if names else np.zeros(0, U)
 
 
+def _clash(names: np.ndarray, seconds: np.ndarray) -> bool:
+    """Whether sorted names have one with several second names: then they are sorted by both."""
+    return bool(((names[1:] == names[:-1]) & (seconds[1:] != seconds[:-1])).any())
+
+
 def _entries(names: np.ndarray, doc_ids: np.ndarray, seconds: np.ndarray | None = None):
     """Distinct names, with their second ones if there are any, sorted; each with its smallest doc_id, whether it has others, and its second name; and each row's entry."""
-    order = np.lexsort((doc_ids, names) if seconds is None else (doc_ids, seconds, names))
+    order = np.lexsort((doc_ids, names))
+    if seconds is not None and _clash(names[order], seconds[order]):
+        order = np.lexsort((doc_ids, seconds, names))
     n, d = names[order], doc_ids[order]
     s = n if seconds is None else seconds[order]
     new = np.ones(len(n), bool)
@@ -303,7 +323,7 @@ def _emit(buckets: int, seed: int, threshold: int):
                         ranks = np.searchsorted(own, docs[a:z]).astype("<u4").view(np.uint8).reshape(-1, 4).T
                         packed = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(ranks).tobytes())
                         head = _pack((own.view(U) ^ U(1 << 63)))
-                        out.append({"bucket": i, "segment": row["segment"], "n": z - a, "names": _pack(names[a:z]), "docs": len(head).to_bytes(4, "little") + head + packed, "seconds": None if seconds is None else seconds[a:z].astype("<u8").tobytes()})
+                        out.append({"bucket": i, "segment": row["segment"], "n": z - a, "names": _pack(names[a:z]), "docs": len(head).to_bytes(4, "little") + head + packed, "seconds": None if seconds is None else seconds[a:z].astype("<u4").tobytes()})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return run
@@ -323,8 +343,10 @@ def _sort(first: bool):
     def bucket(rows):
         names = np.concatenate([_unpack(r["names"]) for r in rows])
         docs = np.concatenate([_docs(r["docs"]) for r in rows])
-        two = None if first else np.concatenate([np.frombuffer(r["seconds"], "<u8") for r in rows])
-        order = np.argsort(names, kind="stable") if first else np.lexsort((two, names))
+        two = None if first else np.concatenate([np.frombuffer(r["seconds"], "<u4") for r in rows])
+        order = np.argsort(names, kind="stable")
+        if not first and _clash(names[order], two[order]):
+            order = np.lexsort((two, names))
         n, d = names[order], docs[order]
         new = np.ones(len(n), bool)
         new[1:] = n[1:] != n[:-1]

@@ -64,7 +64,9 @@ def test_second_names_across_chunks(monkeypatch):
     monkeypatch.setattr(s._Ranges, "powers", np.zeros(0, np.uint64))
     text = np.frombuffer(bytes(np.random.default_rng(3).integers(97, 99, 1000, dtype=np.uint8)), np.uint8)
     at = np.arange(0, 980)
-    got = s._Ranges.of(text, at, at + 20, 40)
+    r = s._Ranges(text, 40)
+    got = r.of(at, at + 20)
+    assert (got == r.of(at, at + 20)).all() and len(r.sums) == 16
     by = {}
     for i in at.tolist():
         by.setdefault(text[i : i + 20].tobytes(), set()).add(int(got[i]))

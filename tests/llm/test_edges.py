@@ -77,9 +77,9 @@ def test_each_value(spark):
     kept = simhash.keep_one(d)
     assert kept.filter("doc_id in (5, 6)").filter(F.length("text") > 1000).count() == 1 and kept.columns == d.columns
     taken = mixing.mix(d).filter("text is null").collect()
-    assert taken[0]["size"] == 0 and taken[0]["copies"] in (0, 1, 2)
+    assert taken[0]["size"] == 0 and taken[0]["copies"] == 0
     nxt = {(r.doc_id, r.n_chars): r for r in fingerprints.fingerprints(d).collect()}
-    assert nxt[2, 0].fingerprint == "00" and nxt[5, len(LONG)].near_next < nxt[6, len(LONG)].near_next + 1e-9
+    assert nxt[2, 0].fingerprint == "00" and 0.3 < nxt[6, len(LONG)].near_edited < 0.7
 
 
 def test_binary_files(spark, docs, tmp_path):
