@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,15 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system: its worker lives on for other stages, which need the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """path with its scheme, as the session's default file system completes it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, with_defaults
+from .common import release, small_batches, table, with_defaults
 from .tokens import slices
 
 PER_LANGUAGE = 300
@@ -309,6 +309,7 @@ def predict(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
 
         # workers live on for other stages: what was kept for this task goes with it
         f.clear()
+        release()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "lang_pred string", "score double"])
     return small_batches(docs).select(*[f"`{f.name}`" for f in keep]).mapInArrow(run, schema)

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, small_batches, table, with_defaults, written
+from .common import release, scratch, small_batches, table, with_defaults, written
 
 THRESHOLD = 50
 SEED = 20
@@ -325,6 +325,7 @@ def _emit(buckets: int, seed: int, threshold: int):
                         head = _pack((own.view(U) ^ U(1 << 63)))
                         out.append({"bucket": i, "segment": row["segment"], "n": z - a, "names": _pack(names[a:z]), "docs": len(head).to_bytes(4, "little") + head + packed, "seconds": None if seconds is None else seconds[a:z].astype("<u4").tobytes()})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
+        release()
 
     return run
 
@@ -377,6 +378,8 @@ def _sort(first: bool):
                 held.append(r)
         if held:
             yield bucket(held)
+        held.clear()
+        release()
 
     return run
 
@@ -399,6 +402,7 @@ def _finish(seed: int, threshold: int):
                     out.append({"segment": row["segment"], "doc_id": i, "row": k, "n_bytes": z - a, "n_removed": int(np.count_nonzero(g)), "n_spans": spans, "kept": t[~g].tobytes(), "extra": x})
                     a = z
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
+        release()
 
     return run
 
