@@ -107,6 +107,19 @@ def _spanning(distance: int):
     return run
 
 
+def shared_keys(fps: DataFrame) -> DataFrame:
+    """(k, fp, n) of every key of fps(fp) that n > 1 fingerprints share."""
+    bit = F.explode(F.expr("sequence(0, 63)")).alias("bit")
+    half = F.when(F.col("bit") < 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp")).bitwiseAND(F.lit(0xFFFFFFFF))
+    rest = half.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, bit % 32)")))
+    # dealt anew before each becomes 64 rows: as fingerprints alone they fill few partitions
+    # (by an expression of its own: a deal by fp would fall together with the one that made them distinct)
+    keyed = fps.repartition(partitions(fps), F.xxhash64("fp")).select("fp", bit).select("fp", (F.expr("shiftleft(cast(bit as bigint), 32)").bitwiseOR(rest)).alias("k"))
+    # the keys with company: a count combined before the shuffle, then the few rows that it keeps
+    # (merged: Spark takes 64 exploded rows for one, and would broadcast keys of many times the threshold)
+    return keyed.hint("merge").join(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "k")
+
+
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Edges (a, b) between distinct fingerprints fps(fp) that connect all that lie within distance of each other.
 
@@ -115,14 +128,7 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     if distance > 3:
         raise ValueError("two halves with one bit left out cover distances up to 3")
-    bit = F.explode(F.expr("sequence(0, 63)")).alias("bit")
-    half = F.when(F.col("bit") < 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp")).bitwiseAND(F.lit(0xFFFFFFFF))
-    rest = half.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, bit % 32)")))
-    # dealt anew before each becomes 64 rows: as fingerprints alone they fill few partitions
-    # (by an expression of its own: a deal by fp would fall together with the one that made them distinct)
-    keyed = fps.repartition(partitions(fps), F.xxhash64("fp")).select("fp", bit).select("fp", (F.expr("shiftleft(cast(bit as bigint), 32)").bitwiseOR(rest)).alias("k"))
-    # the keys with company: a count combined before the shuffle, then the few rows that it keeps
-    shared = written(keyed.join(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "k"), "shared")
+    shared = written(shared_keys(fps), "shared")
     found = []
     cold = shared.filter(F.col("n") <= HOT).groupBy("k").agg(F.collect_list("fp").alias("fps"))
     pair = cold.filter(F.size("fps") == 2).select(F.col("fps")[0].alias("a"), F.col("fps")[1].alias("b"))
