@@ -98,6 +98,14 @@ def _verified(similarity: float):
     return run
 
 
+def band_stars(classes: DataFrame) -> DataFrame:
+    """Links (a, b) of every text of classes(fp, sim, keys) to the least of each of its bands: those of minima, and the SimHash itself as one more."""
+    keyed = classes.select("fp", F.posexplode(F.concat("keys", F.array("sim"))).alias("band", "k"))
+    least = keyed.groupBy("band", "k").agg(F.min("fp").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # merged: Spark takes the rows of a text's bands for one, and would broadcast bands of many times the threshold
+    return keyed.hint("merge").join(least, ["band", "k"]).filter("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, h, fp, component_id) of every row of docs(doc_id, text): component_id is the smallest doc_id reachable over verified links.
 
@@ -107,10 +115,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, distan
     none = F.col("doc_id").isNull()
     classes = rows.groupBy("fp").agg(F.min(F.struct(none.alias("none"), "doc_id", "h")).alias("m"), F.first("sim").alias("sim"), F.first("keys").alias("keys"))
     classes = written(classes.select("fp", F.coalesce("m.doc_id", F.lit(0)).alias("_id"), F.col("m.none").alias("_none"), F.col("m.h").alias("_h"), "sim", "keys"), "classes")
-    # bands of minima, and the SimHash itself as one more band
-    keyed = classes.select("fp", F.posexplode(F.concat("keys", F.array("sim"))).alias("band", "k"))
-    least = keyed.groupBy("band", "k").agg(F.min("fp").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    stars = keyed.join(least, ["band", "k"]).filter("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b"))
+    stars = band_stars(classes)
     # SimHashes within distance, each by the least of its texts
     by_sim = classes.groupBy("sim").agg(F.min("fp").alias("fp"))
     near = links(by_sim.select(F.col("sim").alias("fp")), distance)
