@@ -44,7 +44,7 @@ THRESHOLD = 50
 SEED = 20
 SEGMENT_BYTES = 2 << 20
 BUCKET_BYTES = 12 << 20
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 U = np.uint64
 #: The second name of a range of bytes: from a sum of random numbers of its bytes times powers of an odd number.
 _BYTE = np.random.Generator(np.random.PCG64(17)).integers(0, 1 << 64, 256, dtype=U)
@@ -54,28 +54,43 @@ _M = [U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD
 
 def _pair(a: np.ndarray, b: np.ndarray, turn: int) -> np.ndarray:
     """Names of pairs of names."""
-    h = a * _M[turn % 4] + b
-    h ^= h >> U(29)
+    h = a * _M[turn % 4]
+    h += b
+    t = h >> U(29)
+    h ^= t
     h *= _M[(turn + 1) % 4]
-    h ^= h >> U(32)
+    np.right_shift(h, U(32), out=t)
+    h ^= t
     return h
 
 
-def _names(text: np.ndarray, seed: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the seed and threshold bytes at every position, by doubling."""
-    h, n, turn = _pair(text.astype(U) + U(1), np.zeros(len(text), U), 0), 1, 1
-    short = None
+_ONE = _pair(np.arange(1, 257, dtype=U), np.zeros(256, U), 0)
+#: Names of all two bytes, the first being the higher.
+_TWO = _pair(np.repeat(_ONE, 256), np.tile(_ONE, 256), 1)
 
-    def to(h, n, want, turn):
-        return _pair(h[: len(h) - (want - n)], h[want - n :], turn)
 
-    while n < threshold:
-        if short is None and n * 2 > seed:
-            short = h if n == seed else to(h, n, seed, 90 + n)
-        step = min(n, threshold - n)
-        h = to(h, n, n + step, turn)
-        n, turn = n + step, turn + 1
-    return short, h
+def _base(text: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
+    """Names of n bytes at every position, by doubling, and n: the largest power of two up to seed."""
+    if seed < 2:
+        return _ONE[text], 1
+    two = text[:-1].astype(np.uint16)
+    two <<= 8
+    two |= text[1:]
+    h, n = _TWO[two], 2
+    while n * 2 <= seed:
+        h = _pair(h[: len(h) - n], h[n:], n)
+        n *= 2
+    return h, n
+
+
+def _longer(h: np.ndarray, n: int, want: int, at: np.ndarray) -> np.ndarray:
+    """Names of want bytes at some positions, by doubling those of n bytes."""
+    if want == n:
+        return h[at]
+    half = n
+    while half * 2 < want:
+        half *= 2
+    return _pair(_longer(h, n, half, at), _longer(h, n, half, at + (want - half)), want)
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -138,40 +153,46 @@ def _unpack(b: bytes) -> np.ndarray:
 
 
 class Segment:
-    """Documents of one segment, cut into chunks: runs of positions with one least name, and names at positions."""
+    """Documents of one segment, cut into chunks: runs of positions with one least name, and names at positions.
+
+    keep: names of a power of two bytes stay for the longer names of later rounds.
+    """
+
+    #: Bytes of a text whose names are kept.
+    KEPT = 8 << 20
 
-    def __init__(self, doc_ids: list[int], sizes: list[int], data: bytes, seed: int, threshold: int):
+    def __init__(self, doc_ids: list[int], sizes: list[int], data: bytes, seed: int, threshold: int, keep: bool = False):
         self.docs = np.array(doc_ids, np.int64)
         self.sizes = np.array(sizes, np.int64)
         self.ends = np.cumsum(self.sizes)
         self.text = np.frombuffer(data, np.uint8)
         self.seed, self.threshold = seed, threshold
-        key, lo, hi, first, last = [], [], [], [], []
+        self.bases: dict[int, tuple[np.ndarray, int]] = {}
+        key, lo, hi = [], [], []
         for a, b in self._chunks():
-            short, long_ = _names(self.text[a:b], seed, threshold)
+            h, n = base = _base(self.text[a:b], seed)
+            if keep and len(self.text) <= self.KEPT:
+                self.bases[a] = base
+            short = h if n == seed else _pair(h[: len(h) - (seed - n)], h[seed - n :], seed)
             least = _slide_min(short, threshold - seed + 1)
-            at = np.arange(a, a + len(least))
-            doc = np.searchsorted(self.ends, at, side="right")
-            ok = at + threshold <= self.ends[doc]
-            change = np.ones(len(at), bool)
-            change[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+            change = np.ones(len(least), bool)
+            np.not_equal(least[1:], least[:-1], out=change[1:])
+            i, j = np.searchsorted(self.ends, (a, a + len(least) - 1), side="right")
+            change[self.ends[i:j] - a] = True
             # a run names its text by its ends, so it is no longer than the threshold
             begin = np.flatnonzero(change)
-            length = np.diff(np.append(begin, len(at)))
+            length = np.diff(np.append(begin, len(least)))
             if (length > threshold).any():
                 extra = [np.arange(s, s + n, threshold) for s, n in zip(begin[length > threshold], length[length > threshold])]
                 begin = np.unique(np.concatenate([begin, *extra]))
             # positions near a document's end hold no whole string; a run may end before them
-            stop = np.append(begin[1:], len(at))
-            good = np.concatenate([[0], np.cumsum(ok)])
-            n = good[stop] - good[begin]
+            end = self.ends[np.searchsorted(self.ends, begin + a, side="right")] - (threshold - 1) - a
+            n = np.minimum(np.append(begin[1:], len(least)), end) - begin
             begin, n = begin[n > 0], n[n > 0]
             key.append(least[begin])
-            lo.append(at[begin])
-            hi.append(at[begin] + n - 1)
-            first.append(long_[begin])
-            last.append(long_[begin + n - 1])
-        self.key, self.first, self.last = (np.concatenate(x) if x else np.zeros(0, U) for x in (key, first, last))
+            lo.append(begin + a)
+            hi.append(begin + n + (a - 1))
+        self.key = np.concatenate(key) if key else np.zeros(0, U)
         self.lo, self.hi = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lo, hi))
         self.doc = np.searchsorted(self.ends, self.lo, side="right")
         self.ranges = _Ranges(self.text, 2 * threshold)
@@ -181,8 +202,19 @@ class Segment:
         for a in range(0, len(self.text) - self.threshold + 1, CHUNK):
             yield a, min(len(self.text), a + CHUNK + self.threshold - 1)
 
+    def names(self, at: np.ndarray) -> np.ndarray:
+        """Names of threshold bytes at positions in ascending order."""
+        out = []
+        for a, b in self._chunks():
+            i, j = np.searchsorted(at, (a, a + CHUNK))
+            if i < j:
+                h, n = self.bases.get(a) or _base(self.text[a:b], self.seed)
+                out.append(_longer(h, n, self.threshold, at[i:j] - a))
+        return np.concatenate(out) if out else np.zeros(0, U)
+
     def run_names(self, at: np.ndarray) -> np.ndarray:
-        return _pair(_pair(self.first[at], self.last[at], 60), (self.hi - self.lo)[at].astype(U), 61)
+        lo, hi = self.lo[at], self.hi[at]
+        return _pair(_pair(self.names(lo), self.names(hi), 60), (hi - lo).astype(U), 61)
 
     def seconds(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return self.ranges.of(begin, end)
@@ -191,12 +223,7 @@ class Segment:
         """All positions of the runs and their names of threshold bytes."""
         n = self.hi[runs] - self.lo[runs] + 1
         at = np.repeat(self.lo[runs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        names = []
-        for a, b in self._chunks():
-            mine = at[np.searchsorted(at, a) : np.searchsorted(at, a + CHUNK)]
-            if len(mine):
-                names.append(_names(self.text[a:b], self.seed, self.threshold)[1][mine - a])
-        return at, np.concatenate(names) if names else np.zeros(0, U)
+        return at, self.names(at)
 
 
 def _clash(names: np.ndarray, seconds: np.ndarray) -> bool:
@@ -206,9 +233,9 @@ def _clash(names: np.ndarray, seconds: np.ndarray) -> bool:
 
 def _entries(names: np.ndarray, doc_ids: np.ndarray, seconds: np.ndarray | None = None):
     """Distinct names, with their second ones if there are any, sorted; each with its smallest doc_id, whether it has others, and its second name; and each row's entry."""
-    order = np.lexsort((doc_ids, names))
+    order = np.argsort(names)
     if seconds is not None and _clash(names[order], seconds[order]):
-        order = np.lexsort((doc_ids, seconds, names))
+        order = np.lexsort((seconds, names))
     n, d = names[order], doc_ids[order]
     s = n if seconds is None else seconds[order]
     new = np.ones(len(n), bool)
@@ -216,8 +243,8 @@ def _entries(names: np.ndarray, doc_ids: np.ndarray, seconds: np.ndarray | None
     at = np.flatnonzero(new)
     entry = np.empty(len(n), np.int64)
     entry[order] = np.cumsum(new) - 1
-    last = np.append(at[1:], len(n)) - 1 if len(at) else at
-    return n[at], d[at], d[last] != d[at], None if seconds is None else s[at], entry
+    least, most = (f.reduceat(d, at) if len(at) else d for f in (np.minimum, np.maximum))
+    return n[at], least, least != most, None if seconds is None else s[at], entry
 
 
 def _bounds(n: int) -> np.ndarray:
@@ -292,7 +319,7 @@ def _segments(limit: int):
 
 
 def _open(row: dict, seed: int, threshold: int) -> Segment:
-    return Segment(row["doc_ids"], row["sizes"], row["data"], seed, threshold)
+    return Segment(row["doc_ids"], row["sizes"], row["data"], seed, threshold, keep=row.get("r1") is not None)
 
 
 def _answers(row: dict) -> dict[int, list[bytes]]:
@@ -315,12 +342,15 @@ def _emit(buckets: int, seed: int, threshold: int):
             for row in b.to_pylist():
                 _, (names, docs, seconds), _ = _round(_open(row, seed, threshold), _answers(row), buckets)
                 edge = np.concatenate([[0], np.searchsorted(names, ends, side="right"), [len(names)]])
+                ids, rank = np.unique(docs, return_inverse=True)
                 out = []
                 for i in range(buckets):
                     a, z = int(edge[i]), int(edge[i + 1])
                     if z > a:
-                        own = np.unique(docs[a:z])
-                        ranks = np.searchsorted(own, docs[a:z]).astype("<u4").view(np.uint8).reshape(-1, 4).T
+                        used = np.zeros(len(ids), bool)
+                        used[rank[a:z]] = True
+                        own, place = ids[used], np.cumsum(used) - 1
+                        ranks = place[rank[a:z]].astype("<u4").view(np.uint8).reshape(-1, 4).T
                         packed = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(ranks).tobytes())
                         head = _pack((own.view(U) ^ U(1 << 63)))
                         out.append({"bucket": i, "segment": row["segment"], "n": z - a, "names": _pack(names[a:z]), "docs": len(head).to_bytes(4, "little") + head + packed, "seconds": None if seconds is None else seconds[a:z].astype("<u4").tobytes()})
