@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import own_names, small_batches, table, with_defaults, written
+from .common import own_names, release, small_batches, table, with_defaults, written
 from .tokens import default_path, slices, words
 
 CAPACITY = 4096
@@ -88,7 +88,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                     [b.column(0).slice(a, k).take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+                # what a slice took goes before the next: two workers and their executor share its memory
+                del ids, raw
+                release()
         w.clear()  # the worker lives on for other stages
+        release()
 
     return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import small_batches, written
+from .common import release, small_batches, written
 from .simhash import DISTANCE, SEED, labelled, links, of_hashes, shingle_hashes, words
 
 BANDS = 24
@@ -52,6 +52,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 keys.append(band_keys(h))
             own = pa.array(np.array(fp, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), own, pa.array(sim, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "fp", "sim", "keys"])
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return small_batches(docs).select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h long, fp long, sim long, keys array<long>")
@@ -62,6 +63,7 @@ def _sets(n: int):
         for b in batches:
             sets = [np.unique(shingle_hashes(words(x), n).astype(np.uint32)).tobytes() for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["cluster", "fp", "s"])
+        release()
 
     return run
 

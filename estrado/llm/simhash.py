@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import own_names, partitions, small_batches, table, with_defaults, written
+from .common import own_names, partitions, release, small_batches, table, with_defaults, written
 
 DISTANCE = 3
 HOT = 256
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             fp = [fingerprint(x) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], names=["doc_id", "h", "fp"])
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return small_batches(docs).select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h long, fp long")
