@@ -1,11 +1,14 @@
 """Whose party and role: overrides, summaries, the registry and a speaker's own parenthesis, term by term.
 
 All lookups are joins on equality: names one edit apart meet under deletion variants, names cut off at a word meet under
-their beginnings. Names are keyed by record.registry_name.
+their beginnings. Names are keyed by record.registry_name, or by another function of a column given as key.
+Neither names nor rosters have a bound, and Spark takes the variants of a name for one row, so all joins are merge joins by a hint.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +24,13 @@ def tight(c: str) -> Column:
     return F.replace(F.col(c), F.lit(" "), F.lit(""))
 
 
-def party_map(texts: DataFrame) -> DataFrame:
+def party_map(texts: DataFrame, key: Callable[[Column], Column] = rec.registry_name) -> DataFrame:
     """(leg, name, sigla, n) from summaries texts(leg, text): of each speaker and term the group most mentioned with the name, ties by its letters.
 
     Only mentions of a known group count.
     """
     m = texts.select("leg", F.explode(gz.group_mentions(F.col("text"))).alias("m"))
-    m = m.select("leg", rec.registry_name(F.col("m.name")).alias("name"), rec.group_letters(F.concat(F.lit("grupo parlamentario "), "m.grupo")).alias("sigla"))
+    m = m.select("leg", key(F.col("m.name")).alias("name"), rec.group_letters(F.concat(F.lit("grupo parlamentario "), "m.grupo")).alias("sigla"))
     c = m.filter(F.col("sigla").isin(*rec.KNOWN_GROUPS)).groupBy("leg", "name", "sigla").agg(F.count(F.lit(1)).alias("n"))
     first = F.row_number().over(Window.partitionBy("leg", "name").orderBy(F.desc("n"), "sigla"))
     return c.withColumn("k", first).filter("k = 1").drop("k")
@@ -92,7 +95,7 @@ def resolve(names: DataFrame, overrides: DataFrame, summaries: DataFrame, regist
     return j.select("leg", "name", F.coalesce(*steps, F.lit("")).alias("sigla"), "canon", via.alias("via"))
 
 
-def attach(speeches: DataFrame, overrides: DataFrame, summaries: DataFrame, registry: DataFrame) -> DataFrame:
+def attach(speeches: DataFrame, overrides: DataFrame, summaries: DataFrame, registry: DataFrame, key: Callable[[Column], Column] = rec.registry_name) -> DataFrame:
     """speeches(leg, speaker, paren, ...) with speaker as it is shown, party and role.
 
     A regional representative and the ombudsman have no party; of the government's members the name and the office may stand either way round; the chair has no party;
@@ -105,7 +108,7 @@ def attach(speeches: DataFrame, overrides: DataFrame, summaries: DataFrame, regi
     d = speeches.withColumns({"_s": s, "_p": paren, "_b": branch})
     titled = rec.in_government(F.col("_s"))
     name = F.when(F.col("_b") == "gobierno", F.when(titled, F.col("_p")).otherwise(F.col("_s"))).when(F.col("_b") == "diputado", F.col("_s"))
-    d = d.withColumns({"_name": name, "_office": F.when(titled, F.col("_s")).otherwise(F.col("_p")), "_key": F.nullif(rec.registry_name(name), F.lit(""))})
+    d = d.withColumns({"_name": name, "_office": F.when(titled, F.col("_s")).otherwise(F.col("_p")), "_key": F.nullif(key(name), F.lit(""))})
     d = written(d, "speeches")
     known = resolve(d.filter("_key is not null").select("leg", F.col("_key").alias("name")), overrides, summaries, registry)
     known = known.select(F.col("leg").alias("_leg"), F.col("name").alias("_name_of"), "sigla", "canon")

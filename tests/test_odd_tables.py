@@ -28,3 +28,10 @@ def test_a_picture_is_described_if_its_first_page_is(agrees):
     """One url on pages 3 and 10, one on 20 and 21: the first stays, whatever page 10 says of it, the second goes."""
     agrees("image_filter", pages="SELECT unnest([3, 10, 20, 21, 30, 33]) page_id, unnest(['a', 'a', 'b', 'b', 'c', 'd']) url, repeat('x', 1100) html")
 
+
+
+@pytest.mark.parametrize("name", ["party_cascade", "attach_parties"])
+def test_numbers_that_read_as_a_lone_i(agrees, tiny, name):
+    """Customers whose number in letters is I, which registries leave out of names, beside those of the given table."""
+    add = "SELECT 41432 + i * 100000 c_custkey, 'Customer' c_name, (i * 7 % 25)::INTEGER c_nationkey, 0.0 c_acctbal, 'HOUSEHOLD' c_mktsegment FROM (SELECT unnest(range(0, 12)) i)"
+    agrees(name, customer=f"SELECT * FROM '{tiny}/customer.parquet' UNION ALL {add}")
