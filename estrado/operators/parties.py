@@ -20,6 +20,11 @@ from .components import written
 LEAST = 6
 
 
+def met(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Rows of a and b with equal keys, neither of which goes to every task."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def tight(c: str) -> Column:
     return F.replace(F.col(c), F.lit(" "), F.lit(""))
 
@@ -54,16 +59,16 @@ def registry_hits(names: DataFrame, registry: DataFrame) -> DataFrame:
     """
     # each is read several times
     q, r = written(names.select("leg", "name").distinct(), "names"), written(registry.select("leg", "key").distinct(), "registry")
-    same = q.join(r.withColumn("name", F.col("key")), ["leg", "name"]).select("leg", "name", "key", F.lit(1).alias("via"))
+    same = met(q, r.withColumn("name", F.col("key")), ["leg", "name"]).select("leg", "name", "key", F.lit(1).alias("via"))
     t = r.groupBy("leg", tight("key").alias("t")).agg(F.min("key").alias("key"))
-    spaced = q.withColumn("t", tight("name")).join(t, ["leg", "t"]).select("leg", "name", "key", F.lit(2).alias("via"))
+    spaced = met(q.withColumn("t", tight("name")), t, ["leg", "t"]).select("leg", "name", "key", F.lit(2).alias("via"))
     long_ = q.filter(F.length("name") >= LEAST)
-    near = long_.select("leg", "name", _variants("name")).join(r.filter(F.length("key") > 0).select("leg", "key", _variants("key")), ["leg", "v"]).select("leg", "name", "key").distinct()
+    near = met(long_.select("leg", "name", _variants("name")), r.filter(F.length("key") > 0).select("leg", "key", _variants("key")), ["leg", "v"]).select("leg", "name", "key").distinct()
     near = near.filter(F.levenshtein("name", "key", 1) >= 0)
-    longer = long_.join(r.select("leg", "key", _beginnings("key")).filter("b is not null").withColumnRenamed("b", "name"), ["leg", "name"])
-    shorter = long_.select("leg", "name", _beginnings("name")).filter("b is not null").join(r.withColumn("b", F.col("key")), ["leg", "b"])
+    longer = met(long_, r.select("leg", "key", _beginnings("key")).filter("b is not null").withColumnRenamed("b", "name"), ["leg", "name"])
+    shorter = met(long_.select("leg", "name", _beginnings("name")).filter("b is not null"), r.withColumn("b", F.col("key")), ["leg", "b"])
     begun = longer.select("leg", "name", "key").union(shorter.select("leg", "name", "key")).distinct()
-    fuzzy = near.withColumn("d", F.lit(1)).union(begun.join(near, ["leg", "name", "key"], "left_anti").withColumn("d", F.lit(0)))
+    fuzzy = near.withColumn("d", F.lit(1)).union(met(begun, near, ["leg", "name", "key"], "left_anti").withColumn("d", F.lit(0)))
     n = fuzzy.groupBy("leg", "name").agg(F.sum("d").alias("near"), F.count(F.lit(1)).alias("all"), F.min(F.when(F.col("d") == 1, F.col("key"))).alias("k1"), F.min(F.when(F.col("d") == 0, F.col("key"))).alias("k0"))
     only = F.when(F.col("near") == 1, F.col("k1")).when((F.col("near") == 0) & (F.col("all") == 1), F.col("k0"))
     fuzzy = n.select("leg", "name", only.alias("key"), F.lit(3).alias("via")).filter("key is not null")
@@ -80,14 +85,14 @@ def resolve(names: DataFrame, overrides: DataFrame, summaries: DataFrame, regist
     """
     q = written(names.select("leg", "name").distinct(), "asked")
     summaries = written(summaries, "summaries")
-    hit = registry_hits(q, registry).join(registry.select("leg", "key", F.col("sigla").alias("registered"), "canon"), ["leg", "key"]).drop("key")
+    hit = met(registry_hits(q, registry), registry.select("leg", "key", F.col("sigla").alias("registered"), "canon"), ["leg", "key"]).drop("key")
     own = overrides.filter("leg is not null").select("leg", "name", F.col("sigla").alias("own"))
     any_ = overrides.filter("leg is null").select("name", F.col("sigla").alias("always"))
     said = summaries.select("leg", "name", F.col("sigla").alias("said"))
     loose = summaries.groupBy("leg", tight("name").alias("t")).agg(F.min_by("sigla", "name").alias("loose"))
     # rows without a term have nothing of a term, only what holds for all
-    j = q.join(hit, ["leg", "name"], "left").join(own, ["leg", "name"], "left").join(any_, "name", "left").join(said, ["leg", "name"], "left")
-    j = j.withColumn("t", tight("name")).join(loose, ["leg", "t"], "left")
+    j = met(met(met(q, hit, ["leg", "name"], "left"), own, ["leg", "name"], "left"), said, ["leg", "name"], "left")
+    j = met(met(j, any_, "name", "left").withColumn("t", tight("name")), loose, ["leg", "t"], "left")
     steps = ["own", "always", "said", "loose", "registered"]
     via = F.lit(None).cast("string")
     for s in reversed(steps):
@@ -113,7 +118,7 @@ def attach(speeches: DataFrame, overrides: DataFrame, summaries: DataFrame, regi
     known = resolve(d.filter("_key is not null").select("leg", F.col("_key").alias("name")), overrides, summaries, registry)
     known = known.select(F.col("leg").alias("_leg"), F.col("name").alias("_name_of"), "sigla", "canon")
     # a speech without a term still meets what holds for all terms
-    d = d.join(known, F.col("leg").eqNullSafe(F.col("_leg")) & (F.col("_key") == F.col("_name_of")), "left").drop("_leg", "_name_of")
+    d = met(d, known, F.col("leg").eqNullSafe(F.col("_leg")) & (F.col("_key") == F.col("_name_of")), "left").drop("_leg", "_name_of")
     first = rec.is_first_name(F.col("_p"))
     letters = rec.group_letters(F.col("_p"))
     own = F.when((F.col("_p") != "") & ~first & letters.isin(*rec.KNOWN_GROUPS), letters).otherwise("")
