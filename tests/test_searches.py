@@ -7,7 +7,7 @@ from estrado.operators import index, vectors
 
 from .test_odd_tables import agrees  # noqa: F401
 
-SEARCHES = ["knn_batch_topk", "identify_openset", "match_margin", "supervised_assign", "search_identified", "index_exact", "soft_scope", "hit_at_k", "premise_topk", "priority_concat"]
+SEARCHES = ["knn_batch_topk", "identify_openset", "match_margin", "supervised_assign", "search_identified", "index_exact", "soft_scope", "hit_at_k", "premise_topk", "priority_concat", "relative_threshold"]
 
 
 @pytest.mark.parametrize("name", SEARCHES)
@@ -17,7 +17,7 @@ def test_blocks_meet_in_groups(spark, tiny, monkeypatch, name):
     assert "CoGroup" in plan and "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["soft_scope", "priority_concat", "identify_openset"])
+@pytest.mark.parametrize("name", ["soft_scope", "priority_concat", "relative_threshold", "identify_openset"])
 def test_equal_vectors_in_small_groups(agrees, tiny, monkeypatch, name):  # noqa: F811
     """Each vector twice, some ten times, a label with few rows and one missing, dealt into many groups."""
     for what, n in (("PACKED", 16), ("ASKED_BLOCKS", 1), ("BLOCKS", 2), ("AT_ONCE", 7), ("HEAD", 5), ("PAIRS", 64)):
