@@ -7,7 +7,7 @@ from estrado.operators import index, vectors
 
 from .test_odd_tables import agrees  # noqa: F401
 
-SEARCHES = ["knn_batch_topk", "identify_openset", "match_margin", "supervised_assign", "search_identified", "index_exact", "soft_scope", "hit_at_k", "premise_topk", "priority_concat", "relative_threshold"]
+SEARCHES = ["knn_batch_topk", "identify_openset", "match_margin", "supervised_assign", "search_identified", "index_exact", "premise_topk", "hit_at_k", "relative_threshold", "soft_scope", "priority_concat"]
 
 
 @pytest.mark.parametrize("name", SEARCHES)
