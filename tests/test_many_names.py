@@ -4,7 +4,8 @@ from difflib import SequenceMatcher
 
 import pytest
 
-from estrado.operators import names
+from estrado import catalog
+from estrado.operators import lexicon, names
 
 
 def test_digits_tell_names_apart(monkeypatch):
@@ -15,3 +16,11 @@ def test_digits_tell_names_apart(monkeypatch):
     block = names.Block([f"Supplier#{i:09}" for i in range(3000)])
     assert block.best("Supplie#000001234 de la", 0.62) == (pytest.approx(SequenceMatcher(None, "supplie#000001234", "supplier#000001234").ratio()), 1234)
     assert len(tried) <= 24
+
+
+def test_a_glossary_at_hand_and_by_blocks(spark, tiny, monkeypatch):
+    whole = sorted(map(tuple, catalog.QUERIES["glossary_fix"](spark, tiny).collect()))
+    plan = catalog.QUERIES["glossary_fix"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    monkeypatch.setattr(lexicon, "AT_HAND", 0)
+    assert sorted(map(tuple, catalog.QUERIES["glossary_fix"](spark, tiny).collect())) == whole and len(whole)
