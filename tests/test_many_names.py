@@ -24,3 +24,10 @@ def test_a_glossary_at_hand_and_by_blocks(spark, tiny, monkeypatch):
     assert "Exchange" not in plan
     monkeypatch.setattr(lexicon, "AT_HAND", 0)
     assert sorted(map(tuple, catalog.QUERIES["glossary_fix"](spark, tiny).collect())) == whole and len(whole)
+
+
+def test_names_of_the_same_letters_are_bounded_once():
+    names_ = ["Gil Mora", "Lig Roma", "Gil Ramo", "Ruiz Mora"]
+    block = names.Announced(names_)
+    assert sorted(map(sorted, block.members)) == [[0, 1, 2], [3]]
+    assert block.best("lig roma por su grupo", 0.6) == (1.0, 1)
